@@ -56,6 +56,13 @@ def n_buckets(df: DataFrame, each: int = 16 << 20) -> int:
     return int(min(max(least, planned_bytes(df) // each + 1), 1 << 18))
 
 
+def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:
+    """Bounds the Arrow batches that Python workers get, by rows and bytes."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
+
+
 def ascii_lower(col):
     """Lower-cases A-Z only."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -105,7 +112,7 @@ def text_buffer(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.zeros(0, np.uint8)), at
 
 
-def doc_chunks(offsets: np.ndarray, most: int = 1 << 20):
+def doc_chunks(offsets: np.ndarray, most: int = 1 << 19):
     """Ranges of documents of up to `most` bytes together; a longer document stands alone."""
     n, i = len(offsets) - 1, 0
     while i < n:

@@ -15,6 +15,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+from mirador.llm.common import small_batches
+
 #: Frequent function words of English, Spanish, French and German.
 STOP_WORDS = {
     "en": "the of and to in a is that for it as was with be by on not he his but at are this have from or had an they which one you were all her she there would their we him been has when who will no more if out so up said what its about than into them can only other",
@@ -235,6 +237,7 @@ def extract_pages(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noq
     passed over. Rows are independent: repeated rows, null ids and empty tables need no rule.
     """
 
+    small_batches(pages.sparkSession)
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
             text = [extract(x, rules) for x in pdf["html"]]

@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import U64, discard, hashes, local_labels, materialize, mix, n_buckets, shingle_sets
+from mirador.llm.common import U64, discard, hashes, local_labels, materialize, mix, n_buckets, shingle_sets, small_batches
 from mirador.llm.components import connected_components
 
 #: Order only: so many of the most frequent shingles are ranked behind all others. Any order gives the same result.
 HEAVY_RANKED = 32768
 #: A shingle is reported as heavy from so many distinct sets in one Arrow batch.
-HEAVY_IN_BATCH = 4
+HEAVY_IN_BATCH = 3
 #: Classes in one block of the trie join; larger candidate groups are joined block against block.
 BLOCK = 6000
 
@@ -250,6 +250,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     something with an id is linked to it. An empty table gives an empty result. Sets and shingles are compared by 64-bit
     hashes.
     """
+    small_batches(docs.sparkSession)
     base = docs.select("doc_id", "text")
     buckets = n_buckets(base)
     kind = base.schema["doc_id"].dataType.simpleString()

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import U64, mix
+from mirador.llm.common import U64, mix, small_batches
 
 #: Hashed n-gram features, and the n-gram lengths in characters.
 FEATURES = 1 << 16
@@ -162,6 +162,7 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def train_language_model(docs: DataFrame) -> LanguageModel:
     """Fits on docs (doc_id, text, lang): inverse document frequencies over all rows with a lang, weights on FIT_ROWS."""
+    small_batches(docs.sparkSession)
     labelled = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     counts = labelled.select("text").mapInArrow(_document_counts, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()  # FEATURES + 1 rows at most
     df = np.zeros(FEATURES + 1)

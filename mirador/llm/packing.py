@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import doc_chunks, text_buffer
+from mirador.llm.common import doc_chunks, small_batches, text_buffer
 
 MAX_LENGTH = 2048
 END_ID = 1
@@ -131,6 +131,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, most: int = MAX_LEN
     """
     if most & (most - 1) or most < 1:
         raise ValueError("most must be a power of two")
+    small_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     cut = docs.select("doc_id", "text").mapInArrow(_pack(path or tokenizer_path(), most), f"doc_id {kind}, start long, length long, ids_crc32 long, doc_tokens long")
     return cut.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import U64, doc_chunks, hash_words, mix, text_buffer
+from mirador.llm.common import U64, doc_chunks, hash_words, mix, small_batches, text_buffer
 
 #: Hash buckets of words and of character n-grams together, the vectors' length, and n-gram lengths in bytes.
 BUCKETS, DIMENSION, LENGTHS = 1 << 17, 12, (3, 4)
@@ -111,6 +111,7 @@ def score_quality(docs: DataFrame, model: QualityModel, least: float = 0.3) -> D
 
     Null and empty texts have no features and get the bias alone. Rows are independent; an empty table stays empty.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

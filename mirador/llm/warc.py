@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import materialize, new_path
+from mirador.llm.common import materialize, new_path, small_batches
 
 #: Frame magics: of data, of the dictionary's skippable frame, and an empty skippable frame.
 DATA, DICTIONARY, EMPTY = b"\x28\xb5\x2f\xfd", b"\x5d\x2a\x4d\x18", "P*M\x18\x00\x00\x00\x00"
@@ -136,6 +136,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     the largest. Control characters in a url are written as %XX; a null url has no target. An empty table gives
     archives without records.
     """
+    small_batches(pages.sparkSession)
     spark = pages.sparkSession
     payload = F.coalesce("html", F.lit("")).cast("binary")
     base = pages.select("page_id", "url", payload.alias("payload")).select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("size"))
