@@ -23,11 +23,13 @@ from mirador.llm.common import U64, discard, hashes, local_labels, materialize,
 from mirador.llm.components import connected_components
 
 #: Order only: so many of the most frequent shingles are ranked behind all others. Any order gives the same result.
-HEAVY_RANKED = 32768
-#: A shingle is reported as heavy from so many distinct sets in one Arrow batch.
-HEAVY_IN_BATCH = 3
+HEAVY_RANKED = 1 << 18
+#: Shingles are counted below this hash, within each task; prefixes seldom reach beyond it.
+COUNTED_BELOW = U64(3 << 60)
+#: A shingle is reported as heavy from so many distinct sets in one task.
+HEAVY_IN_TASK = 2
 #: Classes in one block of the trie join; larger candidate groups are joined block against block.
-BLOCK = 6000
+BLOCK = 3000
 
 
 def least_overlap(x, y, percent: int):
@@ -141,20 +143,30 @@ def _key(items: np.ndarray) -> int:
 
 def _signatures(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen, low, held, kind = set(), [], 0, pa.int64()
+        names = ["doc_id", "th", "n", "k", "token", "times"]
+
+        def heavy() -> pa.RecordBatch:
+            tokens, times = np.unique(np.concatenate(low), return_counts=True) if low else (np.zeros(0, U64), np.zeros(0, np.int64))
+            keep = times >= HEAVY_IN_TASK
+            none = lambda t: pa.nulls(int(keep.sum()), t)
+            return pa.RecordBatch.from_arrays([none(kind), none(pa.int64()), none(pa.int64()), none(pa.int64()), pa.array(tokens[keep].astype(np.int64)), pa.array(times[keep].astype(np.int64))], names)
+
         for batch in batches:
-            n, keys, seen, found = [], [], set(), []
+            n, keys, kind = [], [], batch["doc_id"].type
             for items in shingle_sets(batch["text"], size):
                 n.append(len(items))
                 keys.append(_key(items) if len(items) else None)
                 if len(items) and keys[-1] not in seen:
                     seen.add(keys[-1])
-                    found.append(items)
-            none = lambda t: pa.nulls(len(n), t)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(n, pa.int64()), pa.array(keys, pa.int64()), none(pa.int64()), none(pa.int64())], ["doc_id", "th", "n", "k", "token", "times"])
-            tokens, times = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, U64), np.zeros(0, np.int64))
-            heavy = times >= HEAVY_IN_BATCH
-            none = lambda t: pa.nulls(int(heavy.sum()), t)
-            yield pa.RecordBatch.from_arrays([none(batch["doc_id"].type), none(pa.int64()), none(pa.int64()), none(pa.int64()), pa.array(tokens[heavy].astype(np.int64)), pa.array(times[heavy].astype(np.int64))], ["doc_id", "th", "n", "k", "token", "times"])
+                    low.append(items[: int(np.searchsorted(items, COUNTED_BELOW))].copy())
+                    held += len(low[-1])
+            none = lambda t: pa.nulls(len(n), t)  # noqa: E731, B023
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(n, pa.int64()), pa.array(keys, pa.int64()), none(pa.int64()), none(pa.int64())], names)
+            if held > 8_000_000:  # 64 MB
+                yield heavy()
+                seen, low, held = set(), [], 0
+        yield heavy()
 
     return run
 
@@ -256,6 +268,7 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     kind = base.schema["doc_id"].dataType.simpleString()
     signed = materialize(base.select("doc_id", hashes().alias("th"), "text").mapInArrow(_signatures(size), f"doc_id {kind}, th long, n long, k long, token long, times long"), "signatures")
     rows = signed.where("n is not null").select("doc_id", "th", F.col("n").alias("n_shingles"), "k")
+    # at most HEAVY_RANKED rows
     heavy = signed.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(HEAVY_RANKED).toPandas()
     tokens = heavy["token"].to_numpy(np.int64).astype(U64)
     behind = U64(1 << 63) + (len(tokens) - np.arange(len(tokens))).astype(U64)
@@ -272,9 +285,9 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     mine, other = F.pmod("k", "blocks").cast("int"), F.col("other")
     met = (
         base.join(chosen, (hashes() == chosen.one_th) & base.doc_id.eqNullSafe(chosen.one_id))
-        .select("k", "comp", "text", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("k", "comp", "text", F.least("mine", other).alias("bi"), F.greatest("mine", other).alias("bj"))
-        .withColumn("place", F.pmod(F.xxhash64("comp", "bi", "bj"), F.lit(buckets)))
+        .select("k", "comp", "blocks", "text", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        .select("k", "comp", "blocks", "text", F.least("mine", other).alias("bi"), F.greatest("mine", other).alias("bj"))
+        .withColumn("place", F.when(F.col("blocks") > 1, F.xxhash64("comp", "bi", "bj")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(buckets))))
     )
     links = met.groupBy("place").applyInPandas(_verify(size, percent), "src long, dst long")
     roots = materialize(links.toDF("node", "root"), "links") if most <= 1 else connected_components(links)
