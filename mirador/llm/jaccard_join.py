@@ -30,6 +30,8 @@ COUNTED_BELOW = U64(3 << 60)
 HEAVY_IN_TASK = 2
 #: Classes in one block of the trie join; larger candidate groups are joined block against block.
 BLOCK = 3000
+#: Candidate classes are broadcast to the scan of the texts up to this many (about 40 bytes each), beyond joined by shuffle.
+BROADCAST_CLASSES = 1_000_000
 
 
 def least_overlap(x, y, percent: int):
@@ -281,16 +283,17 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     count = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
     chosen = groups.join(count, "root").join(classes, groups.node == classes.k).select("k", F.col("root").alias("comp"), "blocks", F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th"))
     chosen = materialize(chosen, "chosen")
-    most = chosen.agg(F.max("blocks")).first()[0] or 0
+    most, many = chosen.agg(F.max("blocks"), F.count("*")).first()
+    asked = F.broadcast(chosen) if many <= BROADCAST_CLASSES else chosen
     mine, other = F.pmod("k", "blocks").cast("int"), F.col("other")
     met = (
-        base.join(chosen, (hashes() == chosen.one_th) & base.doc_id.eqNullSafe(chosen.one_id))
+        base.join(asked, (hashes() == F.col("one_th")) & base.doc_id.eqNullSafe(F.col("one_id")))
         .select("k", "comp", "blocks", "text", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
         .select("k", "comp", "blocks", "text", F.least("mine", other).alias("bi"), F.greatest("mine", other).alias("bj"))
         .withColumn("place", F.when(F.col("blocks") > 1, F.xxhash64("comp", "bi", "bj")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(buckets))))
     )
     links = met.groupBy("place").applyInPandas(_verify(size, percent), "src long, dst long")
-    roots = materialize(links.toDF("node", "root"), "links") if most <= 1 else connected_components(links)
+    roots = materialize(links.toDF("node", "root"), "links") if (most or 0) <= 1 else connected_components(links)
     where = classes.join(roots, classes.k == roots.node, "left").select("k", "first", F.coalesce("root", "k").alias("root"))
     least = where.groupBy("root").agg(F.min("first").alias("component_id"))
     of = materialize(where.join(least, "root").select("k", "component_id"), "components")

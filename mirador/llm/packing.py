@@ -5,8 +5,10 @@ others of its length, so no sequence crosses documents and none needs padding.""
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -17,8 +19,8 @@ from mirador.llm.common import doc_chunks, small_batches, text_buffer
 
 MAX_LENGTH = 2048
 END_ID = 1
-#: Words whose ids a worker remembers.
-REMEMBERED = 400_000
+#: Words, and runs that words are made of, that a worker remembers.
+WORDS, RUNS = 500_000, 1_200_000
 _SPACES = bytes([32, *range(9, 14)])
 _CODERS: dict[str, "WordCoder"] = {}
 
@@ -29,9 +31,16 @@ def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+#: Letters followed by signs: the tokenizer cuts between the two, and its lower-casing is str.lower() for these letters.
+_SIMPLE = re.compile(r"([A-Za-z\u00C0-\u00D6\u00D8-\u00F6\u00F8-\u00FF]*)([!-&(-/:-@\[-`{-~]*)")
+
+
 class WordCoder:
-    """Ids of texts, word by word: this tokenizer drops white space and never joins across it, so each distinct word is
-    encoded once. Words are kept by number; their ids lie in one flat array."""
+    """Ids of texts by way of their distinct words and of the runs these are made of.
+
+    The tokenizer drops white space and never joins across it, and it lower-cases, so a word of letters and then signs is
+    two runs, shared by all words that have them; any other word is one run. Each run is encoded once.
+    """
 
     def __init__(self, path: str):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -41,25 +50,41 @@ class WordCoder:
         self.clear()
 
     def clear(self) -> None:
-        self.number: dict[bytes, int] = {}
-        self.flat, self.at, self.size = [], [], []
-        self.filled = 0
+        self.word: dict[bytes, int] = {}
+        self.runs_of = np.zeros((0, 2), np.int64)
+        self.run: dict[str, int] = {"": 0}
+        self.flat, self.at, self.size = np.zeros(0, np.uint32), np.zeros(1, np.int64), np.zeros(1, np.int64)
 
     def learn(self, words: set[bytes]) -> None:
-        fresh = [w for w in words if w not in self.number]
-        if len(self.number) + len(fresh) > REMEMBERED:
+        fresh = [w for w in words if w not in self.word]
+        if len(self.run) + 2 * len(fresh) > RUNS:
             self.clear()
             fresh = list(words)
-        for k in range(0, len(fresh), 20_000):
-            part = fresh[k : k + 20_000]
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)]
-            sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-            self.number.update(zip(part, range(len(self.number), len(self.number) + len(part)), strict=True))
-            self.at.append(self.filled + np.cumsum(sizes) - sizes)
-            self.size.append(sizes)
-            self.flat.append(np.fromiter((x for y in ids for x in y), np.uint32, int(sizes.sum())))
-            self.filled += int(sizes.sum())
-        self.flat, self.at, self.size = ([np.concatenate(x)] if x else [] for x in (self.flat, self.at, self.size))
+        elif len(self.word) + len(fresh) > WORDS:
+            self.word, self.runs_of = {}, np.zeros((0, 2), np.int64)
+            fresh = list(words)
+        if not fresh:
+            return
+        run, before, pairs = self.run, len(self.run), []
+        for w in fresh:
+            text = w.decode("utf-8", "replace")
+            m = _SIMPLE.fullmatch(text)
+            if m:
+                pairs.append(run.setdefault(m[1].lower(), len(run)))
+                pairs.append(run.setdefault(m[2], len(run)))
+            else:
+                pairs.append(run.setdefault("\0" + text, len(run)))
+                pairs.append(0)
+        self.word.update(zip(fresh, range(len(self.word), len(self.word) + len(fresh)), strict=True))
+        self.runs_of = np.concatenate((self.runs_of, np.array(pairs, np.int64).reshape(-1, 2)))
+        new = list(islice(run, before, None))
+        flats, sizes = [self.flat], [self.size]
+        for k in range(0, len(new), 20_000):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.removeprefix("\0") for x in new[k : k + 20_000]], add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+            flats.append(np.fromiter((x for y in ids for x in y), np.uint32, int(sizes[-1].sum())))
+        self.flat, self.size = np.concatenate(flats), np.concatenate(sizes)
+        self.at = np.cumsum(self.size) - self.size
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in turn, and the number of ids of each text."""
@@ -68,12 +93,14 @@ class WordCoder:
         if not words:
             return np.zeros(0, np.uint32), np.zeros(len(texts), np.int64)
         self.learn(set(words))
-        k = np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
-        size, at = self.size[0][k], self.at[0][k]
+        pairs = self.runs_of[np.fromiter(map(self.word.__getitem__, words), np.int64, len(words))]
+        of_word = self.size[pairs].sum(1)
+        k = pairs.ravel()
+        k = k[self.size[k] > 0]
+        size = self.size[k]
         ends = np.cumsum(size)
-        ids = self.flat[0][np.arange(int(ends[-1])) - np.repeat(ends - size, size) + np.repeat(at, size)]
-        last = np.cumsum([len(x) for x in split])
-        total = np.concatenate(([0], ends))[last]
+        ids = self.flat[np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(self.at[k] - ends + size, size)]
+        total = np.concatenate(([0], np.cumsum(of_word)))[np.cumsum([len(x) for x in split])]
         return ids, np.diff(total, prepend=0)
 
 
