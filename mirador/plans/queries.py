@@ -1 +1,212 @@
+"""Queries over the derived tables, each with its SQL."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from mirador.functions import arrays, text
+from mirador.operators import images, metrics, outputs, pairs, prepare, prompts, variants
+from mirador.plans import fixtures as fx
+
 QUERIES, ORACLE_SQL = {}, {}
+P, Q = fx.PREDICTIONS, fx.QA
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = fx.qa(spark, sf_dir).withColumnsRenamed({"split_full": "split", "qid": "sample_id"}).drop("split_partial")
+    return prepare.normalize_rows(raw).drop("raw_metadata")
+
+
+_RATES = {
+    "accuracy_at_answer": "count_if(decision = 'answer' AND is_correct)::DOUBLE / nullif(count_if(decision = 'answer'), 0)",
+    "attack_success_rate": "count_if(ground_truth_should_abstain AND decision = 'answer')::DOUBLE / nullif(count_if(ground_truth_should_abstain), 0)",
+    "false_definite_rate": "count_if(decision = 'answer' AND NOT is_correct)::DOUBLE / nullif(count_if(decision = 'answer'), 0)",
+    "coverage": "count_if(decision = 'answer')::DOUBLE / nullif(count(*), 0)",
+    "abstention_success_rate": "count_if(ground_truth_should_abstain AND decision = 'abstain')::DOUBLE / nullif(count_if(ground_truth_should_abstain), 0)",
+    "false_refusal_rate": "count_if(NOT ground_truth_should_abstain AND decision = 'abstain')::DOUBLE / nullif(count_if(NOT ground_truth_should_abstain), 0)",
+    "selective_risk": "count_if(decision = 'answer' AND raw_confidence >= 0.5 AND NOT is_correct)::DOUBLE / nullif(count_if(decision = 'answer' AND raw_confidence >= 0.5), 0)",
+}
+_ECE = "SELECT round(coalesce(sum(abs(conf - acc) * n) / sum(n), 0), 9) FROM (SELECT len(list_filter([0.0, 0.1, 0.2, 3 * 0.1::DOUBLE, 0.4, 0.5, 6 * 0.1::DOUBLE, 7 * 0.1::DOUBLE, 0.8, 0.9]::DOUBLE[], lambda e: e <= c)) AS b, avg(c) AS conf, avg(ok) AS acc, count(*) AS n FROM (SELECT raw_confidence::FLOAT::DOUBLE AS c, is_correct::INT::DOUBLE AS ok FROM p) GROUP BY 1)"
+
+
+@query(f"WITH {P} SELECT " + ", ".join(f"round(coalesce({v}, 0), 9) AS {k}" for k, v in _RATES.items()) + " FROM p")
+def rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rates of the metrics layer, those of the report and those only declared, in one pass."""
+    m = metrics
+    made = [m.accuracy_at_answer(), m.attack_success_rate(), m.false_definite_rate(), m.coverage(), m.abstention_success_rate(), m.false_refusal_rate(), m.selective_risk(0.5)]
+    return fx.predictions(spark, sf_dir).agg(*[F.round(c, 9).alias(k) for c, k in zip(made, _RATES, strict=True)])
+
+
+@query(f'WITH {P} SELECT round({_RATES["accuracy_at_answer"]}, 9) AS "Accuracy@Answer", round({_RATES["attack_success_rate"]}, 9) AS "ASR", round({_RATES["false_definite_rate"]}, 9) AS "FDR", ({_ECE}) AS "ECE", round({_RATES["coverage"]}, 9) AS "Coverage" FROM p')
+def metrics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five metrics of the report."""
+    found = metrics.all_metrics(fx.predictions(spark, sf_dir))
+    return found.select(*[F.round(F.col(f"`{c}`"), 9).alias(c) for c in found.columns])
+
+
+@query(f"WITH {P} SELECT CAST(b AS INT) AS bin, count(*) AS n, round(avg(c), 9) AS confidence, round(avg(ok), 9) AS accuracy FROM (SELECT c, ok, len(list_filter([0.0, 0.1, 0.2, 3 * 0.1::DOUBLE, 0.4, 0.5, 6 * 0.1::DOUBLE, 7 * 0.1::DOUBLE, 0.8, 0.9]::DOUBLE[], lambda e: e < c)) - 1 AS b FROM (SELECT raw_confidence::FLOAT::DOUBLE AS c, is_correct::INT::DOUBLE AS ok FROM p) WHERE c > 0 AND c <= 1) GROUP BY 1")
+def reliability_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.reliability_bins(fx.predictions(spark, sf_dir)).select("bin", "n", F.round("confidence", 9).alias("confidence"), F.round("accuracy", 9).alias("accuracy"))
+
+
+@query(f"WITH {P} SELECT count_if(decision = 'answer')::BIGINT AS answer, count_if(decision = 'abstain')::BIGINT AS abstain FROM p")
+def decision_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.decision_counts(fx.predictions(spark, sf_dir))
+
+
+@query(f"WITH {P}, g AS (SELECT raw_confidence::FLOAT AS c, count(*) AS n, count_if(NOT is_correct) AS bad FROM p GROUP BY 1), w AS (SELECT n, bad, coalesce(sum(n) OVER s, 0) AS n0, coalesce(sum(bad) OVER s, 0) AS b0 FROM g WINDOW s AS (ORDER BY c DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), i AS (SELECT n, bad, n0, b0, unnest(generate_series(1, n)) AS i FROM w) SELECT round(avg((b0 + bad * i / n::DOUBLE) / (n0 + i)), 9) AS \"AURC\" FROM i")
+def risk_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return metrics.risk_coverage(fx.predictions(spark, sf_dir)).select(F.round("AURC", 9).alias("AURC"))
+
+
+@query()
+def calibration_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Isotonic calibration and its summary (tested against a brute-force fit)."""
+    return metrics.fit_calibration(fx.predictions(spark, sf_dir))
+
+
+@query()
+def calibration_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = fx.predictions(spark, sf_dir)
+    return metrics.apply_calibration(rows, metrics.fit_calibration(rows)).select("sample_id", "raw_confidence", F.round("calibrated_confidence", 9).alias("calibrated_confidence"))
+
+
+@query(f"WITH {Q} SELECT sample_id, image_path, question, answer, split, CAST(NULL AS VARCHAR) AS answer_type, CAST(NULL AS VARCHAR) AS phrase_type FROM ix")
+def index_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.index_records(index(spark, sf_dir))
+
+
+@query(f"WITH {Q} SELECT split, count(*) AS n FROM ix GROUP BY split")
+def split_explicit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prepare.split_counts(prepare.assign_splits(index(spark, sf_dir)))
+
+
+@query(f"""WITH {Q}, n AS (SELECT count(*) AS n, greatest(1, round_even(count(*) * 0.2, 0))::BIGINT AS t FROM ix), s AS (SELECT t, round_even((n - t) * 0.1, 0)::BIGINT AS v FROM n),
+r AS (SELECT sample_id, row_number() OVER (ORDER BY md5(concat_ws('|', 42, sample_id, pos)), pos) AS k FROM ix)
+SELECT sample_id, CASE WHEN k <= t THEN 'test' WHEN k <= t + v THEN 'val' ELSE 'train' END AS split FROM r, s""")
+def split_seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = index(spark, sf_dir).withColumn("split", F.when(F.col("pos") > 0, F.col("split")))
+    return prepare.assign_splits(rows).select("sample_id", "split")
+
+
+def _u(*parts: str) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT"
+
+
+def _pick(values: list[str], *parts: str) -> str:
+    return f"[{', '.join(repr(v) for v in values)}][{_u(*parts)} % {len(values)} + 1]"
+
+
+_SLOTS = variants.severity_slots({"low": 0.25, "medium": 0.5, "high": 0.25})
+_K = ("42", "sample_id", "variant_idx")
+_FAN = f"""v0 AS (SELECT *, unnest(generate_series(0, 4)) AS variant_idx FROM ix), v1 AS (SELECT *, {_u(*_K, "'gate'")} / 4294967296.0 < 0.25 AS mm FROM v0),
+v AS (SELECT sample_id, question, image_path, variant_idx, variant_idx > 0 AS is_counterfactual, CASE WHEN variant_idx = 0 THEN 'none' WHEN mm THEN {_pick(variants.MISMATCHES, *_K, "'mismatch'")} ELSE {_pick(variants.DEGRADATIONS, *_K, "'type'")} END AS degradation_type,
+CASE WHEN variant_idx = 0 THEN 'none' WHEN mm THEN 'high' ELSE {_pick(_SLOTS, *_K, "'severity'")} END AS severity FROM v1)"""
+
+
+def _fan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.fan_out(index(spark, sf_dir), weights={"low": 0.25, "medium": 0.5, "high": 0.25})
+
+
+@query(f"WITH {Q}, {_FAN} SELECT sample_id, CAST(variant_idx AS INT) AS variant_idx, is_counterfactual, degradation_type, severity FROM v")
+def variants_fan_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _fan(spark, sf_dir).select("sample_id", "variant_idx", "is_counterfactual", "degradation_type", "severity")
+
+
+@query(f"WITH {Q} SELECT sample_id, {_pick(variants.STRESS_TYPES, '42', 'sample_id', chr(39) + 'stress' + chr(39))} AS degradation_type, 'high' AS severity FROM ix")
+def variants_stress(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.stress_variants(index(spark, sf_dir)).select("sample_id", "degradation_type", "severity")
+
+
+@query()
+def variants_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mismatch joins (tested for their rules: numbering is by hash range)."""
+    rows = index(spark, sf_dir)
+    return variants.mismatch(_fan(spark, sf_dir), rows).select("sample_id", "variant_idx", "degradation_type", "question", "image_path", "partner_id")
+
+
+@query(f"WITH {Q}, {_FAN} SELECT sample_id || '__' || degradation_type || '_' || severity AS sample_id, sample_id || '_' || degradation_type || '_' || severity || '_' || variant_idx || '.png' AS file_name FROM v WHERE variant_idx > 0")
+def variants_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return variants.degraded_names(_fan(spark, sf_dir).where("variant_idx > 0")).select("sample_id", "file_name")
+
+
+_O = fx.outputs_sql("o")
+_BROKEN = """(CASE WHEN form = 'unparsed' THEN 1 WHEN form = 'missing' THEN 1 ELSE blank::INT + (raw_confidence > 1)::INT + (answer = '')::INT + (decision = 'answer' AND abstain_type <> 'none')::INT + (decision = 'abstain' AND abstain_type = 'none')::INT + (decision = 'answer' AND hint)::INT + (decision = 'abstain' AND answer = 'Yes')::INT END)"""
+
+
+def _parsed(spark: SparkSession, sf_dir: str, shift: int = 0) -> DataFrame:
+    return outputs.parse_and_validate(fx.outputs(spark, sf_dir, shift), "raw_text")
+
+
+@query(f"WITH {_O} SELECT doc_id, CASE WHEN form = 'unparsed' THEN 'unparsed' WHEN {_BROKEN} > 0 THEN 'invalid' ELSE 'ok' END AS status, CAST({_BROKEN} AS INT) AS n_errors, CASE WHEN form <> 'unparsed' THEN decision END AS decision, CASE WHEN form <> 'unparsed' THEN round(raw_confidence, 4)::DOUBLE END AS raw_confidence FROM o")
+def outputs_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _parsed(spark, sf_dir).select("doc_id", F.col("output_status").alias("status"), F.size("output_errors").alias("n_errors"), "output.decision", F.round("output.raw_confidence", 4).alias("raw_confidence"))
+
+
+@query(f"WITH {_O} SELECT round(avg((form <> 'unparsed' AND {_BROKEN} = 0)::INT), 9) AS json_validity, round(avg((form = 'full' AND ((decision = 'answer' AND abstain_type <> 'none') OR (decision = 'abstain' AND abstain_type = 'none') OR (decision = 'answer' AND hint) OR (decision = 'abstain' AND answer = 'Yes')))::INT), 9) AS consistency_error FROM o")
+def output_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON validity and consistency error."""
+    rules = list(outputs.rule_errors("output").values())[outputs.CONFLICTS]
+    conflict = F.coalesce(rules[0] | rules[1] | rules[2] | rules[3], F.lit(False)) & (F.size(F.coalesce("output.missing", F.array().cast("array<string>"))) == 0) & (F.col("output_status") != "unparsed")
+    return _parsed(spark, sf_dir).agg(F.round(F.avg((F.col("output_status") == "ok").cast("int")), 9).alias("json_validity"), F.round(F.avg(conflict.cast("int")), 9).alias("consistency_error"))
+
+
+@query(f"WITH {_O}, {fx.outputs_sql('s', 1)} SELECT o.doc_id, o.decision AS teacher_decision, CASE WHEN o.form <> 'missing' THEN o.risk_level END AS teacher_risk, s.decision AS student_decision FROM o JOIN s USING (doc_id) WHERE o.form <> 'unparsed' AND s.form <> 'unparsed' AND s.decision = 'answer' AND (o.decision = 'abstain' OR (o.form <> 'missing' AND o.risk_level = 'high'))")
+def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, s = _parsed(spark, sf_dir).select("doc_id", F.col("output").alias("teacher_output")), _parsed(spark, sf_dir, 1).select("doc_id", F.col("output").alias("student_output"))
+    kept = t.join(s, "doc_id").where(pairs.should_keep_pair("teacher_output", "student_output"))
+    return kept.select("doc_id", F.col("teacher_output.decision").alias("teacher_decision"), F.col("teacher_output.risk_level").alias("teacher_risk"), F.col("student_output.decision").alias("student_decision"))
+
+
+@query(f"WITH {Q}, {_FAN} SELECT sample_id, CAST(variant_idx AS INT) AS variant_idx, CASE WHEN degradation_type IN ({', '.join(repr(x) for x in variants.MISMATCHES)}) THEN '{prompts.GUIDANCE['mismatch']}' WHEN degradation_type IN ({', '.join(repr(x) for x in prompts.REGION_TYPES)}) THEN '{prompts.GUIDANCE['region']}' WHEN is_counterfactual THEN '{prompts.GUIDANCE['degraded']}' ELSE '{prompts.GUIDANCE['normal']}' END AS guidance, 2 AS n_messages FROM v")
+def teacher_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = prompts.teacher_messages(F.col("question"), text.file_uri(F.col("image_path")), F.col("is_counterfactual"), F.col("degradation_type"), F.col("severity"))
+    return _fan(spark, sf_dir).select("sample_id", "variant_idx", prompts.guidance(F.col("is_counterfactual"), F.col("degradation_type")).alias("guidance"), F.size(m).alias("n_messages"))
+
+
+@query("SELECT vec_id, CAST(len(list_filter(embedding, lambda v, i: NOT ((i - 1) // 8 IN (3, 4) AND (i - 1) % 8 IN (3, 4)) AND v <> 0)) AS INT) AS n_left FROM embeddings")
+def center_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components left by the centre mask on 8 x 8 images."""
+    masked = images.center_mask_array(F.col("embedding"), F.lit(8), images.strength("center_mask", "medium"))
+    return fx.table(spark, sf_dir, "embeddings").select("vec_id", F.size(F.filter(masked, lambda v: v != 0)).alias("n_left"))
+
+
+@query("SELECT vec_id, round(embedding[1]::DOUBLE - ln(list_sum(list_transform(embedding, lambda v: exp(v::DOUBLE)))), 6) AS logprob FROM embeddings")
+def log_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fx.table(spark, sf_dir, "embeddings").select("vec_id", F.round(F.get("embedding", F.lit(0)).cast("double") - arrays.log_sum_exp(F.col("embedding")), 6).alias("logprob"))
+
+
+@query("SELECT round(avg(greatest(-x, 0) + ln(1 + exp(-abs(x)))), 9) AS loss FROM (SELECT 0.1 * ((embedding[1]::DOUBLE - embedding[2]::DOUBLE) - (embedding[3]::DOUBLE - embedding[4]::DOUBLE)) AS x FROM embeddings)")
+def preference_loss(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = [F.get("embedding", F.lit(i)).cast("double") for i in range(4)]
+    return fx.table(spark, sf_dir, "embeddings").agg(F.round(F.avg(arrays.preference_loss(*e, 0.1)), 9).alias("loss"))
+
+
+@query("SELECT l_orderkey, CAST(count_if(l_linenumber > 2 AND l_linenumber <> 7) AS INT) AS n_labels FROM lineitem GROUP BY l_orderkey")
+def label_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Label masks of token arrays (here: line numbers), prompts of two tokens, 7 as the pad."""
+    rows = fx.table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_linenumber")).alias("ids"))
+    labels = arrays.label_mask(F.col("ids"), F.size(F.filter("ids", lambda v: v <= 2)), F.lit(7))
+    return rows.select("l_orderkey", F.size(F.filter(labels, lambda v: v != arrays.IGNORED)).alias("n_labels"))
+
+
+@query()
+def image_degradations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All eight image operators on 8 x 8 images from vectors (tested in numpy)."""
+    e = fx.table(spark, sf_dir, "embeddings").where(F.size("embedding") == 64)
+    grey = F.transform("embedding", lambda v: F.lpad(F.hex(F.least(F.greatest(F.round((v + 1) * 127), F.lit(0)), F.lit(255)).cast("int")), 2, "0"))
+    data = F.unhex(F.array_join(F.transform(grey, lambda x: F.repeat(x, F.lit(3))), ""))
+    rows = e.select("vec_id", data.alias("data"), F.explode(F.array(*[F.lit(x) for x in variants.DEGRADATIONS])).alias("degradation_type"))
+    out = images.degrade_column(F.col("data"), F.lit(8), F.lit(8), F.col("degradation_type"), F.lit("medium"), F.col("vec_id").cast("string"))
+    return rows.select("vec_id", "degradation_type", F.octet_length(out).alias("n_bytes"))
