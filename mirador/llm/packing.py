@@ -20,7 +20,7 @@ from mirador.llm.common import doc_chunks, small_batches, text_buffer
 MAX_LENGTH = 2048
 END_ID = 1
 #: Words, and runs that words are made of, that a worker remembers.
-WORDS, RUNS = 500_000, 1_200_000
+WORDS, RUNS = 1_400_000, 1_400_000
 _SPACES = bytes([32, *range(9, 14)])
 _CODERS: dict[str, "WordCoder"] = {}
 
@@ -39,7 +39,8 @@ class WordCoder:
     """Ids of texts by way of their distinct words and of the runs these are made of.
 
     The tokenizer drops white space and never joins across it, and it lower-cases, so a word of letters and then signs is
-    two runs, shared by all words that have them; any other word is one run. Each run is encoded once.
+    two runs, shared by all words that have them. Each such run is one piece to the tokenizer, whose last id ends a word, so
+    many are encoded as one text. Any other word is one run, encoded alone. Each run is encoded once.
     """
 
     def __init__(self, path: str):
@@ -47,6 +48,9 @@ class WordCoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # ids that end a run
+        self.ends[[i for x, i in vocabulary.items() if x.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -80,12 +84,28 @@ class WordCoder:
         new = list(islice(run, before, None))
         flats, sizes = [self.flat], [self.size]
         for k in range(0, len(new), 20_000):
-            ids = [e.ids for e in self.tokenizer.encode_batch_fast([x.removeprefix("\0") for x in new[k : k + 20_000]], add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, ids), np.int64, len(ids)))
-            flats.append(np.fromiter((x for y in ids for x in y), np.uint32, int(sizes[-1].sum())))
+            part = new[k : k + 20_000]
+            whole = [i for i, x in enumerate(part) if x[0] == "\0"]
+            size = np.zeros(len(part), np.int64)
+            plain = self.ids(" ".join(x for x in part if x[0] != "\0"))
+            last = np.flatnonzero(self.ends[plain])
+            alone = np.ones(len(part), bool)
+            alone[whole] = False
+            size[alone] = np.diff(last, prepend=-1)
+            others = [self.ids(part[i][1:]) for i in whole]
+            size[whole] = [len(x) for x in others]
+            flat, begin = np.empty(int(size.sum()), np.uint32), np.cumsum(size) - size
+            flat[np.repeat(alone, size)] = plain
+            for i, x in zip(whole, others, strict=True):
+                flat[begin[i] : begin[i] + len(x)] = x
+            flats.append(flat)
+            sizes.append(size)
         self.flat, self.size = np.concatenate(flats), np.concatenate(sizes)
         self.at = np.cumsum(self.size) - self.size
 
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in turn, and the number of ids of each text."""
         split = [x.translate(_TO_SPACE).split() for x in texts]
@@ -131,7 +151,7 @@ def _pack(path: str, most: int):
         for batch in batches:
             data, offsets = text_buffer(batch["text"])
             view = memoryview(data)
-            for i, j in doc_chunks(offsets, 2 << 20):
+            for i, j in doc_chunks(offsets, 4 << 20):
                 texts = [bytes(view[offsets[k] : offsets[k + 1]]) for k in range(i, j)]
                 ids, counts = coder.encode(texts)
                 ids = np.insert(ids, np.cumsum(counts), np.uint32(END_ID))
