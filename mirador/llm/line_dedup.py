@@ -8,10 +8,10 @@ Of each pair of similar lines, the later in the order of doc_id and line goes.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mirador.llm.common import ascii_lower, discard, hashes, materialize
+from mirador.llm.common import ascii_lower, hashes, materialize
 
 #: Entries of the table of counts.
 SLOTS = 1 << 16
@@ -42,45 +42,62 @@ def _rarity_table(lines: DataFrame, size: int) -> Column:
     return F.expr(f"cast(split('{','.join(power)}', ',') as array<int>)")
 
 
-def similar_lines(lines: DataFrame, size: int, percent: int) -> DataFrame:
-    """(a, b): lids of all pairs of different lines whose token sets reach percent."""
-    table = _rarity_table(lines, size)
-    ranked = _tokens(lines.select("lid", "h"), size).withColumn("table", table)
+def _shared_postings(lines: DataFrame, size: int, percent: int) -> DataFrame:
+    """token, lid, n, pos of the prefix tokens that different lines share; n: size of the set, pos: place in it, from 0."""
+    ranked = _tokens(lines.select("lid", "h"), size).withColumn("table", _rarity_table(lines, size))
     keys = F.expr(f"sort_array(transform(tokens, t -> shiftleft(cast(element_at(table, cast(pmod(t, {SLOTS}) as int) + 1) as bigint), 57) | shiftrightunsigned(t, 7)))")
-    ranked = ranked.select("lid", keys.alias("keys")).select("lid", F.size("keys").alias("n"), F.slice("keys", F.lit(1), F.size("keys") - F.ceil(F.size("keys") * percent / 100.0).cast("int") + 1).alias("prefix"))
-    posted = ranked.select("lid", "n", F.posexplode_outer("prefix").alias("pos", "token")).distinct()
-    a, b = posted.select("token", F.col("lid").alias("a"), F.col("n").alias("m"), F.col("pos").alias("p")), posted.select("token", F.col("lid").alias("b"), "n", F.col("pos").alias("q"))
-    shorter = (F.col("m") < F.col("n")) | ((F.col("m") == F.col("n")) & (F.col("a") < F.col("b")))
-    fits = F.col("m") * 100 >= F.col("n") * percent
-    # 100 + percent times the overlap that is still possible, against the least one
-    reach = (F.least(F.col("m") - F.col("p"), F.col("n") - F.col("q"))) * (100 + percent) >= (F.col("m") + F.col("n")) * percent
-    index = F.col("p") * (100 + percent) <= F.col("m") * (100 - percent)
-    pairs = materialize(a.join(b, "token").where((F.col("a") != F.col("b")) & shorter & fits & reach & index).select("a", "b").distinct(), "line-pairs")
-    ids = pairs.select(F.col("a").alias("lid")).union(pairs.select("b")).distinct()
-    ids = materialize(ids, "line-ids")
+    prefix = F.slice("keys", F.lit(1), F.size("keys") - F.ceil(F.size("keys") * percent / 100.0).cast("int") + 1)
+    posted = ranked.select("lid", keys.alias("keys")).select("lid", F.size("keys").alias("n"), prefix.alias("prefix")).select("lid", "n", F.posexplode_outer("prefix").alias("pos", "token"))
+    once = posted.groupBy("token", "lid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))  # copies of a line meet before the shuffle
+    w = Window.partitionBy("token")
+    met = once.withColumns({"lo": F.min("lid").over(w), "hi": F.max("lid").over(w)}).where("lo <> hi")
+    return materialize(met.select("token", "lid", "n", "pos"), "line-postings")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The lids of pairs (lid, other, and n, pos of both) that pass the filters and whose sets reach percent."""
+    short, long_ = F.least("n", "m"), F.greatest("n", "m")
+    index = F.when(F.col("n") < F.col("m"), F.col("pos")).when(F.col("n") > F.col("m"), F.col("q")).otherwise(F.least("pos", "q"))
+    reach = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("q")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
+    fits = (short * 100 >= long_ * percent) & reach & (index * (100 + percent) <= short * (100 - percent))
+    asked = pairs.where(fits).select("lid", "other").distinct()
+    both = asked.join(sets.select("lid", F.col("tokens").alias("x")), "lid").join(sets.select(F.col("lid").alias("other"), F.col("tokens").alias("y")), "other")
+    return both.where(F.size(F.array_intersect("x", "y")) * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("lid").distinct()
+
+
+def lines_with_earlier_match(lines: DataFrame, first: DataFrame, size: int, percent: int) -> DataFrame:
+    """lid of every line similar to another one whose first place is earlier. first: (lid, first).
+
+    Round one compares each line with the earliest line and the one before it among those it shares a token with, so a
+    group gives two pairs a member. Only lines without a match then meet all the earlier ones they share a token with."""
+    posted = _shared_postings(lines, size, percent)
+    ids = materialize(posted.select("lid").distinct(), "line-ids")
     few = ids.count() <= BROADCAST_LINES
     sets = _tokens(lines.select("lid", "h").join(F.broadcast(ids) if few else ids, "lid", "left_semi"), size).groupBy("lid").agg(F.first("tokens").alias("tokens"))
     sets = materialize(sets, "line-sets")
-    both = pairs.join(sets.select(F.col("lid").alias("a"), F.col("tokens").alias("x")), "a").join(sets.select(F.col("lid").alias("b"), F.col("tokens").alias("y")), "b")
-    shared = F.size(F.array_intersect("x", "y"))
-    near = materialize(both.where(shared * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("a", "b"), "line-near")
-    discard(pairs, ids, sets)
-    return near
+    placed = materialize(posted.join(first.select("lid", "first"), "lid"), "line-placed")
+    me = F.struct("first", "lid", "n", "pos")
+    w = Window.partitionBy("token").orderBy("first")
+    beside = placed.withColumns({"o1": F.first(me).over(w), "o2": F.lag(me).over(w)})
+    met = beside.select("token", "lid", "n", "pos", F.explode(F.array("o1", "o2")).alias("o")).where("o is not null and o.lid <> lid")
+    pair = ["lid", "n", "pos", F.col("o.lid").alias("other"), F.col("o.n").alias("m"), F.col("o.pos").alias("q")]
+    matched = materialize(_verified(met.select(*pair), sets, percent), "line-matched")
+    open_ = placed.join(matched, "lid", "left_anti")
+    others = placed.select("token", F.col("lid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("first").alias("of"))
+    rest = open_.join(others, "token").where(F.col("of") < F.col("first")).select("lid", "n", "pos", "other", "m", "q")
+    return materialize(matched.union(_verified(rest, sets, percent)), "line-near")
 
 
 def removed_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 5) -> DataFrame:
     """(doc_id, th, gone): for each document with such lines the numbers, from 0, of the lines that match an earlier one."""
     lines = _lines(docs.select("doc_id", "text"), least_words, size)
-    near = similar_lines(lines, size, percent)
     at = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("line_no").alias("l"))
     light = materialize(lines.select("lid", "doc_id", "th", "line_no"), "lines")
-    first = light.groupBy("lid").agg(F.min(at).alias("first"), F.count("*").alias("n"))
-    first = materialize(first, "line-first")
-    links = near.union(near.select(F.col("b"), F.col("a")))
-    earlier = links.join(first.select(F.col("lid").alias("b"), "first"), "b").groupBy("a").agg(F.min("first").alias("other"))
-    bound = first.join(earlier, first.lid == earlier.a, "left").where((F.col("n") > 1) | F.col("a").isNotNull()).select("lid", F.least("first", F.coalesce("other", "first")).alias("bound"))
+    first = materialize(light.groupBy("lid").agg(F.min(at).alias("first"), F.count("*").alias("n")), "line-first")
+    near = lines_with_earlier_match(lines, first, size, percent).withColumn("near", F.lit(True))
+    bound = first.join(near, "lid", "left").where((F.col("n") > 1) | F.col("near")).select("lid", "first", F.coalesce("near", F.lit(False)).alias("near"))
     bound = materialize(bound, "line-bound")
-    gone = light.join(bound, "lid").where(at > F.col("bound")).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    gone = light.join(bound, "lid").where(F.col("near") | (at > F.col("first"))).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
     return materialize(gone, "lines-gone")
 
 
