@@ -270,8 +270,14 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     kind = base.schema["doc_id"].dataType.simpleString()
     signed = materialize(base.select("doc_id", hashes().alias("th"), "text").mapInArrow(_signatures(size), f"doc_id {kind}, th long, n long, k long, token long, times long"), "signatures")
     rows = signed.where("n is not null").select("doc_id", "th", F.col("n").alias("n_shingles"), "k")
-    # at most HEAVY_RANKED rows
-    heavy = signed.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")).orderBy(F.desc("times"), "token").limit(HEAVY_RANKED).toPandas()
+    counts = materialize(signed.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")), "heavy")
+    room, least = HEAVY_RANKED, 1 << 62
+    for r in counts.groupBy("times").agg(F.count("*").alias("n")).orderBy(F.desc("times")).collect():  # a row per distinct count
+        room -= r["n"]
+        if room < 0:
+            break
+        least = r["times"]
+    heavy = counts.where(F.col("times") >= least).toPandas().sort_values(["times", "token"], ascending=[False, True])  # at most HEAVY_RANKED rows
     tokens = heavy["token"].to_numpy(np.int64).astype(U64)
     behind = U64(1 << 63) + (len(tokens) - np.arange(len(tokens))).astype(U64)
     order = np.argsort(tokens)

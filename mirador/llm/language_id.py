@@ -168,9 +168,11 @@ def train_language_model(docs: DataFrame) -> LanguageModel:
     df = np.zeros(FEATURES + 1)
     df[counts["f"].to_numpy(np.int64)] = counts["n"].to_numpy()
     idf = np.log((1 + df[FEATURES]) / (1 + df[:FEATURES])) + 1
-    by = F.xxhash64("doc_id", "text")
-    sample = labelled.orderBy(by, "doc_id").limit(FIT_ROWS).select(F.substring("text", 1, FIT_CHARS).alias("text"), "lang").toPandas()
-    keep = [has_letter(t) for t in sample["text"]]
+    hashed = labelled.withColumn("h", F.xxhash64("doc_id", "text"))
+    # the hash that FIT_ROWS rows do not exceed is found without their texts, so that only those texts go to the driver
+    cut = hashed.select("h").orderBy("h").limit(FIT_ROWS).agg(F.max("h")).first()[0]
+    sample = hashed.where(F.col("h") <= cut).select("h", F.substring("text", 1, FIT_CHARS).alias("text"), "lang").limit(2 * FIT_ROWS).toPandas().sort_values(["h", "text"], kind="stable") if cut is not None else pd.DataFrame({"text": [], "lang": []})
+    keep = np.array([has_letter(t) for t in sample["text"]], bool)
     return fit(sample["text"][keep].tolist(), sample["lang"][keep].tolist(), idf)
 
 
