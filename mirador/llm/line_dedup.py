@@ -17,6 +17,8 @@ from mirador.llm.common import ascii_lower, hashes, materialize
 SLOTS = 1 << 16
 #: Candidate lines are broadcast up to this many (8 bytes each), beyond joined by shuffle.
 BROADCAST_LINES = 1_000_000
+#: So are tokens that lines share.
+BROADCAST_TOKENS = 1_000_000
 
 
 def _lines(docs: DataFrame, least_words: int, size: int) -> DataFrame:
@@ -48,19 +50,22 @@ def _shared_postings(lines: DataFrame, size: int, percent: int) -> DataFrame:
     keys = F.expr(f"sort_array(transform(tokens, t -> shiftleft(cast(element_at(table, cast(pmod(t, {SLOTS}) as int) + 1) as bigint), 57) | shiftrightunsigned(t, 7)))")
     prefix = F.slice("keys", F.lit(1), F.size("keys") - F.ceil(F.size("keys") * percent / 100.0).cast("int") + 1)
     posted = ranked.select("lid", keys.alias("keys")).select("lid", F.size("keys").alias("n"), prefix.alias("prefix")).select("lid", "n", F.posexplode_outer("prefix").alias("pos", "token"))
-    once = posted.groupBy("token", "lid").agg(F.first("n").alias("n"), F.first("pos").alias("pos"))  # copies of a line meet before the shuffle
-    w = Window.partitionBy("token")
-    met = once.withColumns({"lo": F.min("lid").over(w), "hi": F.max("lid").over(w)}).where("lo <> hi")
-    return materialize(met.select("token", "lid", "n", "pos"), "line-postings")
+    shared = materialize(posted.groupBy("token").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo <> hi").select("token"), "line-tokens")
+    few = shared.count() <= BROADCAST_TOKENS
+    met = posted.join(F.broadcast(shared) if few else shared, "token", "left_semi")
+    return materialize(met.groupBy("token", "lid").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "line-postings")
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The lids of pairs (lid, other, and n, pos of both) that pass the filters and whose sets reach percent."""
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataFrame:
+    """The lids of pairs (lid, other, and n, pos of both) that pass the filters and whose sets reach percent; where best, of
+    each lid's pairs only the one that comes most often."""
     short, long_ = F.least("n", "m"), F.greatest("n", "m")
     index = F.when(F.col("n") < F.col("m"), F.col("pos")).when(F.col("n") > F.col("m"), F.col("q")).otherwise(F.least("pos", "q"))
     reach = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("q")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
     fits = (short * 100 >= long_ * percent) & reach & (index * (100 + percent) <= short * (100 - percent))
-    asked = pairs.where(fits).select("lid", "other").distinct()
+    asked = pairs.where(fits).groupBy("lid", "other").agg(F.count("*").alias("c"))
+    if best:
+        asked = asked.groupBy("lid").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
     both = asked.join(sets.select("lid", F.col("tokens").alias("x")), "lid").join(sets.select(F.col("lid").alias("other"), F.col("tokens").alias("y")), "other")
     return both.where(F.size(F.array_intersect("x", "y")) * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("lid").distinct()
 
@@ -68,8 +73,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def lines_with_earlier_match(lines: DataFrame, first: DataFrame, size: int, percent: int) -> DataFrame:
     """lid of every line similar to another one whose first place is earlier. first: (lid, first).
 
-    Round one compares each line with the earliest line and the one before it among those it shares a token with, so a
-    group gives two pairs a member. Only lines without a match then meet all the earlier ones they share a token with."""
+    Round one looks, token by token, at the earliest line that has it and the one before, and compares each line with the
+    one that comes up most often. Only lines without a match then meet all the earlier ones they share a token with."""
     posted = _shared_postings(lines, size, percent)
     ids = materialize(posted.select("lid").distinct(), "line-ids")
     few = ids.count() <= BROADCAST_LINES
@@ -81,11 +86,11 @@ def lines_with_earlier_match(lines: DataFrame, first: DataFrame, size: int, perc
     beside = placed.withColumns({"o1": F.first(me).over(w), "o2": F.lag(me).over(w)})
     met = beside.select("token", "lid", "n", "pos", F.explode(F.array("o1", "o2")).alias("o")).where("o is not null and o.lid <> lid")
     pair = ["lid", "n", "pos", F.col("o.lid").alias("other"), F.col("o.n").alias("m"), F.col("o.pos").alias("q")]
-    matched = materialize(_verified(met.select(*pair), sets, percent), "line-matched")
+    matched = materialize(_verified(met.select(*pair), sets, percent, True), "line-matched")
     open_ = placed.join(matched, "lid", "left_anti")
     others = placed.select("token", F.col("lid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("first").alias("of"))
     rest = open_.join(others, "token").where(F.col("of") < F.col("first")).select("lid", "n", "pos", "other", "m", "q")
-    return materialize(matched.union(_verified(rest, sets, percent)), "line-near")
+    return materialize(matched.union(_verified(rest, sets, percent, False)), "line-near")
 
 
 def removed_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 5) -> DataFrame:
