@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mirador.llm.common import ascii_lower, hashes, materialize
+from mirador.llm.common import ascii_lower, discard, hashes, materialize
 
 #: Entries of the table of counts.
 SLOTS = 1 << 16
 #: Candidate lines are broadcast up to this many (8 bytes each), beyond joined by shuffle.
 BROADCAST_LINES = 1_000_000
-#: So are tokens that lines share.
+#: The numbers of removed lines are broadcast up to about so many bytes, beyond joined by shuffle.
+BROADCAST_BYTES = 64 << 20
+#: Tokens that lines share are broadcast up to this many, too.
 BROADCAST_TOKENS = 1_000_000
 
 
@@ -90,7 +92,9 @@ def lines_with_earlier_match(lines: DataFrame, first: DataFrame, size: int, perc
     open_ = placed.join(matched, "lid", "left_anti")
     others = placed.select("token", F.col("lid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("first").alias("of"))
     rest = open_.join(others, "token").where(F.col("of") < F.col("first")).select("lid", "n", "pos", "other", "m", "q")
-    return materialize(matched.union(_verified(rest, sets, percent, False)), "line-near")
+    near = materialize(matched.union(_verified(rest, sets, percent, False)), "line-near")
+    discard(posted, ids, sets, placed, matched)
+    return near
 
 
 def removed_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 5) -> DataFrame:
@@ -103,7 +107,9 @@ def removed_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words
     bound = first.join(near, "lid", "left").where((F.col("n") > 1) | F.col("near")).select("lid", "first", F.coalesce("near", F.lit(False)).alias("near"))
     bound = materialize(bound, "line-bound")
     gone = light.join(bound, "lid").where(F.col("near") | (at > F.col("first"))).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
-    return materialize(gone, "lines-gone")
+    gone = materialize(gone, "lines-gone")
+    discard(light, first, bound)
+    return gone
 
 
 def dedup_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 5) -> DataFrame:
@@ -116,6 +122,9 @@ def dedup_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words:
     lines. Null text stays null; empty tables stay empty. Columns of docs are kept as they are, named alike or not.
     """
     gone = removed_lines(docs, size, percent, least_words).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
+    found = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()
+    if 40 * found[0] + 4 * found[1] <= BROADCAST_BYTES:
+        gone = F.broadcast(gone)
     met = docs.join(gone, docs.doc_id.eqNullSafe(F.col("_id")) & (hashes() == F.col("_th")), "left")
     kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i))
     text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
