@@ -36,12 +36,15 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 
 
 def discard(*frames: DataFrame) -> None:
-    """Deletes the files of materialized frames that no later plan reads."""
+    """Deletes the files of materialized frames that no later plan reads. The driver's JVM then collects garbage, as Spark
+    deletes shuffle files of finished plans only after that."""
     for df in frames:
         spark = df.sparkSession
         for f in {x.rsplit("/", 1)[0] for x in df.inputFiles() if "/mirador-" in x}:
             path = spark._jvm.org.apache.hadoop.fs.Path(f)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    if frames:
+        frames[0].sparkSession._jvm.System.gc()
 
 
 def planned_bytes(df: DataFrame) -> int:
@@ -86,7 +89,7 @@ _ALNUM_WORD[[*range(48, 58), *range(97, 123), *range(128, 256)]] = True
 WORD_BYTES = {"space": _SPACE_WORD, "alnum": _ALNUM_WORD}
 
 
-def _powers(n: int) -> list[np.ndarray]:
+def powers(n: int) -> list[np.ndarray]:
     if len(_POW[0]) < n:
         for k, base in enumerate((_BASE, _BASE_INV)):
             x = np.full(n, base, U64)
@@ -135,7 +138,7 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, i: int, j: int, kind: str)
     stop = word.copy()
     stop[:-1] &= ~word[1:] | cut[1:-1]
     s, e = np.flatnonzero(start), np.flatnonzero(stop) + 1
-    up, down = _powers(len(b) + 1)
+    up, down = powers(len(b) + 1)
     total = np.zeros(len(b) + 1, U64)
     np.cumsum((b.astype(U64) + U64(1)) * up[: len(b)], out=total[1:])
     h = mix((total[e] - total[s]) * down[s] + (e - s).astype(U64))

@@ -1,61 +1,202 @@
-"""Line dedup as an exact set-similarity join, with native functions alone.
+"""Line dedup as an exact set-similarity join.
 
 A line's tokens are its distinct five-word shingles. They are ordered by rarity: by the class (power of two) of a count
 over all lines of all documents, kept in a table of fixed size by hash, then by hash. Lines that share no token in their
 prefixes cannot be similar; those that do must also pass the length and positional filters before their sets are compared.
 Of each pair of similar lines, the later in the order of doc_id and line goes.
+
+Lines are hashed in Arrow batches: native functions hash word by word in interpreted lambdas, at several times the cost
+(the README has figures). Everything after the shared prefix tokens is native.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import ascii_lower, discard, hashes, materialize
+from mirador.llm.common import PLACE, U64, discard, doc_chunks, hash_words, hashes, materialize, mix, n_buckets, powers, small_batches, text_buffer
 
 #: Entries of the table of counts.
 SLOTS = 1 << 16
+#: Tokens of a slot with this class (power of two of its count) or more are spread over all buckets by line.
+SPREAD_CLASS = 21
 #: Candidate lines are broadcast up to this many (8 bytes each), beyond joined by shuffle.
 BROADCAST_LINES = 1_000_000
+#: Pairs to compare (16 bytes each) are broadcast up to this many, and the sets on their one side up to about so many bytes.
+BROADCAST_PAIRS, BROADCAST_SETS = 1_000_000, 16 << 20
 #: The numbers of removed lines are broadcast up to about so many bytes, beyond joined by shuffle.
 BROADCAST_BYTES = 64 << 20
-#: Tokens that lines share are broadcast up to this many, too.
-BROADCAST_TOKENS = 1_000_000
 
 
-def _lines(docs: DataFrame, least_words: int, size: int) -> DataFrame:
-    """doc_id, th, line_no (from 0), h (hashes of the words) and lid (hash of h) of every line of at least least_words words."""
-    # words are hashed inside the generator, so that the filter on their number stays above it and computes nothing twice
-    hashed = F.expr(r"transform(split(lower_text, '\n'), x -> transform(filter(split(x, '[\\x20\\x09-\\x0D]+'), w -> w <> ''), w -> xxhash64(w)))")
-    each = docs.select("doc_id", hashes().alias("th"), ascii_lower(F.coalesce("text", F.lit(""))).alias("lower_text")).select("doc_id", "th", F.posexplode_outer(hashed).alias("line_no", "h"))
-    return each.where(F.size("h") >= max(least_words, size)).select("doc_id", "th", "line_no", "h", F.xxhash64("h").alias("lid"))
+def _lines(data: np.ndarray, offsets: np.ndarray, i: int, j: int, least_words: int, size: int):
+    """Of documents i to j-1 the lines of at least least_words (and size) words: document, line_no and lid of each; and for
+    each of their shingles the hash (57 bits) and its line."""
+    lo, hi = int(offsets[i]), int(offsets[j])
+    breaks = np.flatnonzero(data[lo:hi] == 10) + lo
+    many = np.diff(np.searchsorted(breaks, offsets[i : j + 1])) + 1
+    first = np.cumsum(many) - many
+    start = np.empty(int(many.sum()) + 1, np.int64)
+    inner = np.ones(len(start), bool)
+    inner[first] = inner[-1] = False
+    start[first], start[inner], start[-1] = offsets[i:j], breaks + 1, hi
+    h, line = hash_words(data, start, 0, len(start) - 1, "space")
+    words = np.bincount(line, minlength=len(start) - 1)
+    chosen = np.flatnonzero(words >= max(least_words, size))
+    end = np.cumsum(words)
+    up, down = powers(len(h) + 1)
+    total = np.zeros(len(h) + 1, U64)
+    np.cumsum(h * up[: len(h)], out=total[1:])
+    z, a = end[chosen], end[chosen] - words[chosen]
+    lid = mix((total[z] - total[a]) * down[a] + words[chosen].astype(U64)).view(np.int64)
+    doc = np.repeat(np.arange(i, j), many)[chosen]
+    no = chosen - np.repeat(first, many)[chosen]
+    n = len(h) - size + 1
+    if n <= 0 or not len(chosen):
+        return doc, no, lid, np.zeros(0, U64), np.zeros(0, np.int64)
+    grams = h[:n] * PLACE[0]
+    for k in range(1, size):
+        grams = grams + h[k : k + n] * PLACE[k]
+    place = np.full(len(start) - 1, -1, np.int64)
+    place[chosen] = np.arange(len(chosen))
+    whole = (line[:n] == line[size - 1 :]) & (place[line[:n]] >= 0)
+    return doc, no, lid, mix(grams[whole]) >> U64(7), place[line[:n][whole]]
+
+
+def _ordered(tokens: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct tokens of each line in order, and their lines."""
+    order = np.argsort(tokens)
+    if lines < 1 << 16:
+        line = line.astype(np.uint16)  # sorted by radix
+    order = order[np.argsort(line[order], kind="stable")]
+    tokens, line = tokens[order], line[order]
+    new = np.ones(len(tokens), bool)
+    new[1:] = (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1])
+    return tokens[new], line[new].astype(np.int64)
+
+
+def _scan(least_words: int, size: int):
+    """Places of all lines (doc_id, th, line_no, lid), and at the end of a task its counts (slot, n)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, table, kind = ["doc_id", "th", "line_no", "lid", "slot", "n"], np.zeros(SLOTS, np.int64), pa.int64()
+        for batch in batches:
+            data, offsets = text_buffer(batch["text"])
+            kind = batch["doc_id"].type
+            found = []
+            for i, j in doc_chunks(offsets):
+                doc, no, lid, tokens, _ = _lines(data, offsets, i, j, least_words, size)
+                table += np.bincount((tokens & U64(SLOTS - 1)).view(np.int64), minlength=SLOTS)
+                found.append((doc, no, lid))
+            if found:
+                doc, no, lid = (np.concatenate(x) for x in zip(*found, strict=True))
+                at = pa.array(doc)
+                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at), batch["th"].take(at), pa.array(no.astype(np.int32)), pa.array(lid), pa.nulls(len(lid), pa.int32()), pa.nulls(len(lid), pa.int64())], names)
+        some = np.flatnonzero(table)
+        none = lambda t: pa.nulls(len(some), t)
+        yield pa.RecordBatch.from_arrays([none(kind), none(pa.int64()), none(pa.int32()), none(pa.int64()), pa.array(some.astype(np.int32)), pa.array(table[some])], names)
+
+    return run
+
 
+def _unseen(lid: np.ndarray, seen: set[int]) -> np.ndarray:
+    """Which lines are the first of their lid in this task, as far as it remembers."""
+    if len(seen) > 2_000_000:
+        seen.clear()
+    fresh = np.zeros(len(lid), bool)
+    for k, x in enumerate(lid.tolist()):
+        if x not in seen:
+            seen.add(x)
+            fresh[k] = True
+    return fresh
 
-def _tokens(lines: DataFrame, size: int) -> DataFrame:
-    grams = F.expr(f"array_distinct(transform(sequence(1, size(h) - {size - 1}), i -> xxhash64(slice(h, i, {size}))))")
-    return lines.select(*(c for c in lines.columns if c != "h"), grams.alias("tokens"))
 
+def _token_sets(least_words: int, size: int):
+    """lid and its distinct tokens, of the lines of a task; few lids come more than once."""
 
-def _rarity_table(lines: DataFrame, size: int) -> Column:
-    """An array literal: for each slot the power of two of the number of tokens that fall in it."""
-    slot = F.pmod(F.col("token"), F.lit(SLOTS)).alias("slot")
-    counts = _tokens(lines, size).select(F.explode_outer("tokens").alias("token")).groupBy(slot).agg(F.count("*").alias("n")).collect()  # at most SLOTS rows
-    power = ["0"] * SLOTS
-    for r in counts:
-        power[r["slot"]] = str(int(r["n"]).bit_length())
-    return F.expr(f"cast(split('{','.join(power)}', ',') as array<int>)")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            data, offsets = text_buffer(batch["text"])
+            for i, j in doc_chunks(offsets):
+                _, _, lid, tokens, line = _lines(data, offsets, i, j, least_words, size)
+                fresh = _unseen(lid, seen)
+                keep = fresh[line]
+                tokens, line = _ordered(tokens[keep], line[keep], len(lid))
+                ends = np.cumsum(np.bincount(line, minlength=len(lid))[fresh])
+                sets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(tokens.view(np.int64)))
+                yield pa.RecordBatch.from_arrays([pa.array(lid[fresh]), sets], ["lid", "tokens"])
 
+    return run
 
-def _shared_postings(lines: DataFrame, size: int, percent: int) -> DataFrame:
-    """token, lid, n, pos of the prefix tokens that different lines share; n: size of the set, pos: place in it, from 0."""
-    ranked = _tokens(lines.select("lid", "h"), size).withColumn("table", _rarity_table(lines, size))
-    keys = F.expr(f"sort_array(transform(tokens, t -> shiftleft(cast(element_at(table, cast(pmod(t, {SLOTS}) as int) + 1) as bigint), 57) | shiftrightunsigned(t, 7)))")
-    prefix = F.slice("keys", F.lit(1), F.size("keys") - F.ceil(F.size("keys") * percent / 100.0).cast("int") + 1)
-    posted = ranked.select("lid", keys.alias("keys")).select("lid", F.size("keys").alias("n"), prefix.alias("prefix")).select("lid", "n", F.posexplode_outer("prefix").alias("pos", "token"))
-    shared = materialize(posted.groupBy("token").agg(F.min("lid").alias("lo"), F.max("lid").alias("hi")).where("lo <> hi").select("token"), "line-tokens")
-    few = shared.count() <= BROADCAST_TOKENS
-    met = posted.join(F.broadcast(shared) if few else shared, "token", "left_semi")
-    return materialize(met.groupBy("token", "lid").agg(F.first("n").alias("n"), F.first("pos").alias("pos")), "line-postings")
+
+def _postings(least_words: int, size: int, percent: int, buckets: int, rarity: np.ndarray):
+    """The prefixes of all lines, packed by bucket: token (class, then hash), lid, n (size of the set), pos (from 0)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for batch in batches:
+            data, offsets = text_buffer(batch["text"])
+            found = []
+            for i, j in doc_chunks(offsets):
+                _, _, lid, tokens, line = _lines(data, offsets, i, j, least_words, size)
+                keep = _unseen(lid, seen)[line]
+                tokens, line = tokens[keep], line[keep]
+                keys = rarity[(tokens & U64(SLOTS - 1)).view(np.int64)] | tokens
+                keys, line = _ordered(keys, line, len(lid))
+                n = np.bincount(line, minlength=len(lid))
+                pos = np.arange(len(line)) - (np.cumsum(n) - n)[line]
+                prefix = pos < (n - -(-percent * n // 100) + 1)[line]
+                line = line[prefix]
+                found.append((keys[prefix], lid[line], n[line].astype(np.int32), pos[prefix].astype(np.int32)))
+            if not found:
+                continue
+            token, lid, n, pos = (np.concatenate(x) for x in zip(*found, strict=True))
+            if not len(token):
+                continue
+            spread = token >> U64(57) >= SPREAD_CLASS
+            b = (mix(np.where(spread, lid.view(U64), token)) % U64(buckets)).astype(np.int64)
+            order = np.argsort(b, kind="stable")
+            b = b[order]
+            cut = np.flatnonzero(np.diff(b)) + 1
+            blobs = [pa.array([x.tobytes() for x in np.split(a[order], cut)], pa.binary()) for a in (token, lid, n, pos)]
+            yield pa.RecordBatch.from_arrays([pa.array(b[np.concatenate(([0], cut))]), *blobs], ["bucket", "token", "lid", "n", "pos"])
+
+    return run
+
+
+def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
+    """Postings of tokens that more than one line has, each once; of spread tokens all."""
+    token, lid = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("token", "lid"))
+    n, pos = (np.frombuffer(b"".join(pdf[c]), np.int32) for c in ("n", "pos"))
+    order = np.argsort(token, kind="stable")
+    t = token[order]
+    more = t >> 57 >= SPREAD_CLASS
+    more[1:] |= t[1:] == t[:-1]
+    more[:-1] |= t[1:] == t[:-1]
+    order = order[more]
+    order = order[np.lexsort((lid[order], token[order]))]
+    t, k = token[order], lid[order]
+    new = np.ones(len(t), bool)
+    new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
+    order, t = order[new], t[new]
+    more = t >> 57 >= SPREAD_CLASS
+    more[1:] |= t[1:] == t[:-1]
+    more[:-1] |= t[1:] == t[:-1]
+    order = order[more]
+    return pd.DataFrame({"token": token[order], "lid": lid[order], "n": n[order], "pos": pos[order]})
+
+
+def _rarity(scan: DataFrame) -> np.ndarray:
+    """For each slot the power of two of its count, in the bits above a token's hash."""
+    counts = scan.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
+    table = np.zeros(SLOTS, U64)
+    table[counts["slot"].to_numpy(np.int64)] = np.frexp(counts["n"].to_numpy(np.float64))[1].astype(U64) << U64(57)
+    return table
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataFrame:
@@ -68,47 +209,63 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, best: bool) -> Da
     asked = pairs.where(fits).groupBy("lid", "other").agg(F.count("*").alias("c"))
     if best:
         asked = asked.groupBy("lid").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
-    both = asked.join(sets.select("lid", F.col("tokens").alias("x")), "lid").join(sets.select(F.col("lid").alias("other"), F.col("tokens").alias("y")), "other")
-    return both.where(F.size(F.array_intersect("x", "y")) * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("lid").distinct()
+    asked = materialize(asked.select("lid", "other"), "line-pairs")
+    few = asked.count() <= BROADCAST_PAIRS
+    others = asked.select("other").distinct()
+    x = sets.join(F.broadcast(asked) if few else asked, "lid").select("lid", "other", F.col("tokens").alias("x"))
+    y = sets.join(F.broadcast(others) if few else others, sets.lid == others.other, "left_semi").select(F.col("lid").alias("other"), F.col("tokens").alias("y"))
+    small = few and (y.agg(F.sum(16 + 8 * F.size("y"))).first()[0] or 0) <= BROADCAST_SETS
+    both = x.join(F.broadcast(y) if small else y, "other")
+    near = both.where(F.size(F.array_intersect("x", "y")) * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("lid").distinct()
+    near = materialize(near, "line-matched")
+    discard(asked)
+    return near
 
 
-def lines_with_earlier_match(lines: DataFrame, first: DataFrame, size: int, percent: int) -> DataFrame:
+def lines_with_earlier_match(docs: DataFrame, scan: DataFrame, first: DataFrame, size: int, percent: int, least_words: int) -> DataFrame:
     """lid of every line similar to another one whose first place is earlier. first: (lid, first).
 
-    Round one looks, token by token, at the earliest line that has it and the one before, and compares each line with the
-    one that comes up most often. Only lines without a match then meet all the earlier ones they share a token with."""
-    posted = _shared_postings(lines, size, percent)
+    Round one looks, token by token, at the earliest line that has it, and at the earliest of the same size, and compares
+    each line with the one that comes up most often. Only lines without a match then meet all the earlier ones they share
+    a token with."""
+    buckets = n_buckets(docs)
+    packed = docs.select("text").mapInArrow(_postings(least_words, size, percent, buckets, _rarity(scan)), "bucket long, token binary, lid binary, n binary, pos binary")
+    posted = materialize(packed.groupBy("bucket").applyInPandas(_shared, "token long, lid long, n int, pos int"), "line-postings")
     ids = materialize(posted.select("lid").distinct(), "line-ids")
     few = ids.count() <= BROADCAST_LINES
-    sets = _tokens(lines.select("lid", "h").join(F.broadcast(ids) if few else ids, "lid", "left_semi"), size).groupBy("lid").agg(F.first("tokens").alias("tokens"))
-    sets = materialize(sets, "line-sets")
+    sets = docs.select("text").mapInArrow(_token_sets(least_words, size), "lid long, tokens array<long>").join(F.broadcast(ids) if few else ids, "lid", "left_semi")
+    sets = materialize(sets.groupBy("lid").agg(F.first("tokens").alias("tokens")), "line-sets")
     placed = materialize(posted.join(first.select("lid", "first"), "lid"), "line-placed")
-    me = F.struct("first", "lid", "n", "pos")
-    w = Window.partitionBy("token").orderBy("first")
-    beside = placed.withColumns({"o1": F.first(me).over(w), "o2": F.lag(me).over(w)})
-    met = beside.select("token", "lid", "n", "pos", F.explode(F.array("o1", "o2")).alias("o")).where("o is not null and o.lid <> lid")
+    me = F.min(F.struct("first", "lid", "n", "pos")).alias("o")
+    earliest = placed.join(placed.groupBy("token").agg(me), "token").select("token", "lid", "n", "pos", "o")
+    alike = placed.join(placed.groupBy("token", "n").agg(me), ["token", "n"]).select("token", "lid", "n", "pos", "o")
+    met = earliest.union(alike).where("o.lid <> lid")
     pair = ["lid", "n", "pos", F.col("o.lid").alias("other"), F.col("o.n").alias("m"), F.col("o.pos").alias("q")]
-    matched = materialize(_verified(met.select(*pair), sets, percent, True), "line-matched")
+    matched = _verified(met.select(*pair), sets, percent, True)
     open_ = placed.join(matched, "lid", "left_anti")
     others = placed.select("token", F.col("lid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("first").alias("of"))
     rest = open_.join(others, "token").where(F.col("of") < F.col("first")).select("lid", "n", "pos", "other", "m", "q")
-    near = materialize(matched.union(_verified(rest, sets, percent, False)), "line-near")
-    discard(posted, ids, sets, placed, matched)
+    late = _verified(rest, sets, percent, False)
+    near = materialize(matched.union(late), "line-near")
+    discard(posted, ids, sets, placed, matched, late)
     return near
 
 
 def removed_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 5) -> DataFrame:
     """(doc_id, th, gone): for each document with such lines the numbers, from 0, of the lines that match an earlier one."""
-    lines = _lines(docs.select("doc_id", "text"), least_words, size)
+    small_batches(docs.sparkSession)
+    docs = docs.select("doc_id", "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    scan = materialize(docs.select("doc_id", hashes().alias("th"), "text").mapInArrow(_scan(least_words, size), f"doc_id {kind}, th long, line_no int, lid long, slot int, n long"), "lines")
+    light = scan.where("lid is not null").select("lid", "doc_id", "th", "line_no")
     at = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("line_no").alias("l"))
-    light = materialize(lines.select("lid", "doc_id", "th", "line_no"), "lines")
     first = materialize(light.groupBy("lid").agg(F.min(at).alias("first"), F.count("*").alias("n")), "line-first")
-    near = lines_with_earlier_match(lines, first, size, percent).withColumn("near", F.lit(True))
+    near = lines_with_earlier_match(docs, scan, first, size, percent, least_words).withColumn("near", F.lit(True))
     bound = first.join(near, "lid", "left").where((F.col("n") > 1) | F.col("near")).select("lid", "first", F.coalesce("near", F.lit(False)).alias("near"))
     bound = materialize(bound, "line-bound")
     gone = light.join(bound, "lid").where(F.col("near") | (at > F.col("first"))).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
     gone = materialize(gone, "lines-gone")
-    discard(light, first, bound)
+    discard(scan, first, near, bound)
     return gone
 
 
