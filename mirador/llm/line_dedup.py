@@ -163,16 +163,26 @@ def _postings(least_words: int, size: int, percent: int, buckets: int, rarity: n
             order = np.argsort(b, kind="stable")
             b = b[order]
             cut = np.flatnonzero(np.diff(b)) + 1
-            blobs = [pa.array([x.tobytes() for x in np.split(a[order], cut)], pa.binary()) for a in (token, lid, n, pos)]
+            blobs = [pa.array([x.tobytes() for x in np.split(a[order], cut)], pa.binary()) for a in (token, lid)]
+            blobs += [pa.array([_planes(x) for x in np.split(a[order], cut)], pa.binary()) for a in (n, pos)]
             yield pa.RecordBatch.from_arrays([pa.array(b[np.concatenate(([0], cut))]), *blobs], ["bucket", "token", "lid", "n", "pos"])
 
     return run
 
 
+def _planes(x: np.ndarray) -> bytes:
+    """Small int32 values, their equal bytes side by side, so that they compress."""
+    return x.view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _of_planes(blob: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
+
+
 def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
     """Postings of tokens that more than one line has, each once; of spread tokens all."""
     token, lid = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("token", "lid"))
-    n, pos = (np.frombuffer(b"".join(pdf[c]), np.int32) for c in ("n", "pos"))
+    n, pos = (np.concatenate([_of_planes(x) for x in pdf[c]]) for c in ("n", "pos"))
     order = np.argsort(token, kind="stable")
     t = token[order]
     more = t >> 57 >= SPREAD_CLASS
@@ -200,23 +210,25 @@ def _rarity(scan: DataFrame) -> np.ndarray:
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataFrame:
-    """The lids of pairs (lid, other, and n, pos of both) that pass the filters and whose sets reach percent; where best, of
-    each lid's pairs only the one that comes most often."""
-    short, long_ = F.least("n", "m"), F.greatest("n", "m")
-    index = F.when(F.col("n") < F.col("m"), F.col("pos")).when(F.col("n") > F.col("m"), F.col("q")).otherwise(F.least("pos", "q"))
-    reach = F.least(F.col("n") - F.col("pos"), F.col("m") - F.col("q")) * (100 + percent) >= (F.col("n") + F.col("m")) * percent
-    fits = (short * 100 >= long_ * percent) & reach & (index * (100 + percent) <= short * (100 - percent))
-    asked = pairs.where(fits).groupBy("lid", "other").agg(F.count("*").alias("c"))
+    """The lines r of pairs (r, n, pos; other, m, q: a row per shared prefix token) that pass the filters and whose sets
+    reach percent; where best, of each line's pairs only the one that comes most often, as not all its tokens are there.
+
+    The overlap is at most the c tokens shared by both prefixes and what follows the last of these. It is also at most c
+    and what follows the prefix of the line whose prefix ends first, as all it shares before that is in both prefixes."""
+    asked = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).groupBy("r", "other", "n", "m").agg(F.count("*").alias("c"), F.max("pos").alias("p"), F.max("q").alias("q"))
+    after = F.least(F.expr("least(n - p, m - q) - 1"), F.expr(f"(greatest(n, m) * {percent} + 99) div 100 - 1"))
     if best:
-        asked = asked.groupBy("lid").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
-    asked = materialize(asked.select("lid", "other"), "line-pairs")
+        asked = asked.groupBy("r").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
+    else:
+        asked = asked.where((F.col("c") + after) * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+    asked = materialize(asked.select("r", "other"), "line-pairs")
     few = asked.count() <= BROADCAST_PAIRS
     others = asked.select("other").distinct()
-    x = sets.join(F.broadcast(asked) if few else asked, "lid").select("lid", "other", F.col("tokens").alias("x"))
-    y = sets.join(F.broadcast(others) if few else others, sets.lid == others.other, "left_semi").select(F.col("lid").alias("other"), F.col("tokens").alias("y"))
+    x = sets.join(F.broadcast(asked) if few else asked, "r").select("r", "other", F.col("tokens").alias("x"))
+    y = sets.join(F.broadcast(others) if few else others, sets.r == others.other, "left_semi").select(F.col("r").alias("other"), F.col("tokens").alias("y"))
     small = few and (y.agg(F.sum(16 + 8 * F.size("y"))).first()[0] or 0) <= BROADCAST_SETS
     both = x.join(F.broadcast(y) if small else y, "other")
-    near = both.where(F.size(F.array_intersect("x", "y")) * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("lid").distinct()
+    near = both.where(F.size(F.array_intersect("x", "y")) * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("r").distinct()
     near = materialize(near, "line-matched")
     discard(asked)
     return near
@@ -225,29 +237,32 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, best: bool) -> Da
 def lines_with_earlier_match(docs: DataFrame, scan: DataFrame, first: DataFrame, size: int, percent: int, least_words: int) -> DataFrame:
     """lid of every line similar to another one whose first place is earlier. first: (lid, first).
 
-    Round one looks, token by token, at the earliest line that has it, and at the earliest of the same size, and compares
-    each line with the one that comes up most often. Only lines without a match then meet all the earlier ones they share
-    a token with."""
+    Candidate lines are numbered in the order of their first places. Round one looks, token by token, at the earliest line
+    that has it, and at the earliest of the same size, and compares each line with the one that comes up most often. Only
+    lines without a match then meet all the earlier ones they share a token with."""
     buckets = n_buckets(docs)
     packed = docs.select("text").mapInArrow(_postings(least_words, size, percent, buckets, _rarity(scan)), "bucket long, token binary, lid binary, n binary, pos binary")
     posted = materialize(packed.groupBy("bucket").applyInPandas(_shared, "token long, lid long, n int, pos int"), "line-postings")
     ids = materialize(posted.select("lid").distinct(), "line-ids")
     few = ids.count() <= BROADCAST_LINES
-    sets = docs.select("text").mapInArrow(_token_sets(least_words, size), "lid long, tokens array<long>").join(F.broadcast(ids) if few else ids, "lid", "left_semi")
-    sets = materialize(sets.groupBy("lid").agg(F.first("tokens").alias("tokens")), "line-sets")
-    placed = materialize(posted.join(first.select("lid", "first"), "lid"), "line-placed")
-    me = F.min(F.struct("first", "lid", "n", "pos")).alias("o")
-    earliest = placed.join(placed.groupBy("token").agg(me), "token").select("token", "lid", "n", "pos", "o")
-    alike = placed.join(placed.groupBy("token", "n").agg(me), ["token", "n"]).select("token", "lid", "n", "pos", "o")
-    met = earliest.union(alike).where("o.lid <> lid")
-    pair = ["lid", "n", "pos", F.col("o.lid").alias("other"), F.col("o.n").alias("m"), F.col("o.pos").alias("q")]
-    matched = _verified(met.select(*pair), sets, percent, True)
-    open_ = placed.join(matched, "lid", "left_anti")
-    others = placed.select("token", F.col("lid").alias("other"), F.col("n").alias("m"), F.col("pos").alias("q"), F.col("first").alias("of"))
-    rest = open_.join(others, "token").where(F.col("of") < F.col("first")).select("lid", "n", "pos", "other", "m", "q")
+    told = F.broadcast if few else (lambda df: df)
+    # a sort by ranges is distributed, and these numbers rise from range to range
+    ranked = materialize(first.join(told(ids), "lid", "left_semi").orderBy("first").select("lid", F.monotonically_increasing_id().alias("r")), "line-ranks")
+    sets = docs.select("text").mapInArrow(_token_sets(least_words, size), "lid long, tokens array<long>").join(told(ranked), "lid")
+    sets = materialize(sets.groupBy("r").agg(F.first("tokens").alias("tokens")), "line-sets")
+    placed = materialize(posted.join(told(ranked), "lid").select("token", "r", "n", "pos"), "line-placed")
+    discard(posted, ids)
+    me = F.min(F.struct("r", "n", "pos")).alias("o")
+    earliest = placed.join(placed.groupBy("token").agg(me), "token").select("r", "n", "pos", "o")
+    alike = placed.join(placed.groupBy("token", "n").agg(me), ["token", "n"]).select("r", "n", "pos", "o")
+    met = earliest.where("o.r < r").union(alike.where("o.r < r")).select("r", "n", "pos", F.col("o.r").alias("other"), F.col("o.n").alias("m"), F.col("o.pos").alias("q"))
+    matched = _verified(met.where("other is not null"), sets, percent, True)
+    open_ = placed.join(told(matched), "r", "left_anti")
+    others = placed.select("token", F.col("r").alias("other"), F.col("n").alias("m"), F.col("pos").alias("q"))
+    rest = open_.join(others, "token").where("other < r").select("r", "n", "pos", "other", "m", "q")
     late = _verified(rest, sets, percent, False)
-    near = materialize(matched.union(late), "line-near")
-    discard(posted, ids, sets, placed, matched, late)
+    near = materialize(ranked.join(told(matched.union(late)), "r", "left_semi").select("lid"), "line-near")
+    discard(ranked, sets, placed, matched, late)
     return near
 
 
