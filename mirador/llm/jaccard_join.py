@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import U64, discard, hashes, local_labels, materialize, mix, n_buckets, shingle_sets, small_batches
+from mirador.llm.common import U64, discard, hashes, local_labels, materialize, mix, n_buckets, release, releasing, shingle_sets, small_batches
 from mirador.llm.components import connected_components
 
 #: Order only: so many of the most frequent shingles are ranked behind all others. Any order gives the same result.
@@ -170,7 +170,7 @@ def _signatures(size: int):
                 seen, low, held = set(), [], 0
         yield heavy()
 
-    return run
+    return releasing(run)
 
 
 def _postings(size: int, percent: int, buckets: int, heavy: np.ndarray, rank: np.ndarray):
@@ -208,7 +208,7 @@ def _postings(size: int, percent: int, buckets: int, heavy: np.ndarray, rank: np
             blobs = [pa.array([x.tobytes() for x in np.split(a, cut)], pa.binary()) for a in (t, k, s)]
             yield pa.RecordBatch.from_arrays([pa.array(b[np.concatenate(([0], cut))]), *blobs], ["bucket", "tokens", "keys", "sizes"])
 
-    return run
+    return releasing(run)
 
 
 def _candidates(percent: int):
@@ -232,6 +232,8 @@ def _candidates(percent: int):
         ok[ok] = (t[last[ok]] == t[ok]) & (k[last[ok]] != k[ok]) & (100 * n[last[ok]] >= percent * n[ok])
         nodes, roots = local_labels(k[last[ok]], k[ok])
         keep = nodes != roots
+        del t, k, s, n, order, index, last, ok
+        release()
         return pd.DataFrame({"src": nodes[keep], "dst": roots[keep]})
 
     return run
@@ -249,6 +251,8 @@ def _verify(size: int, percent: int):
             keep = roots != k
             out_k.append(k[keep])
             out_r.append(roots[keep])
+            sets = None
+        release()
         return pd.DataFrame({"src": np.concatenate(out_k or [np.zeros(0, np.int64)]), "dst": np.concatenate(out_r or [np.zeros(0, np.int64)])})
 
     return run

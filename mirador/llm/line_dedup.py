@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import PLACE, U64, discard, doc_chunks, hash_words, hashes, materialize, mix, n_buckets, powers, small_batches, text_buffer
+from mirador.llm.common import PLACE, U64, discard, doc_chunks, hash_words, hashes, materialize, mix, n_buckets, powers, releasing, small_batches, text_buffer
 
 #: Entries of the table of counts.
 SLOTS = 1 << 16
@@ -100,7 +100,7 @@ def _scan(least_words: int, size: int):
         none = lambda t: pa.nulls(len(some), t)
         yield pa.RecordBatch.from_arrays([none(kind), none(pa.int64()), none(pa.int32()), none(pa.int64()), pa.array(some.astype(np.int32)), pa.array(table[some])], names)
 
-    return run
+    return releasing(run)
 
 
 def _unseen(lid: np.ndarray, seen: set[int]) -> np.ndarray:
@@ -131,7 +131,7 @@ def _token_sets(least_words: int, size: int):
                 sets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(tokens.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([pa.array(lid[fresh]), sets], ["lid", "tokens"])
 
-    return run
+    return releasing(run)
 
 
 def _postings(least_words: int, size: int, percent: int, buckets: int, rarity: np.ndarray):
@@ -167,7 +167,7 @@ def _postings(least_words: int, size: int, percent: int, buckets: int, rarity: n
             blobs += [pa.array([_planes(x) for x in np.split(a[order], cut)], pa.binary()) for a in (n, pos)]
             yield pa.RecordBatch.from_arrays([pa.array(b[np.concatenate(([0], cut))]), *blobs], ["bucket", "token", "lid", "n", "pos"])
 
-    return run
+    return releasing(run)
 
 
 def _planes(x: np.ndarray) -> bytes:
