@@ -1,30 +1,33 @@
-"""Language-model scoring by a weighted backoff automaton.
-
-Unigram counts are exact and cover every training token; they stay distributed and are joined to the tokens that need
-them. Longer n-grams are kept where they make up at least `least_share` of all training tokens, so each order has at
-most 1 / least_share of them however large the corpus is; a longer n-gram is counted only if both shorter ones it is
-made of were kept, which loses none that could pass. The kept n-grams become an automaton: a state for every context,
-an arc for every kept continuation, a failure arc to the next shorter context. One walk from left to right carries the
-state and adds log-probabilities; all documents of a batch are walked in step.
+"""Language-model scoring by a weighted backoff automaton whose arcs lie in tables.
+
+Counts of words and of longer n-grams are exact, cover every training token and stay distributed; n-grams are kept from
+the same count at every size of the training text. The weight of a path through the automaton is a sum: an n-gram kept
+adds its log-probability, takes back that of the shorter n-gram it ends with and the failure arc out of its context, and
+adds the failure arc out of the state it leads to; one that is not kept adds nothing. So each kept n-gram has one number,
+and a text's score is the sum of the numbers of all its n-grams. They are looked up by a join on hashes, order by order.
+
+`Automaton` and `build` are the same model in the memory of one process, walked token by token.
 """
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import U64, doc_chunks, hash_words, materialize, mix, n_buckets, small_batches, text_buffer
+from mirador.llm.common import PLACE, U64, discard, doc_chunks, hash_words, hashes, materialize, mix, n_buckets, releasing, small_batches, text_buffer
 
 END = U64(0x5DEECE66D1234567)
 #: Tokens walked in one lane; each lane starts with the order - 1 tokens before it, which fix its state.
 LANE = 192
+#: In shuffled n-grams the most frequent words, so many, are written as two bytes, all others as their hash.
+CODED = 1 << 16
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -40,7 +43,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _by_bucket(keys: np.ndarray, buckets: int):
-    b = (mix(keys) % U64(buckets)).astype(np.int64)
+    b = keys.view(np.int64) % buckets
     order = np.argsort(b, kind="stable")
     cut = np.flatnonzero(np.diff(b[order])) + 1
     return order, cut, b[order][np.concatenate(([0], cut))] if len(b) else b
@@ -58,36 +61,77 @@ def _count_words(buckets: int):
                 order, cut, b = _by_bucket(words, buckets)
                 yield pa.RecordBatch.from_arrays([pa.array(b), _blobs(words[order], cut), _blobs(times[order].astype(np.int32), cut)], ["bucket", "keys", "times"])
 
-    return run
+    return releasing(run)
 
 
-def _summed(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    keys = np.concatenate([np.frombuffer(x, U64) for x in pdf["keys"]])
-    times = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["times"]])
+def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys, their total times, and where in keys each stands."""
     order = np.argsort(keys, kind="stable")
     keys, first = np.unique(keys[order], return_index=True)
-    return keys, np.add.reduceat(times[order].astype(np.int64), first)
+    return keys, np.add.reduceat(times[order].astype(np.int64), first), order[first]
 
 
 def _sum_words(pdf: pd.DataFrame) -> pd.DataFrame:
-    words, total = _summed(pdf)
-    return pd.DataFrame({"bucket": pdf["bucket"][:1].to_numpy(), "keys": [words.tobytes()], "times": [total.tobytes()], "types": [len(words)], "tokens": [int(total.sum())]})
+    words, total, _ = _summed(*(np.frombuffer(b"".join(pdf[c]), t) for c, t in (("keys", U64), ("times", np.int32))))
+    return pd.DataFrame({"k": words.view(np.int64), "c": total})
 
 
-def _sum_grams(least: float):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        keys, total = _summed(pdf)
-        return pd.DataFrame({"k": keys[total >= least].astype(np.int64), "c": total[total >= least]})
+def _key(words: list[np.ndarray]) -> np.ndarray:
+    """Hashes of n-grams, given the hashes of their words place by place; a word is its own."""
+    return words[0] if len(words) == 1 else mix(sum(w * PLACE[k] for k, w in enumerate(words)) + U64(len(words)))
 
-    return run
+
+def _places(counts: np.ndarray, order: int) -> np.ndarray:
+    """Where the n-grams begin that lie within one text."""
+    doc = np.repeat(np.arange(len(counts)), counts)
+    n = max(len(doc) - order + 1, 0)
+    return np.flatnonzero(doc[:n] == doc[order - 1 :]) if n else np.zeros(0, np.int64)
+
+
+def _count_grams(order: int, buckets: int, coded: np.ndarray):
+    """Distinct n-grams of each batch, packed by bucket: flags (bit k: word k is coded), the codes and the hashes of all
+    words k in turn, and how often each n-gram comes. coded: sorted hashes of the coded words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            tokens, counts = _tokens(batch["text"])
+            at = _places(counts, order)
+            if not len(at):
+                continue
+            keys, first, times = np.unique(_key([tokens[at + k] for k in range(order)]), return_index=True, return_counts=True)
+            by, cut, b = _by_bucket(keys, buckets)
+            at, times, ids = at[first[by]], times[by].astype(np.int32), _ids(tokens, coded)
+            out = []
+            for x, t in zip(np.split(at, cut), np.split(times, cut), strict=True):
+                known = [ids[x + k] >= 0 for k in range(order)]
+                flags = sum(m.astype(np.uint8) << np.uint8(k) for k, m in enumerate(known))
+                codes = np.concatenate([ids[x + k][m] for k, m in enumerate(known)]).astype(np.uint16)
+                rest = np.concatenate([tokens[x + k][~m] for k, m in enumerate(known)])
+                out.append([y.tobytes() for y in (flags, codes, rest, t)])
+            yield pa.RecordBatch.from_arrays([pa.array(b), *(pa.array(x, pa.binary()) for x in zip(*out, strict=True))], ["bucket", "flags", "codes", "rest", "times"])
+
+    return releasing(run)
 
 
-def _frequent(least: float):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            for keys, times in zip(pdf["keys"], pdf["times"], strict=True):
-                k, t = np.frombuffer(keys, np.int64), np.frombuffer(times, np.int64)
-                yield pd.DataFrame({"k": k[t >= least], "c": t[t >= least]})
+def _sum_grams(order: int, least: int, coded: np.ndarray):
+    """The n-grams of a bucket that come `least` times: k, ctx (all but the last word), suf (all but the first), c."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        parts = []
+        for flags, codes, rest in zip(pdf["flags"], pdf["codes"], pdf["rest"], strict=True):
+            flags, codes, rest = np.frombuffer(flags, np.uint8), np.frombuffer(codes, np.uint16), np.frombuffer(rest, U64)
+            words = np.empty((order, len(flags)), U64)
+            for k in range(order):
+                m = (flags >> np.uint8(k) & np.uint8(1)).astype(bool)
+                n = int(m.sum())
+                words[k, m], words[k, ~m] = coded[codes[:n]], rest[: len(m) - n]
+                codes, rest = codes[n:], rest[len(m) - n :]
+            parts.append(words)
+        words = list(np.concatenate(parts, axis=1))
+        keys, total, at = _summed(_key(words), np.frombuffer(b"".join(pdf["times"]), np.int32))
+        keep = total >= least
+        words = [w[at[keep]] for w in words]
+        return pd.DataFrame({"k": keys[keep].view(np.int64), "ctx": _key(words[:-1]).view(np.int64), "suf": _key(words[1:]).view(np.int64), "c": total[keep]})
 
     return run
 
@@ -100,39 +144,6 @@ def _ids(words: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known[at] == words, at, -1)
 
 
-def _gram_keys(ids: np.ndarray, doc: np.ndarray, order: int, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """All n-grams of known words within one document as their word ids of `bits` bits each, and where each begins."""
-    n = len(ids) - order + 1
-    if n <= 0:
-        return np.zeros(0, U64), np.zeros(0, np.int64)
-    good = doc[:n] == doc[order - 1 :]
-    for k in range(order):
-        good &= ids[k : k + n] >= 0
-    at, h = np.flatnonzero(good), np.zeros(int(good.sum()), U64)
-    for k in range(order):
-        h = (h << U64(bits)) | ids[at + k].astype(U64)
-    return h, at
-
-
-def _count_grams(words: np.ndarray, shorter: np.ndarray | None, order: int, bits: int, buckets: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            tokens, counts = _tokens(batch["text"])
-            ids, doc = _ids(tokens, words), np.repeat(np.arange(len(counts)), counts)
-            keys, at = _gram_keys(ids, doc, order, bits)
-            if shorter is not None and len(keys):
-                sub, sub_at = _gram_keys(ids, doc, order - 1, bits)
-                kept = np.zeros(len(ids) + 1, bool)
-                kept[sub_at[_ids(sub, shorter) >= 0]] = True
-                keys = keys[kept[at] & kept[at + 1]]
-            grams, times = np.unique(keys, return_counts=True)
-            if len(grams):
-                order_, cut, b = _by_bucket(grams, buckets)
-                yield pa.RecordBatch.from_arrays([pa.array(b), _blobs(grams[order_], cut), _blobs(times[order_].astype(np.int32), cut)], ["bucket", "keys", "times"])
-
-    return run
-
-
 @dataclass
 class Automaton:
     """words: sorted hashes of the known words. State 0 is the empty context. arcs: sorted state * |words| + word."""
@@ -233,110 +244,134 @@ def build(words: np.ndarray, counts: np.ndarray, grams: list[tuple[np.ndarray, n
     return Automaton(words, np.array([x[0] for x in out], np.int64), np.array([x[1] for x in out]), np.array([x[2] for x in out], np.int64), fail, bow, 1 + len(grams))
 
 
-def _score(machine: Automaton, counts: np.ndarray, denominator: float, buckets: int):
-    base = np.log10((counts + 1) / denominator) if len(counts) else np.zeros(0)
+def _ask(order: int, buckets: int):
+    """The n-grams of each batch by bucket (keys, how many texts' places have each, these texts' rows), and a record for
+    the batch itself with the hashes and token counts of its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        part = TaskContext.get().partitionId()
+        for number, batch in enumerate(batches):
             tokens, n = _tokens(batch["text"])
             if not len(n):
                 continue
-            name, ids, doc = uuid.uuid4().hex, _ids(tokens, machine.words), np.repeat(np.arange(len(n)), n)
-            known = ids >= 0
-            parts = [n, np.bincount(doc[known], minlength=len(n)), np.bincount(doc[known], weights=base[ids[known]], minlength=len(n)), machine.walk(ids, n)]
-            rest, where = tokens[~known], doc[~known].astype(np.int32)
-            order, cut, b = _by_bucket(rest, buckets)
-            keys, sizes, docs = [], [], []
-            for x, d in zip(np.split(rest[order], cut), np.split(where[order], cut), strict=True) if len(rest) else ():
-                by = np.argsort(x, kind="stable")
-                u, first = np.unique(x[by], return_index=True)
-                keys.append(u.tobytes())
-                sizes.append(np.diff(np.append(first, len(x))).astype(np.int32).tobytes())
-                docs.append(d[by].tobytes())
-            m = len(keys)
-            names = ["batch", "bucket", "keys", "sizes", "docs", "doc_id", "n", "known", "base", "score", "row"]
-            none = lambda t, k: pa.nulls(k, t)
-            kind = batch["doc_id"].type
-            yield pa.RecordBatch.from_arrays([pa.array([name] * m, pa.string()), pa.array(b[:m], pa.int64()), *(pa.array(x, pa.binary()) for x in (keys, sizes, docs)), none(kind, m), *(none(t, m) for t in (pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int32()))], names)
-            k = len(n)
-            yield pa.RecordBatch.from_arrays([pa.array([name] * k), none(pa.int64(), k), *(none(pa.binary(), k) for _ in range(3)), batch["doc_id"], *(pa.array(x, t) for x, t in zip(parts, (pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), pa.array(np.arange(k, dtype=np.int32))], names)
-
-    return run
-
-
-def _answer(denominator: float):
-    """Per bucket: what the words asked for add to the documents of every batch."""
+            at = _places(n, order)
+            keys, docs = _key([tokens[at + k] for k in range(order)]), np.repeat(np.arange(len(n), dtype=np.uint16), n)[at]
+            by = np.argsort(keys, kind="stable")
+            keys, docs = keys[by], docs[by]
+            b = keys.view(np.int64) % buckets
+            by = np.argsort(b.astype(np.uint16) if buckets <= 1 << 16 else b, kind="stable")
+            keys, docs, b = keys[by], docs[by], b[by]
+            new = np.ones(len(keys), bool)
+            new[1:] = keys[1:] != keys[:-1]
+            first = np.flatnonzero(new)
+            sizes, b = np.diff(np.append(first, len(keys))).astype(np.int32), b[first]
+            cut = np.flatnonzero(np.diff(b)) + 1
+            b = b[np.concatenate(([0], cut))] if len(b) else b
+            blobs = [_blobs(keys[first], cut), _blobs(sizes, cut), _blobs(docs, first[cut])] if len(b) else [pa.nulls(0, pa.binary())] * 3
+            names, m, name = ["batch", "bucket", "keys", "sizes", "docs", "th", "n"], len(b), f"{part}-{number}"
+            yield pa.RecordBatch.from_arrays([pa.array([name] * m, pa.string()), pa.array(b, pa.int64()), *blobs, pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names)
+            own = [pa.array([batch["th"].to_numpy().tobytes()], pa.binary()), pa.array([n.astype(np.int64).tobytes()], pa.binary())]
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([(part * 7919 + number) % buckets], pa.int64()), *[pa.nulls(1, pa.binary())] * 3, *own], names)
+
+    return releasing(run)
+
+
+def _answer(order: int, denominator: float):
+    """Per bucket: what the n-grams asked for add to the texts of every batch; records of batches as they are."""
 
     def run(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        words = np.frombuffer(table["keys"].iloc[0], U64) if len(table) else np.zeros(0, U64)
-        times = np.frombuffer(table["times"].iloc[0], np.int64) if len(table) else np.zeros(0, np.int64)
+        table = table.sort_values("k")
+        k, times, value = table["k"].to_numpy(np.int64), table["c"].to_numpy(np.int64), table["val"].to_numpy(np.float64)
         out = []
-        for name, keys, sizes, docs in zip(asked["batch"], asked["keys"], asked["sizes"], asked["docs"], strict=True):
-            at = _ids(np.frombuffer(keys, U64), words)
-            c = np.where(at >= 0, times[np.maximum(at, 0)], 0) if len(times) else np.zeros(len(at), np.int64)
-            c = np.repeat(c, np.frombuffer(sizes, np.int32))
-            d, inverse = np.unique(np.frombuffer(docs, np.int32), return_inverse=True)
-            known = np.bincount(inverse, weights=c > 0).astype(np.int32)
-            logs = np.bincount(inverse, weights=np.log10((c + 1) / denominator))
-            out.append((name, d.tobytes(), known.tobytes(), logs.tobytes()))
-        return pd.DataFrame(out, columns=["batch", "docs", "known", "logs"])
+        for name, keys, sizes, docs, th, n in zip(*(asked[x] for x in ("batch", "keys", "sizes", "docs", "th", "n")), strict=True):
+            if keys is None:
+                out.append((name, None, None, None, None, th, n))
+                continue
+            at, sizes, docs = _ids(np.frombuffer(keys, np.int64), k), np.frombuffer(sizes, np.int32), np.frombuffer(docs, np.uint16)
+            hit = at >= 0
+            score, base = np.zeros(len(at)), None
+            score[hit] = value[at[hit]]
+            if order == 1:
+                c = np.zeros(len(at))
+                c[hit] = times[at[hit]]
+                base = np.log10((c + 1) / denominator)
+                score[~hit] = base[~hit]
+            else:
+                docs, sizes, score, hit = docs[np.repeat(hit, sizes)], sizes[hit], score[hit], hit[hit]
+            if not len(docs):
+                continue
+            d, inverse = np.unique(docs, return_inverse=True)
+            sums = [None if x is None else np.bincount(inverse, weights=np.repeat(x, sizes)).astype(t).tobytes() for x, t in ((hit if order == 1 else None, np.int32), (base, np.float64), (score, np.float64))]
+            out.append((name, d.tobytes(), *sums, None, None))
+        return pd.DataFrame(out, columns=["batch", "docs", "known", "base", "score", "th", "n"])
 
     return run
 
 
 def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
-    d = np.concatenate([np.frombuffer(x, np.int32) for x in pdf["docs"]])
-    rows, inverse = np.unique(d, return_inverse=True)
-    known = np.bincount(inverse, weights=np.concatenate([np.frombuffer(x, np.int32) for x in pdf["known"]]))
-    logs = np.bincount(inverse, weights=np.concatenate([np.frombuffer(x, np.float64) for x in pdf["logs"]]))
-    return pd.DataFrame({"batch": pdf["batch"].iloc[0], "row": rows, "more_known": known.astype(np.int64), "more": logs})
-
-
-def score_documents(docs: DataFrame, train: DataFrame, order: int = 3, least_share: float = 1e-6, least_count: int = 3) -> DataFrame:
+    """The sums of each text of a batch."""
+    own, rest = pdf[pdf["docs"].isna()], pdf[pdf["docs"].notna()]
+    out = {c: np.frombuffer(own[c].iloc[0], np.int64) for c in ("th", "n")}
+    d = np.frombuffer(b"".join(rest["docs"]), np.uint16)
+    for c, t in (("known", np.int32), ("base", np.float64), ("score", np.float64)):
+        x = np.frombuffer(b"".join(y for y in rest[c] if y is not None), t)
+        out[c] = np.bincount(d, weights=x, minlength=len(out["th"])) if len(x) else np.zeros(len(out["th"]))
+    return pd.DataFrame(out).astype({"known": np.int64})
+
+
+def _model(train: DataFrame, words: DataFrame, order: int, least: int, denominator: float, buckets: int, discount: float = 0.5) -> list[DataFrame]:
+    """For each order the table (k, c, val) of its n-grams: hash, count, and what one adds to the score of a text."""
+    top = words.orderBy(F.desc("c"), "k").limit(CODED).toPandas()["k"].to_numpy(np.int64)
+    coded = np.sort(top.view(U64))
+    log = F.log10((F.col("c") + 1) / F.lit(denominator))
+    values, level, tables = words.select("k", "c", log.alias("own")), words.where(F.col("c") >= least).select("k", "c", log.alias("lp")), []
+    for n in range(2, order + 1):
+        blobs = train.mapInArrow(_count_grams(n, buckets, coded), "bucket long, flags binary, codes binary, rest binary, times binary")
+        kept = materialize(blobs.groupBy("bucket").applyInPandas(_sum_grams(n, least, coded), "k long, ctx long, suf long, c long"), "grams")
+        shorter = level.select(F.col("k").alias("suf"), F.col("lp").alias("lower"))
+        context = level.select(F.col("k").alias("ctx"), F.col("c").alias("of"))
+        found = materialize(kept.join(shorter, "suf").join(context, "ctx").select("k", "ctx", "c", "lower", "of"), "linked")
+        taken = found.groupBy("ctx").agg(F.sum(F.col("c") - discount).alias("mass"), F.sum(F.pow(F.lit(10.0), "lower")).alias("low"), F.greatest(F.max("of"), F.sum("c")).alias("total"))
+        left = F.greatest(1 - F.col("mass") / F.col("total"), F.lit(1e-12)) / F.greatest(1 - F.col("low"), F.lit(1e-12))
+        back = materialize(taken.select("ctx", "total", F.log10(left).alias("bow")), "backoff")
+        tables.append(materialize(values.join(back.select(F.col("ctx").alias("k"), "bow"), "k", "left").select("k", "c", (F.col("own") + F.coalesce("bow", F.lit(0.0))).alias("val")), "arcs"))
+        lp = F.log10((F.col("c") - discount) / F.col("total"))
+        level = materialize(found.join(back, "ctx").select("k", "c", lp.alias("lp"), (lp - F.col("lower") - F.col("bow")).alias("own")), "level")
+        values = level.select("k", "c", "own")
+        discard(kept, found, back)
+    return [*tables, values.select("k", "c", F.col("own").alias("val"))]
+
+
+def score_documents(docs: DataFrame, train: DataFrame, order: int = 3, least_count: int = 3) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
     train (text) is what is learned from. Tokens are runs without ASCII white space, A-Z lower-cased, and one end token a
     text. base_score adds log10((c + 1) / (N + V + 1)) over the tokens; score is the automaton's log10 probability, with
-    N-grams kept from max(least_count, least_share * N) occurrences. Null and empty texts have the end token alone.
+    n-grams kept from least_count occurrences, whatever N. Null and empty texts have the end token alone.
     Repeated rows are scored each; an empty training table leaves all counts at 0; an empty docs gives an empty result.
-    Words are compared by 64-bit hashes.
+    Words, n-grams and texts are compared by 64-bit hashes.
     """
+    if not 1 <= order <= len(PLACE):
+        raise ValueError(f"order must be from 1 to {len(PLACE)}")
     small_batches(docs.sparkSession)
-    buckets = n_buckets(docs)
-    docs, train = docs.select("doc_id", "text"), train.select("text")
+    buckets = max(n_buckets(docs), n_buckets(train))
+    docs, train = docs.select("doc_id", hashes().alias("th"), "text"), train.select("text")
     blobs = train.mapInArrow(_count_words(buckets), "bucket long, keys binary, times binary")
-    table = materialize(blobs.groupBy("bucket").applyInPandas(_sum_words, "bucket long, keys binary, times binary, types long, tokens long"), "words")
-    total = table.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    words = materialize(blobs.groupBy("bucket").applyInPandas(_sum_words, "k long, c long"), "words")
+    total = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_tokens, n_types = int(total[0]), int(total[1])
-    least, denominator = max(least_count, least_share * n_tokens), float(n_tokens + n_types + 1)
-    often = table.select("keys", "times").mapInPandas(_frequent(least), "k long, c long").toPandas()  # at most 1 / least_share rows
-    words = often["k"].to_numpy(np.int64).astype(U64)
-    by = np.argsort(words)
-    words, counts = words[by], often["c"].to_numpy(np.int64)[by]
-    grams, shorter, bits = [], None, max(1, len(words).bit_length())
-    if bits * order > 63:
-        raise ValueError("least_share is too small for this order")
-    for n in range(2, order + 1):
-        blobs = train.mapInArrow(_count_grams(words, shorter, n, bits, buckets), "bucket long, keys binary, times binary")
-        found = blobs.groupBy("bucket").applyInPandas(_sum_grams(least), "k long, c long").toPandas()  # at most 1 / least_share rows
-        if not len(found):
-            break
-        shorter = np.sort(found["k"].to_numpy(np.int64).astype(U64))
-        k = found["k"].to_numpy(np.int64)
-        grams.append((np.stack([k >> bits * (n - 1 - i) & (1 << bits) - 1 for i in range(n)], 1).astype(np.int32), found["c"].to_numpy(np.int64)))
-    machine = build(words, counts, grams, n_tokens, n_types)
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    parts = materialize(docs.mapInArrow(_score(machine, counts, denominator, buckets), f"batch string, bucket long, keys binary, sizes binary, docs binary, doc_id {kind}, n long, known long, base double, score double, row int"), "parts")
-    asked = parts.where("bucket is not null").select("batch", "bucket", "keys", "sizes", "docs")
-    wanted = table.select("bucket", "keys", "times").join(asked.select("bucket").distinct(), "bucket", "left_semi")
-    answers = asked.groupBy("bucket").cogroup(wanted.groupBy("bucket")).applyInPandas(_answer(denominator), "batch string, docs binary, known binary, logs binary")
-    more = answers.groupBy("batch").applyInPandas(_gather, "batch string, row int, more_known long, more double")
-    rows = parts.where("row is not null").select("batch", "row", "doc_id", "n", "known", "base", "score")
-    add = F.coalesce("more", F.lit(0.0))
-    return rows.join(more, ["batch", "row"], "left").select(
-        "doc_id", F.col("n").alias("n_tokens"), (F.col("known") + F.coalesce("more_known", F.lit(0))).alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"),
-        (F.col("base") + add).alias("base_score"), (F.col("score") + add).alias("score"),
-    )
+    denominator = float(n_tokens + n_types + 1)
+    sums = None
+    for n, table in enumerate(_model(train, words, order, least_count, denominator, buckets), 1):
+        asked = docs.select("th", "text").mapInArrow(_ask(n, buckets), "batch string, bucket long, keys binary, sizes binary, docs binary, th binary, n binary")
+        dealt = table.withColumn("bucket", F.pmod("k", F.lit(buckets).cast("long")))
+        answers = asked.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(_answer(n, denominator), "batch string, docs binary, known binary, base binary, score binary, th binary, n binary")
+        found = answers.groupBy("batch").applyInPandas(_gather, "th long, n long, known long, base double, score double").dropDuplicates(["th"])
+        part = materialize(found if n == 1 else found.select("th", F.col("score").alias(f"score{n}")), "scores")
+        discard(table)
+        sums = part if sums is None else sums.join(part, "th")
+    score = sum((F.col(f"score{n}") for n in range(2, order + 1)), F.col("score"))
+    return docs.select("doc_id", "th").join(sums, "th").select("doc_id", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"))
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

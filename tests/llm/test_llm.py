@@ -119,6 +119,31 @@ def test_lm(spark, odd):
     assert (backoff_lm.score_documents(odd, odd.limit(0)).toPandas().n_known == 0).all()
 
 
+def test_lm_keeps_from_the_same_count_at_every_size(spark):
+    # 4,000,000 tokens and more, so a least share of 1e-6 of them would ask for more than the three times "x y z" has
+    rng = random.Random(1)
+    texts = [(i, "a b c d " * 1000) for i in range(1001)] + [(2000 + i, f"x y z q{i}") for i in range(3)] + [(3000, "x y z"), (3001, "y z u u"), (3002, "z x y"), (3003, " ".join(rng.choice("abcdxyz") for _ in range(500)))]
+    docs = frame(spark, texts)
+    train = docs.where("doc_id < 3000")
+    got = {r.doc_id: r.score for r in backoff_lm.score_documents(docs, train).where("doc_id >= 2000").collect()}
+    tokens = [[*t.split(), ""] for i, t in texts if i < 3000]
+    count = [Counter(tuple(t[k : k + n]) for t in tokens for k in range(len(t) - n + 1)) for n in (1, 2, 3)]
+    words = sorted(count[0])
+    place = {w[0]: k for k, w in enumerate(words)}
+    grams = []
+    for c in count[1:]:
+        kept = {g: m for g, m in c.items() if m >= 3}
+        grams.append((np.array([[place[w] for w in g] for g in kept], np.int32), np.array(list(kept.values()))))
+    total = sum(count[0].values())
+    machine = backoff_lm.build(np.arange(len(words), dtype=np.uint64), np.array([count[0][w] for w in words]), grams, total, len(words))
+    assert total > 4_000_000
+    for i, t in texts:
+        if i >= 2000:
+            ids = np.array([place.get(w, -1) for w in [*t.split(), ""]])
+            want = machine.walk(ids, np.array([len(ids)]))[0] + (ids < 0).sum() * math.log10(1 / (total + len(words) + 1))
+            assert abs(got[i] - want) < 1e-6
+
+
 def test_automaton_sums_to_one():
     rng = np.random.default_rng(2)
     text = rng.choice(6, 4000, p=[0.4, 0.25, 0.15, 0.1, 0.06, 0.04])
