@@ -1,6 +1,6 @@
 """Line dedup as an exact set-similarity join.
 
-A line's tokens are its distinct five-word shingles. They are ordered by rarity: by the class (power of two) of a count
+A line's tokens are its distinct five-word shingles; shorter lines match equal ones alone. Tokens are ordered by rarity: by the class (power of two) of a count
 over all lines of all documents, kept in a table of fixed size by hash, then by hash. Lines that share no token in their
 prefixes cannot be similar; those that do must also pass the length and positional filters before their sets are compared.
 Of each pair of similar lines, the later in the order of doc_id and line goes.
@@ -34,8 +34,9 @@ BROADCAST_BYTES = 64 << 20
 
 
 def _lines(data: np.ndarray, offsets: np.ndarray, i: int, j: int, least_words: int, size: int):
-    """Of documents i to j-1 the lines of at least least_words (and size) words: document, line_no and lid of each; and for
-    each of their shingles the hash (57 bits) and its line."""
+    """Of documents i to j-1 the lines of at least least_words words (and one): document, line_no and lid of each; and for
+    each of their shingles the hash (57 bits) and its line. A line of fewer than size words is one shingle, which only
+    equal lines share, so its lid says all of it and no hash is given."""
     lo, hi = int(offsets[i]), int(offsets[j])
     breaks = np.flatnonzero(data[lo:hi] == 10) + lo
     many = np.diff(np.searchsorted(breaks, offsets[i : j + 1])) + 1
@@ -46,7 +47,7 @@ def _lines(data: np.ndarray, offsets: np.ndarray, i: int, j: int, least_words: i
     start[first], start[inner], start[-1] = offsets[i:j], breaks + 1, hi
     h, line = hash_words(data, start, 0, len(start) - 1, "space")
     words = np.bincount(line, minlength=len(start) - 1)
-    chosen = np.flatnonzero(words >= max(least_words, size))
+    chosen = np.flatnonzero(words >= max(least_words, 1))
     end = np.cumsum(words)
     up, down = powers(len(h) + 1)
     total = np.zeros(len(h) + 1, U64)
@@ -123,7 +124,7 @@ def _token_sets(least_words: int, size: int):
         for batch in batches:
             data, offsets = text_buffer(batch["text"])
             for i, j in doc_chunks(offsets):
-                _, _, lid, tokens, line = _lines(data, offsets, i, j, least_words, size)
+                _, _, lid, tokens, line = _lines(data, offsets, i, j, max(least_words, size), size)
                 fresh = _unseen(lid, seen)
                 keep = fresh[line]
                 tokens, line = _ordered(tokens[keep], line[keep], len(lid))
@@ -143,7 +144,7 @@ def _postings(least_words: int, size: int, percent: int, buckets: int, rarity: n
             data, offsets = text_buffer(batch["text"])
             found = []
             for i, j in doc_chunks(offsets):
-                _, _, lid, tokens, line = _lines(data, offsets, i, j, least_words, size)
+                _, _, lid, tokens, line = _lines(data, offsets, i, j, max(least_words, size), size)
                 keep = _unseen(lid, seen)[line]
                 tokens, line = tokens[keep], line[keep]
                 keys = rarity[(tokens & U64(SLOTS - 1)).view(np.int64)] | tokens
@@ -266,7 +267,7 @@ def lines_with_earlier_match(docs: DataFrame, scan: DataFrame, first: DataFrame,
     return near
 
 
-def removed_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 5) -> DataFrame:
+def removed_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 1) -> DataFrame:
     """(doc_id, th, gone): for each document with such lines the numbers, from 0, of the lines that match an earlier one."""
     small_batches(docs.sparkSession)
     docs = docs.select("doc_id", "text")
@@ -284,11 +285,11 @@ def removed_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words
     return gone
 
 
-def dedup_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 5) -> DataFrame:
+def dedup_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 1) -> DataFrame:
     """docs with the lines removed that match an earlier line of any document; adds n_lines, n_gone and changed text.
 
     Lines end at a newline. Words are runs without ASCII white space, A-Z lower-cased. Lines of fewer than `least_words`
-    words (at least `size`) never match. Two lines match when their distinct word shingles of `size` reach percent /
+    words, and blank ones, never match; a line of fewer than `size` words is one shingle, so it matches equal lines alone. Two lines match when their distinct word shingles of `size` reach percent /
     100 of Jaccard similarity; of all matching lines only those without an earlier match stay. Earlier means a smaller
     doc_id (null last), then a smaller line number; rows that repeat doc_id and text are one document and keep the same
     lines. Null text stays null; empty tables stay empty. Columns of docs are kept as they are, named alike or not.
@@ -304,11 +305,11 @@ def dedup_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words:
     return met.select(*others, F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_gone"))
 
 
-def without_repeats(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 5) -> DataFrame:
+def without_repeats(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 1) -> DataFrame:
     """dedup_lines for a pipeline: the columns of docs, n_chars counted anew. A document that lost lines and has no line
-    of `least_words` words left goes as a whole."""
+    of `size` words left goes as a whole."""
     out = dedup_lines(docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_gone")]), size, percent, least_words)
-    long_line = F.exists(F.split("text", "\n"), lambda x: F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "")) >= least_words)
+    long_line = F.exists(F.split("text", "\n"), lambda x: F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "")) >= size)
     out = out.where((F.col("n_gone") == 0) | long_line)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_gone") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
@@ -316,8 +317,9 @@ def without_repeats(docs: DataFrame, size: int = 5, percent: int = 80, least_wor
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Removes repeated and similar lines from all documents: doc_id, n_lines, n_gone, and the text that is left."""
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """Removes repeated and similar lines from all documents: doc_id, n_lines, n_gone, and the text that is left. As its SQL
+    says, lines of fewer than five words stay."""
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_words=5)
     return out.select("doc_id", "n_lines", "n_gone", "text")
 
 

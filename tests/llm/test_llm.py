@@ -86,6 +86,14 @@ def test_line_dedup_odd(spark, odd):
     assert line_dedup.dedup_lines(odd.drop("n_lines").limit(0)).count() == 0
 
 
+def test_short_lines_match_equal_ones(spark):
+    docs = frame(spark, [(0, "Two words\n\nkept here\n\n漢字漢字"), (1, "two  WORDS\nthe rest of this line is kept\n漢字漢字\n \nnew"), (2, "words two\nnew\ntwo words more\none two three four"), (3, "one two three four five")])
+    got = {r.doc_id: (r.n_gone, r.text) for r in line_dedup.dedup_lines(docs.drop("n_lines", "th")).collect()}
+    assert got[0] == (0, "Two words\n\nkept here\n\n漢字漢字") and got[1] == (2, "the rest of this line is kept\n \nnew")
+    assert got[2] == (1, "words two\ntwo words more\none two three four") and got[3][0] == 0
+    assert {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()}[1] == got[1][1]
+
+
 def test_decontamination_odd(spark, odd):
     bench = spark.createDataFrame([(1, "A b"), (2, None), (3, ""), (None, "lone lone")], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contamination(odd, bench).collect()}
