@@ -18,7 +18,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def dedup_document_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Removes lines that match an earlier line; documents left without any line of five words go."""
+    """Removes lines that match an earlier line; documents left without any line that is not blank go."""
     return without_repeats(docs)
 
 

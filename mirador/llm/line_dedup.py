@@ -306,11 +306,10 @@ def dedup_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words:
 
 
 def without_repeats(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 1) -> DataFrame:
-    """dedup_lines for a pipeline: the columns of docs, n_chars counted anew. A document that lost lines and has no line
-    of `size` words left goes as a whole."""
+    """dedup_lines for a pipeline: the columns of docs, n_chars counted anew. A document that lost lines goes
+    as a whole only where no line, or only blank ones, are left."""
     out = dedup_lines(docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_gone")]), size, percent, least_words)
-    long_line = F.exists(F.split("text", "\n"), lambda x: F.size(F.filter(F.split(x, r"[\x20\x09-\x0D]+"), lambda w: w != "")) >= size)
-    out = out.where((F.col("n_gone") == 0) | long_line)
+    out = out.where((F.col("n_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_gone") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
     return out.select(*docs.columns)

@@ -94,6 +94,12 @@ def test_short_lines_match_equal_ones(spark):
     assert {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()}[1] == got[1][1]
 
 
+def test_documents_of_short_lines_stay(spark):
+    licence = "this long licence line is shared by all"
+    docs = frame(spark, [(0, licence), (1, f"{licence}\nfour short\nlines of\n漢字かな"), (2, f"{licence}\n \t\n")])
+    assert {r.doc_id: r.text for r in line_dedup.without_repeats(docs).collect()} == {0: licence, 1: "four short\nlines of\n漢字かな"}
+
+
 def test_decontamination_odd(spark, odd):
     bench = spark.createDataFrame([(1, "A b"), (2, None), (3, ""), (None, "lone lone")], "item_id long, text string")
     got = {r.doc_id: r for r in decontaminate.contamination(odd, bench).collect()}
