@@ -16,7 +16,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mirador.llm.common import U64, discard, hashes, local_labels, materialize, mix, n_buckets, release, releasing, shingle_sets, small_batches
@@ -258,16 +258,9 @@ def _verify(size: int, percent: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text; further columns are ignored).
-
-    Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct `size`-word shingles, or the
-    whole sequence where there are fewer words. Rows link when 100 * intersection >= percent * union. component_id is the
-    smallest doc_id that links reach, the row's own where nothing links. Null and empty texts have n_shingles 0 and link
-    with nothing. Repeated rows are returned as often as they come; a row whose doc_id is null keeps null unless
-    something with an id is linked to it. An empty table gives an empty result. Sets and shingles are compared by 64-bit
-    hashes.
-    """
+def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
+    """What jaccard_components gives, and th, the hash of the text, and root, which is null for texts without a shingle
+    and else the same for all rows of a component."""
     small_batches(docs.sparkSession)
     base = docs.select("doc_id", "text")
     buckets = n_buckets(base)
@@ -306,19 +299,41 @@ def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> Dat
     roots = materialize(links.toDF("node", "root"), "links") if (most or 0) <= 1 else connected_components(links)
     where = classes.join(roots, classes.k == roots.node, "left").select("k", "first", F.coalesce("root", "k").alias("root"))
     least = where.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = materialize(where.join(least, "root").select("k", "component_id"), "components")
-    return rows.join(of, "k", "left").select("doc_id", "n_shingles", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+    of = materialize(where.join(least, "root").select("k", "root", "component_id"), "components")
+    return rows.join(of, "k", "left").select("doc_id", "th", "root", "n_shingles", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
+
+
+def jaccard_components(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of docs (doc_id, text; further columns are ignored).
+
+    Words are runs without ASCII white space, A-Z lower-cased; a set holds the distinct `size`-word shingles, or the
+    whole sequence where there are fewer words. Rows link when 100 * intersection >= percent * union. component_id is the
+    smallest doc_id that links reach, the row's own where nothing links. Null and empty texts have n_shingles 0 and link
+    with nothing. Repeated rows are returned as often as they come; a row whose doc_id is null keeps null unless
+    something with an id is linked to it. An empty table gives an empty result. Sets and shingles are compared by 64-bit
+    hashes.
+    """
+    return _components(docs, size, percent).select("doc_id", "n_shingles", "component_id")
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
-    """docs without the documents whose component has one with a smaller doc_id; of rows that repeat a doc_id, one stays."""
-    gone = materialize(jaccard_components(docs, size, percent).where("component_id < doc_id").select("doc_id").distinct(), "gone")
-    again = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 and doc_id is not null").select("doc_id")
-    kept = docs.join(gone, "doc_id", "left_anti")
+    """docs with one row of each component: that of the smallest doc_id, null last, then of the smallest text hash. Rows that
+    repeat doc_id and text are one document, of which the row with the smallest hash of all columns stays; texts without a
+    shingle are in no component, and of those without doc_id all stay."""
+    found = materialize(_components(docs, size, percent).select("doc_id", "th", "root"), "members")
+    at = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("th").alias("t"))
+    best = found.where("root is not null").groupBy("root").agg(F.min(at).alias("best"), F.count("*").alias("n")).where("n > 1").select("root", "best")
+    pair = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
+    same = docs.doc_id.eqNullSafe(F.col("_id")) & (hashes() == F.col("_th"))
+    gone = materialize(pair(found.join(best, "root").where(at > F.col("best"))).distinct(), "gone")
+    again = found.where("doc_id is not null or root is not null").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1")
+    again = materialize(pair(again), "again")
+    kept = docs.join(gone, same, "left_anti")
     if again.isEmpty():
         return kept.select(*docs.columns)
-    once, more = kept.join(again, "doc_id", "left_anti"), kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return once.select(*docs.columns).union(more.select(*docs.columns))
+    once, more = kept.join(again, same, "left_anti"), kept.join(again, same, "left_semi").withColumn("_th", hashes())
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy(F.xxhash64(*docs.columns)))
+    return once.select(*docs.columns).union(more.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

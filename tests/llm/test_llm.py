@@ -42,6 +42,13 @@ def test_jaccard(spark, odd):
     assert jaccard_join.jaccard_components(odd.limit(0)).count() == 0
 
 
+def test_keep_one_row_of_each_component(spark):
+    a, b = "one text of six words here", "quite another text that shares nothing"
+    docs = frame(spark, [(1, a), (1, b), (1, b), (2, b), (-1, a), (-1, "lines of no one at all"), (-1, "lines of no one at all"), (3, None), (-1, ""), (-1, None)])
+    got = sorted(((r.doc_id, r.text or "") for r in jaccard_join.keep_one(docs).collect()), key=str)
+    assert got == sorted([(1, a), (1, b), (None, "lines of no one at all"), (3, ""), (None, ""), (None, "")], key=str)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_trie_against_brute_force(seed):
     rng = np.random.default_rng(seed)
