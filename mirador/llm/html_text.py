@@ -2,7 +2,8 @@
 
 Pass one classifies each block by its length, the density of stop words and the density of linked text; blocks inside
 menus, asides, forms, adverts, comments and the like are bad from the start. Pass two gives ambiguous blocks the label of
-the nearest decided neighbour in the same container. Where a page marks its article, the blocks outside it are dropped.
+the nearest decided neighbour in the same container. Where a page marks its article, this is a prior: blocks in it are taken
+for one step better than their measures, and for blocks outside it the edges count as bad; no block is dropped for its place.
 """
 
 from __future__ import annotations
@@ -46,6 +47,8 @@ _TOKEN = re.compile(
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"\w+")
 _SPLIT_NAME = re.compile(r"[^a-z]+")
+#: Names with these parts say what else there is on a page, not what the element is.
+_ABOUT_OTHERS = frozenset("has have with without no".split())
 
 
 @dataclass(frozen=True)
@@ -66,17 +69,26 @@ class _Block:
     bad: bool
     zone: int
     heading: bool
+    held: bool = False  # bad only for the name of the article or of what holds it
     label: str = ""
 
 
-def _is_bad(tag: str, attrs: str, inside: bool) -> bool:
+def _bad_name(value: str) -> bool:
+    for name in value.split():
+        parts = _SPLIT_NAME.split(name)
+        if not _BAD_NAMES.isdisjoint(parts) and _ABOUT_OTHERS.isdisjoint(parts):
+            return True
+    return False
+
+
+def _is_bad(tag: str, attrs: str, inside: bool, names: bool = True) -> bool:
     if tag in _BAD_TAGS or tag == "header" and not inside:
         return True
     if not attrs:
         return False
     for name, value in _ATTR.findall(attrs):
         name, value = name.lower(), value.strip("\"'").lower()
-        if name in ("class", "id") and not _BAD_NAMES.isdisjoint(_SPLIT_NAME.split(value)) and tag not in ("body", "html"):
+        if names and name in ("class", "id") and _bad_name(value) and tag not in ("body", "html"):
             return True
         if name == "role" and value in _BAD_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return True
@@ -85,20 +97,21 @@ def _is_bad(tag: str, attrs: str, inside: bool) -> bool:
 
 def _blocks(page: str) -> list[_Block]:
     out: list[_Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, bad, a main container
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, bad, a main container, bad by name alone and not inside a main container
     parts: list[str] = []
-    state = {"links": 0, "bad": 0, "main": 0, "zone": 0, "linked": 0, "heading": False}
+    state = {"links": 0, "bad": 0, "named": 0, "main": 0, "zone": 0, "linked": 0, "heading": False}
 
     def close() -> None:
         text = " ".join(html_lib.unescape("".join(parts)).split()) if parts else ""
         if text:
-            out.append(_Block(text, state["linked"], state["bad"] > 0, state["zone"] if state["main"] else 0, state["heading"]))
+            out.append(_Block(text, state["linked"], state["bad"] > 0, state["zone"] if state["main"] else 0, state["heading"], state["main"] > 0 and state["bad"] == state["named"] > 0))
         parts.clear()
         state["linked"] = 0
 
     def pop() -> None:
-        tag, bad, main = stack.pop()
+        tag, bad, main, named = stack.pop()
         state["bad"] -= bad
+        state["named"] -= named
         state["main"] -= main
         state["links"] -= tag == "a"
 
@@ -121,10 +134,10 @@ def _blocks(page: str) -> list[_Block]:
                     while stack and stack[-1][0] == "a":
                         pop()
                 elif not (m["attrs"] or "").endswith("/"):
-                    stack.append(("a", False, False))
+                    stack.append(("a", False, False, False))
                     state["links"] += 1
             elif tag not in _VOID and not m["end"] and _is_bad(tag, m["attrs"], True):
-                stack.append((tag, True, False))
+                stack.append((tag, True, False, False))
                 close()
                 state["bad"] += 1
             elif m["end"] and any(x[0] == tag for x in stack):
@@ -148,13 +161,16 @@ def _blocks(page: str) -> list[_Block]:
         if tag in _VOID:
             continue
         bad = _is_bad(tag, m["attrs"], state["main"] > 0)
-        main = (tag in ("article", "main") or 'role="main"' in m["attrs"] or "articlebody" in m["attrs"].lower()) and not bad
+        main = (tag in ("article", "main") or 'role="main"' in m["attrs"] or "articlebody" in m["attrs"].lower())
+        named = bad and not state["main"] and not _is_bad(tag, m["attrs"], False, False)
+        main = main and (not bad or named)
         if main and not state["main"]:
             while any(x[1] and x[0] in ("nav", "header", "footer", "aside", "head") for x in stack):  # left open before the article
                 pop()
             state["zone"] += 1
-        stack.append((tag, bad, main))
+        stack.append((tag, bad, main, named))
         state["bad"] += bad
+        state["named"] += named
         state["main"] += main
         state["heading"] = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
     if at < len(page):
@@ -171,21 +187,33 @@ def _stop_density(text: str) -> float:
 def _first_pass(b: _Block, rules: Rules) -> str:
     if b.bad or b.linked > rules.most_links * len(b.text):
         return "bad"
-    if b.zone:  # the page itself says that this is its article: only blocks of links are doubtful
-        return "good" if len(b.text) >= rules.short else "ambiguous"
-    density = _stop_density(b.text)
     if len(b.text) < rules.short:
         return "ambiguous"
+    density = _stop_density(b.text)
     if density >= rules.stop_high:
-        return "good" if len(b.text) > rules.long else "near"
+        return "good" if len(b.text) > rules.long or b.zone else "near"
     if density >= rules.stop_low:
-        return "near"
-    return "bad" if len(b.text) > rules.long else "ambiguous"
+        return "good" if b.zone else "near"
+    if len(b.text) > rules.long:
+        return "ambiguous" if b.zone else "bad"
+    return "ambiguous"
+
+
+def _lift(blocks: list[_Block], rules: Rules) -> None:
+    """An article is not bad for its name, or that of a wrapper, if the page has no other and less good text elsewhere."""
+    held = [b for b in blocks if b.held]
+    if not held or any(b.zone and not b.bad for b in blocks):
+        return
+    if sum(len(b.text) for b in held) > sum(len(b.text) for b in blocks if not b.bad and _first_pass(b, rules) in ("good", "near")):
+        for b in held:
+            b.bad = False
 
 
 def _second_pass(blocks: list[_Block]) -> None:
     """Ambiguous blocks take the label of the nearest decided block of their zone; on a tie, or with none, zone blocks are
-    good, and others good only if both sides are. Near-good blocks become good unless both sides are bad."""
+    good, and others good only if both sides are. Near-good blocks become good unless both sides are bad. For blocks outside
+    the article of a page that has one, a side without a decided block is bad."""
+    marked = any(b.zone for b in blocks)
     first = [b.label for b in blocks]
     before: list[int] = []
     last = -1
@@ -205,6 +233,8 @@ def _second_pass(blocks: list[_Block]) -> None:
         b = blocks[i]
         left = (first[before[i]], i - before[i]) if before[i] >= 0 else None
         right = (first[last], last - i) if last < len(blocks) else None
+        if marked and not b.zone:
+            left, right = left or ("bad", len(blocks)), right or ("bad", len(blocks))
         if first[i] == "near":
             b.label = "bad" if left and right and left[0] == right[0] == "bad" else "good"
         elif left and right and left[1] == right[1] and left[0] != right[0] or not (left or right):
@@ -220,13 +250,11 @@ def extract(page: str | None, rules: Rules = Rules()) -> str:  # noqa: B008
     if not page:
         return ""
     blocks = _blocks(page)
+    _lift(blocks, rules)
     for b in blocks:
         b.label = _first_pass(b, rules)
     _second_pass(blocks)
-    good = [b for b in blocks if b.label == "good"]
-    if any(b.zone for b in good):
-        good = [b for b in good if b.zone]
-    return " ".join(b.text for b in good)
+    return " ".join(b.text for b in blocks if b.label == "good")
 
 
 def extract_pages(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008

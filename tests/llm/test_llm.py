@@ -212,6 +212,16 @@ def test_html():
     assert html_text.extract("<" * 5000 + "a" * 5000 + '"' * 5000) is not None
 
 
+def test_html_article_is_a_prior():
+    want = " ".join(("The cat sat on the mat and it was happy with the day. " * 5).split())
+    teaser = "<article>It is the story of the dog that had to go to the sea.</article>"
+    assert want in html_text.extract(f"<body><div><p>{want}</p></div>{teaser}</body>")
+    for wrapper in ("has-sidebar", "sidebar-right comments-open"):
+        assert html_text.extract(f"<body><nav>Home</nav><div class='{wrapper}'><article><p>{want}</p></article></div></body>") == want
+    assert html_text.extract(f"<body><div><p>{want}</p></div><div class=sidebar>{teaser}</div></body>") == want
+    assert html_text.extract(f"<body><article><p>{want}</p></article><div><p>{'Price list item number five. ' * 8}</p></div></body>") == want
+
+
 def test_language(spark):
     import pandas as pd
 
