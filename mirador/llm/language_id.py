@@ -17,8 +17,8 @@ from mirador.llm.common import U64, mix, small_batches
 #: Hashed n-gram features, and the n-gram lengths in characters.
 FEATURES = 1 << 16
 LENGTHS = (1, 2, 3)
-#: The classifier is fitted on so many labelled texts (those of smallest hash), of each so many characters.
-FIT_ROWS, FIT_CHARS = 6000, 20000
+#: The classifier is fitted on about so many labelled texts, drawn by hash, and on about LANG_ROWS or all of each language.
+FIT_ROWS, LANG_ROWS = 6000, 50
 UNDETERMINED = "und"
 _MULT = [U64(0x9E3779B97F4A7C15), U64(0xC2B2AE3D27D4EB4F), U64(0x165667B19E3779F9)]
 
@@ -101,22 +101,19 @@ def softmax(z: np.ndarray) -> np.ndarray:
     return e / e.sum(1, keepdims=True)
 
 
-def fit(texts: list[str], labels: list[str], idf: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, epochs: int = 3, batch: int = 16, scale: float = 30.0, seed: int = 7) -> LanguageModel:
-    """FTRL-proximal over mini-batches; every fifth text is held back to set the temperature."""
+def fit(counts: list[tuple[np.ndarray, np.ndarray, int]], labels: list[str], idf: np.ndarray, alpha: float = 0.5, beta: float = 1.0, l1: float = 1e-3, l2: float = 1e-3, epochs: int = 3, batch: int = 16, scale: float = 30.0, seed: int = 7) -> LanguageModel:
+    """FTRL-proximal over mini-batches; every fifth text is held back to set the temperature. counts: for each text its
+    distinct features, how often each comes, and its number of characters."""
     classes = sorted(set(labels))
     if not classes:
         return LanguageModel([], np.zeros((FEATURES, 0), np.float32), np.zeros(0))
     y = np.array([classes.index(x) for x in labels])
-    rows = []
-    for t in texts:
-        grams, sizes = ngrams([t])
-        f, c = np.unique(grams, return_counts=True)
-        rows.append((f, c / sizes[0] * idf[f] * scale))
+    rows = [(f, c / size * idf[f] * scale) for f, c, size in counts]
     n, k = FEATURES + 1, len(classes)
     z, g2, w = np.zeros((n, k)), np.zeros((n, k)), np.zeros((n, k))
     order = np.random.default_rng(seed)
-    held = np.arange(len(texts)) % 5 == 4
-    train = np.flatnonzero(~held) if (~held).any() else np.arange(len(texts))
+    held = np.arange(len(rows)) % 5 == 4
+    train = np.flatnonzero(~held) if (~held).any() else np.arange(len(rows))
     for _ in range(epochs):
         order.shuffle(train)
         for b in range(0, len(train), batch):
@@ -137,7 +134,7 @@ def fit(texts: list[str], labels: list[str], idf: np.ndarray, alpha: float = 0.5
             w[used] = np.where(np.abs(zu) <= l1, 0.0, -(zu - np.sign(zu) * l1) / ((beta + np.sqrt(g2[used])) / alpha + l2))
     model = LanguageModel(classes, (w[:FEATURES] * (idf * scale)[:, None]).astype(np.float32), w[FEATURES])
     check = np.flatnonzero(held) if held.any() else train
-    logits, truth = model.logits([texts[i] for i in check]), y[check]
+    logits, truth = np.stack([counts[i][1] @ model.weights[counts[i][0]] / counts[i][2] for i in check]) + model.bias, y[check]
     grid = np.geomspace(0.05, 20, 61)
     model.temperature = float(min(grid, key=lambda t: -np.log(softmax(logits / t)[np.arange(len(check)), truth] + 1e-12).mean()))
     return model
@@ -160,8 +157,20 @@ def _document_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
     yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(count[at])], ["f", "n"])
 
 
+def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text with a letter the distinct features, their counts and the number of characters."""
+    for batch in batches:
+        for k, t in enumerate(batch["text"].to_pylist()):
+            if has_letter(t):
+                grams, sizes = ngrams([t])
+                f, c = np.unique(grams, return_counts=True)
+                blobs = [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (f, c)]
+                yield pa.RecordBatch.from_arrays([batch["h"][k : k + 1], batch["lang"][k : k + 1], *blobs, pa.array(sizes[:1])], ["h", "lang", "f", "c", "size"])
+
+
 def train_language_model(docs: DataFrame) -> LanguageModel:
-    """Fits on docs (doc_id, text, lang): inverse document frequencies over all rows with a lang, weights on FIT_ROWS."""
+    """Fits on docs (doc_id, text, lang): inverse document frequencies over all rows with a lang, weights on
+    whole texts of about FIT_ROWS of them, with at least about LANG_ROWS of each language that has so many."""
     small_batches(docs.sparkSession)
     labelled = docs.where("lang is not null and text is not null").select("doc_id", "text", "lang")
     counts = labelled.select("text").mapInArrow(_document_counts, "f int, n long").groupBy("f").agg(F.sum("n").alias("n")).toPandas()  # FEATURES + 1 rows at most
@@ -169,11 +178,14 @@ def train_language_model(docs: DataFrame) -> LanguageModel:
     df[counts["f"].to_numpy(np.int64)] = counts["n"].to_numpy()
     idf = np.log((1 + df[FEATURES]) / (1 + df[:FEATURES])) + 1
     hashed = labelled.withColumn("h", F.xxhash64("doc_id", "text"))
-    # the hash that FIT_ROWS rows do not exceed is found without their texts, so that only those texts go to the driver
-    cut = hashed.select("h").orderBy("h").limit(FIT_ROWS).agg(F.max("h")).first()[0]
-    sample = hashed.where(F.col("h") <= cut).select("h", F.substring("text", 1, FIT_CHARS).alias("text"), "lang").limit(2 * FIT_ROWS).toPandas().sort_values(["h", "text"], kind="stable") if cut is not None else pd.DataFrame({"text": [], "lang": []})
-    keep = np.array([has_letter(t) for t in sample["text"]], bool)
-    return fit(sample["text"][keep].tolist(), sample["lang"][keep].tolist(), idf)
+    many = labelled.groupBy("lang").agg(F.count("*").alias("n")).toPandas()  # a row per language
+    rate = [max(FIT_ROWS / many["n"].sum(), LANG_ROWS / n) for n in many["n"]]
+    cut = [(1 << 63) - 1 if r >= 1 else int(r * (1 << 64)) - (1 << 63) for r in rate]
+    cuts = docs.sparkSession.createDataFrame(list(zip(many["lang"].tolist(), cut, strict=True)), "lang string, cut long")
+    chosen = hashed.join(F.broadcast(cuts), "lang").where("h <= cut").select("h", "text", "lang")
+    sample = chosen.mapInArrow(_sample_counts, "h long, lang string, f binary, c binary, size long").dropDuplicates(["h", "lang"]).toPandas().sort_values(["h", "lang"], kind="stable")
+    counts = [(np.frombuffer(f, np.int32), np.frombuffer(c, np.int32), n) for f, c, n in zip(sample["f"], sample["c"], sample["size"], strict=True)]
+    return fit(counts, sample["lang"].tolist(), idf)
 
 
 def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:

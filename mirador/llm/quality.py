@@ -14,12 +14,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import U64, doc_chunks, hash_words, mix, small_batches, text_buffer
+from mirador.llm.common import U64, doc_chunks, hash_words, hashes, mix, small_batches, text_buffer
 
 #: Hash buckets of words and of character n-grams together, the vectors' length, and n-gram lengths in bytes.
 BUCKETS, DIMENSION, LENGTHS = 1 << 17, 12, (3, 4)
-#: The classifier is fitted on so many labelled texts (those of smallest hash), of each so many bytes.
-FIT_ROWS, FIT_BYTES = 8000, 16000
+#: The classifier is fitted on so many labelled texts (those of smallest hash).
+FIT_ROWS = 8000
 
 
 def features(data: np.ndarray, offsets: np.ndarray, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,20 +60,17 @@ class QualityModel:
         return 1.0 / (1.0 + np.exp(-np.clip(out + self.bias, -35, 35)))
 
 
-def fit(texts: list[str], labels: np.ndarray, epochs: int = 6, rate: float = 4.0, seed: int = 3) -> QualityModel:
-    """Stochastic gradient descent, one document a step, the rate falling to 0; a feature counts as often as it occurs."""
-    if not len(texts) or labels.min() == labels.max():
+def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs: int = 6, rate: float = 4.0, seed: int = 3) -> QualityModel:
+    """Stochastic gradient descent, one document a step, the rate falling to 0. counts: for each document its distinct
+    features and how often each occurs."""
+    if not len(counts) or labels.min() == labels.max():
         p = float(labels[0]) if len(labels) else 0.5
         return QualityModel(np.zeros(BUCKETS, np.float32), float(np.log((p + 0.01) / (1.01 - p))))
-    data, offsets = text_buffer(pa.array(texts, pa.large_string()))
-    rows = []
-    for i in range(len(texts)):
-        f, c = np.unique(features(data, offsets, i, i + 1)[0], return_counts=True)
-        rows.append((f, (c / max(c.sum(), 1)).astype(np.float32)))
+    rows = [(f, (c / max(c.sum(), 1)).astype(np.float32)) for f, c in counts]
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (BUCKETS, DIMENSION)).astype(np.float32)
     out, bias = np.zeros((2, DIMENSION), np.float32), np.zeros(2, np.float32)
-    order, step, steps = np.arange(len(texts)), 0, epochs * len(texts)
+    order, step, steps = np.arange(len(rows)), 0, epochs * len(rows)
     for _ in range(epochs):
         rng.shuffle(order)
         for i in order:
@@ -98,12 +95,26 @@ def training_fold(col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % 5 != 0
 
 
+def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of each text the distinct features and their counts."""
+    for batch in batches:
+        data, offsets = text_buffer(batch["text"])
+        for i in range(len(offsets) - 1):
+            f, c = np.unique(features(data, offsets, i, i + 1)[0], return_counts=True)
+            blobs = [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (f, c)]
+            yield pa.RecordBatch.from_arrays([*(batch[k][i : i + 1] for k in ("doc_id", "th", "quality")), *blobs], ["doc_id", "th", "quality", "f", "c"])
+
+
 def train_quality_model(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """Fits on docs (doc_id, text) with labels (doc_id, quality): FIT_ROWS of the labelled documents of the training fold."""
     chosen = labels.where(training_fold() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").dropDuplicates(["doc_id"])
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
-    sample = docs.select("doc_id", F.substring(F.col("text"), 1, FIT_BYTES).alias("text")).join(F.broadcast(chosen), "doc_id").where("text is not null").orderBy("doc_id", "text").toPandas()
-    return fit(sample["text"].tolist(), sample["quality"].to_numpy(np.int64))
+    small_batches(docs.sparkSession)
+    sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", hashes().alias("th"), F.col("quality").cast("long").alias("quality"), "text")
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    found = sample.mapInArrow(_sample_counts, f"doc_id {kind}, th long, quality long, f binary, c binary").toPandas().sort_values(["doc_id", "th"], kind="stable")
+    counts = [(np.frombuffer(f, np.int32), np.frombuffer(c, np.int32)) for f, c in zip(found["f"], found["c"], strict=True)]
+    return fit(counts, found["quality"].to_numpy(np.int64))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, least: float = 0.3) -> DataFrame:

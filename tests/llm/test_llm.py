@@ -243,6 +243,21 @@ def test_quality(spark):
     assert quality.score_quality(empty, quality.fit([], np.zeros(0, np.int64))).count() == 2
 
 
+def test_whole_texts_and_rare_languages_are_learned(spark, monkeypatch):
+    pad = "1 " * 12000
+    texts = [(i, pad + ("aab bba " if i % 2 else "xxy yyx ") * 3000, "en" if i % 2 else "fr") for i in range(20)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, lang string")
+    out = language_id.identify(docs, language_id.train_language_model(docs)).toPandas()
+    assert (out.lang_pred == out.lang).all()
+    labels = spark.createDataFrame([(i, i % 2) for i in range(20)], "doc_id long, quality int")
+    table = quality.train_quality_model(docs, labels)
+    p = quality.score_quality(docs, table).toPandas().set_index("doc_id").score
+    assert p[p.index % 2 == 1].min() > p[p.index % 2 == 0].max()
+    monkeypatch.setattr(language_id, "FIT_ROWS", 100)
+    many = spark.createDataFrame([(i, f"aab bba {i}", "en") for i in range(3000)] + [(9000, "żółw ćma", "pl")], "doc_id long, text string, lang string")
+    assert "pl" in language_id.train_language_model(many).classes
+
+
 def test_nearest(spark):
     rng = np.random.default_rng(3)
     x = rng.normal(size=(3000, 16)).astype(np.float32)
