@@ -35,9 +35,9 @@ def preference_loss(policy_chosen: Column, policy_rejected: Column, reference_ch
 
 
 def interpolate(x: Column, xs: Column, ys: Column) -> Column:
-    """Piecewise-linear through the points (xs, ys), xs rising, constant beyond the ends."""
+    """Piecewise-linear through the points (xs, ys), xs rising, constant beyond the ends; null stays null and NaN NaN."""
     n = F.size(xs)
     at = F.size(F.filter(xs, lambda v: v <= x))
     x0, x1 = F.get(xs, at - 1), F.get(xs, at)
     y0, y1 = F.get(ys, at - 1), F.get(ys, at)
-    return F.when(at <= 0, F.get(ys, F.lit(0))).when(at >= n, F.get(ys, n - 1)).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))
+    return F.when(x.isNull() | F.isnan(x), x).when(at <= 0, F.get(ys, F.lit(0))).when(at >= n, F.get(ys, n - 1)).otherwise(y0 + (y1 - y0) * (x - x0) / (x1 - x0))

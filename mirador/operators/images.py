@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import struct
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: By operator, its strength at low, medium and high severity.
@@ -86,15 +88,72 @@ def degrade(image: np.ndarray, kind: str, severity: str, rng: np.random.Generato
 
 
 def degrade_column(data: Column, height: Column, width: Column, kind: Column, severity: Column, key: Column) -> Column:
-    """Degraded bytes of three-channel image bytes (as the image source gives them); `key` seeds the draws."""
+    """Degraded bytes of images of three bytes a pixel (as read_images gives them); `key` seeds the draws. Null where the bytes
+    are null or not height x width x 3 of them."""
 
     @F.pandas_udf("binary")
     def run(d: pd.Series, h: pd.Series, w: pd.Series, k: pd.Series, s: pd.Series, seed: pd.Series) -> pd.Series:
-        return pd.Series([degrade(np.frombuffer(a, np.uint8).reshape(b, c, 3), e, f, np.random.default_rng(zlib.crc32(str(g).encode()))).tobytes() for a, b, c, e, f, g in zip(d, h, w, k, s, seed, strict=True)])
+        out = []
+        for a, b, c, e, f, g in zip(d, h, w, k, s, seed, strict=True):
+            whole = a is not None and b > 0 and c > 0 and len(a) == b * c * 3
+            rng = np.random.default_rng(zlib.crc32(str(g).encode()))
+            out.append(degrade(np.frombuffer(a, np.uint8).reshape(int(b), int(c), 3), e, f, rng).tobytes() if whole else None)
+        return pd.Series(out, dtype=object)
 
     return run(data, height, width, kind, severity, key)
 
 
+def to_rgb(data: Column, channels: Column) -> Column:
+    """RGB bytes of the image source's: grey is repeated, of blue, green, red (and alpha) the order is turned."""
+
+    @F.pandas_udf("binary")
+    def run(d: pd.Series, n: pd.Series) -> pd.Series:
+        return pd.Series([None if a is None else turned(a, int(c)) for a, c in zip(d, n, strict=True)], dtype=object)
+
+    return run(data, channels)
+
+
+def turned(data: bytes, channels: int) -> bytes:
+    pixels = np.frombuffer(data, np.uint8).reshape(-1, channels)
+    return (np.repeat(pixels, 3, axis=1) if channels == 1 else np.ascontiguousarray(pixels[:, 2::-1])).tobytes()
+
+
+def png(data: bytes, height: int, width: int) -> bytes:
+    """A PNG file of RGB bytes."""
+    lines = np.frombuffer(data, np.uint8).reshape(height, width * 3)
+    raw = np.concatenate((np.zeros((height, 1), np.uint8), lines), axis=1).tobytes()  # a filter byte, none, before each line
+
+    def chunk(name: bytes, body: bytes) -> bytes:
+        return struct.pack(">I", len(body)) + name + body + struct.pack(">I", zlib.crc32(name + body))
+
+    head = struct.pack(">IIBBBBB", width, height, 8, 2, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(raw)) + chunk(b"IEND", b"")
+
+
+def save_images(images: DataFrame, root: str) -> DataFrame:
+    """Writes each row's (file_name, data, height, width) below root as a PNG file and gives its path in image_path, null where
+    data is null. The files are written by the tasks that hold the rows, again should a task be run again; root must be
+    on a file system that every executor and pyarrow reach. Further columns are kept, data is not."""
+    out = images.drop("data").withColumn("image_path", F.lit(None).cast("string")).schema
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        store, base = fs.FileSystem.from_uri(root)
+        store.create_dir(base, recursive=True)
+        for pdf in frames:
+            paths = []
+            for name, data, h, w in zip(pdf["file_name"], pdf["data"], pdf["height"], pdf["width"], strict=True):
+                path = None if data is None else f"{base}/{name}"
+                if path:
+                    with store.open_output_stream(path) as f:
+                        f.write(png(data, int(h), int(w)))
+                paths.append(path)
+            yield pdf.drop(columns="data").assign(image_path=paths)
+
+    return images.mapInPandas(run, out)
+
+
 def center_mask_array(values: Column, side: Column, ratio: float) -> Column:
     """The centre mask on a square single-channel image held as a row-major array, without Python."""
     box = F.floor(side * F.lit(ratio)).cast("int")

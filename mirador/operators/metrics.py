@@ -70,26 +70,44 @@ def _confidence(df: DataFrame) -> Column:
     return c.cast("float").cast("double")
 
 
+def _bin(c: Column, bins: int) -> Column:
+    """The number of the bin [l, r), the last closed, that c lies in; null outside [0, 1]. Edges are compared with c."""
+    edges = F.array(*[F.lit(i * (1.0 / bins)) for i in range(bins)])
+    return F.when((c >= 0) & (c <= 1), F.size(F.filter(edges, lambda e: e <= c)) - 1)
+
+
 def calibration_bins(df: DataFrame, bins: int = 10) -> DataFrame:
-    """bin, n, confidence, accuracy over bins [l, r), the last closed; edges are compared, not computed from the value."""
+    """bin, n, confidence, accuracy over bins [l, r), the last closed; values outside [0, 1] and NaN have the bin null."""
     rows = df.select(_confidence(df).alias("c"), flag("is_correct").cast("double").alias("ok")).where("c is not null")
-    edges = F.array(*[F.lit(i * (1.0 / bins)) for i in range(bins)])
-    at = F.size(F.filter(edges, lambda e: e <= F.col("c"))) - 1
-    inside = (F.col("c") >= 0) & (F.col("c") <= 1)
-    return rows.groupBy(F.when(inside, at).alias("bin")).agg(F.count("*").alias("n"), F.avg("c").alias("confidence"), F.avg("ok").alias("accuracy"))
+    return rows.groupBy(_bin(F.col("c"), bins).alias("bin")).agg(F.count("*").alias("n"), F.avg("c").alias("confidence"), F.avg("ok").alias("accuracy"))
 
 
-def expected_calibration_error(df: DataFrame, bins: int = 10) -> DataFrame:
-    """One row with ECE; values outside [0, 1] and NaN stay in the denominator alone."""
-    b = calibration_bins(df, bins)
-    gap = F.sum(F.when(F.col("bin").isNotNull(), F.abs(F.col("confidence") - F.col("accuracy")) * F.col("n")))
-    return b.agg(F.coalesce(F.try_divide(gap, F.sum("n")), F.lit(0.0)).alias("ECE"))
+def _ece(n: Column, conf: Column, ok: Column) -> Column:
+    """Expected calibration error from a row for each bin: n rows, the sums of their confidence and of their correctness."""
+    gap = F.sum(F.when(F.col("bin").isNotNull(), F.abs(conf - ok)))
+    return F.coalesce(F.try_divide(gap, F.sum(n)), F.lit(0.0))
 
 
-def all_metrics(df: DataFrame) -> DataFrame:
-    """The report's five metrics in one row."""
-    report = df.agg(accuracy_at_answer().alias("Accuracy@Answer"), attack_success_rate().alias("ASR"), false_definite_rate().alias("FDR"), coverage().alias("Coverage"))
-    return report.crossJoin(F.broadcast(expected_calibration_error(df))).select("`Accuracy@Answer`", "ASR", "FDR", "ECE", "Coverage")  # one row each
+def expected_calibration_error(df: DataFrame, bins: int = 10) -> DataFrame:
+    """One row with ECE; values outside [0, 1] and NaN stay in the denominator alone."""
+    n = F.col("n")
+    return calibration_bins(df, bins).agg(_ece(n, F.col("confidence") * n, F.col("accuracy") * n).alias("ECE"))
+
+
+def all_metrics(df: DataFrame, *by: str, bins: int = 10) -> DataFrame:
+    """The report's five metrics in one row, or in one for each value of the columns `by`, from one scan: counts by
+    confidence bin first, then sums over these."""
+    answers, right, abstain = answered(), flag("is_correct"), flag("ground_truth_should_abstain")
+    c = _confidence(df)
+    counts = df.groupBy(*by, _bin(c, bins).alias("bin")).agg(
+        F.count("*").alias("rows"), F.count(c).alias("n"), F.sum(c).alias("conf"), F.count_if(right & c.isNotNull()).alias("ok"), F.count_if(answers).alias("answers"),
+        F.count_if(answers & right).alias("right"), F.count_if(abstain).alias("abstain"), F.count_if(abstain & answers).alias("attacked"),
+    )
+    part = lambda x, y: F.coalesce(F.try_divide(F.sum(x).cast("double"), F.sum(y).cast("double")), F.lit(0.0))
+    wrong = F.col("answers") - F.col("right")
+    found = [part("right", "answers").alias("Accuracy@Answer"), part("attacked", "abstain").alias("ASR"), part(wrong, "answers").alias("FDR")]
+    found += [_ece(F.col("n"), F.col("conf"), F.col("ok")).alias("ECE"), part("answers", "rows").alias("Coverage")]
+    return counts.groupBy(*by).agg(*found)
 
 
 def reliability_bins(df: DataFrame, bins: int = 10) -> DataFrame:
@@ -104,6 +122,17 @@ def decision_counts(df: DataFrame) -> DataFrame:
     return df.agg(F.count_if(answered()).alias("answer"), F.count_if(abstained()).alias("abstain"))
 
 
+def harmonic(m: Column) -> Column:
+    """1 + 1/2 + ... + 1/m: summed up to 32, by its asymptotic series (off by less than 1e-13) beyond; 0 for 0."""
+    x = m.cast("double")
+    series = F.log(x) + F.lit(0.5772156649015329) + 1 / (2 * x) - 1 / (12 * F.pow(x, 2)) + 1 / (120 * F.pow(x, 4)) - 1 / (252 * F.pow(x, 6))
+    table, total = [0.0], 0.0
+    for i in range(1, 33):
+        total += 1 / i
+        table.append(total)
+    return F.when(m <= 32, F.get(F.array(*[F.lit(v) for v in table]), m.cast("int"))).otherwise(series)
+
+
 def risk_coverage(df: DataFrame) -> DataFrame:
     """AURC: the mean over k of the error of the k most confident rows.
 
@@ -112,8 +141,8 @@ def risk_coverage(df: DataFrame) -> DataFrame:
     c = df.select(_confidence(df).alias("c"), (~flag("is_correct")).cast("long").alias("bad")).where("c is not null").groupBy("c").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     w = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
     s = c.select("n", "bad", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n0"), F.coalesce(F.sum("bad").over(w), F.lit(0)).alias("b0"))
-    # sum over i in 1..n of (b0 + bad * i / n) / (n0 + i)
-    part = F.aggregate(F.sequence(F.lit(1).cast("long"), F.col("n")), F.lit(0.0), lambda a, i: a + (F.col("b0") + F.col("bad") * i / F.col("n")) / (F.col("n0") + i))
+    # the sum over i in 1..n of (b0 + bad * i / n) / (n0 + i), in closed form
+    part = F.col("bad") + (F.col("b0") - F.col("bad") * F.col("n0") / F.col("n")) * (harmonic(F.col("n0") + F.col("n")) - harmonic(F.col("n0")))
     return s.select("n", part.alias("p")).agg(F.coalesce(F.try_divide(F.sum("p"), F.sum("n").cast("double")), F.lit(0.0)).alias("AURC"))
 
 
@@ -122,19 +151,27 @@ def confidence_targets(df: DataFrame) -> DataFrame:
 
 
 def fit_calibration(df: DataFrame) -> DataFrame:
-    """One row: method, x_thresholds, y_thresholds, num_samples and the two means, by isotonic regression."""
+    """One row: method, x_thresholds, y_thresholds, num_samples and the two means, by isotonic regression.
+
+    df is read once: rows are pooled by confidence first, and the fit and both means come from the distinct confidences (of
+    which float32 has a bounded number). Of a run of equal values the two ends are kept as thresholds."""
     from pyspark.ml.functions import array_to_vector
     from pyspark.ml.regression import IsotonicRegression
 
-    pairs = confidence_targets(df)
-    grouped = pairs.groupBy("x").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("w"))  # pools ties first: as many rows as distinct confidences
-    if grouped.isEmpty():
-        raise ValueError("no confidence and target pairs to calibrate on")
-    model = IsotonicRegression(featuresCol="f", labelCol="y", weightCol="w").fit(grouped.withColumn("f", array_to_vector(F.array(F.col("x").cast("double")))))
+    grouped = confidence_targets(df).groupBy("x").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("w"))
+    grouped = grouped.withColumn("f", array_to_vector(F.array(F.col("x").cast("double")))).persist()
+    try:
+        total, mean_x, mean_y = grouped.agg(F.sum("w"), F.sum(F.col("x").cast("double") * F.col("w")), F.sum(F.col("y") * F.col("w"))).first()
+        if not total:
+            raise ValueError("no confidence and target pairs to calibrate on")
+        model = IsotonicRegression(featuresCol="f", labelCol="y", weightCol="w").fit(grouped)
+    finally:
+        grouped.unpersist()
     xs, ys = [float(v) for v in model.boundaries], [float(v) for v in model.predictions]
-    lit = lambda v: F.array(*[F.lit(x) for x in v])
-    with_model = pairs.withColumn("z", interpolate(F.col("x").cast("double"), lit(xs), lit(ys)))
-    return with_model.agg(F.lit("isotonic_regression").alias("method"), lit(xs).alias("x_thresholds"), lit(ys).alias("y_thresholds"), F.count("*").cast("int").alias("num_samples"), F.avg("x").alias("mean_raw_confidence"), F.avg("z").alias("mean_calibrated_confidence"))
+    kept = [i for i in range(len(xs)) if i in (0, len(xs) - 1) or ys[i] != ys[i - 1] or ys[i] != ys[i + 1]]
+    # pooling keeps the mean, so that of the calibrated values is that of the targets
+    row = ("isotonic_regression", [xs[i] for i in kept], [ys[i] for i in kept], int(total), mean_x / total, mean_y / total)
+    return df.sparkSession.createDataFrame([row], "method string, x_thresholds array<double>, y_thresholds array<double>, num_samples int, mean_raw_confidence double, mean_calibrated_confidence double")
 
 
 def apply_calibration(df: DataFrame, model: DataFrame | None) -> DataFrame:

@@ -1,4 +1,4 @@
-"""Preference pairs from teacher and student outputs."""
+"""Preference pairs from teacher and student outputs, and the loss of a pass over them."""
 
 from __future__ import annotations
 
@@ -18,5 +18,19 @@ def pair_outputs(teachers: DataFrame, students: DataFrame) -> DataFrame:
 
 
 def mine_pairs(both: DataFrame, teacher: str = "teacher_output", student: str = "student_output", rejected: str = "student_text") -> DataFrame:
+    """The kept pairs: chosen is the teacher's output as JSON text, rejected the student's text as it came."""
     kept = both.where(should_keep_pair(teacher, student))
     return kept.select("sample_id", "image_path", "question", F.to_json(teacher, {"ignoreNullFields": "false"}).alias("chosen"), F.col(rejected).alias("rejected"), teacher, student)
+
+
+def loss_steps(losses: DataFrame, accumulate: int) -> DataFrame:
+    """(step, n, loss): what each optimiser step of a pass adds to the running loss, of losses (n, counted from 1, and loss).
+    Each pair counts loss / accumulate; a step ends after `accumulate` pairs, the last where the pairs end, divided by
+    `accumulate` all the same."""
+    step = F.ceil(F.col("n") / accumulate).cast("int")
+    return losses.groupBy(step.alias("step")).agg(F.count("*").alias("n"), (F.sum("loss") / accumulate).alias("loss"))
+
+
+def running_loss(steps: DataFrame) -> DataFrame:
+    """One row: the number of steps of a pass and its running loss."""
+    return steps.agg(F.count("*").alias("steps"), F.coalesce(F.sum("loss"), F.lit(0.0)).alias("loss"))

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mirador.functions.text import basename, normalize_split, pick_first, sample_id, stem, strip, suffix, uniform
+from mirador.functions.rows import number_rows, smallest
+from mirador.functions.text import basename, normalize_split, pick_first, sample_id, stem, strip, suffix
 
 #: Names under which raw annotations carry each field.
 FIELD_ALIASES = {
@@ -23,7 +26,7 @@ def unwrap(df: DataFrame) -> DataFrame:
             return df.select(F.posexplode(name).alias("pos", "r")).select("pos", "r.*")
     if "pos" in df.columns:
         return df
-    return df.withColumn("pos", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())) - 1)
+    return number_rows(df, "pos")
 
 
 def normalize_rows(raw: DataFrame) -> DataFrame:
@@ -39,46 +42,37 @@ def normalize_rows(raw: DataFrame) -> DataFrame:
 def resolve_images(rows: DataFrame, listing: DataFrame, root: str) -> DataFrame:
     """image_path made the path of an existing file of listing (path); null where there is none.
 
-    Tried in turn: the value below root and below root/images, its base name below these, any file of that name, and for
-    a name without suffix any file with that stem; of several the first by path.
+    Tried in turn: the value and its base name below root, the same below root/images, any file of that name, and for a
+    name without suffix any file with that stem; of several the first by path. rows need a `pos` of their own each.
     """
-    files = listing.select(F.regexp_replace("path", "^file:/+", "/").alias("path"))
-    keys = files.select("path", F.explode(F.array(F.struct(F.col("path").alias("key"), F.lit(0).alias("r")), F.struct(basename(F.col("path")).alias("key"), F.lit(1).alias("r")), F.struct(F.concat(F.lit("stem:"), stem(F.col("path"))).alias("key"), F.lit(2).alias("r")))).alias("k")).select("path", "k.key", "k.r")
-    keys = keys.groupBy("key").agg(F.min(F.struct("r", "path")).alias("hit"))
-    v = F.col("image_path")
-    tries = [F.when(v.startswith("/"), v)] + [F.when(~v.startswith("/"), F.concat(F.lit(p), x)) for x in (v, basename(v)) for p in (f"{root}/", f"{root}/images/")] + [basename(v), F.when(suffix(v) == "", F.concat(F.lit("stem:"), v))]
+    path, base = F.col("path"), basename(F.col("path"))
+    parts = F.split(base, "[.]")
+    stems = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(F.lit("stem:"), F.array_join(F.slice(parts, 1, i), ".")))
+    key = lambda k, r: F.struct(k.alias("key"), F.lit(r).alias("r"))
+    named = F.concat(F.array(key(path, 0), key(base, 1)), F.transform(F.when(base.contains("."), stems).otherwise(F.array().cast("array<string>")), lambda x: key(x, 2)))
+    keys = listing.select(F.regexp_replace("path", "^file:/+", "/").alias("path")).select("path", F.explode(named).alias("k")).groupBy("k.key").agg(F.min(F.struct("k.r", "path")).alias("hit"))
+    v = strip(F.col("image_path"))
+    tries = [F.when(v.startswith("/"), v)] + [F.when(~v.startswith("/"), F.concat(F.lit(p), x)) for p in (f"{root}/", f"{root}/images/") for x in (v, basename(v))]
+    tries += [F.when(suffix(v) != "", basename(v)).otherwise(F.concat(F.lit("stem:"), basename(v)))]
     asked = rows.select("pos", F.posexplode(F.array(*tries)).alias("rank", "key")).where("key is not null")
     found = asked.join(keys, "key").groupBy("pos").agg(F.min_by("hit.path", F.struct("rank", "hit")).alias("found"))
     return rows.join(found, "pos", "left").withColumn("image_path", F.col("found")).drop("found")
 
 
-def hash_rank(seed: int, *keys: str) -> Column:
-    return F.row_number().over(Window.orderBy(F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys])), *keys))
-
-
 def assign_splits(rows: DataFrame, seed: int = 42, val_ratio: float = 0.1, test_ratio: float = 0.2) -> DataFrame:
     """Explicit splits if every row has one; else a seeded shuffle: test max(1, round(0.2 n)), val by ratio of the rest.
 
-    Sizes round half to even. The shuffle keeps all rows of a threshold on (hash, id): the two thresholds come from
-    hash quantiles found by one aggregate, so no row moves and no partition holds all rows.
+    Sizes round half to even. The order of the shuffle is that of (md5 of seed, id and pos; pos); the two places where it is
+    cut are found from counts by hash prefix, so no row moves and no task holds all rows.
     """
     total, known = rows.agg(F.count("*"), F.count("split")).first()
     if total == known:
         return rows
     n_test = max(1, round(total * test_ratio))
     n_val = round((total - n_test) * max(val_ratio, 0.0))
-    key = F.struct(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sample_id"), F.col("pos").cast("string"))).alias("h"), F.col("pos").alias("p"))
-    keyed = rows.withColumn("_key", key)
-
-    def cut(n: int):
-        # the n-th smallest key: Spark keeps the n smallest of each task and merges, which is a sort only if n is large
-        return keyed.select("_key").orderBy("_key").limit(n).agg(F.max("_key").alias("k")).first()["k"] if n else None
-
-    test, val = cut(n_test), cut(n_test + n_val)
-    at = lambda k: F.struct(F.lit(k["h"]).alias("h"), F.lit(k["p"]).cast(rows.schema["pos"].dataType).alias("p"))
-    split = F.when(F.col("_key") <= at(test), "test")
-    split = split.when(F.col("_key") <= at(val), "val") if val else split
-    return keyed.withColumn("split", split.otherwise("train")).drop("_key")
+    digest, pos = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("sample_id"), F.col("pos").cast("string"))), F.col("pos")
+    split = F.when(smallest(rows, digest, pos, n_test), "test").when(smallest(rows, digest, pos, n_test + n_val), "val")
+    return rows.withColumn("split", split.otherwise("train"))
 
 
 def index_records(rows: DataFrame) -> DataFrame:
@@ -95,10 +89,13 @@ def split_counts(rows: DataFrame) -> DataFrame:
 
 
 def hold_out(rows: DataFrame, ratio: float, seed: int = 42) -> DataFrame:
-    """Adds held_out: a hash share of about ratio, only where ratio > 0 and there are more than 20 rows."""
-    if ratio <= 0 or rows.count() <= 20:
+    """Adds held_out: true for ceil(ratio * n) of the n rows, the first by (md5 of seed, id and pos; pos), if ratio > 0 and
+    n > 20; else for none."""
+    n = rows.count() if ratio > 0 else 0
+    if n <= 20:
         return rows.withColumn("held_out", F.lit(False))
-    return rows.withColumn("held_out", uniform(F.lit(seed), F.col("sample_id"), F.lit("sft")) < ratio)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.lit("sft"), F.col("sample_id"), F.col("pos").cast("string")))
+    return rows.withColumn("held_out", smallest(rows, digest, F.col("pos"), math.ceil(ratio * n)))
 
 
 def require_rows(df: DataFrame, what: str) -> DataFrame:

@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mirador.functions.text import bits, stem, suffix, uniform
+from mirador.operators.images import degrade_column, save_images
 
 #: Fixed values.
 DEGRADATIONS = ["gaussian_blur", "speckle_noise", "resolution_drop", "contrast_brightness_shift", "random_crop", "local_occlusion", "center_mask", "border_truncate"]
-MISMATCHES = ["question_mismatch", "image_mismatch", "question_image_mismatch"]
-STRESS_TYPES = ["gaussian_blur", "resolution_drop", "local_occlusion", "center_mask", "border_truncate", "question_mismatch"]
+MISMATCHES = ["question_replacement", "image_replacement", "cross_sample_mismatch"]
+STRESS_TYPES = ["random_crop", "local_occlusion", "center_mask", "border_truncate", "question_replacement", "cross_sample_mismatch"]
 SEVERITIES = ["low", "medium", "high"]
 
 
@@ -47,15 +48,17 @@ def stress_variants(index: DataFrame, seed: int = 42) -> DataFrame:
 
 
 def ranked_pool(pool: DataFrame) -> DataFrame:
-    """Distinct samples numbered from 0 without a single-partition window: numbers within hash ranges plus their offsets."""
-    ids = pool.select("sample_id", "question", "image_path").dropDuplicates(["sample_id"]).withColumn("_part", F.pmod(F.xxhash64("sample_id"), F.lit(256)))
-    counts = ids.groupBy("_part").agg(F.count("*").alias("n")).orderBy("_part").collect()  # 256 rows at most
-    offsets, total = {}, 0
-    for r in counts:
-        offsets[r["_part"]], total = total, total + r["n"]
-    at = F.create_map(*[F.lit(x) for kv in offsets.items() for x in kv]) if offsets else F.create_map(F.lit(0).cast("long"), F.lit(0))
-    rank = F.row_number().over(Window.partitionBy("_part").orderBy("sample_id")) - 1
-    return ids.withColumn("rank", (F.element_at(at, F.col("_part")) + rank).cast("long")).drop("_part")
+    """Distinct samples numbered from 0 in the order of (md5 of the id, id), without a window over all of them: numbers within
+    4,096 ranges of the md5, and what comes before each range. Of rows with one id the least question and image count."""
+    digest = F.md5("sample_id")
+    ids = pool.groupBy("sample_id").agg(F.min(F.struct("question", "image_path")).alias("x")).select("sample_id", "x.*", F.substring(digest, 1, 3).alias("_part"))
+    begin, starts = 0, []
+    for r in sorted(ids.groupBy("_part").count().collect()):  # 4,096 rows at most
+        starts.append((r["_part"], begin))
+        begin += r["count"]
+    starts = pool.sparkSession.createDataFrame(starts, "_part string, _begin long")
+    nth = F.row_number().over(Window.partitionBy("_part").orderBy(digest, "sample_id")) - 1
+    return ids.withColumn("_nth", nth).join(F.broadcast(starts), "_part").select("sample_id", "question", "image_path", (F.col("_begin") + F.col("_nth")).alias("rank"))
 
 
 def mismatch(variants: DataFrame, pool: DataFrame, seed: int = 42) -> DataFrame:
@@ -91,5 +94,20 @@ def degraded_names(variants: DataFrame) -> DataFrame:
     return variants.withColumns({"sample_id": F.concat_ws("__", "source_sample_id", F.concat_ws("_", kind, sev)), "file_name": F.concat(F.concat_ws("_", F.coalesce("source_sample_id", stem(F.col("image_path"))), kind, sev, F.col("variant_idx").cast("string")), ext)})
 
 
+def augmented(variants: DataFrame, pool: DataFrame, images: DataFrame, root: str, seed: int = 42) -> DataFrame:
+    """All variants with their question and image: originals as they are, mismatches by mismatch(), and of the others a
+    degraded copy of the image, written below root as PNG, with the id that names it. images: image_path, height, width
+    and data (RGB). Variants whose image is not among images get a null path."""
+    kind = F.col("degradation_type")
+    plain = variants.where(~kind.isin(*MISMATCHES, *DEGRADATIONS))
+    swapped = mismatch(variants, pool, seed).select(*variants.columns)
+    known = images.select(F.col("image_path").alias("_path"), "height", "width", "data")
+    met = degraded_names(variants.where(kind.isin(*DEGRADATIONS))).join(known, F.col("image_path") == F.col("_path"), "left").drop("_path", "image_path")
+    key = F.concat_ws("|", F.lit(seed), "source_sample_id", F.col("variant_idx").cast("string"))
+    made = met.withColumn("data", degrade_column(F.col("data"), F.col("height"), F.col("width"), kind, F.col("severity"), key))
+    named = made.withColumn("file_name", F.concat(stem(F.col("file_name")), F.lit(".png")))
+    return plain.unionByName(swapped).unionByName(save_images(named, root).select(*variants.columns))
+
+
 def teacher_records(variants: DataFrame, output: Column) -> DataFrame:
     return variants.select("sample_id", "image_path", "question", F.col("answer").alias("reference_answer"), "split", F.coalesce("is_counterfactual", F.lit(False)).alias("is_counterfactual"), F.coalesce("degradation_type", F.lit("none")).alias("degradation_type"), F.coalesce("severity", F.lit("none")).alias("severity"), F.coalesce("source_sample_id", "sample_id").alias("source_sample_id"), output.alias("teacher_output"))

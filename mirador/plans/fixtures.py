@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -34,7 +34,7 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = table(spark, sf_dir, "conversations")
     a = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     both = c.where("role = 'user'").join(a, ["conv_id", "turn"])
-    pos = F.row_number().over(Window.orderBy("conv_id", "turn")) - 1
+    pos = F.col("conv_id") * 1000 + F.col("turn")
     five = F.col("conv_id") % 5
     return both.select(
         pos.alias("pos"), F.col("text").alias("question"), "answer", F.concat(F.lit("img_"), (F.col("conv_id") % 50).cast("string"), F.lit(".png")).alias("image_name"),
@@ -43,7 +43,7 @@ def qa(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QA = """q AS (SELECT row_number() OVER (ORDER BY u.conv_id, u.turn) - 1 AS pos, u.text AS question, a.text AS answer, 'img_' || (u.conv_id % 50) || '.png' AS image_name,
+QA = """q AS (SELECT u.conv_id * 1000 + u.turn AS pos, u.text AS question, a.text AS answer, 'img_' || (u.conv_id % 50) || '.png' AS image_name,
   CASE u.conv_id % 5 WHEN 0 THEN 'TEST' WHEN 1 THEN ' dev ' ELSE 'Training' END AS split_full, CASE u.conv_id % 5 WHEN 4 THEN NULL WHEN 0 THEN 'test' ELSE 'train' END AS split_partial,
   CASE WHEN u.conv_id % 2 = 0 THEN 'q' || u.conv_id || '_' || u.turn END AS qid
   FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant'),

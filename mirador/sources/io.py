@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from mirador.functions.rows import number_rows
+from mirador.operators.images import to_rgb
 from mirador.operators.prepare import unwrap
 
-#: Where annotations and images are looked for.
-ANNOTATION_NAMES = ["VQA_RAD Dataset Public.json", "vqa_rad.json", "vqa_rad.jsonl", "annotations.json"]
-IMAGE_DIRS = ["VQA_RAD Image Folder", "images", "image", ""]
+#: Where annotations and images are looked for, in this order.
+ANNOTATION_NAMES = ["VQA_RAD Dataset Public.json", "VQA_RAD Dataset Public.jsonl", "dataset.json", "dataset.jsonl"]
+IMAGE_DIRS = ["images", "VQA_RAD Image Folder", "VQA_RAD Image Folder/images", ""]
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -33,10 +35,16 @@ def resolve_paths(spark: SparkSession, root: str | None = None, annotations: str
 
 
 def read_json(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSON document: a list, or one below data or records. A .jsonl file is read by lines."""
+    """Rows of a JSON document: a list, or an object with one under data, else under records; anything else is an error. A
+    .jsonl file is read by lines."""
     if path.endswith(".jsonl"):
         return unwrap(spark.read.option("mode", "FAILFAST").json(path))
-    return unwrap(spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path))
+    first = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.trim("value"), 1, 1)).first()
+    df = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
+    held = [n for n in ("data", "records") if n in df.columns and df.schema[n].dataType.typeName() == "array"]
+    if not first or first[0] not in "[{" or first[0] == "{" and not held:
+        raise ValueError(f"{path} is neither a list nor an object with a list under data or records")
+    return unwrap(df) if first[0] == "{" else number_rows(df, "pos")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:
@@ -79,8 +87,9 @@ def image_listing(spark: SparkSession, root: str) -> DataFrame:
 
 
 def read_images(spark: SparkSession, path: str) -> DataFrame:
-    """origin, height, width, data of images; bytes are in BGR order."""
-    return spark.read.format("image").option("dropInvalid", True).load(path).select("image.origin", "image.height", "image.width", "image.nChannels", "image.data")
+    """origin, height, width, data of images; data has three bytes a pixel, in RGB order. Files that are no image are left out."""
+    found = spark.read.format("image").option("dropInvalid", True).load(path).select("image.*")
+    return found.select("origin", "height", "width", to_rgb(F.col("data"), F.col("nChannels")).alias("data"))
 
 
 def read_config(path: str) -> dict:

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import json
+import os
 import time
+import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from mirador.operators.outputs import PARSED_TYPE, problems
+
 
 @dataclass(frozen=True)
 class Policy:
@@ -51,6 +56,60 @@ def complete(backend: Backend, messages: str, policy: Policy, sleep: Callable[[f
     return None, policy.retries, error
 
 
+def http_backend(url: str, model: str, key_variable: str | None = None) -> Callable[[], Backend]:
+    """For call_model: a backend that posts to a chat completion service. The key is read on the executor, from the environment
+    variable named, when the backend is made; an absent one is an error then."""
+
+    def make() -> Backend:
+        headers = {"Content-Type": "application/json"}
+        if key_variable:
+            if not os.environ.get(key_variable):
+                raise RuntimeError(f"the environment variable {key_variable} is not set")
+            headers["Authorization"] = f"Bearer {os.environ[key_variable]}"
+
+        def post(messages: str, policy: Policy) -> dict:
+            body = {"model": model, "messages": json.loads(messages), "temperature": policy.temperature, "max_tokens": policy.max_tokens, "response_format": {"type": "text"}}
+            request = urllib.request.Request(url, json.dumps(body).encode(), headers)
+            with urllib.request.urlopen(request, timeout=policy.timeout) as response:  # raises for a status that is no success
+                return json.loads(response.read())
+
+        return post
+
+    return make
+
+
+def complete_output(backend: Backend, messages: str, policy: Policy, sleep: Callable[[float], None] = time.sleep) -> tuple[dict | None, int, str | None]:
+    """(parsed output, rounds, last error): complete() until its text parses to a valid output, policy.retries times at most."""
+    error = None
+    for turn in range(policy.retries):
+        text, _, error = complete(backend, messages, policy, sleep)
+        if text is not None:
+            parsed, broken = problems(text)
+            if not broken:
+                return parsed, turn + 1, None
+            error = "; ".join(broken)
+        if turn + 1 < policy.retries:
+            sleep(policy.backoff * 2**turn)
+    return None, policy.retries, error
+
+
+def call_for_output(df: DataFrame, make_backend: Callable[[], Backend], policy: Policy = Policy(), messages: str = "messages_json", into: str = "output", sleep: Callable[[float], None] = time.sleep) -> DataFrame:  # noqa: B008
+    """df with `into` (the parsed struct, null where no round gave a valid output), `into`_rounds and `into`_error: a call, its
+    parsing and validation, and another round after an invalid one. As with call_model, write the result before
+    reading it twice."""
+    out = df.selectExpr("*", f"CAST(NULL AS {PARSED_TYPE}) AS {into}", f"0 AS {into}_rounds", f"CAST(NULL AS string) AS {into}_error").schema
+    for f in out:
+        f.nullable = True
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        backend = make_backend()
+        for pdf in frames:
+            got = [complete_output(backend, m, policy, sleep) for m in pdf[messages]]
+            yield pdf.assign(**{into: [x[0] for x in got], f"{into}_rounds": [x[1] for x in got], f"{into}_error": [x[2] for x in got]})
+
+    return df.mapInPandas(run, out)
+
+
 def call_model(df: DataFrame, make_backend: Callable[[], Backend], policy: Policy = Policy(), messages: str = "messages_json") -> DataFrame:  # noqa: B008
     """df with response_text, attempts, call_error. make_backend runs once a partition, on the executor, and reads secrets there.
 

@@ -27,8 +27,8 @@ def test_validation(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
     out = {r["i"]: r for r in outputs.parse_and_validate(df, "t").collect()}
     assert [out[i]["output_status"] for i in range(9)] == ["ok", "ok", "invalid", "ok", "invalid", "invalid", "invalid", "unparsed", "unparsed"]
-    assert out[2]["output_errors"] == ["raw_confidence must be within [0, 1]"]
-    assert out[6]["output_errors"][0].startswith("missing_fields=")
+    assert out[2]["output_errors"] == ["raw_confidence lies outside 0 to 1"]
+    assert out[6]["output_errors"][0].startswith("fields missing: ")
 
 
 def test_metrics_of_nothing(spark):
