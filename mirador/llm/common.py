@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
 import ctypes
+import re
+import shutil
 import sys
 import tempfile
 import uuid
@@ -14,20 +17,27 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIR: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; a temporary one only where none is set (tests, local mode)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    """The folder named by spark.checkpoint.dir. Where none is set, a temporary one in local mode, as in tests; on a cluster
+    that is an error, as a machine's own folder is no shared one."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[(\d+|\*)(, *\d+)?\])?", spark.sparkContext.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL_DIR:
         _LOCAL_DIR.append(tempfile.mkdtemp(prefix="mirador-"))
+        atexit.register(shutil.rmtree, _LOCAL_DIR[0], ignore_errors=True)
     return "file://" + _LOCAL_DIR[0]
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/mirador-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/mirador-{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -38,28 +48,49 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """How many folders were written so far; what discard_since(spark, n) may delete are those after the first n."""
+    return len(_WRITTEN)
+
+
+def discard_since(spark: SparkSession, n: int, *keep: DataFrame) -> None:
+    """Deletes all folders written since written() was n, but for those that the frames of keep read."""
+    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in keep for f in df.inputFiles()}
+    for path in _WRITTEN[n:]:
+        if path.rsplit("/", 1)[-1] not in kept:
+            _delete(spark, path)
+            _WRITTEN.remove(path)
+    spark._jvm.System.gc()
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def discard(*frames: DataFrame) -> None:
     """Deletes the files of materialized frames that no later plan reads. The driver's JVM then collects garbage, as Spark
     deletes shuffle files of finished plans only after that."""
     for df in frames:
-        spark = df.sparkSession
-        for f in {x.rsplit("/", 1)[0] for x in df.inputFiles() if "/mirador-" in x}:
-            path = spark._jvm.org.apache.hadoop.fs.Path(f)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        for path in {x.rsplit("/", 1)[0] for x in df.inputFiles() if "/mirador-" in x}:
+            _delete(df.sparkSession, path)
     if frames:
         frames[0].sparkSession._jvm.System.gc()
 
 
 def planned_bytes(df: DataFrame) -> int:
-    """Spark's own size estimate (file sizes for scans), without running anything."""
+    """Spark's own size estimate (file sizes for scans), without running anything; the bytes of text, counted, where it has
+    none."""
     size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return size if size < 1 << 58 else 0
+    if size >= 1 << 58:
+        size = df.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return size
 
 
-def n_buckets(df: DataFrame, each: int = 16 << 20) -> int:
-    """Hash buckets so that each holds what about `each` input bytes yield; at least the shuffle partitions."""
-    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return int(min(max(least, planned_bytes(df) // each + 1), 1 << 18))
+def n_buckets(df: DataFrame, each: int = 16 << 20, spread: bool = True) -> int:
+    """Hash buckets so that each holds what about `each` input bytes yield; where spread, at least the shuffle partitions."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if spread else 1
+    return int(max(least, planned_bytes(df) // each + 1))
 
 
 def small_batches(spark: SparkSession, rows: int = 2000, size: int = 16 << 20) -> None:

@@ -1,11 +1,13 @@
 """N-gram Jaccard join by prefix trees.
 
-Every document is the set of its word shingles. Documents with equal sets form one class. Candidates come from an
-exact prefix filter: under one order of all shingles (heavy ones last, the rest by hash) two sets above the threshold
-share a shingle that lies in the index prefix of the smaller and the probing prefix of the larger. Sharing a shingle
-links a class only to its neighbour in size, so a group of m classes gives m - 1 links, never all pairs; chains of such
-links join all true partners. Each connected group of candidates is then met with its full sets in one place and
-joined exactly over a trie.
+Every document is the set of its word shingles, in the order of their 63-bit hashes, which is the same for all documents.
+Documents with equal sets form one class. Candidate classes come from an exact prefix filter over ranges of that order:
+two sets above the threshold differ in at most D shingles, so of the first D + 1 ranges of a set that are not empty at
+least one holds the very same shingles in the other. A range holds about three shingles, so a passage that two unlike
+documents share seldom fills one, and the most frequent shingles are left out of the ranges wherever enough others remain.
+Sharing a range links a class only to its neighbour in size, so a group of m classes gives m - 1 links, never all pairs;
+chains of such links join all true partners. Each connected group of candidates is then met with its full sets in one
+place and joined exactly over a trie.
 """
 
 from __future__ import annotations
@@ -19,17 +21,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mirador.llm.common import U64, discard, hashes, local_labels, materialize, mix, n_buckets, release, releasing, shingle_sets, small_batches
+from mirador.llm.common import PLACE, U64, discard, hashes, local_labels, materialize, mix, n_buckets, release, releasing, shingle_sets, small_batches
 from mirador.llm.components import connected_components
 
-#: Order only: so many of the most frequent shingles are ranked behind all others. Any order gives the same result.
-HEAVY_RANKED = 1 << 18
-#: Shingles are counted below this hash, within each task; prefixes seldom reach beyond it.
-COUNTED_BELOW = U64(3 << 60)
-#: A shingle is reported as heavy from so many distinct sets in one task.
-HEAVY_IN_TASK = 2
-#: Classes in one block of the trie join; larger candidate groups are joined block against block.
-BLOCK = 3000
+#: Cost only: up to so many of the shingles that come in HEAVY_FROM sets and more are left out of ranges where others suffice;
+#: they are marked in a table of 2 ** HEAVY_BITS bits by hash. Any choice of them gives the same result.
+HEAVY, HEAVY_FROM, HEAVY_BITS = 1 << 21, 16, 25
+#: Sets of fewer shingles than SMALL have a range for each; others about RANGE in one, by classes of size that grow by half.
+SMALL, RANGE = 32, 3
+#: Shingles in one block of the trie join (8 MB of them); candidate groups with more are joined block against block.
+BLOCK_SHINGLES = 1 << 20
+#: Texts that a task remembers, so as not to give their postings again.
+SEEN = 200_000
 #: Candidate classes are broadcast to the scan of the texts up to this many (about 40 bytes each), beyond joined by shuffle.
 BROADCAST_CLASSES = 1_000_000
 
@@ -122,21 +125,13 @@ class TrieJoin:
 
 
 def trie_components(sets: list[np.ndarray], percent: int) -> np.ndarray:
-    """For each set the index of its component's root among sets; only pairs that reach percent are joined."""
-    if not sets:
-        return np.zeros(0, np.int64)
-    _, inverse, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    place = np.empty(len(counts), np.int64)
-    place[np.argsort(-counts, kind="stable")] = np.arange(len(counts))
-    ranked, cuts = place[inverse], np.cumsum([len(x) for x in sets])[:-1]
-    parts = np.split(ranked, cuts)
+    """For each set (in order) the index of its component's root among sets; only pairs that reach percent are joined."""
     trie, of = TrieJoin(percent), np.zeros(len(sets), np.int64)
-    order = sorted(range(len(sets)), key=lambda i: len(sets[i]))
-    for i in order:
-        of[i] = trie.link(np.sort(parts[i]))
+    for i in sorted(range(len(sets)), key=lambda i: len(sets[i])):
+        of[i] = trie.link(sets[i].astype(np.int64))
     back = np.empty(len(sets), np.int64)
     back[of] = np.arange(len(sets))
-    return np.array([back[trie.find(int(k))] for k in of])
+    return np.array([back[trie.find(int(k))] for k in of], np.int64)
 
 
 def _key(items: np.ndarray) -> int:
@@ -150,7 +145,7 @@ def _signatures(size: int):
 
         def heavy() -> pa.RecordBatch:
             tokens, times = np.unique(np.concatenate(low), return_counts=True) if low else (np.zeros(0, U64), np.zeros(0, np.int64))
-            keep = times >= HEAVY_IN_TASK
+            keep = times >= 2
             none = lambda t: pa.nulls(int(keep.sum()), t)
             return pa.RecordBatch.from_arrays([none(kind), none(pa.int64()), none(pa.int64()), none(pa.int64()), pa.array(tokens[keep].astype(np.int64)), pa.array(times[keep].astype(np.int64))], names)
 
@@ -161,8 +156,8 @@ def _signatures(size: int):
                 keys.append(_key(items) if len(items) else None)
                 if len(items) and keys[-1] not in seen:
                     seen.add(keys[-1])
-                    low.append(items[: int(np.searchsorted(items, COUNTED_BELOW))].copy())
-                    held += len(low[-1])
+                    low.append(items)
+                    held += len(items)
             none = lambda t: pa.nulls(len(n), t)  # noqa: E731, B023
             yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["th"], pa.array(n, pa.int64()), pa.array(keys, pa.int64()), none(pa.int64()), none(pa.int64())], names)
             if held > 8_000_000:  # 64 MB
@@ -173,35 +168,72 @@ def _signatures(size: int):
     return releasing(run)
 
 
-def _postings(size: int, percent: int, buckets: int, heavy: np.ndarray, rank: np.ndarray):
-    """heavy: sorted tokens; rank: their places behind all others."""
+def _size_classes() -> np.ndarray:
+    """Where classes of size begin: class 0 below the first, class c from the one numbered c - 1 on."""
+    out = [SMALL]
+    while out[-1] < 1 << 40:
+        out.append(out[-1] * 3 // 2)
+    return np.array(out, np.int64)
+
+
+_BEGIN = _size_classes()
+
+
+def _ranges(items: np.ndarray, mixed: np.ndarray, size_class: int, kind: int, most: int) -> np.ndarray:
+    """Hashes of what the first `most` ranges hold that are not empty. kind 2: each shingle is a range of its own."""
+    if not size_class or kind == 2:
+        sums, at = mixed[:most], np.zeros(1, U64)
+    else:
+        each = (items.astype(np.float64) * ((int(_BEGIN[size_class]) // RANGE + 1) / 2.0**63)).astype(U64)
+        first = np.flatnonzero(np.concatenate((np.ones(min(len(each), 1), bool), each[1:] != each[:-1])))
+        sums, at = np.add.reduceat(mixed, first)[:most] if len(first) else mixed, each[first][:most]
+    tag = U64((4 * size_class + kind) * int(PLACE[2]) % (1 << 64))
+    return mix(sums * PLACE[0] + at * PLACE[1] + tag)
+
+
+def signatures(items: np.ndarray, percent: int, heavy: np.ndarray) -> np.ndarray:
+    """Two sets that reach percent share one of these at least. items: a set in order; heavy: bits by hash.
+
+    A partner's size is percent / 100 to 100 / percent of this one's, so it lies in the class of this size or in one next to
+    it: a set takes part in its own class, and in the next if a partner can lie there. Of two partners that reach their
+    D + 1 ranges without heavy shingles, or of which one does, that is enough; a set that does not reach them gives all it
+    has, and then the same with heavy shingles, and should even that be too few, its shingles one by one."""
+    n = len(items)
+    largest = 100 * n // percent
+    most = (n + largest) * (100 - percent) // (100 + percent) + 1
+    mixed, out = mix(items), []
+    at = (items & U64((1 << HEAVY_BITS) - 1)).view(np.int64)
+    light = (heavy[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) == 0
+    c = int(np.searchsorted(_BEGIN, n, "right"))
+    for size_class in (c, c + 1) if largest >= _BEGIN[c] else (c,):
+        for kind in range(3):
+            found = _ranges(items[light], mixed[light], size_class, 0, most) if not kind else _ranges(items, mixed, size_class, kind, most)
+            out.append(found)
+            if len(found) >= most:
+                break
+    return np.concatenate(out)
+
+
+def _postings(size: int, percent: int, buckets: int, heavy: np.ndarray):
+    """Signatures of all distinct sets, packed by bucket: tokens (signatures), keys and sizes of the sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
             tokens, keys, sizes = [], [], []
             for items in shingle_sets(batch["text"], size):
-                n = len(items)
-                if not n or (k := _key(items)) in seen:
+                if not len(items) or (k := _key(items)) in seen:
                     continue
                 seen.add(k)
-                if len(heavy):
-                    at = np.minimum(np.searchsorted(heavy, items), len(heavy) - 1)
-                    hit = heavy[at] == items
-                    if hit.any():
-                        items = np.sort(np.where(hit, rank[at], items))
-                probe, index = n - -(-percent * n // 100) + 1, n - -(-2 * percent * n // (100 + percent)) + 1
-                tokens.append(items[:probe])
-                flags = np.full(probe, n, np.uint32)
-                flags[:index] |= np.uint32(1 << 31)
-                sizes.append(flags)
-                keys.append(np.full(probe, k, np.int64))
-            if len(seen) > 2_000_000:
+                tokens.append(signatures(items, percent, heavy))
+                sizes.append(np.full(len(tokens[-1]), len(items), np.uint32))
+                keys.append(np.full(len(tokens[-1]), k, np.int64))
+            if len(seen) > SEEN:
                 seen.clear()
             if not tokens:
                 continue
             t, k, s = np.concatenate(tokens), np.concatenate(keys), np.concatenate(sizes)
-            b = (mix(t) % U64(buckets)).astype(np.int64)
+            b = (t % U64(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
             t, k, s, b = t[order], k[order], s[order], b[order]
             cut = np.flatnonzero(np.diff(b)) + 1
@@ -213,26 +245,20 @@ def _postings(size: int, percent: int, buckets: int, heavy: np.ndarray, rank: np
 
 def _candidates(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t = np.concatenate([np.frombuffer(x, U64) for x in pdf["tokens"]])
-        k = np.concatenate([np.frombuffer(x, np.int64) for x in pdf["keys"]])
-        s = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["sizes"]])
+        t, k, n = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (("tokens", U64), ("keys", np.int64), ("sizes", np.uint32)))
         order = np.argsort(t, kind="stable")
         ts = t[order]
         twice = np.zeros(len(ts), bool)
         twice[1:] = ts[1:] == ts[:-1]
         twice[:-1] |= twice[1:]
         order = order[twice]
-        t, k, s = t[order], k[order], s[order]
-        index, n = (s >> 31).astype(bool), (s & np.uint32(0x7FFFFFFF)).astype(np.int64)
-        order = np.lexsort((~index, n, t))
-        t, k, n, index = t[order], k[order], n[order], index[order]
-        last = np.where(index, np.arange(len(t)), -1)
-        last = np.concatenate(([-1], np.maximum.accumulate(last)[:-1])) if len(t) else last
-        ok = last >= 0
-        ok[ok] = (t[last[ok]] == t[ok]) & (k[last[ok]] != k[ok]) & (100 * n[last[ok]] >= percent * n[ok])
-        nodes, roots = local_labels(k[last[ok]], k[ok])
+        t, k, n = t[order], k[order], n[order].astype(np.int64)
+        order = np.lexsort((k, n, t))
+        t, k, n = t[order], k[order], n[order]
+        near = (t[1:] == t[:-1]) & (k[1:] != k[:-1]) & (100 * n[:-1] >= percent * n[1:])
+        nodes, roots = local_labels(k[:-1][near], k[1:][near])
         keep = nodes != roots
-        del t, k, s, n, order, index, last, ok
+        del t, k, n, ts, order, near
         release()
         return pd.DataFrame({"src": nodes[keep], "dst": roots[keep]})
 
@@ -240,22 +266,35 @@ def _candidates(percent: int):
 
 
 def _verify(size: int, percent: int):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out_k, out_r = [], []
-        for _, part in pdf.drop_duplicates(["comp", "bi", "bj", "k"]).groupby(["comp", "bi", "bj"], sort=False):
-            if len(part) < 2:
-                continue
-            sets = list(shingle_sets(pa.array(part["text"], pa.large_string()), size))
-            k = part["k"].to_numpy()
-            roots = k[trie_components(sets, percent)]
+    """Joins the groups (comp, bi, bj) of rows sorted by these, one group at a time in memory."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, {}
+
+        def joined() -> pa.RecordBatch:
+            k = np.fromiter(held, np.int64, len(held))
+            roots = k[trie_components(list(held.values()), percent)] if len(k) > 1 else k
             keep = roots != k
-            out_k.append(k[keep])
-            out_r.append(roots[keep])
-            sets = None
-        release()
-        return pd.DataFrame({"src": np.concatenate(out_k or [np.zeros(0, np.int64)]), "dst": np.concatenate(out_r or [np.zeros(0, np.int64)])})
+            return pa.RecordBatch.from_arrays([pa.array(k[keep]), pa.array(roots[keep])], ["src", "dst"])
 
-    return run
+        for batch in batches:
+            keys = np.stack([batch[c].to_numpy() for c in ("comp", "bi", "bj")], 1)
+            cuts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(1)) + 1).tolist(), len(keys)]
+            for i, j in zip(cuts[:-1], cuts[1:], strict=True):
+                if i == j:
+                    continue
+                if group is not None and group != tuple(keys[i]):
+                    yield joined()
+                    if len(held) > 500:
+                        release()
+                    held = {}
+                group = tuple(keys[i])
+                part = batch.slice(i, j - i)
+                held.update(zip(part["k"].to_pylist(), shingle_sets(part["text"], size), strict=True))
+        if held:
+            yield joined()
+
+    return releasing(run)
 
 
 def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -263,43 +302,45 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     and else the same for all rows of a component."""
     small_batches(docs.sparkSession)
     base = docs.select("doc_id", "text")
-    buckets = n_buckets(base)
+    buckets = n_buckets(base, 10 << 20, spread=False)  # a group of copies gives its links once a bucket
     kind = base.schema["doc_id"].dataType.simpleString()
     signed = materialize(base.select("doc_id", hashes().alias("th"), "text").mapInArrow(_signatures(size), f"doc_id {kind}, th long, n long, k long, token long, times long"), "signatures")
     rows = signed.where("n is not null").select("doc_id", "th", F.col("n").alias("n_shingles"), "k")
     counts = materialize(signed.where("token is not null").groupBy("token").agg(F.sum("times").alias("times")), "heavy")
-    room, least = HEAVY_RANKED, 1 << 62
-    for r in counts.groupBy("times").agg(F.count("*").alias("n")).orderBy(F.desc("times")).collect():  # a row per distinct count
+    room, least = HEAVY, 1 << 62
+    step = F.floor(F.log2("times") * 16)  # of times up to 2 ** 63 at most 1,008 values
+    frequent = counts.where(F.col("times") >= HEAVY_FROM)
+    for r in frequent.groupBy(step.alias("step")).agg(F.count("*").alias("n"), F.min("times").alias("least")).orderBy(F.desc("step")).collect():
         room -= r["n"]
         if room < 0:
             break
-        least = r["times"]
-    heavy = counts.where(F.col("times") >= least).toPandas().sort_values(["times", "token"], ascending=[False, True])  # at most HEAVY_RANKED rows
-    tokens = heavy["token"].to_numpy(np.int64).astype(U64)
-    behind = U64(1 << 63) + (len(tokens) - np.arange(len(tokens))).astype(U64)
-    order = np.argsort(tokens)
-    packed = base.select("text").mapInArrow(_postings(size, percent, buckets, tokens[order], behind[order]), "bucket long, tokens binary, keys binary, sizes binary")
+        least = r["least"]
+    tokens = frequent.where(F.col("times") >= least).select("token").toPandas()["token"].to_numpy(np.int64)  # at most HEAVY rows
+    heavy = np.zeros(1 << HEAVY_BITS, bool)
+    heavy[tokens & ((1 << HEAVY_BITS) - 1)] = True
+    packed = base.select("text").mapInArrow(_postings(size, percent, buckets, np.packbits(heavy, bitorder="little")), "bucket long, tokens binary, keys binary, sizes binary")
     near = packed.groupBy("bucket").applyInPandas(_candidates(percent), "src long, dst long")
     groups = connected_components(near)
 
-    classes = materialize(rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "th")).alias("one")), "classes")
-    count = groups.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    chosen = groups.join(count, "root").join(classes, groups.node == classes.k).select("k", F.col("root").alias("comp"), "blocks", F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th"))
-    chosen = materialize(chosen, "chosen")
-    most, many = chosen.agg(F.max("blocks"), F.count("*")).first()
-    asked = F.broadcast(chosen) if many <= BROADCAST_CLASSES else chosen
+    classes = materialize(rows.where("k is not null").groupBy("k").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("a"), "doc_id", "th")).alias("one")), "classes")
+    chosen = materialize(groups.join(classes, groups.node == classes.k).select("k", "n", F.col("root").alias("comp"), F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th")), "chosen")
+    large = chosen.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).where("blocks > 1")
+    split, many = not large.isEmpty(), chosen.count()
+    asked = chosen.join(large, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) if split else chosen.withColumn("blocks", F.lit(1))
+    asked = F.broadcast(asked) if many <= BROADCAST_CLASSES else asked
     mine, other = F.pmod("k", "blocks").cast("int"), F.col("other")
     met = (
         base.join(asked, (hashes() == F.col("one_th")) & base.doc_id.eqNullSafe(F.col("one_id")))
         .select("k", "comp", "blocks", "text", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        .select("k", "comp", "blocks", "text", F.least("mine", other).alias("bi"), F.greatest("mine", other).alias("bj"))
-        .withColumn("place", F.when(F.col("blocks") > 1, F.xxhash64("comp", "bi", "bj")).otherwise(F.pmod(F.xxhash64("comp"), F.lit(buckets))))
+        .select("k", "comp", "text", F.least("mine", other).alias("bi"), F.greatest("mine", other).alias("bj"))
     )
-    links = met.groupBy("place").applyInPandas(_verify(size, percent), "src long, dst long")
-    roots = materialize(links.toDF("node", "root"), "links") if (most or 0) <= 1 else connected_components(links)
+    dealt = met.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
+    links = dealt.mapInArrow(_verify(size, percent), "src long, dst long")
+    roots = connected_components(links) if split else materialize(links.toDF("node", "root"), "links")
     where = classes.join(roots, classes.k == roots.node, "left").select("k", "first", F.coalesce("root", "k").alias("root"))
     least = where.groupBy("root").agg(F.min("first").alias("component_id"))
     of = materialize(where.join(least, "root").select("k", "root", "component_id"), "components")
+    discard(counts, groups, classes, chosen, roots)
     return rows.join(of, "k", "left").select("doc_id", "th", "root", "n_shingles", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
