@@ -1,9 +1,10 @@
 """Main text of HTML pages by two-pass block rules.
 
 Pass one classifies each block by its length, the density of stop words and the density of linked text; blocks inside
-menus, asides, forms, adverts, comments and the like are bad from the start. Pass two gives ambiguous blocks the label of
-the nearest decided neighbour in the same container. Where a page marks its article, this is a prior: blocks in it are taken
-for one step better than their measures, and for blocks outside it the edges count as bad; no block is dropped for its place.
+menus, asides, forms, adverts, comments and the like are bad from the start, but where only a part of a name tells so, long
+and dense blocks are judged by their measures. Pass two gives ambiguous blocks the label of the nearest decided neighbour
+in the same container. Where a page marks its article, this is a prior: blocks in it are taken for one step better than
+their measures, and for blocks outside it the edges count as bad; no block is dropped for its place.
 """
 
 from __future__ import annotations
@@ -39,11 +40,18 @@ _BAD_NAMES = frozenset(
     " widget pagination pager skip toolbar copyright legal disclaimer".split()
 )
 _IMPLIED = {"p": {"p"}, "li": {"li", "p"}, "dd": {"dd", "dt", "p"}, "dt": {"dd", "dt", "p"}, "tr": {"tr", "td", "th", "p"}, "td": {"td", "th", "p"}, "th": {"td", "th", "p"}}
-_TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(?P<raw>" + _RAW + r")\b(?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</(?P=raw)\b[^>]*+>|\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*+)(?P<attrs>(?:[^>\"']|\"[^\"]*+\"|'[^']*+'|[\"'])*?)>|<[!?][^>]*+>",
-    re.S | re.I,
+#: Name parts that say nothing of an element's purpose, or go with those above.
+_PLAIN_NAMES = frozenset(
+    "box block list wrapper wrap container section area bar link links button buttons icon icons inner outer top bottom left right center post page site primary secondary content item items row col column group body text thread form banner main"
+    " stories posts articles news reading videos topics tags header title label feed card cards panel slot unit zone module tools text widget fixed sticky mobile desktop small large global user author count no".split()
 )
+#: How strongly an element's own tag, role or name tells that it is no main text.
+_FINE, _WEAK, _BAD = 0, 1, 2
+_RAW_TAGS = frozenset(_RAW.split("|"))
+_RAW_END = {t: re.compile(rf"</{t}\b[^>]*+(?:>|\Z)", re.I) for t in _RAW_TAGS}
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+)>")
+_QUOTED_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+_BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"\w+")
 _SPLIT_NAME = re.compile(r"[^a-z]+")
@@ -70,111 +78,162 @@ class _Block:
     zone: int
     heading: bool
     held: bool = False  # bad only for the name of the article or of what holds it
+    weak: bool = False  # in an element of which a part of the name alone says that it is no main text
     label: str = ""
 
 
-def _bad_name(value: str) -> bool:
+def _tokens(page: str):
+    """(start, end, closing, tag, attributes) of the markup in page, in order and in linear time; tag is None for comments,
+    declarations and elements whose content is no text, which are one token each. Where quotes in a tag do not pair
+    up before the page ends, quotes count for nothing from there on; a tag that does not end ends the page."""
+    at, last, quotes = 0, page.rfind(">"), True
+    while True:
+        at = page.find("<", at)
+        if at < 0:
+            return
+        after = page[at + 1 : at + 4]
+        if after == "!--":
+            end = page.find("-->", at + 4)
+            end = len(page) if end < 0 else end + 3
+            yield at, end, False, None, ""
+            at = end
+            continue
+        if after[:1] in ("!", "?"):
+            end = page.find(">", at)
+            end = len(page) if end < 0 else end + 1
+            yield at, end, False, None, ""
+            at = end
+            continue
+        name = after[1:2] if after[:1] == "/" else after[:1]
+        if not (name.isascii() and name.isalpha()):
+            at += 1
+            continue
+        if at > last:
+            yield at, len(page), False, None, ""
+            return
+        m = _TAG.match(page, at) or quotes and _QUOTED_TAG.match(page, at)
+        if not m:
+            quotes, m = False, _BARE_TAG.match(page, at)
+        tag, end = m[2].lower(), m.end()
+        if tag in _RAW_TAGS and not m[1]:
+            close = _RAW_END[tag].search(page, end)
+            end = close.end() if close else len(page)
+            yield at, end, False, None, ""
+        else:
+            yield at, end, bool(m[1]), tag, m[3]
+        at = end
+
+
+def _bad_name(value: str) -> int:
+    worst = _FINE
     for name in value.split():
-        parts = _SPLIT_NAME.split(name)
+        parts = set(_SPLIT_NAME.split(name)) - {""}
         if not _BAD_NAMES.isdisjoint(parts) and _ABOUT_OTHERS.isdisjoint(parts):
-            return True
-    return False
+            worst = max(worst, _WEAK if parts - _BAD_NAMES - _PLAIN_NAMES else _BAD)
+    return worst
 
 
-def _is_bad(tag: str, attrs: str, inside: bool, names: bool = True) -> bool:
+def _badness(tag: str, attrs: str, inside: bool, names: bool = True) -> int:
     if tag in _BAD_TAGS or tag == "header" and not inside:
-        return True
-    if not attrs:
-        return False
-    for name, value in _ATTR.findall(attrs):
+        return _BAD
+    worst = _FINE
+    for name, value in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'").lower()
-        if names and name in ("class", "id") and _bad_name(value) and tag not in ("body", "html"):
-            return True
+        if names and name in ("class", "id") and tag not in ("body", "html"):
+            worst = max(worst, _bad_name(value))
         if name == "role" and value in _BAD_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+            return _BAD
+    return worst
 
 
 def _blocks(page: str) -> list[_Block]:
     out: list[_Block] = []
-    stack: list[tuple[str, bool, bool, bool]] = []  # tag, bad, a main container, bad by name alone and not inside a main container
+    stack: list[tuple[str, int, bool, bool]] = []  # tag, badness, a main container, bad by name alone and not inside a main container
     parts: list[str] = []
-    state = {"links": 0, "bad": 0, "named": 0, "main": 0, "zone": 0, "linked": 0, "heading": False}
+    state = {"links": 0, "bad": 0, "weak": 0, "named": 0, "main": 0, "zone": 0, "linked": 0, "heading": False}
+    opened: dict[str, int] = {}
 
     def close() -> None:
         text = " ".join(html_lib.unescape("".join(parts)).split()) if parts else ""
         if text:
-            out.append(_Block(text, state["linked"], state["bad"] > 0, state["zone"] if state["main"] else 0, state["heading"], state["main"] > 0 and state["bad"] == state["named"] > 0))
+            held = state["main"] > 0 and state["bad"] == state["named"] > 0
+            out.append(_Block(text, state["linked"], state["bad"] > 0, state["zone"] if state["main"] else 0, state["heading"], held, state["weak"] > 0))
         parts.clear()
         state["linked"] = 0
 
+    def push(tag: str, bad: int, main: bool = False, named: bool = False) -> None:
+        stack.append((tag, bad, main, named))
+        opened[tag] = opened.get(tag, 0) + 1
+        state["bad"] += bad == _BAD
+        state["weak"] += bad == _WEAK
+        state["named"] += named
+        state["main"] += main
+        state["links"] += tag == "a"
+
     def pop() -> None:
         tag, bad, main, named = stack.pop()
-        state["bad"] -= bad
+        opened[tag] -= 1
+        state["bad"] -= bad == _BAD
+        state["weak"] -= bad == _WEAK
         state["named"] -= named
         state["main"] -= main
         state["links"] -= tag == "a"
 
+    def pop_to(tag: str) -> None:
+        while stack[-1][0] != tag:
+            pop()
+        pop()
+
     at = 0
-    for m in _TOKEN.finditer(page):
-        if m.start() > at:
-            piece = page[at : m.start()]
+    for start, end, closing, tag, attrs in _tokens(page):
+        if start > at:
+            piece = page[at:start]
             parts.append(piece)
             if state["links"]:
                 state["linked"] += len(piece.strip())
-        at = m.end()
-        if m["tag"] is None:
+        at = end
+        if tag is None:
             continue
-        tag = m["tag"].lower()
         if tag not in _BLOCKS:
             if tag == "br":
                 parts.append(" ")
             elif tag == "a":
-                if m["end"]:
+                if closing:
                     while stack and stack[-1][0] == "a":
                         pop()
-                elif not (m["attrs"] or "").endswith("/"):
-                    stack.append(("a", False, False, False))
-                    state["links"] += 1
-            elif tag not in _VOID and not m["end"] and _is_bad(tag, m["attrs"], True):
-                stack.append((tag, True, False, False))
+                elif not attrs.endswith("/"):
+                    push("a", _FINE)
+            elif tag not in _VOID and not closing and (bad := _badness(tag, attrs, True)):
                 close()
-                state["bad"] += 1
-            elif m["end"] and any(x[0] == tag for x in stack):
+                push(tag, bad)
+            elif closing and opened.get(tag):
                 close()
-                while stack[-1][0] != tag:
-                    pop()
-                pop()
+                pop_to(tag)
             continue
         close()
         while stack and stack[-1][0] == "a":
             pop()
-        if m["end"]:
-            if any(x[0] == tag for x in stack):
-                while stack[-1][0] != tag:
-                    pop()
-                pop()
+        if closing:
+            if opened.get(tag):
+                pop_to(tag)
             state["heading"] = False
             continue
         while stack and stack[-1][0] in _IMPLIED.get(tag, ()):
             pop()
         if tag in _VOID:
             continue
-        bad = _is_bad(tag, m["attrs"], state["main"] > 0)
-        main = (tag in ("article", "main") or 'role="main"' in m["attrs"] or "articlebody" in m["attrs"].lower())
-        named = bad and not state["main"] and not _is_bad(tag, m["attrs"], False, False)
-        main = main and (not bad or named)
+        bad = _badness(tag, attrs, state["main"] > 0)
+        main = tag in ("article", "main") or 'role="main"' in attrs or "articlebody" in attrs.lower()
+        named = bad == _BAD and not state["main"] and _badness(tag, attrs, False, False) != _BAD
+        main = main and (bad != _BAD or named)
         if main and not state["main"]:
-            while any(x[1] and x[0] in ("nav", "header", "footer", "aside", "head") for x in stack):  # left open before the article
+            while any(opened.get(t) for t in ("nav", "header", "footer", "aside", "head")):  # left open before the article
                 pop()
             state["zone"] += 1
-        stack.append((tag, bad, main, named))
-        state["bad"] += bad
-        state["named"] += named
-        state["main"] += main
+        push(tag, bad, main, named)
         state["heading"] = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
     if at < len(page):
-        parts.append(page[at:] if not re.match(r"<[a-zA-Z/!]", page[at:]) else "")
+        parts.append(page[at:])
     close()
     return out
 
@@ -188,8 +247,10 @@ def _first_pass(b: _Block, rules: Rules) -> str:
     if b.bad or b.linked > rules.most_links * len(b.text):
         return "bad"
     if len(b.text) < rules.short:
-        return "ambiguous"
+        return "bad" if b.weak else "ambiguous"
     density = _stop_density(b.text)
+    if b.weak and (len(b.text) <= rules.long or density < rules.stop_high):
+        return "bad"
     if density >= rules.stop_high:
         return "good" if len(b.text) > rules.long or b.zone else "near"
     if density >= rules.stop_low:
