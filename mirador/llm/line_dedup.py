@@ -1,333 +1,205 @@
-"""Line dedup as an exact set-similarity join.
-
-A line's tokens are its distinct five-word shingles; shorter lines match equal ones alone. Tokens are ordered by rarity: by the class (power of two) of a count
-over all lines of all documents, kept in a table of fixed size by hash, then by hash. Lines that share no token in their
-prefixes cannot be similar; those that do must also pass the length and positional filters before their sets are compared.
-Of each pair of similar lines, the later in the order of doc_id and line goes.
-
-Lines are hashed in Arrow batches: native functions hash word by word in interpreted lambdas, at several times the cost
-(the README has figures). Everything after the shared prefix tokens is native.
+"""Line dedup as an exact set-similarity join, with DataFrame functions alone.
+
+A line's tokens are its distinct five-word shingles; a shorter line is one token, which only equal lines share. Lines are
+hashed once and written, with their tokens in the order of their hashes. A line can match only if it shares a token of its
+prefix in this order with another line; the lines that do not are left out first, which are most. The tokens of the others
+are counted and ordered by rarity. Lines that share no token in their prefixes by rarity cannot be similar; those
+that do must pass the length and positional filters, which depend on size and place alone and so are applied to groups of
+postings before any pair is made, and share enough prefix tokens, before their sets are compared. Of each pair of
+similar lines, the later in the order of doc_id and line goes.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import PLACE, U64, discard, doc_chunks, hash_words, hashes, materialize, mix, n_buckets, powers, releasing, small_batches, text_buffer
+from mirador.llm.common import ascii_lower, discard, hashes, materialize
 
-#: Entries of the table of counts.
-SLOTS = 1 << 16
-#: Tokens of a slot with this class (power of two of its count) or more are spread over all buckets by line.
-SPREAD_CLASS = 21
-#: Candidate lines are broadcast up to this many (8 bytes each), beyond joined by shuffle.
-BROADCAST_LINES = 1_000_000
-#: Pairs to compare (16 bytes each) are broadcast up to this many, and the sets on their one side up to about so many bytes.
-BROADCAST_PAIRS, BROADCAST_SETS = 1_000_000, 16 << 20
+#: Tables of longs are broadcast up to so many rows (about 40 bytes each), beyond joined by shuffle.
+BROADCAST_ROWS = 1_000_000
+#: The sets on one side of a comparison are broadcast up to about so many bytes.
+BROADCAST_SETS = 16 << 20
 #: The numbers of removed lines are broadcast up to about so many bytes, beyond joined by shuffle.
 BROADCAST_BYTES = 64 << 20
 
 
-def _lines(data: np.ndarray, offsets: np.ndarray, i: int, j: int, least_words: int, size: int):
-    """Of documents i to j-1 the lines of at least least_words words (and one): document, line_no and lid of each; and for
-    each of their shingles the hash (57 bits) and its line. A line of fewer than size words is one shingle, which only
-    equal lines share, so its lid says all of it and no hash is given."""
-    lo, hi = int(offsets[i]), int(offsets[j])
-    breaks = np.flatnonzero(data[lo:hi] == 10) + lo
-    many = np.diff(np.searchsorted(breaks, offsets[i : j + 1])) + 1
-    first = np.cumsum(many) - many
-    start = np.empty(int(many.sum()) + 1, np.int64)
-    inner = np.ones(len(start), bool)
-    inner[first] = inner[-1] = False
-    start[first], start[inner], start[-1] = offsets[i:j], breaks + 1, hi
-    h, line = hash_words(data, start, 0, len(start) - 1, "space")
-    words = np.bincount(line, minlength=len(start) - 1)
-    chosen = np.flatnonzero(words >= max(least_words, 1))
-    end = np.cumsum(words)
-    up, down = powers(len(h) + 1)
-    total = np.zeros(len(h) + 1, U64)
-    np.cumsum(h * up[: len(h)], out=total[1:])
-    z, a = end[chosen], end[chosen] - words[chosen]
-    lid = mix((total[z] - total[a]) * down[a] + words[chosen].astype(U64)).view(np.int64)
-    doc = np.repeat(np.arange(i, j), many)[chosen]
-    no = chosen - np.repeat(first, many)[chosen]
-    n = len(h) - size + 1
-    if n <= 0 or not len(chosen):
-        return doc, no, lid, np.zeros(0, U64), np.zeros(0, np.int64)
-    grams = h[:n] * PLACE[0]
-    for k in range(1, size):
-        grams = grams + h[k : k + n] * PLACE[k]
-    place = np.full(len(start) - 1, -1, np.int64)
-    place[chosen] = np.arange(len(chosen))
-    whole = (line[:n] == line[size - 1 :]) & (place[line[:n]] >= 0)
-    return doc, no, lid, mix(grams[whole]) >> U64(7), place[line[:n][whole]]
-
-
-def _ordered(tokens: np.ndarray, line: np.ndarray, lines: int) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct tokens of each line in order, and their lines."""
-    order = np.argsort(tokens)
-    if lines < 1 << 16:
-        line = line.astype(np.uint16)  # sorted by radix
-    order = order[np.argsort(line[order], kind="stable")]
-    tokens, line = tokens[order], line[order]
-    new = np.ones(len(tokens), bool)
-    new[1:] = (tokens[1:] != tokens[:-1]) | (line[1:] != line[:-1])
-    return tokens[new], line[new].astype(np.int64)
-
-
-def _scan(least_words: int, size: int):
-    """Places of all lines (doc_id, th, line_no, lid), and at the end of a task its counts (slot, n)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, table, kind = ["doc_id", "th", "line_no", "lid", "slot", "n"], np.zeros(SLOTS, np.int64), pa.int64()
-        for batch in batches:
-            data, offsets = text_buffer(batch["text"])
-            kind = batch["doc_id"].type
-            found = []
-            for i, j in doc_chunks(offsets):
-                doc, no, lid, tokens, _ = _lines(data, offsets, i, j, least_words, size)
-                table += np.bincount((tokens & U64(SLOTS - 1)).view(np.int64), minlength=SLOTS)
-                found.append((doc, no, lid))
-            if found:
-                doc, no, lid = (np.concatenate(x) for x in zip(*found, strict=True))
-                at = pa.array(doc)
-                yield pa.RecordBatch.from_arrays([batch["doc_id"].take(at), batch["th"].take(at), pa.array(no.astype(np.int32)), pa.array(lid), pa.nulls(len(lid), pa.int32()), pa.nulls(len(lid), pa.int64())], names)
-        some = np.flatnonzero(table)
-        none = lambda t: pa.nulls(len(some), t)
-        yield pa.RecordBatch.from_arrays([none(kind), none(pa.int64()), none(pa.int32()), none(pa.int64()), pa.array(some.astype(np.int32)), pa.array(table[some])], names)
-
-    return releasing(run)
-
-
-def _unseen(lid: np.ndarray, seen: set[int]) -> np.ndarray:
-    """Which lines are the first of their lid in this task, as far as it remembers."""
-    if len(seen) > 2_000_000:
-        seen.clear()
-    fresh = np.zeros(len(lid), bool)
-    for k, x in enumerate(lid.tolist()):
-        if x not in seen:
-            seen.add(x)
-            fresh[k] = True
-    return fresh
-
-
-def _token_sets(least_words: int, size: int):
-    """lid and its distinct tokens, of the lines of a task; few lids come more than once."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            data, offsets = text_buffer(batch["text"])
-            for i, j in doc_chunks(offsets):
-                _, _, lid, tokens, line = _lines(data, offsets, i, j, max(least_words, size), size)
-                fresh = _unseen(lid, seen)
-                keep = fresh[line]
-                tokens, line = _ordered(tokens[keep], line[keep], len(lid))
-                ends = np.cumsum(np.bincount(line, minlength=len(lid))[fresh])
-                sets = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(tokens.view(np.int64)))
-                yield pa.RecordBatch.from_arrays([pa.array(lid[fresh]), sets], ["lid", "tokens"])
-
-    return releasing(run)
-
-
-def _postings(least_words: int, size: int, percent: int, buckets: int, rarity: np.ndarray):
-    """The prefixes of all lines, packed by bucket: token (class, then hash), lid, n (size of the set), pos (from 0)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        for batch in batches:
-            data, offsets = text_buffer(batch["text"])
-            found = []
-            for i, j in doc_chunks(offsets):
-                _, _, lid, tokens, line = _lines(data, offsets, i, j, max(least_words, size), size)
-                keep = _unseen(lid, seen)[line]
-                tokens, line = tokens[keep], line[keep]
-                keys = rarity[(tokens & U64(SLOTS - 1)).view(np.int64)] | tokens
-                keys, line = _ordered(keys, line, len(lid))
-                n = np.bincount(line, minlength=len(lid))
-                pos = np.arange(len(line)) - (np.cumsum(n) - n)[line]
-                prefix = pos < (n - -(-percent * n // 100) + 1)[line]
-                line = line[prefix]
-                found.append((keys[prefix], lid[line], n[line].astype(np.int32), pos[prefix].astype(np.int32)))
-            if not found:
-                continue
-            token, lid, n, pos = (np.concatenate(x) for x in zip(*found, strict=True))
-            if not len(token):
-                continue
-            spread = token >> U64(57) >= SPREAD_CLASS
-            b = (mix(np.where(spread, lid.view(U64), token)) % U64(buckets)).astype(np.int64)
-            order = np.argsort(b, kind="stable")
-            b = b[order]
-            cut = np.flatnonzero(np.diff(b)) + 1
-            blobs = [pa.array([x.tobytes() for x in np.split(a[order], cut)], pa.binary()) for a in (token, lid)]
-            blobs += [pa.array([_planes(x) for x in np.split(a[order], cut)], pa.binary()) for a in (n, pos)]
-            yield pa.RecordBatch.from_arrays([pa.array(b[np.concatenate(([0], cut))]), *blobs], ["bucket", "token", "lid", "n", "pos"])
-
-    return releasing(run)
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """Small int32 values, their equal bytes side by side, so that they compress."""
-    return x.view(np.uint8).reshape(-1, 4).T.tobytes()
-
-
-def _of_planes(blob: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(blob, np.uint8).reshape(4, -1).T).view(np.int32).ravel()
-
-
-def _shared(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Postings of tokens that more than one line has, each once; of spread tokens all."""
-    token, lid = (np.frombuffer(b"".join(pdf[c]), np.int64) for c in ("token", "lid"))
-    n, pos = (np.concatenate([_of_planes(x) for x in pdf[c]]) for c in ("n", "pos"))
-    order = np.argsort(token, kind="stable")
-    t = token[order]
-    more = t >> 57 >= SPREAD_CLASS
-    more[1:] |= t[1:] == t[:-1]
-    more[:-1] |= t[1:] == t[:-1]
-    order = order[more]
-    order = order[np.lexsort((lid[order], token[order]))]
-    t, k = token[order], lid[order]
-    new = np.ones(len(t), bool)
-    new[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-    order, t = order[new], t[new]
-    more = t >> 57 >= SPREAD_CLASS
-    more[1:] |= t[1:] == t[:-1]
-    more[:-1] |= t[1:] == t[:-1]
-    order = order[more]
-    return pd.DataFrame({"token": token[order], "lid": lid[order], "n": n[order], "pos": pos[order]})
-
-
-def _rarity(scan: DataFrame) -> np.ndarray:
-    """For each slot the power of two of its count, in the bits above a token's hash."""
-    counts = scan.where("slot is not null").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
-    table = np.zeros(SLOTS, U64)
-    table[counts["slot"].to_numpy(np.int64)] = np.frexp(counts["n"].to_numpy(np.float64))[1].astype(U64) << U64(57)
-    return table
+def _told(df: DataFrame) -> DataFrame:
+    """A written table, to be broadcast if its rows, counted, are few."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _lines(docs: DataFrame, size: int, least_words: int) -> DataFrame:
+    """(doc_id, th, line_no, lid, tokens): lid, null for lines that never match, is a hash of a line's words, tokens the
+    sorted hashes of its shingles, null where it has fewer than `size` words.
+
+    posexplode_outer and the column w, which is named more than once, keep the optimiser from computing words twice."""
+    parts = docs.select("doc_id", hashes().alias("th"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    low = F.when(F.octet_length("line") == F.char_length("line"), F.lower("line")).otherwise(ascii_lower(F.col("line")))
+    plain = parts.select("doc_id", "th", "line_no", low.alias("low"))
+    spaced = F.when(F.col("low").rlike(r"[\x09\x0B\x0C\x0D]"), F.translate("low", "\t\x0b\f\r", "    ")).otherwise(F.col("low"))
+    words = plain.select("doc_id", "th", "line_no", F.array_remove(F.split(spaced, " "), "").alias("w"))
+    grams = F.expr(f"transform(sequence(1, size(w) - {size - 1}), i -> xxhash64(slice(w, i, {size})))")
+    tokens = F.when(F.size("w") >= size, F.sort_array(F.array_distinct(grams)))
+    lid = F.when(F.size("w") >= max(least_words, 1), F.xxhash64("w"))
+    return words.select("doc_id", "th", "line_no", lid.alias("lid"), F.when(F.size("w") >= least_words, tokens).alias("tokens"))
+
+
+def _prefix(n: str, percent: int) -> str:
+    """How many tokens of a set of n, in any order, hold one at least that a similar set has too."""
+    return f"({n} - ({n} * {percent} + 99) div 100 + 1)"
+
+
+def _least(n: str, m: str, percent: int) -> str:
+    """The smallest overlap of sets of sizes n and m that reaches percent."""
+    return f"((({n} + {m}) * {percent} + {99 + percent}) div {100 + percent})"
+
+
+def _candidates(lines: DataFrame, percent: int) -> DataFrame:
+    """lid of the lines that share a token of their prefix, in the order of hashes, with another one."""
+    posts = lines.where("tokens is not null").select("lid", F.explode_outer(F.expr(f"slice(tokens, 1, {_prefix('size(tokens)', percent)})")).alias("token"))
+    shared = materialize(posts.groupBy("token").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b").select("token"), "line-shared")
+    out = materialize(posts.join(_told(shared), "token").select("lid").distinct(), "line-ids")
+    discard(shared)
+    return out
+
+
+def _by_rarity(sets: DataFrame, percent: int) -> DataFrame:
+    """(token, r, n, pos): the tokens in the prefixes by rarity of sets (r, tokens) that other sets have too; pos is from 0."""
+    each = sets.select("r", F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token"))
+    counts = materialize(each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "line-counts")
+    ranked = each.join(_told(counts), "token", "left").groupBy("r", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "token"))).alias("t"))
+    placed = ranked.select("r", "n", F.posexplode_outer(F.expr(f"slice(t, 1, {_prefix('n', percent)})")).alias("pos", "x"))
+    out = materialize(placed.where("x.c > 1").select("x.token", "r", "n", "pos"), "line-placed")
+    discard(counts)
+    return out
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, percent: int, best: bool) -> DataFrame:
     """The lines r of pairs (r, n, pos; other, m, q: a row per shared prefix token) that pass the filters and whose sets
     reach percent; where best, of each line's pairs only the one that comes most often, as not all its tokens are there.
 
-    The overlap is at most the c tokens shared by both prefixes and what follows the last of these. It is also at most c
-    and what follows the prefix of the line whose prefix ends first, as all it shares before that is in both prefixes."""
-    asked = pairs.where(F.least("n", "m") * 100 >= F.greatest("n", "m") * percent).groupBy("r", "other", "n", "m").agg(F.count("*").alias("c"), F.max("pos").alias("p"), F.max("q").alias("q"))
-    after = F.least(F.expr("least(n - p, m - q) - 1"), F.expr(f"(greatest(n, m) * {percent} + 99) div 100 - 1"))
+    The overlap is at most the c shared tokens of these rows and what follows the last of them: they are the first c that
+    both sets share, as the positional filter lets no later one through that it stops an earlier one."""
+    asked = pairs.groupBy("r", "other", "n", "m").agg(F.count("*").alias("c"), F.max("pos").alias("p"), F.max("q").alias("q"))
     if best:
         asked = asked.groupBy("r").agg(F.max_by("other", F.struct("c", "other")).alias("other"))
     else:
-        asked = asked.where((F.col("c") + after) * (100 + percent) >= (F.col("n") + F.col("m")) * percent)
+        asked = asked.where(F.expr(f"c + least(n - p, m - q) - 1 >= {_least('n', 'm', percent)}"))
     asked = materialize(asked.select("r", "other"), "line-pairs")
-    few = asked.count() <= BROADCAST_PAIRS
+    told = asked.count() <= BROADCAST_ROWS
     others = asked.select("other").distinct()
-    x = sets.join(F.broadcast(asked) if few else asked, "r").select("r", "other", F.col("tokens").alias("x"))
-    y = sets.join(F.broadcast(others) if few else others, sets.r == others.other, "left_semi").select(F.col("r").alias("other"), F.col("tokens").alias("y"))
-    small = few and (y.agg(F.sum(16 + 8 * F.size("y"))).first()[0] or 0) <= BROADCAST_SETS
+    x = sets.join(F.broadcast(asked) if told else asked, "r").select("r", "other", F.col("tokens").alias("x"))
+    y = sets.join(F.broadcast(others) if told else others, sets.r == others.other, "left_semi").select(F.col("r").alias("other"), F.col("tokens").alias("y"))
+    small = told and (y.agg(F.sum(16 + 8 * F.size("y"))).first()[0] or 0) <= BROADCAST_SETS
     both = x.join(F.broadcast(y) if small else y, "other")
-    near = both.where(F.size(F.array_intersect("x", "y")) * (100 + percent) >= (F.size("x") + F.size("y")) * percent).select("r").distinct()
+    near = both.where(F.size(F.array_intersect("x", "y")) >= F.expr(_least("size(x)", "size(y)", percent))).select("r").distinct()
     near = materialize(near, "line-matched")
     discard(asked)
     return near
 
 
-def lines_with_earlier_match(docs: DataFrame, scan: DataFrame, first: DataFrame, size: int, percent: int, least_words: int) -> DataFrame:
-    """lid of every line similar to another one whose first place is earlier. first: (lid, first).
+def _met(open_: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
+    """Rows (r, n, pos, other, m, q) for each shared prefix token of a line of open_ and an earlier one that passes the length
+    and positional filters. The filters look at (n, pos) and (m, q) alone: such groups of a token's postings are paired
+    first, so pairs that do not pass are never made."""
+    cells = placed.groupBy("token", "n", "pos").agg(F.min("r").alias("first"))
+    mine = open_.groupBy("token", "n", "pos").agg(F.max("r").alias("last"))
+    other = cells.select("token", F.col("n").alias("m"), F.col("pos").alias("q"), "first")
+    alike = F.expr(f"least(n, m) * 100 >= greatest(n, m) * {percent} and least(n - pos, m - q) >= {_least('n', 'm', percent)}")
+    pass_ = mine.join(other, "token").where(alike & (F.col("first") < F.col("last"))).select("token", "n", "pos", "m", "q")
+    theirs = placed.select("token", F.col("r").alias("other"), F.col("n").alias("m"), F.col("pos").alias("q"))
+    return open_.join(pass_, ["token", "n", "pos"]).join(theirs, ["token", "m", "q"]).where("other < r").select("r", "n", "pos", "other", "m", "q")
+
+
+def lines_with_earlier_match(lines: DataFrame, ids: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+    """lid of every line of ids similar to another one whose first place is earlier. first: (lid, first).
 
     Candidate lines are numbered in the order of their first places. Round one looks, token by token, at the earliest line
     that has it, and at the earliest of the same size, and compares each line with the one that comes up most often. Only
-    lines without a match then meet all the earlier ones they share a token with."""
-    buckets = n_buckets(docs)
-    packed = docs.select("text").mapInArrow(_postings(least_words, size, percent, buckets, _rarity(scan)), "bucket long, token binary, lid binary, n binary, pos binary")
-    posted = materialize(packed.groupBy("bucket").applyInPandas(_shared, "token long, lid long, n int, pos int"), "line-postings")
-    ids = materialize(posted.select("lid").distinct(), "line-ids")
-    few = ids.count() <= BROADCAST_LINES
-    told = F.broadcast if few else (lambda df: df)
+    lines without a match then meet all the earlier ones that pass the filters."""
     # a sort by ranges is distributed, and these numbers rise from range to range
-    ranked = materialize(first.join(told(ids), "lid", "left_semi").orderBy("first").select("lid", F.monotonically_increasing_id().alias("r")), "line-ranks")
-    sets = docs.select("text").mapInArrow(_token_sets(least_words, size), "lid long, tokens array<long>").join(told(ranked), "lid")
-    sets = materialize(sets.groupBy("r").agg(F.first("tokens").alias("tokens")), "line-sets")
-    placed = materialize(posted.join(told(ranked), "lid").select("token", "r", "n", "pos"), "line-placed")
-    discard(posted, ids)
+    ranked = materialize(first.join(_told(ids), "lid", "left_semi").orderBy("first").select("lid", F.monotonically_increasing_id().alias("r")), "line-ranks")
+    sets = lines.where("tokens is not null").select("lid", "tokens").join(_told(ranked), "lid").groupBy("r").agg(F.first("tokens").alias("tokens"))
+    sets = materialize(sets, "line-sets")
+    placed = _by_rarity(sets, percent)
     me = F.min(F.struct("r", "n", "pos")).alias("o")
     earliest = placed.join(placed.groupBy("token").agg(me), "token").select("r", "n", "pos", "o")
     alike = placed.join(placed.groupBy("token", "n").agg(me), ["token", "n"]).select("r", "n", "pos", "o")
     met = earliest.where("o.r < r").union(alike.where("o.r < r")).select("r", "n", "pos", F.col("o.r").alias("other"), F.col("o.n").alias("m"), F.col("o.pos").alias("q"))
-    matched = _verified(met.where("other is not null"), sets, percent, True)
-    open_ = placed.join(told(matched), "r", "left_anti")
-    others = placed.select("token", F.col("r").alias("other"), F.col("n").alias("m"), F.col("pos").alias("q"))
-    rest = open_.join(others, "token").where("other < r").select("r", "n", "pos", "other", "m", "q")
-    late = _verified(rest, sets, percent, False)
-    near = materialize(ranked.join(told(matched.union(late)), "r", "left_semi").select("lid"), "line-near")
+    matched = _verified(met.where(f"least(n, m) * 100 >= greatest(n, m) * {percent}"), sets, percent, True)
+    open_ = placed.join(_told(matched), "r", "left_anti")
+    late = _verified(_met(open_, placed, percent), sets, percent, False)
+    near = materialize(ranked.join(_told(matched).union(late), "r", "left_semi").select("lid"), "line-near")
     discard(ranked, sets, placed, matched, late)
     return near
 
 
 def removed_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 1) -> DataFrame:
     """(doc_id, th, gone): for each document with such lines the numbers, from 0, of the lines that match an earlier one."""
-    small_batches(docs.sparkSession)
-    docs = docs.select("doc_id", "text")
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    scan = materialize(docs.select("doc_id", hashes().alias("th"), "text").mapInArrow(_scan(least_words, size), f"doc_id {kind}, th long, line_no int, lid long, slot int, n long"), "lines")
-    light = scan.where("lid is not null").select("lid", "doc_id", "th", "line_no")
+    lines = materialize(_lines(docs.select("doc_id", "text"), size, least_words), "lines")
+    ids = _candidates(lines, percent)
+    light = lines.where("lid is not null").select("lid", "doc_id", "th", "line_no")
+    again = light.groupBy("lid").agg(F.count("*").alias("n")).where("n > 1").select("lid")
+    asked = materialize(again.union(ids).distinct(), "line-asked")
     at = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("line_no").alias("l"))
-    first = materialize(light.groupBy("lid").agg(F.min(at).alias("first"), F.count("*").alias("n")), "line-first")
-    near = lines_with_earlier_match(docs, scan, first, size, percent, least_words).withColumn("near", F.lit(True))
+    places = materialize(light.join(_told(asked), "lid"), "line-places")
+    first = materialize(places.groupBy("lid").agg(F.min(at).alias("first"), F.count("*").alias("n")), "line-first")
+    near = lines_with_earlier_match(lines, ids, first, percent).withColumn("near", F.lit(True))
     bound = first.join(near, "lid", "left").where((F.col("n") > 1) | F.col("near")).select("lid", "first", F.coalesce("near", F.lit(False)).alias("near"))
     bound = materialize(bound, "line-bound")
-    gone = light.join(bound, "lid").where(F.col("near") | (at > F.col("first"))).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
+    gone = places.join(bound, "lid").where(F.col("near") | (at > F.col("first"))).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
     gone = materialize(gone, "lines-gone")
-    discard(scan, first, near, bound)
+    discard(lines, ids, asked, places, first, near, bound)
     return gone
 
 
 def dedup_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 1) -> DataFrame:
-    """docs with the lines removed that match an earlier line of any document; adds n_lines, n_gone and changed text.
+    """docs with the lines removed that match an earlier line of any document; adds n_lines, n_gone and changes text.
 
     Lines end at a newline. Words are runs without ASCII white space, A-Z lower-cased. Lines of fewer than `least_words`
-    words, and blank ones, never match; a line of fewer than `size` words is one shingle, so it matches equal lines alone. Two lines match when their distinct word shingles of `size` reach percent /
-    100 of Jaccard similarity; of all matching lines only those without an earlier match stay. Earlier means a smaller
-    doc_id (null last), then a smaller line number; rows that repeat doc_id and text are one document and keep the same
-    lines. Null text stays null; empty tables stay empty. Columns of docs are kept as they are, named alike or not.
+    words, and blank ones, never match; a line of fewer than `size` words is one shingle, so it matches equal lines alone.
+    Two lines match when their distinct word shingles of `size` reach percent / 100 of Jaccard similarity; of all
+    matching lines only those without an earlier match stay. Earlier means a smaller doc_id (null last), then a smaller
+    line number; rows that repeat doc_id and text are one document and keep the same lines. Null text stays null; empty
+    tables stay empty. Columns of docs are kept, but for n_lines and n_gone, which are replaced. Lines and shingles are
+    compared by 64-bit hashes.
     """
     gone = removed_lines(docs, size, percent, least_words).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
     found = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()
     if 40 * found[0] + 4 * found[1] <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
     met = docs.join(gone, docs.doc_id.eqNullSafe(F.col("_id")) & (hashes() == F.col("_th")), "left")
-    kept = F.filter(F.split("text", "\n"), lambda line, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<int>")), i))
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    others = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns]
-    return met.select(*others, F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_gone"))
+    cut = met.withColumn("_lines", F.split("text", "\n"))
+    left = F.expr("transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> get(_lines, i))")
+    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    others = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns if c not in ("n_lines", "n_gone")]
+    return cut.select(*others, F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_gone"))
 
 
 def without_repeats(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 1) -> DataFrame:
     """dedup_lines for a pipeline: the columns of docs, n_chars counted anew. A document that lost lines goes
     as a whole only where no line, or only blank ones, are left."""
-    out = dedup_lines(docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_gone")]), size, percent, least_words)
+    kept = {c: f"_kept_{c}" for c in ("n_lines", "n_gone") if c in docs.columns}
+    out = dedup_lines(docs.withColumnsRenamed(kept), size, percent, least_words)
     out = out.where((F.col("n_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(F.col("n_gone") == 0, F.col("n_chars")).otherwise(F.char_length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(*docs.columns)
+    return out.drop("n_lines", "n_gone").withColumnsRenamed({v: k for k, v in kept.items()}).select(*docs.columns)
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Removes repeated and similar lines from all documents: doc_id, n_lines, n_gone, and the text that is left. As its SQL
-    says, lines of fewer than five words stay."""
-    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), least_words=5)
+    """Removes repeated and similar lines from all documents: doc_id, n_lines, n_gone, and the text that is left."""
+    out = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return out.select("doc_id", "n_lines", "n_gone", "text")
 
 
 OP6_SQL = r"""
 WITH l AS (SELECT doc_id, i, t[i] AS line, list_filter(string_split_regex(translate(t[i], 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
            FROM (SELECT doc_id, t, unnest(generate_series(1, len(t))) AS i FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS t FROM documents))),
-k AS (SELECT doc_id, i, array_to_string(w, ' ') AS s FROM l WHERE len(w) >= 5),
+k AS (SELECT doc_id, i, array_to_string(w, ' ') AS s FROM l WHERE len(w) >= 1),
 f AS (SELECT s, min((doc_id, i)) AS first FROM k GROUP BY s),
-g AS (SELECT s, first, list_distinct(list_transform(generate_series(1, len(w) - 4), lambda j: array_to_string(w[j : j + 4], ' '))) AS g
+g AS (SELECT s, first, CASE WHEN len(w) < 5 THEN [s || ' '] ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda j: array_to_string(w[j : j + 4], ' '))) END AS g
       FROM (SELECT s, first, string_split(s, ' ') AS w FROM f)),
 e AS (SELECT s, first, len(g) AS n, unnest(g) AS t FROM g),
 p AS (SELECT a.s, b.first AS other FROM e a JOIN e b ON a.t = b.t AND a.s <> b.s
