@@ -41,19 +41,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
     windows = benchmark_windows(benchmark, n)
     sizes = {r["k"]: r["n"] for r in windows.groupBy("k").agg(F.count("*").alias("n")).collect()}  # at most n rows
     windows = windows.select(F.xxhash64(F.transform(F.split("window", " "), lambda w: F.xxhash64(w))).alias("wh"), F.col("k").alias("wk"), "window", "items")
-    windows = F.broadcast(windows) if sum(sizes.values()) <= BROADCAST_WINDOWS else windows
+    few = sum(sizes.values()) <= BROADCAST_WINDOWS
     base = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("th"), words_of(F.col("text")).alias("w"))
     hashed = base.select("doc_id", "th", "w", F.size("w").alias("n_words"), F.transform("w", lambda w: F.xxhash64(w)).alias("h"))
     # explode_outer: explode would have its array computed once more in a filter before it; and h is named more than
     # once, which keeps Catalyst from moving its computation into the lambda over positions
     probes = [F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.lit(None).cast("long").alias("p")))]
     for k in sorted(sizes):
-        each = F.expr(f"transform(sequence(1, size(h) - {k - 1}), i -> struct(i AS at, {k} AS k, xxhash64(slice(h, i, {k})) AS p))")
+        window = ", ".join(f"get(h, i + {j - 1})" for j in range(k))  # several times as fast as a slice of h
+        each = F.expr(f"transform(sequence(1, size(h) - {k - 1}), i -> struct(i AS at, {k} AS k, xxhash64({window}) AS p))")
         probes.append(F.when(F.size("h") >= k, each).otherwise(F.array().cast("array<struct<at:int,k:int,p:bigint>>")))
     probed = hashed.select("doc_id", "th", "w", "n_words", F.concat(*probes).alias("all")).select("doc_id", "th", "w", "n_words", F.explode_outer("all").alias("x")).select("doc_id", "th", "w", "n_words", "x.at", "x.k", "x.p")
-    met = probed.join(windows, (F.col("p") == F.col("wh")) & (F.col("k") == F.col("wk")), "left")
+    alike = (F.col("p") == F.col("wh")) & (F.col("k") == F.col("wk"))
     real = F.col("window") == F.array_join(F.expr("slice(w, at, k)"), " ")
-    rows = met.where((F.col("at") == 0) | real).select("doc_id", "th", "n_words", F.when(F.col("at") > 0, F.struct((F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.col("k")).alias("stop"))).alias("hit"), "items", (F.col("at") == 0).cast("int").alias("row"))
+    hit = F.struct((F.col("at") - 1).alias("start"), (F.col("at") - 1 + F.col("k")).alias("stop"))
+    if few:
+        met = probed.join(F.broadcast(windows), alike, "left").where((F.col("at") == 0) | real)
+        rows = met.select("doc_id", "th", "n_words", F.when(F.col("at") > 0, hit).alias("hit"), "items", (F.col("at") == 0).cast("int").alias("row"))
+    else:  # probes are shuffled without their words; what they hit meets the words of its document once more
+        hits = probed.where("at > 0").select(F.col("doc_id").alias("d"), F.col("th").alias("t"), "at", "k", "p").join(windows, alike).drop("p", "wh", "wk").distinct()
+        met = base.join(hits, base.doc_id.eqNullSafe(F.col("d")) & (base.th == F.col("t"))).where(real)
+        one = hashed.select("doc_id", "th", "n_words", F.lit(None).cast("struct<start: int, stop: int>").alias("hit"), F.lit(None).cast("array<string>").alias("items"), F.lit(1).alias("row"))
+        rows = one.union(met.select("doc_id", "th", F.size("w").alias("n_words"), hit.alias("hit"), "items", F.lit(0).alias("row")))
     found = rows.groupBy("doc_id", "th", "n_words").agg(F.sum("row").alias("copies"), F.sort_array(F.collect_set("hit")).alias("hits"), F.sort_array(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"))
     covered = F.aggregate(
         "hits", F.struct(F.lit(0).alias("n"), F.lit(0).alias("to")),
@@ -70,15 +79,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "document") -> DataFrame:
     """docs without contamination: mode "document" drops every document with a hit; "span" cuts the words hit from it
     (the words are then lower-cased and joined by a space, as they were compared). Other documents stay as they are."""
-    found = contamination(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), "hits").dropDuplicates(["_id", "_th"])
-    same = docs.doc_id.eqNullSafe(F.col("_id")) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == F.col("_th"))
+    found = contamination(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("_mirador_id"), F.col("th").alias("_mirador_th"), F.col("hits").alias("_mirador_hits")).dropDuplicates(["_mirador_id", "_mirador_th"])
+    same = docs.doc_id.eqNullSafe(F.col("_mirador_id")) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == F.col("_mirador_th"))
     if mode == "document":
         return docs.join(found, same, "left_anti")
     if mode != "span":
         raise ValueError(f"unknown mode {mode}")
     w = words_of(F.col("text"))
-    kept = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda x: ~F.exists("hits", lambda s: (x["i"] >= s["start"]) & (x["i"] < s["stop"])))
-    text = F.when(F.col("hits").isNull(), F.col("text")).otherwise(F.array_join(kept["x"], " "))
+    kept = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda x: ~F.exists("_mirador_hits", lambda s: (x["i"] >= s["start"]) & (x["i"] < s["stop"])))
+    text = F.when(F.col("_mirador_hits").isNull(), F.col("text")).otherwise(F.array_join(kept["x"], " "))
     return docs.join(found, same, "left").withColumn("text", text).select(*docs.columns)
 
 

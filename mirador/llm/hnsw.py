@@ -17,11 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mirador.llm.common import materialize
+from mirador.llm.common import discard, materialize, small_batches
 
 #: Rows of a shard, on average; queries searched in one task, on average.
 SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
-#: Links of a node above the ground level and on it; beam widths of insertion and search; nodes linked exactly at first.
+#: Links of a node above the ground level and on it; beam widths of insertion and search; nodes that the ground level begins
+#: with, which are linked by comparing all of them.
 LINKS, GROUND_LINKS, BUILD_BEAM, SEARCH_BEAM, EXACT = 16, 32, 64, 96, 512
 
 
@@ -182,10 +183,7 @@ class Index:
         if not n or not len(queries):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         q = np.concatenate((queries.astype(np.float32), np.zeros((len(queries), 1), np.float32)), 1)
-        if n <= EXACT:
-            nodes = np.broadcast_to(np.arange(n), (len(q), n))
-        else:
-            nodes, _ = _beam(q, self._entries(q), self.levels[0], self.lifted, n, max(beam, k + 1))
+        nodes, _ = _beam(q, self._entries(q), self.levels[0], self.lifted, n, max(beam, k + 1))
         exact = self.original.astype(np.float64)
         rows, ids, scores = [], [], []
         for i, found in enumerate(nodes):
@@ -220,11 +218,17 @@ def _build(pdf: pd.DataFrame) -> pd.DataFrame:
 
 
 def _search(k: int):
+    """Rows sorted by shard, its index first and blocks of queries after it: one index and one block in memory at a time."""
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        index = None
         for pdf in frames:
             for blob, ids, vectors in zip(pdf["index"], pdf["ids"], pdf["vectors"], strict=True):
+                if blob is not None:
+                    index = pickle.loads(blob)
+                    continue
                 own, q = np.asarray(ids, np.int64), np.stack([np.asarray(v) for v in vectors])
-                rows, found, scores = pickle.loads(blob).search(q, own, k)
+                rows, found, scores = index.search(q, own, k)
                 yield pd.DataFrame({"query_id": own[rows], "vec_id": found, "score": scores})
 
     return run
@@ -238,16 +242,22 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
     null or non-finite components, take no part. Repeated ids are candidates each; of queries with one id one is asked.
     Empty tables give an empty result.
     """
+    small_batches(vectors.sparkSession)
     used = materialize(_usable(vectors), "vectors")
     shards = used.count() // shard_rows + 1
-    index = materialize(used.withColumn("shard", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards))).groupBy("shard").applyInPandas(_build, "shard long, index binary"), "index")
+    shard = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards))
+    index = materialize(used.withColumn("shard", shard).groupBy("shard").applyInPandas(_build, "shard long, index binary"), "index")
     asked = _usable(queries).dropDuplicates(["vec_id"])
     blocks = asked.count() // BLOCK_QUERIES + 1
     asked = asked.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("q"))
     asked = materialize(asked.select("block", F.col("q.vec_id").alias("ids"), F.col("q.embedding").alias("vectors")), "queries")
-    # the stated query set against all shards, a block of queries and one shard at a time
-    met = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(asked, "block").repartition(F.col("shard"), F.col("block"))
+    # the stated query set against all shards: the blocks of queries go to each shard, whose index is moved once
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shards - 1).cast("long")))
+    sent = asked.withColumn("shard", every).select("shard", "block", F.lit(None).cast("binary").alias("index"), "ids", "vectors")
+    held = index.select("shard", F.lit(-1).cast("long").alias("block"), "index", *[F.lit(None).cast(asked.schema[c].dataType).alias(c) for c in ("ids", "vectors")])
+    met = held.unionByName(sent).repartition("shard").sortWithinPartitions("shard", "block")
     found = met.select("index", "ids", "vectors").mapInPandas(_search(k), "query_id long, vec_id long, score double")
+    discard(used)
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -364,17 +364,17 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     found = materialize(_components(docs, size, percent).select("doc_id", "th", "root"), "members")
     at = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("th").alias("t"))
     best = found.where("root is not null").groupBy("root").agg(F.min(at).alias("best"), F.count("*").alias("n")).where("n > 1").select("root", "best")
-    pair = lambda df: df.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"))
-    same = docs.doc_id.eqNullSafe(F.col("_id")) & (hashes() == F.col("_th"))
+    pair = lambda df: df.select(F.col("doc_id").alias("_mirador_id"), F.col("th").alias("_mirador_th"))
+    same = docs.doc_id.eqNullSafe(F.col("_mirador_id")) & (hashes() == F.col("_mirador_th"))
     gone = materialize(pair(found.join(best, "root").where(at > F.col("best"))).distinct(), "gone")
     again = found.where("doc_id is not null or root is not null").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1")
     again = materialize(pair(again), "again")
     kept = docs.join(gone, same, "left_anti")
     if again.isEmpty():
         return kept.select(*docs.columns)
-    once, more = kept.join(again, same, "left_anti"), kept.join(again, same, "left_semi").withColumn("_th", hashes())
-    nth = F.row_number().over(Window.partitionBy("doc_id", "_th").orderBy(F.xxhash64(*docs.columns)))
-    return once.select(*docs.columns).union(more.withColumn("_nth", nth).where("_nth = 1").select(*docs.columns))
+    once, more = kept.join(again, same, "left_anti"), kept.join(again, same, "left_semi").withColumn("_mirador_th", hashes())
+    nth = F.row_number().over(Window.partitionBy("doc_id", "_mirador_th").orderBy(F.xxhash64(*docs.columns)))
+    return once.select(*docs.columns).union(more.withColumn("_mirador_nth", nth).where("_mirador_nth = 1").select(*docs.columns))
 
 
 def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirador.llm.common import U64, mix, small_batches
@@ -188,12 +188,8 @@ def train_language_model(docs: DataFrame) -> LanguageModel:
     return fit(counts, sample["lang"].tolist(), idf)
 
 
-def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
-    """docs with lang_pred and lang_score (columns of these names are replaced): the label of each whole text.
-
-    Null texts and texts without a letter are `und` with score 0. Rows are independent; an empty table stays empty.
-    """
-    spark = docs.sparkSession
+def _predicted(spark: SparkSession, model: LanguageModel) -> Column:
+    """A struct (lang_pred, lang_score) for the column text."""
     shared = spark.sparkContext.broadcast(model)
 
     @F.pandas_udf("struct<lang_pred: string, lang_score: double>")
@@ -201,8 +197,16 @@ def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
         label, score = shared.value.predict([x if isinstance(x, str) else None for x in text])
         return pd.DataFrame({"lang_pred": label, "lang_score": score})
 
+    return predict("text")
+
+
+def identify(docs: DataFrame, model: LanguageModel) -> DataFrame:
+    """docs with lang_pred and lang_score (columns of these names are replaced): the label of each whole text.
+
+    Null texts and texts without a letter are `und` with score 0. Rows are independent; an empty table stays empty.
+    """
     base = docs.drop("lang_pred", "lang_score")
-    return base.withColumn("_lang", predict("text")).select(*base.columns, "_lang.lang_pred", "_lang.lang_score")
+    return base.withColumn("_mirador_lang", _predicted(docs.sparkSession, model)).select(*base.columns, "_mirador_lang.lang_pred", "_mirador_lang.lang_score")
 
 
 def training_fold(docs: DataFrame):
@@ -211,9 +215,11 @@ def training_fold(docs: DataFrame):
 
 
 def accepted(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """docs without those that have no letter or whose language is less certain than `least`."""
+    """docs, all columns as they are, without those that have no letter or whose language is less certain than `least`; where
+    no row has a lang to learn from, none is certain."""
     model = train_language_model(docs.where(training_fold(docs)))
-    return identify(docs, model).where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least)).select(*docs.columns)
+    found = docs.withColumn("_mirador_lang", _predicted(docs.sparkSession, model))
+    return found.where((F.col("_mirador_lang.lang_pred") != UNDETERMINED) & (F.col("_mirador_lang.lang_score") >= least)).select(*docs.columns)
 
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from mirador.llm.common import ascii_lower, discard, hashes, materialize
 
 #: Tables of longs are broadcast up to so many rows (about 40 bytes each), beyond joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 2_000_000
 #: The sets on one side of a comparison are broadcast up to about so many bytes.
 BROADCAST_SETS = 16 << 20
 #: The numbers of removed lines are broadcast up to about so many bytes, beyond joined by shuffle.
@@ -33,16 +33,17 @@ def _lines(docs: DataFrame, size: int, least_words: int) -> DataFrame:
     """(doc_id, th, line_no, lid, tokens): lid, null for lines that never match, is a hash of a line's words, tokens the
     sorted hashes of its shingles, null where it has fewer than `size` words.
 
-    posexplode_outer and the column w, which is named more than once, keep the optimiser from computing words twice."""
+    posexplode_outer and the column h, which is named more than once, keep the optimiser from computing words twice."""
     parts = docs.select("doc_id", hashes().alias("th"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
     low = F.when(F.octet_length("line") == F.char_length("line"), F.lower("line")).otherwise(ascii_lower(F.col("line")))
     plain = parts.select("doc_id", "th", "line_no", low.alias("low"))
     spaced = F.when(F.col("low").rlike(r"[\x09\x0B\x0C\x0D]"), F.translate("low", "\t\x0b\f\r", "    ")).otherwise(F.col("low"))
-    words = plain.select("doc_id", "th", "line_no", F.array_remove(F.split(spaced, " "), "").alias("w"))
-    grams = F.expr(f"transform(sequence(1, size(w) - {size - 1}), i -> xxhash64(slice(w, i, {size})))")
-    tokens = F.when(F.size("w") >= size, F.sort_array(F.array_distinct(grams)))
-    lid = F.when(F.size("w") >= max(least_words, 1), F.xxhash64("w"))
-    return words.select("doc_id", "th", "line_no", lid.alias("lid"), F.when(F.size("w") >= least_words, tokens).alias("tokens"))
+    words = F.transform(F.array_remove(F.split(spaced, " "), ""), lambda x: F.xxhash64(x))
+    hashed = plain.select("doc_id", "th", "line_no", words.alias("h"))
+    gram = ", ".join(f"get(h, i + {k})" for k in range(size))  # several times as fast as a slice of h
+    grams = F.expr(f"transform(sequence(0, size(h) - {size}), i -> xxhash64({gram}))")
+    tokens = F.when(F.size("h") >= max(size, least_words), F.sort_array(F.array_distinct(grams)))
+    return hashed.select("doc_id", "th", "line_no", F.when(F.size("h") >= max(least_words, 1), F.xxhash64("h")).alias("lid"), tokens.alias("tokens"))
 
 
 def _prefix(n: str, percent: int) -> str:
@@ -65,12 +66,14 @@ def _candidates(lines: DataFrame, percent: int) -> DataFrame:
 
 
 def _by_rarity(sets: DataFrame, percent: int) -> DataFrame:
-    """(token, r, n, pos): the tokens in the prefixes by rarity of sets (r, tokens) that other sets have too; pos is from 0."""
+    """(token, r, n, pos): the tokens in the prefixes by rarity of sets (r, tokens) that other sets have too; pos is from 0.
+    Tokens that one set has come first, and only their number matters."""
     each = sets.select("r", F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token"))
     counts = materialize(each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "line-counts")
-    ranked = each.join(_told(counts), "token", "left").groupBy("r", "n").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "token"))).alias("t"))
-    placed = ranked.select("r", "n", F.posexplode_outer(F.expr(f"slice(t, 1, {_prefix('n', percent)})")).alias("pos", "x"))
-    out = materialize(placed.where("x.c > 1").select("x.token", "r", "n", "pos"), "line-placed")
+    ranked = each.join(_told(counts), "token").groupBy("r", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("t"))
+    prefix = F.expr(f"slice(t, 1, greatest({_prefix('n', percent)} - n + size(t), 0))")
+    placed = ranked.select("r", "n", F.size("t").alias("s"), F.posexplode_outer(prefix).alias("i", "x")).where("x is not null")
+    out = materialize(placed.select("x.token", "r", "n", F.expr("n - s + i").alias("pos")), "line-placed")
     discard(counts)
     return out
 
@@ -165,22 +168,22 @@ def dedup_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words:
     tables stay empty. Columns of docs are kept, but for n_lines and n_gone, which are replaced. Lines and shingles are
     compared by 64-bit hashes.
     """
-    gone = removed_lines(docs, size, percent, least_words).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    found = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_gone")), F.lit(0))).first()
+    gone = removed_lines(docs, size, percent, least_words).select(F.col("doc_id").alias("_mirador_id"), F.col("th").alias("_mirador_th"), F.col("gone").alias("_mirador_gone"))
+    found = gone.agg(F.count("*"), F.coalesce(F.sum(F.size("_mirador_gone")), F.lit(0))).first()
     if 40 * found[0] + 4 * found[1] <= BROADCAST_BYTES:
         gone = F.broadcast(gone)
-    met = docs.join(gone, docs.doc_id.eqNullSafe(F.col("_id")) & (hashes() == F.col("_th")), "left")
-    cut = met.withColumn("_lines", F.split("text", "\n"))
-    left = F.expr("transform(array_except(sequence(0, size(_lines) - 1), _gone), i -> get(_lines, i))")
-    text = F.when(F.col("_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
+    met = docs.join(gone, docs.doc_id.eqNullSafe(F.col("_mirador_id")) & (hashes() == F.col("_mirador_th")), "left")
+    cut = met.withColumn("_mirador_lines", F.split("text", "\n"))
+    left = F.expr("transform(array_except(sequence(0, size(_mirador_lines) - 1), _mirador_gone), i -> get(_mirador_lines, i))")
+    text = F.when(F.col("_mirador_gone").isNull(), F.col("text")).otherwise(F.array_join(left, "\n"))
     others = [F.col(c) if c != "text" else text.alias("text") for c in docs.columns if c not in ("n_lines", "n_gone")]
-    return cut.select(*others, F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long").alias("n_lines"), F.coalesce(F.size("_gone"), F.lit(0)).cast("long").alias("n_gone"))
+    return cut.select(*others, F.when(F.col("text").isNull(), F.lit(0)).otherwise(F.size("_mirador_lines")).cast("long").alias("n_lines"), F.coalesce(F.size("_mirador_gone"), F.lit(0)).cast("long").alias("n_gone"))
 
 
 def without_repeats(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 1) -> DataFrame:
     """dedup_lines for a pipeline: the columns of docs, n_chars counted anew. A document that lost lines goes
     as a whole only where no line, or only blank ones, are left."""
-    kept = {c: f"_kept_{c}" for c in ("n_lines", "n_gone") if c in docs.columns}
+    kept = {c: f"_mirador_kept_{c}" for c in ("n_lines", "n_gone") if c in docs.columns}
     out = dedup_lines(docs.withColumnsRenamed(kept), size, percent, least_words)
     out = out.where((F.col("n_gone") == 0) | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     if "n_chars" in docs.columns:

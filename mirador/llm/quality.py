@@ -106,8 +106,10 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def train_quality_model(docs: DataFrame, labels: DataFrame) -> QualityModel:
-    """Fits on docs (doc_id, text) with labels (doc_id, quality): FIT_ROWS of the labelled documents of the training fold."""
-    chosen = labels.where(training_fold() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).select("doc_id", "quality").dropDuplicates(["doc_id"])
+    """Fits on docs (doc_id, text) with labels (doc_id, quality): FIT_ROWS of the labelled documents of the training
+    fold. A doc_id with both labels is left out."""
+    usable = labels.where(training_fold() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").select("doc_id", "quality")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     small_batches(docs.sparkSession)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", hashes().alias("th"), F.col("quality").cast("long").alias("quality"), "text")

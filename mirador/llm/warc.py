@@ -142,10 +142,10 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     base = pages.select("page_id", "url", payload.alias("payload")).select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("size"))
     twice = base.where(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     twice = materialize(twice.select(F.col("sha1").alias("s"), F.col("size").alias("z"), "first"), "copies")
-    hashed = pages.withColumn("h", F.xxhash64("page_id", "url"))
-    cut = hashed.select("h").orderBy("h").limit(SAMPLE_RECORDS).agg(F.max("h")).first()[0]
+    hashed = pages.select(F.xxhash64("page_id", "url").alias("h"), F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("x"))
+    cut = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_RECORDS).agg(F.max("h")).first()[0]
     some = hashed.where(F.col("h") <= cut) if cut is not None else hashed.limit(0)
-    sample = some.select("h", F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("x")).limit(2 * SAMPLE_RECORDS).toPandas().sort_values(["h", "x"], kind="stable")
+    sample = some.groupBy("h").agg(F.min("x").alias("x")).toPandas().sort_values("h")  # at most SAMPLE_RECORDS rows
     dictionary = build_dictionary([record(0, "http://example.com/", x.encode(), "A" * 32, None, False, date) for x in sample["x"]])
     revisit = F.col("s").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = base.join(twice, (base.sha1 == twice.s) & (base["size"] == twice.z), "left").select("page_id", "url", "payload", "sha1", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
