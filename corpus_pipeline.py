@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mirador.llm.common import materialize
+from mirador.llm.common import discard, discard_since, materialize, written
 from mirador.llm.decontaminate import decontaminate
 from mirador.llm.jaccard_join import keep_one
 from mirador.llm.language_id import accepted
@@ -51,7 +51,11 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents of sf_dir."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), ()
     for name, stage in STAGES[:-1]:
+        begun = written()
         docs = materialize(stage(spark, docs, sf_dir), name)
+        discard_since(spark, begun, docs)  # what the stage wrote besides, and what it read
+        discard(*before)
+        before = (docs,)
     return STAGES[-1][1](spark, docs, sf_dir)
