@@ -1,20 +1,20 @@
 """Line dedup as an exact set-similarity join, with DataFrame functions alone.
 
-A line's tokens are its distinct five-word shingles; a shorter line is one token, which only equal lines share. Lines are
-hashed once and written, with their tokens in the order of their hashes. A line can match only if it shares a token of its
-prefix in this order with another line; the lines that do not are left out first, which are most. The tokens of the others
-are counted and ordered by rarity. Lines that share no token in their prefixes by rarity cannot be similar; those
-that do must pass the length and positional filters, which depend on size and place alone and so are applied to groups of
-postings before any pair is made, and share enough prefix tokens, before their sets are compared. Of each pair of
-similar lines, the later in the order of doc_id and line goes.
+A line's tokens are its distinct five-word shingles; a shorter line is one token, which only equal lines share. A similar
+line can lack few of a line's tokens, so of the first tokens in the order of their hashes at least some must be found in
+other lines: those few tokens are written for each line and counted, and the lines of which too few are found are left out,
+which are most. The whole sets of the others are made then, and their tokens counted and ordered by rarity. Lines that
+share no token in their prefixes by rarity cannot be similar; those that do must pass the length and positional filters,
+which depend on size and place alone and so are applied to groups of postings before any pair is made, before their sets
+are compared. Of each pair of similar lines, the later in the order of doc_id and line goes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import ascii_lower, discard, hashes, materialize
+from mirador.llm.common import discard, hashes, materialize
 
 #: Tables of longs are broadcast up to so many rows (about 40 bytes each), beyond joined by shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -29,26 +29,28 @@ def _told(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _lines(docs: DataFrame, size: int, least_words: int) -> DataFrame:
-    """(doc_id, th, line_no, lid, tokens): lid, null for lines that never match, is a hash of a line's words, tokens the
-    sorted hashes of its shingles, null where it has fewer than `size` words.
+def _split(docs: DataFrame) -> DataFrame:
+    """(doc_id, th, line_no, line) of all lines. posexplode_outer, as explode would have its array computed once more in a
+    filter before it."""
+    return docs.select("doc_id", hashes().alias("th"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
 
-    posexplode_outer and the column h, which is named more than once, keep the optimiser from computing words twice."""
-    parts = docs.select("doc_id", hashes().alias("th"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
-    low = F.when(F.octet_length("line") == F.char_length("line"), F.lower("line")).otherwise(ascii_lower(F.col("line")))
-    plain = parts.select("doc_id", "th", "line_no", low.alias("low"))
-    spaced = F.when(F.col("low").rlike(r"[\x09\x0B\x0C\x0D]"), F.translate("low", "\t\x0b\f\r", "    ")).otherwise(F.col("low"))
-    words = F.transform(F.array_remove(F.split(spaced, " "), ""), lambda x: F.xxhash64(x))
-    hashed = plain.select("doc_id", "th", "line_no", words.alias("h"))
+
+def _hashed(parts: DataFrame, *others: str) -> DataFrame:
+    """The columns others, and h: the hashes of the words of column line."""
+    plain = F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\x0b\f\r", "abcdefghijklmnopqrstuvwxyz    ")
+    return parts.select(*others, F.transform(F.array_remove(F.split(plain, " "), ""), lambda x: F.xxhash64(x)).alias("h"))
+
+
+def _tokens(size: int) -> Column:
+    """The sorted tokens of h. h must be named more than once in a projection, else the optimiser moves its computation into
+    the lambda."""
     gram = ", ".join(f"get(h, i + {k})" for k in range(size))  # several times as fast as a slice of h
-    grams = F.expr(f"transform(sequence(0, size(h) - {size}), i -> xxhash64({gram}))")
-    tokens = F.when(F.size("h") >= max(size, least_words), F.sort_array(F.array_distinct(grams)))
-    return hashed.select("doc_id", "th", "line_no", F.when(F.size("h") >= max(least_words, 1), F.xxhash64("h")).alias("lid"), tokens.alias("tokens"))
+    return F.sort_array(F.array_distinct(F.expr(f"transform(sequence(0, size(h) - {size}), i -> xxhash64({gram}))")))
 
 
-def _prefix(n: str, percent: int) -> str:
-    """How many tokens of a set of n, in any order, hold one at least that a similar set has too."""
-    return f"({n} - ({n} * {percent} + 99) div 100 + 1)"
+def _spare(n: str, percent: int) -> str:
+    """How many of n tokens a similar set may lack."""
+    return f"({n} - ({n} * {percent} + 99) div 100)"
 
 
 def _least(n: str, m: str, percent: int) -> str:
@@ -56,11 +58,29 @@ def _least(n: str, m: str, percent: int) -> str:
     return f"((({n} + {m}) * {percent} + {99 + percent}) div {100 + percent})"
 
 
-def _candidates(lines: DataFrame, percent: int) -> DataFrame:
-    """lid of the lines that share a token of their prefix, in the order of hashes, with another one."""
-    posts = lines.where("tokens is not null").select("lid", F.explode_outer(F.expr(f"slice(tokens, 1, {_prefix('size(tokens)', percent)})")).alias("token"))
+def _lines(docs: DataFrame, size: int, percent: int, least_words: int) -> DataFrame:
+    """(doc_id, th, line_no, lid, n, head): lid, null for lines that never match, is a hash of a line's words, n the number of
+    its tokens, head the first of them by hash: half as many again as a similar set may lack, and one. A line of fewer than
+    `size` words has neither n nor head."""
+    hashed = _hashed(_split(docs), "doc_id", "th", "line_no")
+    lid = F.when(F.size("h") >= max(least_words, 1), F.xxhash64("h"))
+    whole = hashed.select("doc_id", "th", "line_no", lid.alias("lid"), F.when(F.size("h") >= max(size, least_words), _tokens(size)).alias("tokens"))
+    spare = _spare("size(tokens)", percent)
+    return whole.select("doc_id", "th", "line_no", "lid", F.size("tokens").alias("n"), F.expr(f"slice(tokens, 1, {spare} + {spare} div 2 + 1)").alias("head"))
+
+
+def _candidates(lines: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
+    """lid of the lines of whose head so many tokens are in heads of other lines that a similar line is possible. copies: (lid,
+    copies) of the lines that come more than once.
+
+    Of two similar lines take the one whose head ends first. The other has all of its head but the tokens that it may lack, and
+    has them in its own head, so both heads share half of what the first may lack, and one. The first may be the smaller."""
+    smaller = f"((n * {percent} + 99) div 100)"
+    posts = lines.where("head is not null").select("lid", "n", F.explode_outer("head").alias("token"))
     shared = materialize(posts.groupBy("token").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b").select("token"), "line-shared")
-    out = materialize(posts.join(_told(shared), "token").select("lid").distinct(), "line-ids")
+    found = posts.join(_told(shared), "token").groupBy("lid", "n").agg(F.count("*").alias("hits"))
+    found = found.join(_told(copies), "lid", "left").where(f"hits >= ({_spare(smaller, percent)} div 2 + 1) * coalesce(copies, 1)")
+    out = materialize(found.select("lid"), "line-ids")
     discard(shared)
     return out
 
@@ -70,8 +90,8 @@ def _by_rarity(sets: DataFrame, percent: int) -> DataFrame:
     Tokens that one set has come first, and only their number matters."""
     each = sets.select("r", F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token"))
     counts = materialize(each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "line-counts")
-    ranked = each.join(_told(counts), "token").groupBy("r", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("t"))
-    prefix = F.expr(f"slice(t, 1, greatest({_prefix('n', percent)} - n + size(t), 0))")
+    ranked = each.join(counts, "token").groupBy("r", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("t"))
+    prefix = F.expr(f"slice(t, 1, greatest({_spare('n', percent)} + 1 - n + size(t), 0))")
     placed = ranked.select("r", "n", F.size("t").alias("s"), F.posexplode_outer(prefix).alias("i", "x")).where("x is not null")
     out = materialize(placed.select("x.token", "r", "n", F.expr("n - s + i").alias("pos")), "line-placed")
     discard(counts)
@@ -115,21 +135,25 @@ def _met(open_: DataFrame, placed: DataFrame, percent: int) -> DataFrame:
     return open_.join(pass_, ["token", "n", "pos"]).join(theirs, ["token", "m", "q"]).where("other < r").select("r", "n", "pos", "other", "m", "q")
 
 
-def lines_with_earlier_match(lines: DataFrame, ids: DataFrame, first: DataFrame, percent: int) -> DataFrame:
+def lines_with_earlier_match(docs: DataFrame, ids: DataFrame, first: DataFrame, size: int, percent: int) -> DataFrame:
     """lid of every line of ids similar to another one whose first place is earlier. first: (lid, first).
 
-    Candidate lines are numbered in the order of their first places. Round one looks, token by token, at the earliest line
-    that has it, and at the earliest of the same size, and compares each line with the one that comes up most often. Only
-    lines without a match then meet all the earlier ones that pass the filters."""
+    Candidate lines are numbered in the order of their first places, where their words are read again. Round one looks,
+    token by token, at the earliest line that has it, and at the earliest of the same size, and compares each line with
+    the one that comes up most often. Only lines without a match then meet all the earlier ones that pass the filters."""
     # a sort by ranges is distributed, and these numbers rise from range to range
-    ranked = materialize(first.join(_told(ids), "lid", "left_semi").orderBy("first").select("lid", F.monotonically_increasing_id().alias("r")), "line-ranks")
-    sets = lines.where("tokens is not null").select("lid", "tokens").join(_told(ranked), "lid").groupBy("r").agg(F.first("tokens").alias("tokens"))
+    ranked = first.join(_told(ids), "lid", "left_semi").orderBy("first").select("lid", F.monotonically_increasing_id().alias("r"), F.col("first.d").alias("d"), F.col("first.t").alias("t"), F.col("first.l").alias("l"))
+    ranked = materialize(ranked, "line-ranks")
+    parts = _split(docs)
+    here = parts.doc_id.eqNullSafe(F.col("d")) & (parts.th == F.col("t")) & (parts.line_no == F.col("l"))
+    hashed = _hashed(parts.join(_told(ranked), here), "r")
+    sets = hashed.select("r", F.when(F.size("h") >= size, _tokens(size)).alias("tokens")).groupBy("r").agg(F.first("tokens").alias("tokens"))
     sets = materialize(sets, "line-sets")
     placed = _by_rarity(sets, percent)
-    me = F.min(F.struct("r", "n", "pos")).alias("o")
-    earliest = placed.join(placed.groupBy("token").agg(me), "token").select("r", "n", "pos", "o")
-    alike = placed.join(placed.groupBy("token", "n").agg(me), ["token", "n"]).select("r", "n", "pos", "o")
-    met = earliest.where("o.r < r").union(alike.where("o.r < r")).select("r", "n", "pos", F.col("o.r").alias("other"), F.col("o.n").alias("m"), F.col("o.pos").alias("q"))
+    me = [F.min("r").alias("other"), F.expr("min_by(shiftleft(cast(n as bigint), 32) + pos, r)").alias("x")]  # longs, to be aggregated by hash
+    earliest, alike = (placed.join(placed.groupBy(*by).agg(*me), by).where("other < r") for by in (["token"], ["token", "n"]))
+    met = earliest.select("r", "n", "pos", "other", "x").union(alike.select("r", "n", "pos", "other", "x"))
+    met = met.select("r", "n", "pos", "other", F.expr("cast(shiftright(x, 32) as int)").alias("m"), F.expr("cast(x & 4294967295 as int)").alias("q"))
     matched = _verified(met.where(f"least(n, m) * 100 >= greatest(n, m) * {percent}"), sets, percent, True)
     open_ = placed.join(_told(matched), "r", "left_anti")
     late = _verified(_met(open_, placed, percent), sets, percent, False)
@@ -140,20 +164,21 @@ def lines_with_earlier_match(lines: DataFrame, ids: DataFrame, first: DataFrame,
 
 def removed_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words: int = 1) -> DataFrame:
     """(doc_id, th, gone): for each document with such lines the numbers, from 0, of the lines that match an earlier one."""
-    lines = materialize(_lines(docs.select("doc_id", "text"), size, least_words), "lines")
-    ids = _candidates(lines, percent)
+    docs = docs.select("doc_id", "text")
+    lines = materialize(_lines(docs, size, percent, least_words), "lines")
     light = lines.where("lid is not null").select("lid", "doc_id", "th", "line_no")
-    again = light.groupBy("lid").agg(F.count("*").alias("n")).where("n > 1").select("lid")
-    asked = materialize(again.union(ids).distinct(), "line-asked")
+    copies = materialize(light.groupBy("lid").agg(F.count("*").alias("copies")).where("copies > 1"), "line-copies")
+    ids = _candidates(lines, copies, percent)
+    asked = materialize(copies.select("lid").union(ids).distinct(), "line-asked")
     at = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("line_no").alias("l"))
     places = materialize(light.join(_told(asked), "lid"), "line-places")
     first = materialize(places.groupBy("lid").agg(F.min(at).alias("first"), F.count("*").alias("n")), "line-first")
-    near = lines_with_earlier_match(lines, ids, first, percent).withColumn("near", F.lit(True))
+    near = lines_with_earlier_match(docs, ids, first, size, percent).withColumn("near", F.lit(True))
     bound = first.join(near, "lid", "left").where((F.col("n") > 1) | F.col("near")).select("lid", "first", F.coalesce("near", F.lit(False)).alias("near"))
     bound = materialize(bound, "line-bound")
     gone = places.join(bound, "lid").where(F.col("near") | (at > F.col("first"))).groupBy("doc_id", "th").agg(F.sort_array(F.collect_set("line_no")).alias("gone"))
     gone = materialize(gone, "lines-gone")
-    discard(lines, ids, asked, places, first, near, bound)
+    discard(lines, copies, ids, asked, places, first, near, bound)
     return gone
 
 

@@ -20,7 +20,7 @@ from mirador.llm.common import doc_chunks, small_batches, text_buffer
 MAX_LENGTH = 2048
 END_ID = 1
 #: Words, and runs that words are made of, that a worker remembers.
-WORDS, RUNS = 1_400_000, 1_400_000
+WORDS, RUNS = 800_000, 800_000
 _SPACES = bytes([32, *range(9, 14)])
 _CODERS: dict[str, "WordCoder"] = {}
 

@@ -107,12 +107,13 @@ def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 def train_quality_model(docs: DataFrame, labels: DataFrame) -> QualityModel:
     """Fits on docs (doc_id, text) with labels (doc_id, quality): FIT_ROWS of the labelled documents of the training
-    fold. A doc_id with both labels is left out."""
+    fold. A doc_id with both labels is left out; of texts that share a doc_id that of the smallest hash is learned."""
     usable = labels.where(training_fold() & F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
     chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("quality").alias("other")).where("quality = other").select("doc_id", "quality")
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     small_batches(docs.sparkSession)
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", hashes().alias("th"), F.col("quality").cast("long").alias("quality"), "text")
+    sample = sample.groupBy("doc_id").agg(F.min(F.struct("th", "quality", "text")).alias("x")).select("doc_id", "x.*")  # one text for each doc_id
     kind = docs.schema["doc_id"].dataType.simpleString()
     found = sample.mapInArrow(_sample_counts, f"doc_id {kind}, th long, quality long, f binary, c binary").toPandas().sort_values(["doc_id", "th"], kind="stable")
     counts = [(np.frombuffer(f, np.int32), np.frombuffer(c, np.int32)) for f, c in zip(found["f"], found["c"], strict=True)]

@@ -23,6 +23,8 @@ from mirador.llm.common import materialize, new_path, small_batches
 
 #: Frame magics: of data, of the dictionary's skippable frame, and an empty skippable frame.
 DATA, DICTIONARY, EMPTY = b"\x28\xb5\x2f\xfd", b"\x5d\x2a\x4d\x18", "P*M\x18\x00\x00\x00\x00"
+#: Frames in one file, its dictionary among them; files are read whole, so they should stay far below 2 GB.
+FRAMES_PER_FILE = 10_000
 #: The dictionary's size, the records it is built from, and how much of each.
 DICTIONARY_BYTES, SAMPLE_RECORDS, SAMPLE_BYTES = 65536, 400, 8192
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -94,14 +96,17 @@ def _write(dictionary: bytes, date: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shared = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
         packer = zstandard.ZstdCompressor(level=3, dict_data=shared, write_content_size=True)
-        lead = [DICTIONARY + struct.pack("<I", len(dictionary)) + dictionary]
+        lead, count = DICTIONARY + struct.pack("<I", len(dictionary)) + dictionary, 0
         for batch in batches:
-            out, size = lead, 0
-            lead = []
+            out, size = [], 0
             rows = zip(*(batch[c].to_pylist() for c in ("page_id", "url", "payload", "sha1", "refers_to", "revisit")), strict=True)
             for page_id, url, payload, sha1, refers_to, revisit in rows:
                 digest = base64.b32encode(bytes.fromhex(sha1)).decode()
+                if count % FRAMES_PER_FILE == 0:  # the writer begins a file here
+                    out.append(lead)
+                    count += 1
                 out.append(packer.compress(record(page_id, url, payload, digest, refers_to, revisit, date)))
+                count += 1
                 size += len(out[-1])
                 if size > 8 << 20:
                     yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["frame"])
@@ -129,7 +134,8 @@ def _read(frames: Iterator[pa.RecordBatch]) -> Iterator[pd.DataFrame]:
 
 
 def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str = "2024-01-01T00:00:00Z") -> str:
-    """Archives all pages (page_id, url, html) under path, one file a task: see the module's text. Returns path.
+    """Archives all pages (page_id, url, html) under path, a file for every FRAMES_PER_FILE frames of a task, each with the
+    dictionary first: see the module's text. Returns path.
 
     Null html is an empty payload. Of pages with equal payloads of at least least_bytes bytes, that with the smallest
     page_id is a response (each of them, should rows repeat it), the others are revisits of it; a null page_id counts as
@@ -150,7 +156,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     revisit = F.col("s").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     rows = base.join(twice, (base.sha1 == twice.s) & (base["size"] == twice.z), "left").select("page_id", "url", "payload", "sha1", F.when(revisit, F.col("first")).alias("refers_to"), revisit.alias("revisit"))
     frames = rows.mapInArrow(_write(dictionary, date), "frame binary")
-    frames.select(F.col("frame").cast("string")).write.option("lineSep", EMPTY).option("compression", "none").text(path)
+    frames.select(F.col("frame").cast("string")).write.option("lineSep", EMPTY).option("compression", "none").option("maxRecordsPerFile", FRAMES_PER_FILE).text(path)
     return path
 
 

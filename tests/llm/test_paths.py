@@ -88,7 +88,13 @@ def test_line_dedup_paths(spark, monkeypatch, forced):
     for k, v in forced.items():
         monkeypatch.setattr(line_dedup, k, v)
     rng = random.Random(5)
-    lines = near_texts(rng, 120, [f"w{k}" for k in range(60)], 40) + ["", " \t ", "Read more here", "read  MORE here", "É a", "é a"] * 5
+    lines = near_texts(rng, 120, [f"w{k}" for k in range(60)], 40)
+    for _ in range(40):  # pairs of sizes as unlike as can be
+        t = [f"v{rng.randrange(5000)}" for _ in range(rng.randint(40, 300))]
+        cut = (len(t) - 4) * rng.choice((79, 80, 81, 82, 85, 90)) // 100 + 4
+        at = rng.randint(0, len(t) - cut)
+        lines += [" ".join(t), " ".join(t[at : at + cut])]
+    lines += ["", " \t ", "Read more here", "read  MORE here", "É a", "é a"] * 5
     rng.shuffle(lines)
     texts = [(i, "\n".join(lines[i * 7 : i * 7 + 7])) for i in range(-(-len(lines) // 7))] + [(9000, None), (9001, "")]
     con = duckdb.connect()
@@ -236,6 +242,27 @@ def test_shared_folder_must_be_named_on_a_cluster():
         common.shared_dir(cluster)
 
 
+def test_warc_files_are_rolled(spark, monkeypatch):
+    from functools import partial
+
+    monkeypatch.setattr(warc, "_write", partial(_rolled, warc._write))
+    monkeypatch.setattr(warc, "FRAMES_PER_FILE", 4)
+    pages = spark.createDataFrame([(i, "u", f"<p>{i}</p>" * 50) for i in range(20)], "page_id long, url string, html string").coalesce(1)
+    path = warc.write_archives(pages, common.new_path(spark, "w"))
+    assert spark.read.format("binaryFile").load(path).count() == 7  # three records and a dictionary each
+    assert sorted(r.page_id for r in warc.read_archives(spark, path).collect()) == list(range(20))
+
+
+def _rolled(write, dictionary, date):
+    run = write(dictionary, date)
+
+    def small(batches):  # workers import the module anew
+        warc.FRAMES_PER_FILE = 4
+        yield from run(batches)
+
+    return small
+
+
 def test_warc_of_repeated_rows(spark):
     pages = spark.createDataFrame([(7, "u", "<p>same</p>")] * 5 + [(8, "u", "<p>same</p>")], "page_id long, url string, html string")
     got = warc.read_archives(spark, warc.write_archives(pages, common.new_path(spark, "w"))).collect()
