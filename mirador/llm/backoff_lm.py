@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import PLACE, U64, discard, doc_chunks, hash_words, hashes, materialize, mix, n_buckets, releasing, small_batches, text_buffer
+from mirador.llm.common import PLACE, U64, discard, discard_since, doc_chunks, hash_words, hashes, materialize, mix, n_buckets, releasing, small_batches, text_buffer, written
 
 END = U64(0x5DEECE66D1234567)
 #: Tokens walked in one lane; each lane starts with the order - 1 tokens before it, which fix its state.
@@ -354,6 +354,7 @@ def score_documents(docs: DataFrame, train: DataFrame, order: int = 3, least_cou
     if not 1 <= order <= len(PLACE):
         raise ValueError(f"order must be from 1 to {len(PLACE)}")
     small_batches(docs.sparkSession)
+    begun, parts = written(), []
     buckets = max(n_buckets(docs), n_buckets(train))
     docs, train = docs.select("doc_id", hashes().alias("th"), "text"), train.select("text")
     blobs = train.mapInArrow(_count_words(buckets), "bucket long, keys binary, times binary")
@@ -369,7 +370,9 @@ def score_documents(docs: DataFrame, train: DataFrame, order: int = 3, least_cou
         found = answers.groupBy("batch").applyInPandas(_gather, "th long, n long, known long, base double, score double").dropDuplicates(["th"])
         part = materialize(found if n == 1 else found.select("th", F.col("score").alias(f"score{n}")), "scores")
         discard(table)
+        parts.append(part)
         sums = part if sums is None else sums.join(part, "th")
+    discard_since(docs.sparkSession, begun, *parts)
     score = sum((F.col(f"score{n}") for n in range(2, order + 1)), F.col("score"))
     return docs.select("doc_id", "th").join(sums, "th").select("doc_id", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"))
 

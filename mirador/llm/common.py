@@ -8,6 +8,7 @@ import re
 import shutil
 import sys
 import tempfile
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -17,7 +18,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _LOCAL_DIR: list[str] = []
-_WRITTEN: list[str] = []
+
+
+class _Written(threading.local):
+    """Folders written so far by the operators of this thread."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+
+
+_WRITTEN = _Written()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,7 +46,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_path(spark: SparkSession, name: str) -> str:
     path = f"{shared_dir(spark)}/mirador-{name}-{uuid.uuid4().hex}"
-    _WRITTEN.append(path)
+    _WRITTEN.paths.append(path)
     return path
 
 
@@ -45,21 +55,23 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.mirador_path = path
+    return out
 
 
 def written() -> int:
-    """How many folders were written so far; what discard_since(spark, n) may delete are those after the first n."""
-    return len(_WRITTEN)
+    """How many folders this thread wrote so far; what discard_since(spark, n) may delete are those after the first n."""
+    return len(_WRITTEN.paths)
 
 
 def discard_since(spark: SparkSession, n: int, *keep: DataFrame) -> None:
-    """Deletes all folders written since written() was n, but for those that the frames of keep read."""
-    kept = {f.rsplit("/", 1)[0].rsplit("/", 1)[-1] for df in keep for f in df.inputFiles()}
-    for path in _WRITTEN[n:]:
-        if path.rsplit("/", 1)[-1] not in kept:
+    """Deletes all folders written since written() was n, but for those of the materialized frames of keep."""
+    kept = [df.mirador_path for df in keep]
+    for path in _WRITTEN.paths[n:]:
+        if path not in kept:
             _delete(spark, path)
-            _WRITTEN.remove(path)
+    _WRITTEN.paths[n:] = kept
     spark._jvm.System.gc()
 
 
@@ -78,6 +90,11 @@ def discard(*frames: DataFrame) -> None:
         frames[0].sparkSession._jvm.System.gc()
 
 
+def told(df: DataFrame, most: int = 1_000_000) -> DataFrame:
+    """A written table, marked to be broadcast if its rows, counted, are `most` at most; about 40 bytes each."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def planned_bytes(df: DataFrame) -> int:
     """Spark's own size estimate (file sizes for scans), without running anything; the bytes of text, counted, where it has
     none."""

@@ -9,10 +9,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import ascii_lower
+from mirador.llm.common import ascii_lower, materialize, told
 
 #: Benchmark windows up to this many are broadcast (about 150 bytes each); more are joined by shuffle.
 BROADCAST_WINDOWS = 2_000_000
+#: Documents with hits are broadcast up to so many, each hit that is cut counting as one more; beyond they are shuffled.
+BROADCAST_DOCUMENTS = 1_000_000
 _SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
@@ -48,8 +50,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
     # once, which keeps Catalyst from moving its computation into the lambda over positions
     probes = [F.array(F.struct(F.lit(0).alias("at"), F.lit(0).alias("k"), F.lit(None).cast("long").alias("p")))]
     for k in sorted(sizes):
-        window = ", ".join(f"get(h, i + {j - 1})" for j in range(k))  # several times as fast as a slice of h
-        each = F.expr(f"transform(sequence(1, size(h) - {k - 1}), i -> struct(i AS at, {k} AS k, xxhash64({window}) AS p))")
+        window = ", ".join(["x", *(f"get(h, i + {j})" for j in range(1, k))])  # several times as fast as the hash of a slice
+        each = F.expr(f"transform(slice(h, 1, size(h) - {k - 1}), (x, i) -> struct(i + 1 AS at, {k} AS k, xxhash64({window}) AS p))")
         probes.append(F.when(F.size("h") >= k, each).otherwise(F.array().cast("array<struct<at:int,k:int,p:bigint>>")))
     probed = hashed.select("doc_id", "th", "w", "n_words", F.concat(*probes).alias("all")).select("doc_id", "th", "w", "n_words", F.explode_outer("all").alias("x")).select("doc_id", "th", "w", "n_words", "x.at", "x.k", "x.p")
     alike = (F.col("p") == F.col("wh")) & (F.col("k") == F.col("wk"))
@@ -79,12 +81,15 @@ def contamination(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
 def decontaminate(docs: DataFrame, benchmark: DataFrame, n: int = 10, mode: str = "document") -> DataFrame:
     """docs without contamination: mode "document" drops every document with a hit; "span" cuts the words hit from it
     (the words are then lower-cased and joined by a space, as they were compared). Other documents stay as they are."""
+    if mode not in ("document", "span"):
+        raise ValueError(f"unknown mode {mode}")
     found = contamination(docs, benchmark, n).where("contaminated").select(F.col("doc_id").alias("_mirador_id"), F.col("th").alias("_mirador_th"), F.col("hits").alias("_mirador_hits")).dropDuplicates(["_mirador_id", "_mirador_th"])
+    found = materialize(found if mode == "span" else found.drop("_mirador_hits"), "contaminated")
+    size = found.agg(F.coalesce(F.sum(F.size("_mirador_hits")), F.lit(0))).first()[0] if mode == "span" else 0
+    found = told(found, BROADCAST_DOCUMENTS - size)
     same = docs.doc_id.eqNullSafe(F.col("_mirador_id")) & (F.xxhash64(F.coalesce(docs.text, F.lit(""))) == F.col("_mirador_th"))
     if mode == "document":
         return docs.join(found, same, "left_anti")
-    if mode != "span":
-        raise ValueError(f"unknown mode {mode}")
     w = words_of(F.col("text"))
     kept = F.filter(F.transform(w, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda x: ~F.exists("_mirador_hits", lambda s: (x["i"] >= s["start"]) & (x["i"] < s["stop"])))
     text = F.when(F.col("_mirador_hits").isNull(), F.col("text")).otherwise(F.array_join(kept["x"], " "))

@@ -194,7 +194,7 @@ class Index:
             best = np.lexsort((found, -s))[: k + 1]
             cut = s[best[-1]]
             best = np.flatnonzero(s >= cut)
-            v = [self.ids[self.begin[j] : self.begin[j] + k + 1] for j in found[best]]
+            v = [self.ids[self.begin[j] : min(self.begin[j] + k + 1, self.begin[j + 1])] for j in found[best]]
             who, what = np.concatenate(v), np.repeat(s[best], [len(x) for x in v])
             keep = who != own[i]
             who, what = who[keep], what[keep]

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from mirador.llm.common import PLACE, U64, discard, hashes, local_labels, materialize, mix, n_buckets, release, releasing, shingle_sets, small_batches
+from mirador.llm.common import PLACE, U64, discard_since, hashes, local_labels, materialize, mix, n_buckets, release, releasing, shingle_sets, small_batches, told, written
 from mirador.llm.components import connected_components
 
 #: Cost only: up to so many of the shingles that come in HEAVY_FROM sets and more are left out of ranges where others suffice;
@@ -301,6 +301,7 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """What jaccard_components gives, and th, the hash of the text, and root, which is null for texts without a shingle
     and else the same for all rows of a component."""
     small_batches(docs.sparkSession)
+    begun = written()
     base = docs.select("doc_id", "text")
     buckets = n_buckets(base, 10 << 20, spread=False)  # a group of copies gives its links once a bucket
     kind = base.schema["doc_id"].dataType.simpleString()
@@ -340,7 +341,7 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     where = classes.join(roots, classes.k == roots.node, "left").select("k", "first", F.coalesce("root", "k").alias("root"))
     least = where.groupBy("root").agg(F.min("first").alias("component_id"))
     of = materialize(where.join(least, "root").select("k", "root", "component_id"), "components")
-    discard(counts, groups, classes, chosen, roots)
+    discard_since(docs.sparkSession, begun, signed, of)
     return rows.join(of, "k", "left").select("doc_id", "th", "root", "n_shingles", F.when(F.col("k").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
 
 
@@ -369,9 +370,10 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     gone = materialize(pair(found.join(best, "root").where(at > F.col("best"))).distinct(), "gone")
     again = found.where("doc_id is not null or root is not null").groupBy("doc_id", "th").agg(F.count("*").alias("n")).where("n > 1")
     again = materialize(pair(again), "again")
-    kept = docs.join(gone, same, "left_anti")
+    kept = docs.join(told(gone), same, "left_anti")
     if again.isEmpty():
         return kept.select(*docs.columns)
+    again = told(again)
     once, more = kept.join(again, same, "left_anti"), kept.join(again, same, "left_semi").withColumn("_mirador_th", hashes())
     nth = F.row_number().over(Window.partitionBy("doc_id", "_mirador_th").orderBy(F.xxhash64(*docs.columns)))
     return once.select(*docs.columns).union(more.withColumn("_mirador_nth", nth).where("_mirador_nth = 1").select(*docs.columns))

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import discard, hashes, materialize
+from mirador.llm.common import discard, hashes, materialize, told
 
 #: Tables of longs are broadcast up to so many rows (about 40 bytes each), beyond joined by shuffle.
 BROADCAST_ROWS = 2_000_000
@@ -25,8 +25,7 @@ BROADCAST_BYTES = 64 << 20
 
 
 def _told(df: DataFrame) -> DataFrame:
-    """A written table, to be broadcast if its rows, counted, are few."""
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    return told(df, BROADCAST_ROWS)
 
 
 def _split(docs: DataFrame) -> DataFrame:
@@ -44,8 +43,8 @@ def _hashed(parts: DataFrame, *others: str) -> DataFrame:
 def _tokens(size: int) -> Column:
     """The sorted tokens of h. h must be named more than once in a projection, else the optimiser moves its computation into
     the lambda."""
-    gram = ", ".join(f"get(h, i + {k})" for k in range(size))  # several times as fast as a slice of h
-    return F.sort_array(F.array_distinct(F.expr(f"transform(sequence(0, size(h) - {size}), i -> xxhash64({gram}))")))
+    gram = ", ".join(["x", *(f"get(h, i + {k})" for k in range(1, size))])  # several times as fast as the hash of a slice
+    return F.sort_array(F.array_distinct(F.expr(f"transform(slice(h, 1, size(h) - {size - 1}), (x, i) -> xxhash64({gram}))")))
 
 
 def _spare(n: str, percent: int) -> str:
@@ -110,11 +109,11 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int, best: bool) -> Da
     else:
         asked = asked.where(F.expr(f"c + least(n - p, m - q) - 1 >= {_least('n', 'm', percent)}"))
     asked = materialize(asked.select("r", "other"), "line-pairs")
-    told = asked.count() <= BROADCAST_ROWS
+    few = asked.count() <= BROADCAST_ROWS
     others = asked.select("other").distinct()
-    x = sets.join(F.broadcast(asked) if told else asked, "r").select("r", "other", F.col("tokens").alias("x"))
-    y = sets.join(F.broadcast(others) if told else others, sets.r == others.other, "left_semi").select(F.col("r").alias("other"), F.col("tokens").alias("y"))
-    small = told and (y.agg(F.sum(16 + 8 * F.size("y"))).first()[0] or 0) <= BROADCAST_SETS
+    x = sets.join(F.broadcast(asked) if few else asked, "r").select("r", "other", F.col("tokens").alias("x"))
+    y = sets.join(F.broadcast(others) if few else others, sets.r == others.other, "left_semi").select(F.col("r").alias("other"), F.col("tokens").alias("y"))
+    small = few and (y.agg(F.sum(16 + 8 * F.size("y"))).first()[0] or 0) <= BROADCAST_SETS
     both = x.join(F.broadcast(y) if small else y, "other")
     near = both.where(F.size(F.array_intersect("x", "y")) >= F.expr(_least("size(x)", "size(y)", percent))).select("r").distinct()
     near = materialize(near, "line-matched")

@@ -184,6 +184,12 @@ def pack_documents(docs: DataFrame, path: str | None = None, most: int = MAX_LEN
     return cut.select("*", F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.log2("length").cast("int").alias("bucket"))
 
 
+def write_sequences(pieces: DataFrame, path: str) -> None:
+    """Writes the pieces of pack_documents as Parquet, those of each length in a folder of their own (bucket=...), so that a
+    reader of one takes sequences of one length alone."""
+    pieces.write.partitionBy("bucket").parquet(path)
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Packs all documents into sequences of at most 2,048 tokens."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -38,7 +38,7 @@ def test_jaccard(spark, odd):
     n = len(shingles(" ".join(odd.where("doc_id = 0").first().text.split())))
     assert {(0, n, 0), (1, n, 0), (2, n, 0), (None, n, 0), (3, 0, 3), (4, 0, 4), (5, 1, 5), (6, 1, 5), (7, 0, 7), (8, 1, 8)} <= got
     kept = sorted(r.doc_id for r in jaccard_join.keep_one(odd).collect() if r.doc_id is not None)
-    assert kept == [0, 3, 4, 5, 7, 8, 9, 10] or kept == [0, 3, 4, 5, 7, 8, 9]
+    assert kept == [0, 3, 4, 5, 7, 8, 9]  # 10 has 56 shingles of 66 from 0
     assert jaccard_join.jaccard_components(odd.limit(0)).count() == 0
 
 
@@ -270,6 +270,7 @@ def test_nearest(spark):
     cut = np.sort(s, 1)[:, -20]
     assert (got.groupby("query_id").size() == 20).all() and len(got) == 3000
     assert (got.score >= cut[got.query_id // 20] - 1e-9).mean() >= 0.9
+    assert np.allclose(got.score, s[got.query_id // 20, got.vec_id]) and not got.duplicated(["query_id", "vec_id"]).any()
     assert hnsw.nearest(df.limit(0), df.limit(0)).count() == 0
 
 

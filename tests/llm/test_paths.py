@@ -323,3 +323,23 @@ def test_pipeline_decisions(spark, tmp_path):
     assert ids("packing") == ids("benchmark_decontamination")
     final = corpus_pipeline.run(spark, str(tmp_path)).toPandas()
     assert set(final.doc_id) == ids("packing") and final.sequence_id.is_unique
+
+
+def test_pieces_are_written_by_length(spark, tmp_path):
+    from mirador.llm import packing
+
+    docs = spark.createDataFrame([(1, "some words of a text " * 30), (2, ""), (3, None)], "doc_id long, text string")
+    pieces = packing.pack_documents(docs)
+    packing.write_sequences(pieces, str(tmp_path / "packed"))
+    back = spark.read.parquet(str(tmp_path / "packed"))
+    assert back.count() == pieces.count() and all(r.length == 1 << r.bucket for r in back.collect())
+
+
+def test_documents_are_dropped_by_shuffle_too(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BROADCAST_DOCUMENTS", 0)
+    docs = spark.createDataFrame([(1, "a b c d e f g h i j k"), (None, "a b c d e f g h i j k"), (2, "x"), (3, None)], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "a b c d e f g h i j")], "item_id long, text string")
+    assert sorted(r.doc_id for r in decontaminate.decontaminate(docs, bench).collect()) == [2, 3]
+    assert {r.doc_id: r.text for r in decontaminate.decontaminate(docs, bench, mode="span").collect()} == {1: "k", None: "k", 2: "x", 3: None}
+    with pytest.raises(ValueError, match="unknown mode"):
+        decontaminate.decontaminate(docs, bench, mode="line")
