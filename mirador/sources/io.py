@@ -40,10 +40,12 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".jsonl"):
         return unwrap(spark.read.option("mode", "FAILFAST").json(path))
     first = spark.read.text(path).where(F.trim("value") != "").select(F.substring(F.trim("value"), 1, 1)).first()
+    wrong = ValueError(f"{path} is neither a list nor an object with a list under data or records")
+    if not first or first[0] not in "[{":
+        raise wrong
     df = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
-    held = [n for n in ("data", "records") if n in df.columns and df.schema[n].dataType.typeName() == "array"]
-    if not first or first[0] not in "[{" or first[0] == "{" and not held:
-        raise ValueError(f"{path} is neither a list nor an object with a list under data or records")
+    if first[0] == "{" and not any(n in df.columns and df.schema[n].dataType.typeName() == "array" for n in ("data", "records")):
+        raise wrong
     return unwrap(df) if first[0] == "{" else number_rows(df, "pos")
 
 

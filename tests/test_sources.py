@@ -270,3 +270,24 @@ def test_config_of_metrics_by_group(spark):
     df = spark.createDataFrame([("a", "answer", False, True, 0.9), ("a", "abstain", True, True, 0.2), ("b", None, None, None, None)], "g string, decision string, ground_truth_should_abstain boolean, is_correct boolean, raw_confidence double")
     got = {r.g: r for r in metrics.all_metrics(df, "g").collect()}
     assert got["a"]["Accuracy@Answer"] == 1.0 and got["a"]["Coverage"] == 0.5 and got["b"]["Coverage"] == 0.0 and got["b"]["ECE"] == 0.0
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from mirador.__main__ import main
+
+    (tmp_path / "images").mkdir()
+    for i in range(30):
+        (tmp_path / f"images/i{i}.png").write_bytes(images.png(bytes([i] * 12), 2, 2))
+    (tmp_path / "dataset.json").write_text(json.dumps([{"question": f"q{i}", "answer": "yes", "image": f"i{i}.png"} for i in range(30)]))
+    assert main(["prepare", "--dataset-root", str(tmp_path), "--output", str(tmp_path / "index")], spark) == {"test": 6, "val": 2, "train": 22}
+    (tmp_path / "c.yaml").write_text("augmentation: {per_sample_variants: 2, severity_weights: {low: 1.0}}\n")
+    assert main(["variants", "--config", str(tmp_path / "c.yaml"), "--input-jsonl", str(tmp_path / "index/part=train"), "--output", str(tmp_path / "v")], spark) == {"variants": 66}
+    said = [{"sample_id": str(i), "prediction": {"decision": "answer", "raw_confidence": i / 10}, "is_correct": i > 4, "ground_truth_should_abstain": False} for i in range(10)]
+    (tmp_path / "p.jsonl").write_text("\n".join(map(json.dumps, said)))
+    report = main(["calibrate", "--input-jsonl", str(tmp_path / "p.jsonl"), "--output", str(tmp_path / "cal.json")], spark)
+    assert report["num_samples"] == 10 and json.loads((tmp_path / "cal.json").read_text())["method"] == "isotonic_regression"
+    found = main(["evaluate", "--input-jsonl", str(tmp_path / "p.jsonl"), "--apply-calibration", str(tmp_path / "cal.json"), "--output", str(tmp_path / "m.json")], spark)
+    assert found["Accuracy@Answer"] == 0.5 and found["ECE"] < 1e-6 and json.loads((tmp_path / "m.json").read_text()) == found
+    (tmp_path / "o.jsonl").write_text(json.dumps({"raw_text": GOOD}) + "\n" + json.dumps({"raw_text": "no"}))
+    assert main(["validate", "--input-jsonl", str(tmp_path / "o.jsonl"), "--output", str(tmp_path / "w")], spark) == {"ok": 1, "unparsed": 1}
+    assert '"unparsed": 1' in capsys.readouterr().out
