@@ -28,6 +28,9 @@ END = U64(0x5DEECE66D1234567)
 LANE = 192
 #: In shuffled n-grams the most frequent words, so many, are written as two bytes, all others as their hash.
 CODED = 1 << 16
+#: Kept n-grams are marked in a table of 2 ** MARK_BITS bits by hash, and what it does not mark is neither counted as part of
+#: a longer one nor asked for. The table's size is fixed; the fuller it is the less it saves, and it changes no result.
+MARK_BITS = 26
 
 
 def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -88,14 +91,32 @@ def _places(counts: np.ndarray, order: int) -> np.ndarray:
     return np.flatnonzero(doc[:n] == doc[order - 1 :]) if n else np.zeros(0, np.int64)
 
 
-def _count_grams(order: int, buckets: int, coded: np.ndarray):
+def _marks(table: DataFrame) -> np.ndarray:
+    """The bits of all k of table. Gathered natively, in 2 ** (MARK_BITS - 15) rows of 4 KB at most."""
+    at = F.col("k").bitwiseAND((1 << MARK_BITS) - 1) + 1
+    rows = table.groupBy(F.bitmap_bucket_number(at).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("m")).collect()
+    out = np.zeros((1 << MARK_BITS) >> 3, np.uint8)
+    for r in rows:
+        out[(r["b"] - 1) * 4096 : r["b"] * 4096] = np.frombuffer(r["m"], np.uint8)
+    return out
+
+
+def _marked(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    at = (keys & U64((1 << MARK_BITS) - 1)).view(np.int64)
+    return (marks[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) != 0
+
+
+def _count_grams(order: int, buckets: int, coded: np.ndarray, marks):
     """Distinct n-grams of each batch, packed by bucket: flags (bit k: word k is coded), the codes and the hashes of all
-    words k in turn, and how often each n-gram comes. coded: sorted hashes of the coded words."""
+    words k in turn, and how often each n-gram comes. coded: sorted hashes of the coded words. marks: a broadcast of the bits
+    of the kept n-grams shorter by one; an n-gram is kept only if both of these in it are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             tokens, counts = _tokens(batch["text"])
             at = _places(counts, order)
+            shorter = _marked(_key([tokens[k : len(tokens) - order + 2 + k] for k in range(order - 1)]), marks.value)
+            at = at[shorter[at] & shorter[at + 1]]
             if not len(at):
                 continue
             keys, first, times = np.unique(_key([tokens[at + k] for k in range(order)]), return_index=True, return_counts=True)
@@ -244,9 +265,9 @@ def build(words: np.ndarray, counts: np.ndarray, grams: list[tuple[np.ndarray, n
     return Automaton(words, np.array([x[0] for x in out], np.int64), np.array([x[1] for x in out]), np.array([x[2] for x in out], np.int64), fail, bow, 1 + len(grams))
 
 
-def _ask(order: int, buckets: int):
+def _ask(order: int, buckets: int, marks=None):
     """The n-grams of each batch by bucket (keys, how many texts' places have each, these texts' rows), and a record for
-    the batch itself with the hashes and token counts of its texts."""
+    the batch itself with the hashes and token counts of its texts. marks: a broadcast of the bits of those worth asking for."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
@@ -256,6 +277,9 @@ def _ask(order: int, buckets: int):
                 continue
             at = _places(n, order)
             keys, docs = _key([tokens[at + k] for k in range(order)]), np.repeat(np.arange(len(n), dtype=np.uint16), n)[at]
+            if marks is not None:
+                worth = _marked(keys, marks.value)
+                keys, docs = keys[worth], docs[worth]
             by = np.argsort(keys, kind="stable")
             keys, docs = keys[by], docs[by]
             b = keys.view(np.int64) % buckets
@@ -326,7 +350,8 @@ def _model(train: DataFrame, words: DataFrame, order: int, least: int, denominat
     log = F.log10((F.col("c") + 1) / F.lit(denominator))
     values, level, tables = words.select("k", "c", log.alias("own")), words.where(F.col("c") >= least).select("k", "c", log.alias("lp")), []
     for n in range(2, order + 1):
-        blobs = train.mapInArrow(_count_grams(n, buckets, coded), "bucket long, flags binary, codes binary, rest binary, times binary")
+        marks = train.sparkSession.sparkContext.broadcast(_marks(level))
+        blobs = train.mapInArrow(_count_grams(n, buckets, coded, marks), "bucket long, flags binary, codes binary, rest binary, times binary")
         kept = materialize(blobs.groupBy("bucket").applyInPandas(_sum_grams(n, least, coded), "k long, ctx long, suf long, c long"), "grams")
         shorter = level.select(F.col("k").alias("suf"), F.col("lp").alias("lower"))
         context = level.select(F.col("k").alias("ctx"), F.col("c").alias("of"))
@@ -338,6 +363,7 @@ def _model(train: DataFrame, words: DataFrame, order: int, least: int, denominat
         lp = F.log10((F.col("c") - discount) / F.col("total"))
         level = materialize(found.join(back, "ctx").select("k", "c", lp.alias("lp"), (lp - F.col("lower") - F.col("bow")).alias("own")), "level")
         values = level.select("k", "c", "own")
+        blobs = None
         discard(kept, found, back)
     return [*tables, values.select("k", "c", F.col("own").alias("val"))]
 
@@ -364,11 +390,13 @@ def score_documents(docs: DataFrame, train: DataFrame, order: int = 3, least_cou
     denominator = float(n_tokens + n_types + 1)
     sums = None
     for n, table in enumerate(_model(train, words, order, least_count, denominator, buckets), 1):
-        asked = docs.select("th", "text").mapInArrow(_ask(n, buckets), "batch string, bucket long, keys binary, sizes binary, docs binary, th binary, n binary")
+        marks = docs.sparkSession.sparkContext.broadcast(_marks(table)) if n > 1 else None
+        asked = docs.select("th", "text").mapInArrow(_ask(n, buckets, marks), "batch string, bucket long, keys binary, sizes binary, docs binary, th binary, n binary")
         dealt = table.withColumn("bucket", F.pmod("k", F.lit(buckets).cast("long")))
         answers = asked.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(_answer(n, denominator), "batch string, docs binary, known binary, base binary, score binary, th binary, n binary")
         found = answers.groupBy("batch").applyInPandas(_gather, "th long, n long, known long, base double, score double").dropDuplicates(["th"])
         part = materialize(found if n == 1 else found.select("th", F.col("score").alias(f"score{n}")), "scores")
+        asked = answers = found = None  # else their shuffled files stay
         discard(table)
         parts.append(part)
         sums = part if sums is None else sums.join(part, "th")
