@@ -115,9 +115,9 @@ def train_quality_model(docs: DataFrame, labels: DataFrame) -> QualityModel:
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", hashes().alias("th"), F.col("quality").cast("long").alias("quality"), "text")
     sample = sample.groupBy("doc_id").agg(F.min(F.struct("th", "quality", "text")).alias("x")).select("doc_id", "x.*")  # one text for each doc_id
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = sample.mapInArrow(_sample_counts, f"doc_id {kind}, th long, quality long, f binary, c binary").toPandas().sort_values(["doc_id", "th"], kind="stable")
-    counts = [(np.frombuffer(f, np.int32), np.frombuffer(c, np.int32)) for f, c in zip(found["f"], found["c"], strict=True)]
-    return fit(counts, found["quality"].to_numpy(np.int64))
+    found = sample.mapInArrow(_sample_counts, f"doc_id {kind}, th long, quality long, f binary, c binary").toArrow().sort_by([("doc_id", "ascending"), ("th", "ascending")])
+    counts = [tuple(np.frombuffer(x.as_buffer(), np.int32) for x in pair) for pair in zip(found["f"], found["c"], strict=True)]
+    return fit(counts, found["quality"].to_numpy().astype(np.int64))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, least: float = 0.3) -> DataFrame:
