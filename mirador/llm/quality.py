@@ -6,6 +6,7 @@ logit is the mean of one number per feature."""
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -66,7 +67,7 @@ def fit(counts: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, epochs:
     if not len(counts) or labels.min() == labels.max():
         p = float(labels[0]) if len(labels) else 0.5
         return QualityModel(np.zeros(BUCKETS, np.float32), float(np.log((p + 0.01) / (1.01 - p))))
-    rows = [(f, (c / max(c.sum(), 1)).astype(np.float32)) for f, c in counts]
+    rows = [(f, (c / np.float32(max(c.sum(), 1))).astype(np.float32, copy=False)) for f, c in counts]
     rng = np.random.default_rng(seed)
     vectors = rng.uniform(-1 / DIMENSION, 1 / DIMENSION, (BUCKETS, DIMENSION)).astype(np.float32)
     out, bias = np.zeros((2, DIMENSION), np.float32), np.zeros(2, np.float32)
@@ -95,13 +96,21 @@ def training_fold(col: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary")) % 5 != 0
 
 
+def _packed(x: np.ndarray) -> bytes:
+    return zlib.compress(x.astype(np.uint32).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), np.uint32)
+
+
 def _sample_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of each text the distinct features and their counts."""
+    """Of each text the distinct features, as differences, and their counts; packed, as they all go to the driver."""
     for batch in batches:
         data, offsets = text_buffer(batch["text"])
         for i in range(len(offsets) - 1):
             f, c = np.unique(features(data, offsets, i, i + 1)[0], return_counts=True)
-            blobs = [pa.array([x.astype(np.int32).tobytes()], pa.binary()) for x in (f, c)]
+            blobs = [pa.array([_packed(x)], pa.binary()) for x in (np.diff(f, prepend=0), c)]
             yield pa.RecordBatch.from_arrays([*(batch[k][i : i + 1] for k in ("doc_id", "th", "quality")), *blobs], ["doc_id", "th", "quality", "f", "c"])
 
 
@@ -115,9 +124,9 @@ def train_quality_model(docs: DataFrame, labels: DataFrame) -> QualityModel:
     sample = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").where("text is not null").select("doc_id", hashes().alias("th"), F.col("quality").cast("long").alias("quality"), "text")
     sample = sample.groupBy("doc_id").agg(F.min(F.struct("th", "quality", "text")).alias("x")).select("doc_id", "x.*")  # one text for each doc_id
     kind = docs.schema["doc_id"].dataType.simpleString()
-    found = sample.mapInArrow(_sample_counts, f"doc_id {kind}, th long, quality long, f binary, c binary").toArrow().sort_by([("doc_id", "ascending"), ("th", "ascending")])
-    counts = [tuple(np.frombuffer(x.as_buffer(), np.int32) for x in pair) for pair in zip(found["f"], found["c"], strict=True)]
-    return fit(counts, found["quality"].to_numpy().astype(np.int64))
+    found = sample.mapInArrow(_sample_counts, f"doc_id {kind}, th long, quality long, f binary, c binary").toPandas().sort_values(["doc_id", "th"], kind="stable")
+    counts = [(np.cumsum(_unpacked(f)).astype(np.int32), _unpacked(c).astype(np.float32)) for f, c in zip(found["f"], found["c"], strict=True)]
+    return fit(counts, found["quality"].to_numpy(np.int64))
 
 
 def score_quality(docs: DataFrame, model: QualityModel, least: float = 0.3) -> DataFrame:
