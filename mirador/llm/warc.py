@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import materialize, new_path, small_batches
+from mirador.llm.common import materialize, new_path, small_batches, told
 
 #: Frame magics: of data, of the dictionary's skippable frame, and an empty skippable frame.
 DATA, DICTIONARY, EMPTY = b"\x28\xb5\x2f\xfd", b"\x5d\x2a\x4d\x18", "P*M\x18\x00\x00\x00\x00"
@@ -148,6 +148,7 @@ def write_archives(pages: DataFrame, path: str, least_bytes: int = 0, date: str
     base = pages.select("page_id", "url", payload.alias("payload")).select("*", F.sha1("payload").alias("sha1"), F.octet_length("payload").alias("size"))
     twice = base.where(F.col("size") >= least_bytes).groupBy("sha1", "size").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     twice = materialize(twice.select(F.col("sha1").alias("s"), F.col("size").alias("z"), "first"), "copies")
+    twice = told(twice)
     hashed = pages.select(F.xxhash64("page_id", "url").alias("h"), F.substring(F.coalesce("html", F.lit("")), 1, SAMPLE_BYTES).alias("x"))
     cut = hashed.select("h").distinct().orderBy("h").limit(SAMPLE_RECORDS).agg(F.max("h")).first()[0]
     some = hashed.where(F.col("h") <= cut) if cut is not None else hashed.limit(0)
