@@ -10,6 +10,7 @@ from mirador.llm.jaccard_join import op4_ngram_jaccard_join
 from mirador.llm.language_id import op5_language_id
 from mirador.llm.line_dedup import OP6_SQL, op6_line_dedup
 from mirador.llm.packing import op10_packing
+from mirador.llm.private import op12_pii
 from mirador.llm.quality import op8_quality_classifier
 from mirador.llm.repair import op13_conversation_repair
 from mirador.llm.warc import op3_warc
@@ -49,6 +50,7 @@ QUERIES = {
     "op9_lm_scoring": op9_lm_scoring,
     "op10_packing": op10_packing,
     "op11_embedding_whitening": op11_embedding_whitening,
+    "op12_pii": op12_pii,
     "op13_conversation_repair": op13_conversation_repair,
 }
 ORACLE_SQL = {"op2_benchmark_decontamination": OP2_SQL, "op3_warc": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op6_line_dedup": OP6_SQL}
