@@ -208,7 +208,15 @@ def _occurrences(docs: DataFrame, patterns: DataFrame, text: str) -> DataFrame:
         marks[b.column(0).to_numpy()] = b.column(1).to_numpy().view(np.uint64)
     marked = spark.sparkContext.broadcast(marks)
 
+    def counted(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, at = np.unique(np.concatenate([k for k, _ in held]), return_inverse=True)
+        return keys, np.bincount(at, np.concatenate([n for _, n in held])).astype(np.int64)
+
+    def batch(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), pa.array(n)], names=["key", "n"])
+
     def run(batches):
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for b in batches:
             words = b.column(0)
             for c in ":=#":
@@ -218,8 +226,13 @@ def _occurrences(docs: DataFrame, patterns: DataFrame, text: str) -> DataFrame:
                 h, doc = hash_words(data, offsets, i, j, "space")
                 keys = np.concatenate((_keys(h, doc, False), _keys(h, doc, True)))
                 bits = marked.value[(keys >> U64(64 - MARK_BITS + 6)).astype(np.int64)] >> ((keys >> U64(32)) & U64(63))
-                found, n = np.unique(keys[(bits & U64(1)) > 0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n.astype(np.int64))], names=["key", "n"])
+                held.append(np.unique(keys[(bits & U64(1)) > 0], return_counts=True))
+                if sum(len(k) for k, _ in held) > 1 << 20:
+                    held = [counted(held)]
+                    if len(held[0][0]) > 1 << 19:
+                        yield batch(*held.pop())
+        if held:
+            yield batch(*counted(held))
 
     texts = docs.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
     return texts.mapInArrow(releasing(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("total"))
