@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from mirador.functions.rows import number_rows
 from mirador.operators.images import to_rgb
 from mirador.operators.prepare import unwrap
 
@@ -23,6 +22,11 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def resolve_paths(spark: SparkSession, root: str | None = None, annotations: str | None = None, images: str | None = None) -> tuple[str, str]:
     """(annotations, images): explicit paths as given, else the first candidate below root that exists."""
     def first(names: list[str], what: str) -> str:
@@ -46,7 +50,7 @@ def read_json(spark: SparkSession, path: str) -> DataFrame:
     df = spark.read.option("multiLine", True).option("mode", "FAILFAST").json(path)
     if first[0] == "{" and not any(n in df.columns and df.schema[n].dataType.typeName() == "array" for n in ("data", "records")):
         raise wrong
-    return unwrap(df) if first[0] == "{" else number_rows(df, "pos")
+    return unwrap(df, listed=first[0] == "[")
 
 
 def read_jsonl(spark: SparkSession, path: str, schema: StructType | str | None = None) -> DataFrame:

@@ -26,6 +26,10 @@ class Policy:
     timeout: float = 120.0
 
 
+class Unsendable(ValueError):
+    """A request that must not be sent as it is; trying again does not help."""
+
+
 #: A backend: (messages as JSON text, policy) -> response document.
 Backend = Callable[[str, Policy], dict]
 
@@ -49,6 +53,8 @@ def complete(backend: Backend, messages: str, policy: Policy, sleep: Callable[[f
     for attempt in range(policy.retries):
         try:
             return content_of(backend(messages, policy)), attempt + 1, None
+        except Unsendable as e:
+            return None, attempt, str(e)
         except Exception as e:  # noqa: BLE001  any failure of a backend is retried and reported
             error = f"{type(e).__name__}: {e}"
             if attempt + 1 < policy.retries:
@@ -56,9 +62,18 @@ def complete(backend: Backend, messages: str, policy: Policy, sleep: Callable[[f
     return None, policy.retries, error
 
 
+def refuse_local(messages: list[dict]) -> None:
+    """An error for messages with an image's local address: the service could not read it, and paths stay here."""
+    for m in messages:
+        for part in m["content"] if isinstance(m.get("content"), list) else []:
+            address = (part.get("image_url") or {}).get("url") if isinstance(part, dict) else None
+            if part.get("type") == "image_url" and not str(address).lower().startswith(("data:", "http:", "https:")):
+                raise Unsendable(f"an image of the request has no address that can be sent: {address}")
+
+
 def http_backend(url: str, model: str, key_variable: str | None = None) -> Callable[[], Backend]:
     """For call_model: a backend that posts to a chat completion service. The key is read on the executor, from the environment
-    variable named, when the backend is made; an absent one is an error then."""
+    variable named, when the backend is made; an absent one is an error then. Images must be attached as data, or be on the web."""
 
     def make() -> Backend:
         headers = {"Content-Type": "application/json"}
@@ -68,7 +83,9 @@ def http_backend(url: str, model: str, key_variable: str | None = None) -> Calla
             headers["Authorization"] = f"Bearer {os.environ[key_variable]}"
 
         def post(messages: str, policy: Policy) -> dict:
-            body = {"model": model, "messages": json.loads(messages), "temperature": policy.temperature, "max_tokens": policy.max_tokens, "response_format": {"type": "text"}}
+            said = json.loads(messages)
+            refuse_local(said)
+            body = {"model": model, "messages": said, "temperature": policy.temperature, "max_tokens": policy.max_tokens, "response_format": {"type": "text"}}
             request = urllib.request.Request(url, json.dumps(body).encode(), headers)
             with urllib.request.urlopen(request, timeout=policy.timeout) as response:  # raises for a status that is no success
                 return json.loads(response.read())
