@@ -22,6 +22,12 @@ def log_sum_exp(logits: Column) -> Column:
     return top + F.log(F.aggregate(logits, F.lit(0.0), lambda a, x: a + F.exp(x.cast("double") - top)))
 
 
+def log_softmax(logits: Column) -> Column:
+    """All components' log-probabilities; the sum over them is made once."""
+    bound = F.transform(F.array(log_sum_exp(logits)), lambda s: F.transform(logits, lambda v: v.cast("double") - s))
+    return F.get(bound, F.lit(0))
+
+
 def completion_logprob(logits: Column, ids: Column, attention_mask: Column, prompt_len: Column) -> Column:
     """Summed log-softmax of the tokens after the prompt; row t of logits predicts token t + 1; pads count nothing."""
     each = F.transform(F.sequence(F.lit(1), F.size(ids) - 1), lambda t: F.when((t - 1 >= F.greatest(prompt_len - 1, F.lit(0))) & (F.get(attention_mask, t) == 1), F.get(F.get(logits, t - 1), F.get(ids, t)).cast("double") - log_sum_exp(F.get(logits, t - 1))).otherwise(F.lit(0.0)))

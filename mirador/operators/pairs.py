@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from mirador.operators.outputs import output_fields
+
 
 def should_keep_pair(teacher: str, student: str) -> Column:
     """The student answered where the teacher abstained or saw high risk."""
@@ -18,9 +20,10 @@ def pair_outputs(teachers: DataFrame, students: DataFrame) -> DataFrame:
 
 
 def mine_pairs(both: DataFrame, teacher: str = "teacher_output", student: str = "student_output", rejected: str = "student_text") -> DataFrame:
-    """The kept pairs: chosen is the teacher's output as JSON text, rejected the student's text as it came."""
+    """The kept pairs: chosen is the teacher's output as JSON text (its own keys in their order, values normalised, nothing else),
+    rejected the student's text as it came; both outputs with their six fields and what else they held."""
     kept = both.where(should_keep_pair(teacher, student))
-    return kept.select("sample_id", "image_path", "question", F.to_json(teacher, {"ignoreNullFields": "false"}).alias("chosen"), F.col(rejected).alias("rejected"), teacher, student)
+    return kept.select("sample_id", "image_path", "question", F.col(f"{teacher}.normalized").alias("chosen"), F.col(rejected).alias("rejected"), output_fields(teacher).alias(teacher), output_fields(student).alias(student))
 
 
 def loss_steps(losses: DataFrame, accumulate: int) -> DataFrame:

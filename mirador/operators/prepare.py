@@ -16,24 +16,25 @@ FIELD_ALIASES = {
     "image": ["image_name", "image_path", "image", "image_id", "image_filename"], "id": ["sample_id", "qid", "question_id"],
     "answer_type": ["answer_type", "question_type"], "phrase_type": ["phrase_type"],
 }
+OWN_POS = "_own_pos"
 INDEX_COLUMNS = ["sample_id", "image_path", "question", "answer", "split", "answer_type", "phrase_type"]
 
 
-def unwrap(df: DataFrame) -> DataFrame:
-    """One row per record with its raw position `pos`, whether the file is a list or holds one under data or records."""
-    for name in ("data", "records"):
+def unwrap(df: DataFrame, listed: bool = False) -> DataFrame:
+    """One row per record with its raw position `pos`, whether the file is a list or holds one under data or records. A field of
+    that name that the records have themselves becomes OWN_POS. listed says that df's rows are the records."""
+    for name in () if listed else ("data", "records"):
         if name in df.columns and df.schema[name].dataType.typeName() == "array":
-            return df.select(F.posexplode(name).alias("pos", "r")).select("pos", "r.*")
-    if "pos" in df.columns:
-        return df
-    return number_rows(df, "pos")
+            fields = df.schema[name].dataType.elementType.names
+            return df.select(F.posexplode(name).alias("pos", "r")).select("pos", *[F.col(f"r.`{c}`").alias(OWN_POS if c == "pos" else c) for c in fields])
+    return number_rows(df.withColumnRenamed("pos", OWN_POS), "pos")
 
 
 def normalize_rows(raw: DataFrame) -> DataFrame:
     """The fixed fields of raw rows (pos and any aliases); rows without question or image are dropped."""
     q, a = strip(F.coalesce(pick_first(raw, FIELD_ALIASES["question"], ""), F.lit(""))), strip(F.coalesce(pick_first(raw, FIELD_ALIASES["answer"], ""), F.lit("")))
     image = pick_first(raw, FIELD_ALIASES["image"])
-    meta = F.to_json(F.struct(*[F.col(c) for c in raw.columns if c != "pos"]))
+    meta = F.to_json(F.struct(*[F.col(f"`{c}`").alias("pos" if c == OWN_POS else c) for c in raw.columns if c != "pos"]))
     out = raw.select("pos", q.alias("question"), a.alias("answer"), image.alias("image_path"), pick_first(raw, FIELD_ALIASES["split"]).alias("raw_split"), pick_first(raw, FIELD_ALIASES["id"]).alias("given_id"), pick_first(raw, FIELD_ALIASES["answer_type"]).alias("answer_type"), pick_first(raw, FIELD_ALIASES["phrase_type"]).alias("phrase_type"), meta.alias("raw_metadata"))
     out = out.where((F.col("question") != "") & F.col("image_path").isNotNull())
     return out.withColumn("sample_id", F.coalesce("given_id", sample_id(F.col("question"), F.col("answer"), F.col("image_path"), F.col("pos")))).withColumn("split", normalize_split(F.col("raw_split"))).drop("given_id", "raw_split")

@@ -59,3 +59,15 @@ def preference_text(question: Column, completion: Column) -> Column:
     """Struct (text, prompt_chars): the inference prompt with a completion, and where the completion begins."""
     prompt = F.concat(F.lit(f"{SYSTEM}\nCheck the evidence before you reply.\nQuestion: "), question, F.lit("\n"))
     return F.struct(F.concat(prompt, completion).alias("text"), F.char_length(prompt).alias("prompt_chars"))
+
+
+#: Marks of the chat text that tokens are made of, ours.
+IMAGE_MARK, END_MARK = "<image>", "<|end|>"
+
+
+def chat_text(messages: Column, reply: bool = False) -> Column:
+    """Messages as one text: a line with the role, the parts by lines (images as a mark), an end mark; and the opening of a reply."""
+    part = lambda p: F.when(p["type"] == "text", F.coalesce(p["text"], F.lit(""))).otherwise(F.lit(IMAGE_MARK))
+    one = lambda m: F.concat(F.lit("<|"), m["role"], F.lit("|>\n"), F.array_join(F.transform(m["content"], part), "\n"), F.lit(f"\n{END_MARK}\n"))
+    text = F.array_join(F.transform(messages, one), "")
+    return F.concat(text, F.lit("<|assistant|>\n")) if reply else text

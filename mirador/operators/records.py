@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirador.functions.text import normalize_answer
+from mirador.operators.outputs import output_fields
 
 
 def correctness(prediction: str, reference: Column, should_abstain: Column) -> Column:
@@ -21,12 +22,12 @@ def prediction_records(df: DataFrame, should_abstain: Column, prediction: str =
     flag = F.coalesce(should_abstain.cast("boolean"), F.lit(False))
     return df.select(
         "sample_id", "question", "image_path", reference.alias("reference_answer"), flag.alias("ground_truth_should_abstain"),
-        F.col(prediction).alias("prediction"), correctness(prediction, reference, flag).alias("is_correct"),
+        output_fields(prediction).alias("prediction"), correctness(prediction, reference, flag).alias("is_correct"),
     )
 
 
 def inference_records(df: DataFrame, prediction: str = "prediction") -> DataFrame:
-    return df.select("sample_id", "image_path", "question", F.col(prediction).alias("prediction"))
+    return df.select("sample_id", "image_path", "question", output_fields(prediction).alias("prediction"))
 
 
 def inference_items(spark: SparkSession, input_jsonl: str | None = None, image_path: str | None = None, question: str | None = None) -> DataFrame:

@@ -8,9 +8,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirador.functions import arrays, text
-from mirador.operators import images, metrics, outputs, pairs, prepare, prompts, records, variants
-from mirador.sources.model import Policy, call_for_output
+from mirador.operators import batches, images, metrics, outputs, pairs, prepare, prompts, records, variants
 from mirador.plans import fixtures as fx
+from mirador.sources import calls
+from mirador.sources.model import Policy, call_for_output
+from mirador.sources.requests import attach_images
 
 QUERIES, ORACLE_SQL = {}, {}
 P, Q = fx.PREDICTIONS, fx.QA
@@ -260,8 +262,7 @@ def outputs_validated(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_O} SELECT CASE WHEN {_OK} THEN 'kept' ELSE 'quarantined' END AS place, count(*) AS n FROM o GROUP BY 1")
 def outputs_quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, rest = outputs.quarantine(_parsed(spark, sf_dir))
-    return kept.select(F.lit("kept").alias("place")).union(rest.select(F.lit("quarantined"))).groupBy("place").agg(F.count("*").alias("n"))
+    return _parsed(spark, sf_dir).groupBy(outputs.place().alias("place")).agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {_O} SELECT doc_id, CASE WHEN (doc_id % 4) < 3 AND {_OK} THEN doc_id % 4 + 1 ELSE 3 END::INT AS rounds, (doc_id % 4) < 3 AND {_OK} AS valid,
@@ -296,7 +297,12 @@ _S = fx.outputs_sql("s", 1)
 _KEPT = "o.form <> 'unparsed' AND s.form <> 'unparsed' AND s.decision = 'answer' AND (o.decision = 'abstain' OR (o.form <> 'missing' AND o.risk_level = 'high'))"
 
 
-@query(f"""WITH {_O}, {_S} SELECT 's' || o.doc_id AS sample_id, o.decision AS chosen_decision, CASE WHEN o.form <> 'missing' THEN o.risk_level END AS chosen_risk, o.answer AS chosen_answer,
+#: The teacher's output as text, as it is trained on.
+_CHOSEN = """'{"explanation": "' || CASE WHEN o.hint THEN 'The view is INSUFFICIENT here.' WHEN o.blank THEN '' ELSE 'The finding is plain.' END || '", "raw_confidence": ' || CAST(CAST(o.raw_confidence AS DOUBLE) AS VARCHAR)
+  || ', "decision": "' || o.decision || '", "abstain_type": "' || o.abstain_type || '"' || CASE WHEN o.form = 'missing' THEN '' ELSE ', "risk_level": "' || o.risk_level || '"' END || ', "answer": "' || o.answer || '"}'"""
+
+
+@query(f"""WITH {_O}, {_S} SELECT 's' || o.doc_id AS sample_id, {_CHOSEN} AS chosen, o.decision AS chosen_decision, CASE WHEN o.form <> 'missing' THEN o.risk_level END AS chosen_risk, o.answer AS chosen_answer,
   s.decision AS student_decision, (o.doc_id + 1) % 4 AS shape FROM o JOIN s USING (doc_id) WHERE {_KEPT}""")
 def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of teacher and student outputs of the same variant, as records with JSON text; shape is that of the student's text."""
@@ -308,7 +314,7 @@ def preference_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     part = lambda k: F.get_json_object("chosen", f"$.{k}")
     shape = F.when(F.col("rejected").startswith("```"), 1).when(F.col("rejected").startswith("Here: "), 2)
     shape = shape.otherwise((F.substring("sample_id", 2, 20).cast("long") + 1) % 4)
-    return got.select("sample_id", part("decision").alias("chosen_decision"), part("risk_level").alias("chosen_risk"), part("answer").alias("chosen_answer"), F.col("student_output.decision").alias("student_decision"), shape.cast("long").alias("shape"))
+    return got.select("sample_id", "chosen", part("decision").alias("chosen_decision"), part("risk_level").alias("chosen_risk"), part("answer").alias("chosen_answer"), F.col("student_output.decision").alias("student_decision"), shape.cast("long").alias("shape"))
 
 
 @query(f"""WITH {Q}, {_O}, a AS (SELECT ix.*, o.decision, o.answer AS said, o.form, ix.pos % 3 = 0 AS flag FROM ix JOIN o ON o.doc_id = ix.pos % 997 WHERE o.form <> 'unparsed')
@@ -389,7 +395,7 @@ def center_mask(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""SELECT vec_id, array_to_string(list_transform(embedding, lambda v: CAST(round((v::DOUBLE - ln(list_sum(list_transform(embedding, lambda w: exp(w::DOUBLE))))) * 100000) AS INT)), ',') AS logprobs FROM embeddings""")
 def log_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All components' log-probabilities, in hundred-thousandths."""
-    whole = F.transform("embedding", lambda v: F.round((v.cast("double") - arrays.log_sum_exp(F.col("embedding"))) * 100000).cast("int").cast("string"))
+    whole = F.transform(arrays.log_softmax(F.col("embedding")), lambda v: F.round(v * 100000).cast("int").cast("string"))
     return fx.table(spark, sf_dir, "embeddings").select("vec_id", F.array_join(whole, ",").alias("logprobs"))
 
 
@@ -452,3 +458,77 @@ def image_degradations(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = e.select("vec_id", data.alias("data"), F.explode(F.array(*[F.lit(x) for x in variants.DEGRADATIONS])).alias("degradation_type"))
     out = images.degrade_column(F.col("data"), F.lit(8), F.lit(8), F.col("degradation_type"), F.lit("medium"), F.col("vec_id").cast("string"))
     return rows.select("vec_id", "degradation_type", F.hex(out).alias("pixels"))
+
+
+_PICTURES = """f AS (SELECT '/data/img_' || vec_id || '.png' AS path, 'data:image/png;base64,' || base64(unhex('89504E470D0A1A0A') || encode(repeat('vector ' || vec_id || ' label ' || coalesce(label, 0) || ';', 20))) AS address FROM embeddings),
+ask AS (SELECT sample_id, question, '/data/img_' || pos % 2503 || '.png' AS image_path FROM ix)"""
+
+
+@query(f"""WITH {Q}, {_PICTURES} SELECT ask.sample_id, {_SYSTEM} || concat_ws('|', 'user', 'image_url', f.address) || chr(10) || 'user|text|Check the evidence before you reply.' || chr(10) || 'Question: ' || question AS messages,
+  CASE WHEN f.path IS NULL THEN image_path ELSE '' END AS missing FROM ask LEFT JOIN f ON f.path = ask.image_path""")
+def requests_with_images(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests about pictures (files made of vectors' ids and labels), the pictures' bytes in them, and what picture is not there."""
+    said = F.repeat(F.concat(F.lit("vector "), F.col("vec_id").cast("string"), F.lit(" label "), F.coalesce("label", F.lit(0)).cast("string"), F.lit(";")), F.lit(20))
+    name = lambda c: F.concat(F.lit("/data/img_"), c.cast("string"), F.lit(".png"))
+    files = fx.table(spark, sf_dir, "embeddings").select(F.concat(F.lit("file:"), name(F.col("vec_id"))).alias("path"), F.concat(F.unhex(F.lit("89504E470D0A1A0A")), F.encode(said, "UTF-8")).alias("content"))
+    url = text.file_uri(name(F.col("pos") % 2503))
+    rows = index(spark, sf_dir).select("sample_id", prompts.inference_messages(F.col("question"), url).alias("messages"))
+    got = attach_images(rows, files)
+    return got.select("sample_id", _flat(F.col("messages")).alias("messages"), F.array_join("missing_images", ",").alias("missing"))
+
+
+_ASKED = f"""asked AS (SELECT v.sample_id, CAST(v.variant_idx AS INT) AS variant_idx, ix.pos, sha256(concat_ws('|', 'teacher', '0.2', '800', {_CONTEXT} || chr(10) || v.question)) AS request_key FROM v JOIN ix USING (sample_id)),
+known AS (SELECT request_key, min('quality ' || quality) AS response_text FROM asked JOIN labels ON doc_id = pos % 997 WHERE variant_idx = 0 AND quality IS NOT NULL GROUP BY request_key)"""
+
+
+def _asked(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Requests of all variants, and answers to some, recorded for originals."""
+    said = F.concat_ws("\n", prompts.sample_context(F.col("is_counterfactual"), F.col("degradation_type"), F.col("severity")), F.col("question"))
+    rows = calls.keyed(_fan(spark, sf_dir).withColumn("messages_json", said), Policy(), "teacher")
+    told = fx.table(spark, sf_dir, "labels").where("quality is not null").select(F.col("doc_id").alias("_d"), F.concat(F.lit("quality "), F.col("quality").cast("string")).alias("said"))
+    known = rows.where("variant_idx = 0").join(told, F.col("pos") % 997 == F.col("_d")).groupBy("request_key").agg(F.min("said").alias("response_text"), F.lit(1).alias("attempts"))
+    return rows, known
+
+
+@query(f"WITH {Q}, {_FAN}, {_ASKED} SELECT request_key FROM asked WHERE request_key NOT IN (SELECT request_key FROM known) GROUP BY request_key")
+def calls_to_ask(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is still to be posted: each different request without a recorded answer, once."""
+    rows, known = _asked(spark, sf_dir)
+    return calls.to_ask(rows, known).select("request_key")
+
+
+@query(f"WITH {Q}, {_FAN}, {_ASKED} SELECT sample_id, variant_idx, request_key, response_text FROM asked LEFT JOIN known USING (request_key)")
+def calls_answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All requests with their recorded answers."""
+    rows, known = _asked(spark, sf_dir)
+    return calls.answered(rows, known).select("sample_id", "variant_idx", "request_key", "response_text")
+
+
+def _tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def _joined(c: str) -> Column:
+    """Lists of numbers as text: numbers by commas, lists by semicolons."""
+    return F.array_join(F.transform(c, lambda r: F.array_join(F.transform(r, lambda v: v.cast("string")), ",")), ";")
+
+
+@query()
+def sft_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training batches of all question and answer rows: token ids, masks and labels (tested against a plain loop over the tokenizer)."""
+    url = text.file_uri(F.concat(F.lit("/data/"), F.col("image_path")))
+    rows = index(spark, sf_dir).select(F.concat_ws("_", "sample_id", "pos").alias("key"), prompts.training_messages(F.col("question"), url, F.col("answer")).alias("messages"))
+    got = batches.length_batches(batches.sft_tokens(rows, _tokenizer()), "key", 8, 50256)
+    lengths = F.array_join(F.transform("prompt_lengths", lambda v: v.cast("string")), ",")
+    return got.select("bucket", "shard", "batch", F.array_join("keys", ",").alias("keys"), _joined("input_ids").alias("input_ids"), _joined("attention_mask").alias("attention_mask"), _joined("labels").alias("labels"), lengths.alias("prompt_lengths"))
+
+
+@query()
+def preference_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of inference prompts with their completions, and the prompts' lengths in tokens (tested against a plain loop)."""
+    url = text.file_uri(F.concat(F.lit("/data/"), F.col("image_path")))
+    prompt = prompts.chat_text(prompts.inference_messages(F.col("question"), url), reply=True)
+    got = batches.preference_tokens(index(spark, sf_dir).select("sample_id", "answer", prompt.alias("prompt")), _tokenizer(), F.col("prompt"), F.col("answer"))
+    return got.select("sample_id", F.array_join(F.transform("input_ids", lambda v: v.cast("string")), ",").alias("input_ids"), "prompt_tokens")

@@ -291,58 +291,3 @@ def test_command_line(spark, tmp_path, capsys):
     (tmp_path / "o.jsonl").write_text(json.dumps({"raw_text": GOOD}) + "\n" + json.dumps({"raw_text": "no"}))
     assert main(["validate", "--input-jsonl", str(tmp_path / "o.jsonl"), "--output", str(tmp_path / "w")], spark) == {"ok": 1, "unparsed": 1}
     assert '"unparsed": 1' in capsys.readouterr().out
-
-
-class _Ids:
-    def __init__(self, n):
-        self.shape, self.moved = (1, n), None
-
-    def to(self, device):
-        self.moved = device
-        return self
-
-
-def test_student_backend(monkeypatch, tmp_path):
-    import sys
-    from types import SimpleNamespace
-
-    from mirador.sources import student
-
-    with pytest.raises(ImportError, match="needed for a local model"):
-        student.Student("m").load()
-    calls = []
-
-    class Model:
-        device = "d"
-
-        @classmethod
-        def from_pretrained(cls, name, **options):
-            calls.append((name, options))
-            return cls()
-
-        def generate(self, input_ids, **options):
-            calls.append((input_ids.moved, options))
-            return [[1, 2, 3, 7, 8]]
-
-    class Processor:
-        tokenizer = SimpleNamespace(decode=lambda ids, skip_special_tokens: f" {ids} ")
-
-        @classmethod
-        def from_pretrained(cls, name, **options):
-            return cls()
-
-        def apply_chat_template(self, messages, **options):
-            calls.append(messages)
-            return {"input_ids": _Ids(3)}
-
-    adapted = SimpleNamespace(from_pretrained=lambda m, path, is_trainable: calls.append(("adapter", path)) or m)
-    monkeypatch.setitem(sys.modules, "torch", SimpleNamespace(bfloat16="b", cuda=SimpleNamespace(is_available=lambda: False)))
-    monkeypatch.setitem(sys.modules, "transformers", SimpleNamespace(AutoModelForVision2Seq=Model, AutoModelForCausalLM=None, AutoProcessor=Processor))
-    monkeypatch.setitem(sys.modules, "peft", SimpleNamespace(PeftModel=adapted))
-    make = student.student_backend(student.Student("m", str(tmp_path)))
-    text = json.dumps([{"role": "user", "content": [{"type": "text", "text": "q"}, {"type": "image_url", "image_url": {"url": "file:///a%20b.png"}}]}])
-    assert model.complete(make(), text, model.Policy()) == ("[7, 8]", 1, None) and model.complete(make(), text, model.Policy())[0] == "[7, 8]"
-    assert calls[0] == ("m", {"trust_remote_code": True, "torch_dtype": "b"}) and calls[1] == ("adapter", str(tmp_path))
-    assert calls[2] == [{"role": "user", "content": [{"type": "text", "text": "q"}, {"type": "image", "path": "/a b.png"}]}] and calls[3][0] == "d"
-    assert sum(c == calls[0] for c in calls) == 1  # loaded once
-    assert student.Student("m", None, "int4").options(sys.modules["torch"])["torch_dtype"] is None
