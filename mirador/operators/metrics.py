@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 
 from mirador.functions.arrays import interpolate
 from mirador.functions.text import normalize_answer
+from mirador.operators.calibration import RANGES, isotonic_steps, range_bounds, range_of, thresholds
+from mirador.sources.scratch import Tables
 
 
 def answered() -> Column:
@@ -94,15 +96,19 @@ def expected_calibration_error(df: DataFrame, bins: int = 10) -> DataFrame:
     return calibration_bins(df, bins).agg(_ece(n, F.col("confidence") * n, F.col("accuracy") * n).alias("ECE"))
 
 
-def all_metrics(df: DataFrame, *by: str, bins: int = 10) -> DataFrame:
-    """The report's five metrics in one row, or in one for each value of the columns `by`, from one scan: counts by
-    confidence bin first, then sums over these."""
+def metric_counts(df: DataFrame, *by: str, bins: int = 10) -> DataFrame:
+    """What the report is made of: counts and sums for each confidence bin (and value of the columns `by`). They add up, so they
+    can be kept and merged, over micro-batches for one."""
     answers, right, abstain = answered(), flag("is_correct"), flag("ground_truth_should_abstain")
     c = _confidence(df)
-    counts = df.groupBy(*by, _bin(c, bins).alias("bin")).agg(
+    return df.groupBy(*by, _bin(c, bins).alias("bin")).agg(
         F.count("*").alias("rows"), F.count(c).alias("n"), F.sum(c).alias("conf"), F.count_if(right & c.isNotNull()).alias("ok"), F.count_if(answers).alias("answers"),
         F.count_if(answers & right).alias("right"), F.count_if(abstain).alias("abstain"), F.count_if(abstain & answers).alias("attacked"),
     )
+
+
+def report_of(counts: DataFrame, *by: str) -> DataFrame:
+    """The report's five metrics from metric_counts()."""
     part = lambda x, y: F.coalesce(F.try_divide(F.sum(x).cast("double"), F.sum(y).cast("double")), F.lit(0.0))
     wrong = F.col("answers") - F.col("right")
     found = [part("right", "answers").alias("Accuracy@Answer"), part("attacked", "abstain").alias("ASR"), part(wrong, "answers").alias("FDR")]
@@ -110,6 +116,12 @@ def all_metrics(df: DataFrame, *by: str, bins: int = 10) -> DataFrame:
     return counts.groupBy(*by).agg(*found)
 
 
+def all_metrics(df: DataFrame, *by: str, bins: int = 10) -> DataFrame:
+    """The report's five metrics in one row, or in one for each value of the columns `by`, from one scan: counts by
+    confidence bin first, then sums over these."""
+    return report_of(metric_counts(df, *by, bins=bins), *by)
+
+
 def reliability_bins(df: DataFrame, bins: int = 10) -> DataFrame:
     """bin, n, confidence, accuracy over bins (l, r]; 0.0 falls in none, empty bins are absent."""
     rows = df.select(_confidence(df).alias("c"), flag("is_correct").cast("double").alias("ok")).where("c > 0 and c <= 1")
@@ -133,17 +145,28 @@ def harmonic(m: Column) -> Column:
     return F.when(m <= 32, F.get(F.array(*[F.lit(v) for v in table]), m.cast("int"))).otherwise(series)
 
 
-def risk_coverage(df: DataFrame) -> DataFrame:
+def risk_coverage(df: DataFrame, ranges: int = RANGES) -> DataFrame:
     """AURC: the mean over k of the error of the k most confident rows.
 
-    Ranks come from groups of equal confidence: within such a group errors are spread evenly, so a window over the distinct
-    confidences (float32 values) does, not one over all rows."""
+    Ranks come from groups of equal confidence: within such a group errors are spread evenly. The distinct confidences are cut
+    into ranges by quantiles, and what lies above each range is one of `ranges` sums that are broadcast; running sums
+    are made within ranges, so no task sees all confidences. The table of distinct confidences is written down first."""
     c = df.select(_confidence(df).alias("c"), (~flag("is_correct")).cast("long").alias("bad")).where("c is not null").groupBy("c").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
-    w = Window.orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
-    s = c.select("n", "bad", F.coalesce(F.sum("n").over(w), F.lit(0)).alias("n0"), F.coalesce(F.sum("bad").over(w), F.lit(0)).alias("b0"))
-    # the sum over i in 1..n of (b0 + bad * i / n) / (n0 + i), in closed form
-    part = F.col("bad") + (F.col("b0") - F.col("bad") * F.col("n0") / F.col("n")) * (harmonic(F.col("n0") + F.col("n")) - harmonic(F.col("n0")))
-    return s.select("n", part.alias("p")).agg(F.coalesce(F.try_divide(F.sum("p"), F.sum("n").cast("double")), F.lit(0.0)).alias("AURC"))
+    with Tables(df.sparkSession) as tables:
+        c = tables.write(c, "confidences")
+        c = c.withColumn("part", range_of(F.col("c"), range_bounds(c, "c", ranges)))
+        above, sums = (0, 0), []
+        for r in sorted(c.groupBy("part").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).collect(), reverse=True):  # a row for each range
+            sums.append((r["part"], *above))
+            above = (above[0] + r["n"], above[1] + r["bad"])
+        before = df.sparkSession.createDataFrame(sums or [(-1, 0, 0)], "part int, n_above long, bad_above long")
+        w = Window.partitionBy("part").orderBy(F.desc("c")).rowsBetween(Window.unboundedPreceding, -1)
+        run = lambda x: F.coalesce(F.sum(x).over(w), F.lit(0)) + F.col(f"{x}_above")
+        s = c.join(F.broadcast(before), "part").select("n", "bad", run("n").alias("n0"), run("bad").alias("b0"))
+        # the sum over i in 1..n of (b0 + bad * i / n) / (n0 + i), in closed form
+        part = F.col("bad") + (F.col("b0") - F.col("bad") * F.col("n0") / F.col("n")) * (harmonic(F.col("n0") + F.col("n")) - harmonic(F.col("n0")))
+        found = s.select("n", part.alias("p")).agg(F.coalesce(F.try_divide(F.sum("p"), F.sum("n").cast("double")), F.lit(0.0)).alias("AURC"))
+        return tables.write(found, "aurc", keep=True)
 
 
 def confidence_targets(df: DataFrame) -> DataFrame:
@@ -151,27 +174,10 @@ def confidence_targets(df: DataFrame) -> DataFrame:
 
 
 def fit_calibration(df: DataFrame) -> DataFrame:
-    """One row: method, x_thresholds, y_thresholds, num_samples and the two means, by isotonic regression.
-
-    df is read once: rows are pooled by confidence first, and the fit and both means come from the distinct confidences (of
-    which float32 has a bounded number). Of a run of equal values the two ends are kept as thresholds."""
-    from pyspark.ml.functions import array_to_vector
-    from pyspark.ml.regression import IsotonicRegression
-
-    grouped = confidence_targets(df).groupBy("x").agg(F.avg("y").alias("y"), F.count("*").cast("double").alias("w"))
-    grouped = grouped.withColumn("f", array_to_vector(F.array(F.col("x").cast("double")))).persist()
-    try:
-        total, mean_x, mean_y = grouped.agg(F.sum("w"), F.sum(F.col("x").cast("double") * F.col("w")), F.sum(F.col("y") * F.col("w"))).first()
-        if not total:
-            raise ValueError("no confidence and target pairs to calibrate on")
-        model = IsotonicRegression(featuresCol="f", labelCol="y", weightCol="w").fit(grouped)
-    finally:
-        grouped.unpersist()
-    xs, ys = [float(v) for v in model.boundaries], [float(v) for v in model.predictions]
-    kept = [i for i in range(len(xs)) if i in (0, len(xs) - 1) or ys[i] != ys[i - 1] or ys[i] != ys[i + 1]]
-    # pooling keeps the mean, so that of the calibrated values is that of the targets
-    row = ("isotonic_regression", [xs[i] for i in kept], [ys[i] for i in kept], int(total), mean_x / total, mean_y / total)
-    return df.sparkSession.createDataFrame([row], "method string, x_thresholds array<double>, y_thresholds array<double>, num_samples int, mean_raw_confidence double, mean_calibrated_confidence double")
+    """One row: method, x_thresholds, y_thresholds, num_samples and the two means, by isotonic regression; of each step the two
+    ends are thresholds. It is the artifact that files carry; to calibrate a table, isotonic_steps and apply_steps keep the
+    model a table too."""
+    return thresholds(isotonic_steps(confidence_targets(df)))
 
 
 def apply_calibration(df: DataFrame, model: DataFrame | None) -> DataFrame:

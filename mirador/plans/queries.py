@@ -8,11 +8,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirador.functions import arrays, text
-from mirador.operators import batches, images, metrics, outputs, pairs, prepare, prompts, records, variants
+from mirador.operators import batches, calibration, images, metrics, outputs, pairs, prepare, prompts, records, variants
 from mirador.plans import fixtures as fx
 from mirador.sources import calls
 from mirador.sources.model import Policy, call_for_output
 from mirador.sources.requests import attach_images
+from mirador.sources.scratch import new_folder
+from mirador.streaming.metrics import PREDICTION_SCHEMA, latest_report, metrics_stream
 
 QUERIES, ORACLE_SQL = {}, {}
 P, Q = fx.PREDICTIONS, fx.QA
@@ -60,6 +62,17 @@ def metrics_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(*[F.round(F.col(f"`{c}`"), 9).alias(c) for c in found.columns])
 
 
+@query(ORACLE_SQL["metrics_all"])
+def metrics_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five metrics over a stream: predictions in three files, a micro-batch each, the report after the last."""
+    rows = fx.predictions(spark, sf_dir).selectExpr(*[f"{x.split()[0]}" for x in PREDICTION_SCHEMA.split(", ")])
+    folder = new_folder(spark, "stream")
+    rows.repartition(3, F.xxhash64("raw_confidence", "decision", "is_correct")).write.parquet(f"{folder}/in")
+    metrics_stream(spark, f"{folder}/in", f"{folder}/out", f"{folder}/state", form="parquet").awaitTermination()
+    found = latest_report(spark, f"{folder}/out")
+    return found.select(*[F.round(F.col(f"`{c}`"), 9).alias(c) for c in found.columns])
+
+
 @query(f"WITH {P} SELECT CAST(b AS INT) AS bin, count(*) AS n, round(avg(c), 9) AS confidence, round(avg(ok), 9) AS accuracy FROM (SELECT c, ok, len(list_filter([0.0, 0.1, 0.2, 3 * 0.1::DOUBLE, 0.4, 0.5, 6 * 0.1::DOUBLE, 7 * 0.1::DOUBLE, 0.8, 0.9]::DOUBLE[], lambda e: e < c)) - 1 AS b FROM (SELECT raw_confidence::FLOAT::DOUBLE AS c, is_correct::INT::DOUBLE AS ok FROM p) WHERE c > 0 AND c <= 1) GROUP BY 1")
 def reliability_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.reliability_bins(fx.predictions(spark, sf_dir)).select("bin", "n", F.round("confidence", 9).alias("confidence"), F.round("accuracy", 9).alias("accuracy"))
@@ -117,7 +130,7 @@ def calibration_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {P}, {_ISO} SELECT sample_id, raw_confidence, round(iso.y, 4) AS calibrated_confidence FROM p JOIN iso ON iso.x = p.raw_confidence::FLOAT::DOUBLE")
 def calibration_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = fx.predictions(spark, sf_dir)
-    return metrics.apply_calibration(rows, metrics.fit_calibration(rows)).select("sample_id", "raw_confidence", F.round("calibrated_confidence", 4).alias("calibrated_confidence"))
+    return calibration.apply_steps(rows, calibration.isotonic_steps(metrics.confidence_targets(rows))).select("sample_id", "raw_confidence", F.round("calibrated_confidence", 4).alias("calibrated_confidence"))
 
 
 @query(f"""WITH {P}, {_ISO}, q AS (SELECT iso.y::FLOAT::DOUBLE AS c, is_correct::INT::DOUBLE AS ok FROM p JOIN iso ON iso.x = p.raw_confidence::FLOAT::DOUBLE)
@@ -125,7 +138,7 @@ SELECT round(sum(abs(conf - acc) * n) / sum(n), 4) AS "ECE" FROM (SELECT {_BINNE
 def ece_calibrated(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calibration error after calibration on the same rows."""
     rows = fx.predictions(spark, sf_dir)
-    found = metrics.expected_calibration_error(metrics.apply_calibration(rows, metrics.fit_calibration(rows)))
+    found = metrics.expected_calibration_error(calibration.apply_steps(rows, calibration.isotonic_steps(metrics.confidence_targets(rows))))
     return found.select(F.round("ECE", 4).alias("ECE"))
 
 
