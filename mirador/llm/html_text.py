@@ -1,10 +1,14 @@
 """Main text of HTML pages by two-pass block rules.
 
-Pass one classifies each block by its length, the density of stop words and the density of linked text; blocks inside
-menus, asides, forms, adverts, comments and the like are bad from the start, but where only a part of a name tells so, long
-and dense blocks are judged by their measures. Pass two gives ambiguous blocks the label of the nearest decided neighbour
-in the same container. Where a page marks its article, this is a prior: blocks in it are taken for one step better than
-their measures, and for blocks outside it the edges count as bad; no block is dropped for its place.
+Pass one classifies each block by its length, the density of stop words and the density of linked text; where none of the
+lists of stop words fits a page, by length and links alone, a character of a script without spaces counting as three. Blocks inside
+menus, asides, adverts, comments and the like are bad from the start, but where only a part of a name tells so, long
+and dense blocks are judged by their measures. Forms, dialogs and labels are bad unless they hold most of a page's long
+blocks, or its article. Pass two gives ambiguous blocks the label of the nearest neighbour in the same container that was decided by
+its measures: what is bad for its tag or name says nothing of its neighbours, wherever it stands. One linked block among
+others in an article is ambiguous, several in a row are bad. Where a page marks its article, this is a prior: blocks in it are taken
+for one step better than their measures, and for blocks outside it the edges count as bad; no block is dropped for its place.
+A page without any decided block keeps its ambiguous ones.
 """
 
 from __future__ import annotations
@@ -29,11 +33,14 @@ STOP_WORDS = {
 _STOPS = [frozenset(x.split()) for x in STOP_WORDS.values()]
 
 #: Elements by what they do.
-_RAW = "script|style|textarea|title|noscript|iframe|noembed|noframes|xmp|template|svg|math|object|select|canvas|audio|video|map|datalist"
+_RAW = "script|style|textarea|title|noscript|iframe|noembed|noframes|xmp|template|svg|annotation|annotation-xml|object|select|canvas|audio|video|map|datalist"
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCKS = frozenset("address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-_BAD_TAGS = frozenset("nav aside footer form button fieldset dialog menu label head".split())
-_BAD_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar tablist".split())
+_BAD_TAGS = frozenset("nav aside footer button menu head".split())
+#: Elements that are bad unless they hold what a page is about.
+_WRAPPING = frozenset("form fieldset dialog label".split())
+_WRAPPING_ROLES = frozenset("form dialog".split())
+_BAD_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog menu menubar toolbar tablist".split())
 _BAD_NAMES = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner menu menubar nav navbar navigation sidebar side footer header masthead topbar breadcrumb breadcrumbs"
     " comment comments commentlist disqus respond reply replies cookie cookies consent gdpr notice notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social related recommended"
@@ -46,7 +53,7 @@ _PLAIN_NAMES = frozenset(
     " stories posts articles news reading videos topics tags header title label feed card cards panel slot unit zone module tools text widget fixed sticky mobile desktop small large global user author count no".split()
 )
 #: How strongly an element's own tag, role or name tells that it is no main text.
-_FINE, _WEAK, _BAD = 0, 1, 2
+_FINE, _WEAK, _BAD, _WRAPS = 0, 1, 2, 3
 _RAW_TAGS = frozenset(_RAW.split("|"))
 _RAW_END = {t: re.compile(rf"</{t}\b[^>]*+(?:>|\Z)", re.I) for t in _RAW_TAGS}
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>\"']*+)>")
@@ -54,6 +61,8 @@ _QUOTED_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^
 _BARE_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)>")
 _ATTR = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 _WORD = re.compile(r"\w+")
+#: Thai, Lao, Burmese, Khmer, kana, bopomofo and Chinese characters.
+_UNSPACED = re.compile(r"[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3100-\u312f\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003134f]")
 _SPLIT_NAME = re.compile(r"[^a-z]+")
 #: Names with these parts say what else there is on a page, not what the element is.
 _ABOUT_OTHERS = frozenset("has have with without no".split())
@@ -79,9 +88,18 @@ class _Block:
     heading: bool
     held: bool = False  # bad only for the name of the article or of what holds it
     weak: bool = False  # in an element of which a part of the name alone says that it is no main text
+    wrapper: int = 0  # the innermost form, dialog or label that holds it
     label: str = ""
 
 
+@dataclass
+class _Wrappers:
+    """Forms, dialogs and labels by number: the next outer one, and whether an article begins in it. 0 is the page."""
+
+    parent: list[int]
+    article: list[bool]
+
+
 def _tokens(page: str):
     """(start, end, closing, tag, attributes) of the markup in page, in order and in linear time; tag is None for comments,
     declarations and elements whose content is no text, which are one token each. Where quotes in a tag do not pair
@@ -136,33 +154,39 @@ def _bad_name(value: str) -> int:
 def _badness(tag: str, attrs: str, inside: bool, names: bool = True) -> int:
     if tag in _BAD_TAGS or tag == "header" and not inside:
         return _BAD
-    worst = _FINE
+    worst, wraps = _FINE, tag in _WRAPPING
     for name, value in _ATTR.findall(attrs) if attrs else ():
         name, value = name.lower(), value.strip("\"'").lower()
         if names and name in ("class", "id") and tag not in ("body", "html"):
             worst = max(worst, _bad_name(value))
         if name == "role" and value in _BAD_ROLES or name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
             return _BAD
-    return worst
+        wraps = wraps or name == "role" and value in _WRAPPING_ROLES
+    return _WRAPS if wraps and worst != _BAD else worst
 
 
-def _blocks(page: str) -> list[_Block]:
+def _blocks(page: str) -> tuple[list[_Block], _Wrappers]:
     out: list[_Block] = []
-    stack: list[tuple[str, int, bool, bool]] = []  # tag, badness, a main container, bad by name alone and not inside a main container
+    stack: list[tuple[str, int, bool, bool, int]] = []  # tag, badness, a main container, bad by name alone and not inside a main container, the wrapper around it
+    wrappers = _Wrappers([0], [False])
     parts: list[str] = []
-    state = {"links": 0, "bad": 0, "weak": 0, "named": 0, "main": 0, "zone": 0, "linked": 0, "heading": False}
+    state = {"links": 0, "bad": 0, "weak": 0, "named": 0, "main": 0, "zone": 0, "linked": 0, "heading": False, "wrapper": 0}
     opened: dict[str, int] = {}
 
     def close() -> None:
         text = " ".join(html_lib.unescape("".join(parts)).split()) if parts else ""
         if text:
             held = state["main"] > 0 and state["bad"] == state["named"] > 0
-            out.append(_Block(text, state["linked"], state["bad"] > 0, state["zone"] if state["main"] else 0, state["heading"], held, state["weak"] > 0))
+            out.append(_Block(text, state["linked"], state["bad"] > 0, state["zone"] if state["main"] else 0, state["heading"], held, state["weak"] > 0, state["wrapper"]))
         parts.clear()
         state["linked"] = 0
 
     def push(tag: str, bad: int, main: bool = False, named: bool = False) -> None:
-        stack.append((tag, bad, main, named))
+        stack.append((tag, bad, main, named, state["wrapper"]))
+        if bad == _WRAPS:
+            wrappers.parent.append(state["wrapper"])
+            wrappers.article.append(False)
+            state["wrapper"] = len(wrappers.parent) - 1
         opened[tag] = opened.get(tag, 0) + 1
         state["bad"] += bad == _BAD
         state["weak"] += bad == _WEAK
@@ -171,7 +195,7 @@ def _blocks(page: str) -> list[_Block]:
         state["links"] += tag == "a"
 
     def pop() -> None:
-        tag, bad, main, named = stack.pop()
+        tag, bad, main, named, state["wrapper"] = stack.pop()
         opened[tag] -= 1
         state["bad"] -= bad == _BAD
         state["weak"] -= bad == _WEAK
@@ -230,12 +254,18 @@ def _blocks(page: str) -> list[_Block]:
             while any(opened.get(t) for t in ("nav", "header", "footer", "aside", "head")):  # left open before the article
                 pop()
             state["zone"] += 1
+            wrappers.article[state["wrapper"]] = True
         push(tag, bad, main, named)
         state["heading"] = tag in ("h1", "h2", "h3", "h4", "h5", "h6")
     if at < len(page):
         parts.append(page[at:])
     close()
-    return out
+    return out, wrappers
+
+
+def _size(text: str) -> int:
+    """Length in characters, those of scripts without spaces between words three times."""
+    return len(text) + 2 * len(_UNSPACED.findall(text)) if not text.isascii() else len(text)
 
 
 def _stop_density(text: str) -> float:
@@ -243,79 +273,120 @@ def _stop_density(text: str) -> float:
     return max((sum(w in s for w in words) / len(words) for s in _STOPS), default=0.0) if words else 0.0
 
 
-def _first_pass(b: _Block, rules: Rules) -> str:
-    if b.bad or b.linked > rules.most_links * len(b.text):
+def _linked(b: _Block, rules: Rules) -> bool:
+    return b.linked > rules.most_links * len(b.text)
+
+
+def _first_pass(b: _Block, rules: Rules, fits: bool, marked: bool) -> str:
+    if b.bad or _linked(b, rules):
         return "bad"
-    if len(b.text) < rules.short:
+    size = _size(b.text)
+    if size < rules.short:
         return "bad" if b.weak else "ambiguous"
+    if not fits:
+        if b.weak:
+            return "ambiguous" if size > rules.long else "bad"
+        return "good" if size > rules.long and (b.zone or not marked) else "ambiguous"
     density = _stop_density(b.text)
-    if b.weak and (len(b.text) <= rules.long or density < rules.stop_high):
+    if b.weak and (size <= rules.long or density < rules.stop_high):
         return "bad"
     if density >= rules.stop_high:
-        return "good" if len(b.text) > rules.long or b.zone else "near"
+        return "good" if size > rules.long or b.zone else "near"
     if density >= rules.stop_low:
         return "good" if b.zone else "near"
-    if len(b.text) > rules.long:
+    if size > rules.long:
         return "ambiguous" if b.zone else "bad"
     return "ambiguous"
 
 
+def _unwrap(blocks: list[_Block], wrappers: _Wrappers, rules: Rules) -> None:
+    """Blocks of forms, dialogs and labels are bad, but for wrappers that hold an article, or most of the page's long blocks."""
+    sizes, total = [0] * len(wrappers.parent), 0
+    for b in blocks:
+        size = _size(b.text)
+        if not b.bad and size > rules.long and not _linked(b, rules):
+            total += size
+            sizes[b.wrapper] += size
+    bad = [False] * len(sizes)
+    for w in range(len(sizes) - 1, 0, -1):  # inner ones first
+        bad[w] = not wrappers.article[w] and 2 * sizes[w] <= total
+        sizes[wrappers.parent[w]] += sizes[w]
+        wrappers.article[wrappers.parent[w]] |= wrappers.article[w]
+    for w in range(1, len(sizes)):
+        bad[w] = bad[w] or bad[wrappers.parent[w]]
+    for b in blocks:
+        b.bad = b.bad or bad[b.wrapper]
+
+
 def _lift(blocks: list[_Block], rules: Rules) -> None:
     """An article is not bad for its name, or that of a wrapper, if the page has no other and less good text elsewhere."""
     held = [b for b in blocks if b.held]
     if not held or any(b.zone and not b.bad for b in blocks):
         return
-    if sum(len(b.text) for b in held) > sum(len(b.text) for b in blocks if not b.bad and _first_pass(b, rules) in ("good", "near")):
+    if sum(len(b.text) for b in held) > sum(len(b.text) for b in blocks if not b.bad and _first_pass(b, rules, True, False) in ("good", "near")):
         for b in held:
             b.bad = False
 
 
 def _second_pass(blocks: list[_Block]) -> None:
-    """Ambiguous blocks take the label of the nearest decided block of their zone; on a tie, or with none, zone blocks are
-    good, and others good only if both sides are. Near-good blocks become good unless both sides are bad. For blocks outside
-    the article of a page that has one, a side without a decided block is bad."""
-    marked = any(b.zone for b in blocks)
+    """Ambiguous blocks take the label of the nearest block of their zone that was decided by its measures; blocks that are bad
+    for a tag or name are passed over. Zone blocks are bad only between bad ones. On a tie others are good only if both sides are;
+    with no decided block they are good if the page marks no article. Near-good blocks become good unless both sides are bad. For
+    blocks outside the article of a page that has one, a side without a decided block is bad."""
+    marked = any(b.zone and not b.bad for b in blocks)
     first = [b.label for b in blocks]
+    votes = [x in ("good", "bad") and not b.bad for x, b in zip(first, blocks, strict=True)]
     before: list[int] = []
-    last = -1
+    last: dict[int, int] = {}
     for i, b in enumerate(blocks):
-        if i and blocks[i - 1].zone != b.zone:
-            last = -1
-        before.append(last)
-        if first[i] in ("good", "bad"):
-            last = i
-    last = len(blocks)
+        before.append(last.get(b.zone, -1))
+        if votes[i]:
+            last[b.zone] = i
+    last = {}
     for i in range(len(blocks) - 1, -1, -1):
-        if i + 1 < len(blocks) and blocks[i + 1].zone != blocks[i].zone:
-            last = len(blocks)
+        b, after = blocks[i], last.get(blocks[i].zone, len(blocks))
+        if votes[i]:
+            last[b.zone] = i
         if first[i] in ("good", "bad"):
-            last = i
             continue
-        b = blocks[i]
         left = (first[before[i]], i - before[i]) if before[i] >= 0 else None
-        right = (first[last], last - i) if last < len(blocks) else None
+        right = (first[after], after - i) if after < len(blocks) else None
         if marked and not b.zone:
             left, right = left or ("bad", len(blocks)), right or ("bad", len(blocks))
-        if first[i] == "near":
-            b.label = "bad" if left and right and left[0] == right[0] == "bad" else "good"
-        elif left and right and left[1] == right[1] and left[0] != right[0] or not (left or right):
-            b.label = "good" if b.zone else "bad"
-        elif b.zone or not (left and right) or left[0] == right[0]:
-            b.label = min((x for x in (left, right) if x), key=lambda x: x[1])[0]
+        both_bad = left and right and left[0] == right[0] == "bad"
+        if first[i] == "near" or b.zone:
+            b.label = "bad" if both_bad else "good"
+        elif not (left or right):
+            b.label = "good"
+        elif left and right and left[1] == right[1] and left[0] != right[0]:
+            b.label = "bad"
+        elif not (left and right) or left[0] == right[0]:
+            b.label = (left or right)[0]
         else:
             b.label = right[0] if b.heading else min(left, right, key=lambda x: x[1])[0]
 
 
-def extract(page: str | None, rules: Rules = Rules()) -> str:  # noqa: B008
-    """The main text of one page: its good blocks in order, joined by a space."""
-    if not page:
-        return ""
-    blocks = _blocks(page)
+def classify(page: str, rules: Rules = Rules()) -> list[_Block]:  # noqa: B008
+    """All blocks of a page with their labels, good or bad."""
+    blocks, wrappers = _blocks(page)
+    _unwrap(blocks, wrappers, rules)
     _lift(blocks, rules)
+    fits = _stop_density(" ".join(b.text for b in blocks if not b.bad)) >= rules.stop_low
+    marked = any(b.zone and not b.bad for b in blocks)
     for b in blocks:
-        b.label = _first_pass(b, rules)
+        b.label = _first_pass(b, rules, fits, marked)
+    # one linked block between others of an article is a sentence of it; several are a list of links
+    lone = lambda i, j: not (0 <= j < len(blocks)) or blocks[j].zone != blocks[i].zone or not _linked(blocks[j], rules)
+    for i, b in enumerate(blocks):
+        if b.zone and not b.bad and not b.weak and _linked(b, rules) and lone(i, i - 1) and lone(i, i + 1):
+            b.label = "ambiguous"
     _second_pass(blocks)
-    return " ".join(b.text for b in blocks if b.label == "good")
+    return blocks
+
+
+def extract(page: str | None, rules: Rules = Rules()) -> str:  # noqa: B008
+    """The main text of one page: its good blocks in order, joined by a space."""
+    return " ".join(b.text for b in classify(page, rules) if b.label == "good") if page else ""
 
 
 def extract_pages(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:  # noqa: B008
