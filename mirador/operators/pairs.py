@@ -8,10 +8,14 @@ from pyspark.sql import functions as F
 from mirador.operators.outputs import output_fields
 
 
+def teacher_allows(teacher: str) -> Column:
+    """The teacher's half of should_keep_pair, known before the student is asked: it abstained or saw high risk."""
+    return F.col(f"{teacher}.decision").eqNullSafe("abstain") | F.col(f"{teacher}.risk_level").eqNullSafe("high")
+
+
 def should_keep_pair(teacher: str, student: str) -> Column:
     """The student answered where the teacher abstained or saw high risk."""
-    t, s = (lambda k: F.col(f"{teacher}.{k}")), F.col(f"{student}.decision")
-    return s.eqNullSafe("answer") & (t("decision").eqNullSafe("abstain") | t("risk_level").eqNullSafe("high"))
+    return F.col(f"{student}.decision").eqNullSafe("answer") & teacher_allows(teacher)
 
 
 def pair_outputs(teachers: DataFrame, students: DataFrame) -> DataFrame:

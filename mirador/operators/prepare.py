@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mirador.functions.rows import number_rows, smallest
@@ -16,6 +16,7 @@ FIELD_ALIASES = {
     "image": ["image_name", "image_path", "image", "image_id", "image_filename"], "id": ["sample_id", "qid", "question_id"],
     "answer_type": ["answer_type", "question_type"], "phrase_type": ["phrase_type"],
 }
+KEY_TYPE = "array<struct<key:string,r:int>>"
 OWN_POS = "_own_pos"
 INDEX_COLUMNS = ["sample_id", "image_path", "question", "answer", "split", "answer_type", "phrase_type"]
 
@@ -40,22 +41,31 @@ def normalize_rows(raw: DataFrame) -> DataFrame:
     return out.withColumn("sample_id", F.coalesce("given_id", sample_id(F.col("question"), F.col("answer"), F.col("image_path"), F.col("pos")))).withColumn("split", normalize_split(F.col("raw_split"))).drop("given_id", "raw_split")
 
 
-def resolve_images(rows: DataFrame, listing: DataFrame, root: str) -> DataFrame:
+def direct_paths(value: Column, root: str) -> Column:
+    """The paths that an image's value may mean, in turn: an absolute one itself; else the value and its base name below root, and
+    the same below root/images."""
+    v = strip(value)
+    below = F.array(*[F.concat(F.lit(p), x) for p in (f"{root}/", f"{root}/images/") for x in (v, basename(v))])
+    return F.when(v.startswith("/"), F.array(v)).otherwise(below)
+
+
+def resolve_images(rows: DataFrame, listing: DataFrame, root: str, by_name: bool = True) -> DataFrame:
     """image_path made the path of an existing file of listing (path); null where there is none.
 
-    Tried in turn: the value and its base name below root, the same below root/images, any file of that name, and for a
-    name without suffix any file with that stem; of several the first by path. rows need a `pos` of their own each.
+    Tried in turn: direct_paths() and, if by_name, any file of that name below root, and for a name without suffix any file below
+    root with that stem; of several the first by path. Files of listing elsewhere are found by their whole path alone. rows
+    need a `pos` of their own each.
     """
     path, base = F.col("path"), basename(F.col("path"))
     parts = F.split(base, "[.]")
     stems = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda i: F.concat(F.lit("stem:"), F.array_join(F.slice(parts, 1, i), ".")))
     key = lambda k, r: F.struct(k.alias("key"), F.lit(r).alias("r"))
-    named = F.concat(F.array(key(path, 0), key(base, 1)), F.transform(F.when(base.contains("."), stems).otherwise(F.array().cast("array<string>")), lambda x: key(x, 2)))
+    named = F.concat(F.array(key(base, 1)), F.transform(F.when(base.contains("."), stems).otherwise(F.array().cast("array<string>")), lambda x: key(x, 2)))
+    named = F.concat(F.array(key(path, 0)), F.when(path.startswith(f"{root.rstrip('/')}/") & F.lit(by_name), named).otherwise(F.array().cast(KEY_TYPE)))
     keys = listing.select(F.regexp_replace("path", "^file:/+", "/").alias("path")).select("path", F.explode(named).alias("k")).groupBy("k.key").agg(F.min(F.struct("k.r", "path")).alias("hit"))
     v = strip(F.col("image_path"))
-    tries = [F.when(v.startswith("/"), v)] + [F.when(~v.startswith("/"), F.concat(F.lit(p), x)) for p in (f"{root}/", f"{root}/images/") for x in (v, basename(v))]
-    tries += [F.when(suffix(v) != "", basename(v)).otherwise(F.concat(F.lit("stem:"), basename(v)))]
-    asked = rows.select("pos", F.posexplode(F.array(*tries)).alias("rank", "key")).where("key is not null")
+    name = F.when(suffix(v) != "", basename(v)).otherwise(F.concat(F.lit("stem:"), basename(v)))
+    asked = rows.select("pos", F.posexplode(F.concat(direct_paths(v, root), F.array(name))).alias("rank", "key"))
     found = asked.join(keys, "key").groupBy("pos").agg(F.min_by("hit.path", F.struct("rank", "hit")).alias("found"))
     return rows.join(found, "pos", "left").withColumn("image_path", F.col("found")).drop("found")
 

@@ -196,6 +196,19 @@ def images_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prepare.resolve_images(rows, listing, "/r").select("event_id", "image_path")
 
 
+@query("""WITH a AS (SELECT event_id, event_id % 700 AS i, event_id % 3 = 2 AS bare FROM events)
+SELECT event_id, CASE WHEN vec_id IS NULL THEN NULL WHEN i % 2 = 1 THEN '/r/deep/' || i || '.png' WHEN bare THEN NULL ELSE '/o/' || i || '.png' END AS image_path FROM a LEFT JOIN embeddings ON vec_id = i""")
+def images_absolute(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Absolute paths, which may lie outside the root: even vectors' files are where they are looked for, those of odd ones only below
+    the root, found by name; a third of the paths have no suffix, and the stem is only looked for below the root."""
+    name = lambda c: F.concat(c.cast("string"), F.lit(".png"))
+    listing = fx.table(spark, sf_dir, "embeddings").select(F.concat(F.when(F.col("vec_id") % 2 == 0, "file:/o/").otherwise("file:/r/deep/"), name(F.col("vec_id"))).alias("path"))
+    i = F.col("event_id") % 700
+    asked = F.concat(F.lit("/o/"), F.when(F.col("event_id") % 3 == 2, i.cast("string")).otherwise(name(i)))
+    rows = fx.table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("pos"), asked.alias("image_path"))
+    return prepare.resolve_images(rows, listing, "/r").select("event_id", "image_path")
+
+
 def _u(*parts: str) -> str:
     return f"('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 8))::BIGINT"
 

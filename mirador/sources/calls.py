@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mirador.operators.outputs import problems
-from mirador.sources.io import append_errors, exists, remove
+from mirador.sources.io import append_errors, children, exists, remove
 from mirador.sources.model import Backend, Policy, Unsendable, content_of
 from mirador.sources.requests import arrow_batches, request_key
 
@@ -64,12 +64,18 @@ def keyed(requests: DataFrame, policy: Policy, model: str, messages: str = "mess
     return requests.withColumn("request_key", request_key(F.col(messages), policy, model))
 
 
+def _stored(spark: SparkSession, store: str) -> DataFrame:
+    """All calls of a store so far. Runs are named one by one: of two scans of one folder in a plan Spark takes the later for the
+    earlier, though files came between."""
+    runs = [p for p in children(spark, store) if "/run=" in p]
+    if not runs:
+        return spark.createDataFrame([], STORE_SCHEMA)
+    return spark.read.schema(STORE_SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(*runs)
+
+
 def answers(spark: SparkSession, store: str) -> DataFrame:
     """(request_key, response_text, attempts) of all answered requests of a store, one row a key; empty where there is no store."""
-    if not exists(spark, store):
-        return spark.createDataFrame([], "request_key string, response_text string, attempts int")
-    rows = spark.read.schema(STORE_SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(store)
-    return rows.where("response_text is not null").groupBy("request_key").agg(F.min("response_text").alias("response_text"), F.min_by("attempts", "response_text").alias("attempts"))
+    return _stored(spark, store).where("response_text is not null").groupBy("request_key").agg(F.min("response_text").alias("response_text"), F.min_by("attempts", "response_text").alias("attempts"))
 
 
 def to_ask(requests: DataFrame, known: DataFrame, messages: str = "messages_json") -> DataFrame:
@@ -132,5 +138,4 @@ def ask(
 
 def failed_attempts(spark: SparkSession, store: str) -> DataFrame:
     """(request_key, attempt, model, error, request_preview) of all failed attempts that a store knows of."""
-    rows = spark.read.schema(STORE_SCHEMA).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").parquet(store)
-    return rows.select("request_key", F.explode("failures").alias("f")).select("request_key", "f.*")
+    return _stored(spark, store).select("request_key", F.explode("failures").alias("f")).select("request_key", "f.*")

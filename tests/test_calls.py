@@ -306,3 +306,55 @@ def test_outputs_are_parsed_once_when_written(spark, tmp_path):
     df = outputs.parse_and_validate(spark.createDataFrame([(1, GOOD), (2, "no")], "i int, t string"), "t")
     good, rest = outputs.write_quarantined(df, str(tmp_path / "q"))
     assert [r.i for r in good.collect()] == [1] and [r.i for r in rest.collect()] == [2] and good.columns == df.columns
+
+
+# ---------------------------------------------------------------- files by probing, and the commands that call services
+
+
+def test_files_are_found_by_probing(spark, tmp_path, monkeypatch):
+    from mirador.sources import probe
+
+    root, out = tmp_path / "root", tmp_path / "elsewhere"
+    for name in ("root/a.png", "root/images/b.png", "root/deep/er/c.jpg", "root/deep/d.e.png", "root/sub/f.png", "elsewhere/g.png", "elsewhere/h.png", "root/other/h.png"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_bytes(b"x")
+    want = {
+        "a.png": root / "a.png", "gone/a.png": root / "a.png", "b.png": root / "images/b.png", "sub/f.png": root / "sub/f.png", f"{out}/g.png": out / "g.png",
+        "c.jpg": root / "deep/er/c.jpg", "c": root / "deep/er/c.jpg", "d": root / "deep/d.e.png", "d.e.png": root / "deep/d.e.png", "g.png": None, f"{out}/c.jpg": root / "deep/er/c.jpg",
+        f"{out}/h.png": out / "h.png", "h.png": root / "other/h.png", "x/none.png": None, "  a.png ": root / "a.png", f"{out}/none.png": None,
+    }
+    rows = spark.createDataFrame(list(enumerate(want)), "pos int, image_path string").withColumn("asked", F.col("image_path"))
+    got = {r.asked: r.image_path for r in probe.resolve_by_probing(rows, str(root)).collect()}
+    assert got == {k: v and str(v) for k, v in want.items()}
+    monkeypatch.setattr(probe, "image_listing", lambda *a: pytest.fail("the whole tree was listed"))
+    few = probe.resolve_by_probing(rows.where(F.col("asked").isin("a.png", "b.png", f"{out}/g.png")), str(root))
+    assert few.count() == 3 and few.where("image_path is null").isEmpty()
+
+
+def test_pairs_and_inference_from_the_command_line(spark, tmp_path, service, capsys):
+    from mirador.__main__ import main
+
+    (tmp_path / "pics").mkdir()
+    for i in range(6):
+        (tmp_path / f"pics/{i}.png").write_bytes(PNG + bytes([i]))
+    index = [{"sample_id": f"s{i}", "image_path": f"{tmp_path}/pics/{i}.png", "question": f"q{i}", "answer": "yes", "split": "val"} for i in range(7)]
+    (tmp_path / "val.jsonl").write_text("\n".join(map(json.dumps, index)))
+    question = lambda body: next(p["text"] for m in body["messages"] for p in m["content"] if p["type"] == "text" and "Question: " in p["text"]).rsplit("Question: ", 1)[1]
+    abstains = GOOD.replace('"answer", "abs', '"abstain", "abs').replace('"none"', '"region_missing"')
+    teacher = service(lambda body, n: abstains if question(body) in ("q1", "q3") else GOOD.replace('"low"', '"high"') if question(body) == "q4" else GOOD)
+    student = service(lambda body, n: abstains if question(body) == "q3" else GOOD.replace("0.5", "0.75"))
+    urls = ["--teacher-url", f"http://127.0.0.1:{teacher.server.server_port}/", "--student-url", f"http://127.0.0.1:{student.server.server_port}/", "--backoff", "0"]
+    run = ["pairs", "--input-jsonl", str(tmp_path / "val.jsonl"), "--images-dir", str(tmp_path / "pics"), "--store", str(tmp_path / "store"), "--output", str(tmp_path / "pairs"), *urls]
+    assert main(run, spark) == {"pairs": 2}
+    made = {r.sample_id: r for r in spark.read.json(str(tmp_path / "pairs")).collect()}
+    assert set(made) == {"s1", "s4"} and made["s1"].chosen == abstains and made["s4"].rejected == GOOD.replace("0.5", "0.75")
+    assert len(teacher.posted) == 6 and sorted(map(question, student.posted)) == ["q1", "q3", "q4"]  # s6 has no picture; the student is asked only where a pair may come of it
+    assert main(run, spark) == {"pairs": 2} and len(teacher.posted) == 6 and len(student.posted) == 3
+    model = {"method": "isotonic_regression", "x_thresholds": [0.0, 1.0], "y_thresholds": [0.0, 0.5]}
+    (tmp_path / "cal.json").write_text(json.dumps(model))
+    ask = ["infer", "--store", str(tmp_path / "store"), "--output", str(tmp_path / "said"), "--apply-calibration", str(tmp_path / "cal.json"), *urls[2:]]
+    assert main([*ask, "--image-path", f"{tmp_path}/pics/2.png", "--question", "q2"], spark) == {"predictions": 1, "rejected": 0}
+    row = spark.read.json(str(tmp_path / "said")).first()
+    assert row.question == "q2" and row.sample_id is None and row.prediction.raw_confidence == 0.75 and row.prediction.calibrated_confidence == 0.375
+    assert main([*ask, "--input-jsonl", str(tmp_path / "val.jsonl"), "--images-dir", str(tmp_path / "pics")], spark) == {"predictions": 6, "rejected": 1}
+    assert '"rejected": 1' in capsys.readouterr().out
