@@ -1,7 +1,9 @@
 """Approximate nearest neighbours by inner product: one hierarchical navigable small-world graph per shard of rows, stored as
 flat neighbour arrays, all shards searched for every query and their results merged.
 
-Vectors get one more component that makes all norms of a shard equal, so the largest inner product is the nearest vector.
+Vectors get one more component that makes all norms of a shard equal, so the largest inner product is the nearest vector. Where
+norms differ much that component makes small vectors look alike and graphs are harder to search, so each shard finds its own beam: it
+grows until vectors of the shard find TARGET of their true neighbours. A shard that no narrow beam will do for is scanned.
 Equal vectors of a shard are one node that carries all their ids. Nodes are numbered by falling level, so the nodes of
 each level are a prefix. Searches and insertions run for many vectors in step.
 """
@@ -21,6 +23,8 @@ from mirador.llm.common import discard, materialize, small_batches
 
 #: Rows of a shard, on average; queries searched in one task, on average.
 SHARD_ROWS, BLOCK_QUERIES = 8192, 1024
+#: The share of true neighbours that PROBES vectors of a shard must find; beams grow to at most 1 / SCAN_FROM of a shard's nodes.
+TARGET, PROBES, SCAN_FROM = 0.96, 96, 6
 #: Links of a node above the ground level and on it; beam widths of insertion and search; nodes that the ground level begins
 #: with, which are linked by comparing all of them.
 LINKS, GROUND_LINKS, BUILD_BEAM, SEARCH_BEAM, EXACT = 16, 32, 64, 96, 512
@@ -103,16 +107,18 @@ def _beam(q: np.ndarray, entry: np.ndarray, graph: np.ndarray, vectors: np.ndarr
 
 @dataclass
 class Index:
-    """original: one row per distinct vector; ids[begin[i]:begin[i+1]]: its vec_ids, rising; levels[0] is the ground."""
+    """original: one row per distinct vector; ids[begin[i]:begin[i+1]]: its vec_ids, rising; levels[0] is the ground; beam: the
+    width of a search, 0 for a scan of all nodes."""
 
     original: np.ndarray
     ids: np.ndarray
     begin: np.ndarray
     lifted: np.ndarray
     levels: list[np.ndarray]
+    beam: int = SEARCH_BEAM
 
     @classmethod
-    def build(cls, vec_ids: np.ndarray, vectors: np.ndarray, seed: int = 11) -> Index:
+    def build(cls, vec_ids: np.ndarray, vectors: np.ndarray, k: int = 20, seed: int = 11) -> Index:
         order = np.argsort(vec_ids, kind="stable")
         vec_ids, vectors = vec_ids[order], np.ascontiguousarray(vectors[order])
         node_of: dict[bytes, int] = {}
@@ -131,8 +137,31 @@ class Index:
         counts = [int((level >= k).sum()) for k in range(1, int(level.max(initial=0)) + 1)]
         index = cls(original, ids, begin, lifted, [np.full((n, GROUND_LINKS), -1, np.int32)] + [_exact_graph(lifted, c, LINKS) for c in counts])
         index._connect(max(min(n, EXACT), counts[0] if counts else 0))
+        index._tune(k, seed)
         return index
 
+    def _tune(self, k: int, seed: int) -> None:
+        """Doubles the beam until a sample of nodes finds enough of its k nearest others, scores below the k-th not counted."""
+        n = len(self.original)
+        self.beam = max(SEARCH_BEAM, 2 * k)
+        if n <= self.beam:
+            self.beam = 0
+        probes = np.sort(np.random.default_rng(seed + 1).choice(n, min(n, PROBES), replace=False)) if n else np.zeros(0, np.int64)
+        queries = self.original[probes].astype(np.float64)
+        scores = queries @ self.original.astype(np.float64).T
+        scores[np.arange(len(probes)), probes] = -np.inf
+        m = min(k, n - 1)
+        if m < 1:
+            return
+        least = np.partition(scores, n - m, axis=1)[:, n - m]
+        q = np.concatenate((queries.astype(np.float32), np.zeros((len(probes), 1), np.float32)), 1)
+        while self.beam:
+            nodes = _beam(q, self._entries(q), self.levels[0], self.lifted, n, min(self.beam, n))[0]
+            found = np.where(nodes >= 0, np.take_along_axis(scores, np.maximum(nodes, 0), 1), -np.inf)
+            if np.minimum((found >= least[:, None]).sum(1), m).mean() >= TARGET * m:
+                return
+            self.beam = 2 * self.beam if 2 * self.beam * SCAN_FROM <= n else 0
+
     def _connect(self, start: int) -> None:
         x, ground, n = self.lifted, self.levels[0], len(self.lifted)
         ground[:start] = _exact_graph(x, start, GROUND_LINKS)
@@ -177,13 +206,13 @@ class Index:
                 entry = np.maximum(_beam(q, entry, graph, self.lifted, len(graph), 4)[0][:, :1], 0)
         return entry
 
-    def search(self, queries: np.ndarray, own: np.ndarray, k: int, beam: int = SEARCH_BEAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(query row, vec_id, score) of up to k nearest for each query, its own id left out."""
         n = len(self.original)
         if not n or not len(queries):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
         q = np.concatenate((queries.astype(np.float32), np.zeros((len(queries), 1), np.float32)), 1)
-        nodes, _ = _beam(q, self._entries(q), self.levels[0], self.lifted, n, max(beam, k + 1))
+        nodes = [np.arange(n)] * len(q) if not self.beam else _beam(q, self._entries(q), self.levels[0], self.lifted, n, max(self.beam, k + 1))[0]
         exact = self.original.astype(np.float64)
         rows, ids, scores = [], [], []
         for i, found in enumerate(nodes):
@@ -191,8 +220,7 @@ class Index:
             if len(found) < min(k + 1, n):
                 found = np.arange(n)
             s = exact[found] @ queries[i].astype(np.float64)
-            best = np.lexsort((found, -s))[: k + 1]
-            cut = s[best[-1]]
+            cut = np.partition(s, len(s) - k - 1)[len(s) - k - 1] if len(s) > k + 1 else s.min()
             best = np.flatnonzero(s >= cut)
             v = [self.ids[self.begin[j] : min(self.begin[j] + k + 1, self.begin[j + 1])] for j in found[best]]
             who, what = np.concatenate(v), np.repeat(s[best], [len(x) for x in v])
@@ -212,9 +240,12 @@ def _usable(vectors: DataFrame) -> DataFrame:
     return sized.where((F.size("embedding") == (size["d"] if size else 0)) & finite & F.exists("embedding", lambda x: x != 0))
 
 
-def _build(pdf: pd.DataFrame) -> pd.DataFrame:
-    index = Index.build(pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["embedding"].to_numpy()))
-    return pd.DataFrame({"shard": pdf["shard"][:1].to_numpy(), "index": [pickle.dumps(index, 5)]})
+def _build(k: int):
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        index = Index.build(pdf["vec_id"].to_numpy(np.int64), np.stack(pdf["embedding"].to_numpy()), k)
+        return pd.DataFrame({"shard": pdf["shard"][:1].to_numpy(), "index": [pickle.dumps(index, 5)]})
+
+    return run
 
 
 def _search(k: int):
@@ -246,7 +277,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, shard_rows: int
     used = materialize(_usable(vectors), "vectors")
     shards = used.count() // shard_rows + 1
     shard = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(shards))
-    index = materialize(used.withColumn("shard", shard).groupBy("shard").applyInPandas(_build, "shard long, index binary"), "index")
+    index = materialize(used.withColumn("shard", shard).groupBy("shard").applyInPandas(_build(k), "shard long, index binary"), "index")
     asked = _usable(queries).dropDuplicates(["vec_id"])
     blocks = asked.count() // BLOCK_QUERIES + 1
     asked = asked.groupBy(F.pmod(F.xxhash64("vec_id", F.lit(2)), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "embedding")).alias("q"))
