@@ -1,12 +1,11 @@
 """Language-model scoring by a weighted backoff automaton whose arcs lie in tables.
 
 Counts of words and of longer n-grams are exact, cover every training token and stay distributed; n-grams are kept from
-the same count at every size of the training text. The weight of a path through the automaton is a sum: an n-gram kept
-adds its log-probability, takes back that of the shorter n-gram it ends with and the failure arc out of its context, and
-adds the failure arc out of the state it leads to; one that is not kept adds nothing. So each kept n-gram has one number,
-and a text's score is the sum of the numbers of all its n-grams. They are looked up by a join on hashes, order by order.
-
-`Automaton` and `build` are the same model in the memory of one process, walked token by token.
+the same count at every size of the training text. Tables hold the automaton: for each kept n-gram, which is an arc out of
+its context, its count and that of all its context's arcs; and for each n-gram that is a context, and so a state, the weight
+of the arc taken on failure. Texts are scored in chunks of up to CHUNK tokens: a chunk asks the tables, by hash and bucket, for
+the arcs that its texts can reach, builds the small automaton of these, and walks each text over it once, left to right, carrying
+the state and adding up log-probabilities and failure arcs.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,6 +26,8 @@ from mirador.llm.common import PLACE, U64, discard, discard_since, doc_chunks, h
 END = U64(0x5DEECE66D1234567)
 #: Tokens walked in one lane; each lane starts with the order - 1 tokens before it, which fix its state.
 LANE = 192
+#: Texts are scored in chunks of so many tokens, and what the last batch has beyond.
+CHUNK = 1 << 21
 #: In shuffled n-grams the most frequent words, so many, are written as two bytes, all others as their hash.
 CODED = 1 << 16
 #: Kept n-grams are marked in a table of 2 ** MARK_BITS bits by hash, and what it does not mark is neither counted as part of
@@ -102,7 +104,7 @@ def _marks(table: DataFrame) -> np.ndarray:
 
 
 def _marked(keys: np.ndarray, marks: np.ndarray) -> np.ndarray:
-    at = (keys & U64((1 << MARK_BITS) - 1)).view(np.int64)
+    at = (keys & U64(8 * len(marks) - 1)).view(np.int64)
     return (marks[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) != 0
 
 
@@ -265,92 +267,187 @@ def build(words: np.ndarray, counts: np.ndarray, grams: list[tuple[np.ndarray, n
     return Automaton(words, np.array([x[0] for x in out], np.int64), np.array([x[1] for x in out]), np.array([x[2] for x in out], np.int64), fail, bow, 1 + len(grams))
 
 
-def _ask(order: int, buckets: int, marks=None):
-    """The n-grams of each batch by bucket (keys, how many texts' places have each, these texts' rows), and a record for
-    the batch itself with the hashes and token counts of its texts. marks: a broadcast of the bits of those worth asking for."""
+def _packed(a: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(1).compress(np.ascontiguousarray(a).tobytes())
+
+
+def _unpacked(blob: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
+
+
+def _wanted(words: np.ndarray, ids: np.ndarray, counts: np.ndarray, order: int, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct n-grams of a chunk that may be kept: their sorted hashes, and where each stands first."""
+    at = _places(counts, order)
+    tokens = words[ids]
+    keys = _key([tokens[at + k] for k in range(order)])
+    worth = _marked(keys, marks)
+    keys, first = np.unique(keys[worth], return_index=True)
+    return keys, at[worth][first]
+
+
+def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Tokens, their numbers by text, and the texts' hashes, of texts of `most` tokens and more together."""
+    held, size = [], 0
+    for batch in batches:
+        tokens, n = _tokens(batch["text"])
+        if len(n):
+            held.append((tokens, n, batch["th"].to_numpy()))
+            size += len(tokens)
+        if size >= most:
+            yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+            held, size = [], 0
+    if held:
+        yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
+
+
+ASKED = "chunk string, bucket long, order int, keys binary, th binary, n binary, words binary, ids binary"
+
+
+def _ask(order: int, buckets: int, marks: list, chunk: int):
+    """For each chunk the words and n-grams that it asks for, by order and bucket, and a record of the chunk itself: its texts'
+    hashes and token counts, its words and its tokens as places in them. marks: broadcasts of the bits of kept n-grams, from order 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        for number, batch in enumerate(batches):
-            tokens, n = _tokens(batch["text"])
-            if not len(n):
-                continue
-            at = _places(n, order)
-            keys, docs = _key([tokens[at + k] for k in range(order)]), np.repeat(np.arange(len(n), dtype=np.uint16), n)[at]
-            if marks is not None:
-                worth = _marked(keys, marks.value)
-                keys, docs = keys[worth], docs[worth]
-            by = np.argsort(keys, kind="stable")
-            keys, docs = keys[by], docs[by]
-            b = keys.view(np.int64) % buckets
-            by = np.argsort(b.astype(np.uint16) if buckets <= 1 << 16 else b, kind="stable")
-            keys, docs, b = keys[by], docs[by], b[by]
-            new = np.ones(len(keys), bool)
-            new[1:] = keys[1:] != keys[:-1]
-            first = np.flatnonzero(new)
-            sizes, b = np.diff(np.append(first, len(keys))).astype(np.int32), b[first]
-            cut = np.flatnonzero(np.diff(b)) + 1
-            b = b[np.concatenate(([0], cut))] if len(b) else b
-            blobs = [_blobs(keys[first], cut), _blobs(sizes, cut), _blobs(docs, first[cut])] if len(b) else [pa.nulls(0, pa.binary())] * 3
-            names, m, name = ["batch", "bucket", "keys", "sizes", "docs", "th", "n"], len(b), f"{part}-{number}"
-            yield pa.RecordBatch.from_arrays([pa.array([name] * m, pa.string()), pa.array(b, pa.int64()), *blobs, pa.nulls(m, pa.binary()), pa.nulls(m, pa.binary())], names)
-            own = [pa.array([batch["th"].to_numpy().tobytes()], pa.binary()), pa.array([n.astype(np.int64).tobytes()], pa.binary())]
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([(part * 7919 + number) % buckets], pa.int64()), *[pa.nulls(1, pa.binary())] * 3, *own], names)
+        names = [x.split()[0] for x in ASKED.split(", ")]
+        for number, (tokens, n, th) in enumerate(_chunks(batches, chunk)):
+            words, ids = np.unique(tokens, return_inverse=True)
+            name, nothing = f"{part}-{number}", lambda m: [pa.nulls(m, pa.binary())] * 4
+            for m in range(1, order + 1):
+                keys = words if m == 1 else _wanted(words, ids, n, m, marks[m - 2].value)[0]
+                if len(keys):
+                    by, cut, b = _by_bucket(keys, buckets)
+                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(b)), pa.array(b), pa.array(np.full(len(b), m, np.int32)), _blobs(keys[by], cut), *nothing(len(b))], names)
+            own = [pa.array([x], pa.binary()) for x in (th.tobytes(), _packed(n.astype(np.int64)), words.tobytes(), _packed(ids.astype(np.int32)))]
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([(part * 7919 + number) % buckets]), pa.array([0], pa.int32()), pa.nulls(1, pa.binary()), *own], names)
 
     return releasing(run)
 
 
-def _answer(order: int, denominator: float):
-    """Per bucket: what the n-grams asked for add to the texts of every batch; records of batches as they are."""
-
-    def run(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
-        table = table.sort_values("k")
-        k, times, value = table["k"].to_numpy(np.int64), table["c"].to_numpy(np.int64), table["val"].to_numpy(np.float64)
-        out = []
-        for name, keys, sizes, docs, th, n in zip(*(asked[x] for x in ("batch", "keys", "sizes", "docs", "th", "n")), strict=True):
-            if keys is None:
-                out.append((name, None, None, None, None, th, n))
+ANSWERED = "chunk string, bucket long, order int, hits binary, c binary, total binary, states binary, bow binary, th binary, n binary, words binary, ids binary"
+
+
+def _answer(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+    """Per bucket: for what each chunk asked, in its order, which is there, with its counts, and which of that is a state, with the
+    weight of its failure arc; records of chunks as they are."""
+    known = {}
+    for m, rows in table.groupby("order"):
+        rows = rows.sort_values("k")
+        known[m] = tuple(rows[x].to_numpy(t) for x, t in (("k", np.int64), ("c", np.int64), ("total", np.int64), ("bow", np.float64)))
+    out = []
+    for name, bucket, m, keys, th, n, words, ids in zip(*(asked[x.split()[0]] for x in ASKED.split(", ")), strict=True):
+        if m == 0:
+            out.append((name, bucket, 0, None, None, None, None, None, th, n, words, ids))
+            continue
+        keys = np.frombuffer(keys, np.int64)
+        k, c, total, bow = known.get(m, (np.zeros(0, np.int64),) * 3 + (np.zeros(0),))
+        at = _ids(keys, k)
+        hit = at >= 0
+        at = at[hit]
+        state = ~np.isnan(bow[at])
+        out.append((name, bucket, m, _packed(np.packbits(hit)), _packed(c[at]), _packed(total[at]), _packed(np.packbits(state)), _packed(bow[at][state]), None, None, None, None))
+    return pd.DataFrame(out, columns=[x.split()[0] for x in ANSWERED.split(", ")])
+
+
+def _told(answers: pd.DataFrame, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What the answers to one chunk and order say of its sorted keys: count (0: not kept), total, whether a state, failure weight."""
+    count, total, state, bow = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64), np.zeros(len(keys), bool), np.zeros(len(keys))
+    if not len(keys):
+        return count, total, state, bow
+    by, cut, b = _by_bucket(keys, buckets)
+    of = dict(zip(b.tolist(), np.split(by, cut), strict=True))
+    for bucket, hits, c, t, states, w in zip(*(answers[x] for x in ("bucket", "hits", "c", "total", "states", "bow")), strict=True):
+        at = of[bucket]
+        at = at[np.unpackbits(_unpacked(hits, np.uint8), count=len(at)).astype(bool)]
+        count[at], total[at] = _unpacked(c, np.int64), _unpacked(t, np.int64)
+        at = at[np.unpackbits(_unpacked(states, np.uint8), count=len(at)).astype(bool)]
+        state[at], bow[at] = True, _unpacked(w, np.float64)
+    return count, total, state, bow
+
+
+def assemble(words: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]) -> Automaton:
+    """The automaton of some n-grams: for each order, from 1, the words of its kept n-grams (rows of places in words), their
+    log-probabilities, which of them are states, and the failure weights of these (0 for others)."""
+    order, v = len(grams), max(len(words), 1)
+    hashed = lambda rows: _key([words[rows[:, k]] for k in range(rows.shape[1])])
+    states: list[tuple[np.ndarray, np.ndarray]] = []  # by length from 1: sorted hashes of contexts, and the states' numbers
+    rows_of, size = [], 1
+    for rows, _, state, bow in grams[:-1]:
+        keys = hashed(rows[state]) if state.any() else np.zeros(0, U64)
+        by = np.argsort(keys)
+        states.append((keys[by], size + np.arange(len(keys))))
+        rows_of.append((rows[state][by], bow[state][by]))
+        size += len(keys)
+
+    def longest(rows: np.ndarray) -> np.ndarray:
+        """The state of the longest end of each row that is one."""
+        out = np.zeros(len(rows), np.int64)
+        todo = np.arange(len(rows))
+        for n in range(rows.shape[1], 0, -1):
+            if n > len(states) or not len(states[n - 1][0]) or not len(todo):
                 continue
-            at, sizes, docs = _ids(np.frombuffer(keys, np.int64), k), np.frombuffer(sizes, np.int32), np.frombuffer(docs, np.uint16)
-            hit = at >= 0
-            score, base = np.zeros(len(at)), None
-            score[hit] = value[at[hit]]
-            if order == 1:
-                c = np.zeros(len(at))
-                c[hit] = times[at[hit]]
-                base = np.log10((c + 1) / denominator)
-                score[~hit] = base[~hit]
+            at = _ids(hashed(rows[todo][:, rows.shape[1] - n :]), states[n - 1][0])
+            out[todo[at >= 0]] = states[n - 1][1][at[at >= 0]]
+            todo = todo[at < 0]
+        return out
+
+    fail, weight = np.zeros(size, np.int64), np.zeros(size)
+    for (_, numbers), (rows, bow) in zip(states, rows_of, strict=True):
+        if len(numbers):
+            fail[numbers], weight[numbers] = longest(rows[:, 1:]), bow
+    arcs, values, targets = [], [], []
+    for n, (rows, lp, _, _) in enumerate(grams, 1):
+        if not len(rows):
+            continue
+        begin = np.zeros(len(rows), np.int64)
+        if n > 1:
+            at = _ids(hashed(rows[:, :-1]), states[n - 2][0])
+            rows, lp, begin = rows[at >= 0], lp[at >= 0], states[n - 2][1][at[at >= 0]]
+        arcs.append(begin * v + rows[:, -1])
+        values.append(lp)
+        targets.append(longest(rows if n < order else rows[:, 1:]))
+    arc = np.concatenate(arcs) if arcs else np.zeros(0, np.int64)
+    by = np.argsort(arc)
+    return Automaton(words, arc[by], *(np.concatenate(x)[by] if x else np.zeros(0, t) for x, t in ((values, np.float64), (targets, np.int64))), fail, weight, order)
+
+
+def _score(order: int, buckets: int, denominator: float, discount: float, marks: list):
+    """Per chunk: its automaton from the answers, and one walk of each of its texts."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf[pdf["order"] == 0].iloc[0]
+        th, n = np.frombuffer(own["th"], np.int64), _unpacked(own["n"], np.int64)
+        words, ids = np.frombuffer(own["words"], U64), _unpacked(own["ids"], np.int32).astype(np.int64)
+        grams, times = [], None
+        for m in range(1, order + 1):
+            keys, first = (words, None) if m == 1 else _wanted(words, ids, n, m, marks[m - 2].value)
+            count, total, state, bow = _told(pdf[pdf["order"] == m], keys, buckets)
+            kept = count > 0
+            if m == 1:
+                times, rows, lp = count, np.flatnonzero(kept)[:, None], np.log10((count[kept] + 1) / denominator)
             else:
-                docs, sizes, score, hit = docs[np.repeat(hit, sizes)], sizes[hit], score[hit], hit[hit]
-            if not len(docs):
-                continue
-            d, inverse = np.unique(docs, return_inverse=True)
-            sums = [None if x is None else np.bincount(inverse, weights=np.repeat(x, sizes)).astype(t).tobytes() for x, t in ((hit if order == 1 else None, np.int32), (base, np.float64), (score, np.float64))]
-            out.append((name, d.tobytes(), *sums, None, None))
-        return pd.DataFrame(out, columns=["batch", "docs", "known", "base", "score", "th", "n"])
+                rows = np.stack([ids[first[kept] + k] for k in range(m)], axis=1)
+                lp = np.log10((count[kept] - discount) / total[kept])
+            grams.append((rows, lp, state[kept], bow[kept]))
+        doc = np.repeat(np.arange(len(n)), n)
+        base = np.log10((times + 1) / denominator)[ids]
+        known = times[ids] > 0
+        walked = assemble(words, grams).walk(np.where(known, ids, -1), n) + np.bincount(doc, weights=np.where(known, 0.0, base), minlength=len(n))
+        return pd.DataFrame({"th": th, "n": n, "known": np.bincount(doc, weights=known, minlength=len(n)).astype(np.int64), "base": np.bincount(doc, weights=base, minlength=len(n)), "score": walked})
 
     return run
 
 
-def _gather(pdf: pd.DataFrame) -> pd.DataFrame:
-    """The sums of each text of a batch."""
-    own, rest = pdf[pdf["docs"].isna()], pdf[pdf["docs"].notna()]
-    out = {c: np.frombuffer(own[c].iloc[0], np.int64) for c in ("th", "n")}
-    d = np.frombuffer(b"".join(rest["docs"]), np.uint16)
-    for c, t in (("known", np.int32), ("base", np.float64), ("score", np.float64)):
-        x = np.frombuffer(b"".join(y for y in rest[c] if y is not None), t)
-        out[c] = np.bincount(d, weights=x, minlength=len(out["th"])) if len(x) else np.zeros(len(out["th"]))
-    return pd.DataFrame(out).astype({"known": np.int64})
-
-
-def _model(train: DataFrame, words: DataFrame, order: int, least: int, denominator: float, buckets: int, discount: float = 0.5) -> list[DataFrame]:
-    """For each order the table (k, c, val) of its n-grams: hash, count, and what one adds to the score of a text."""
+def _model(train: DataFrame, words: DataFrame, order: int, least: int, denominator: float, buckets: int, discount: float = 0.5) -> tuple[list[DataFrame], list]:
+    """For each order the table (k, c, total, bow) of its n-grams: hash, count, the count of the context's arcs, and the failure
+    arc's weight where the n-gram is a state; and broadcasts of the bits of kept n-grams, from order 2."""
     top = words.orderBy(F.desc("c"), "k").limit(CODED).toPandas()["k"].to_numpy(np.int64)
     coded = np.sort(top.view(U64))
-    log = F.log10((F.col("c") + 1) / F.lit(denominator))
-    values, level, tables = words.select("k", "c", log.alias("own")), words.where(F.col("c") >= least).select("k", "c", log.alias("lp")), []
+    spark = train.sparkSession
+    known = words.select("k", "c", F.lit(0).cast("long").alias("total"))
+    level, tables, bits = words.where(F.col("c") >= least).select("k", "c", F.log10((F.col("c") + 1) / F.lit(denominator)).alias("lp")), [], []
     for n in range(2, order + 1):
-        marks = train.sparkSession.sparkContext.broadcast(_marks(level))
+        marks = spark.sparkContext.broadcast(_marks(level))
         blobs = train.mapInArrow(_count_grams(n, buckets, coded, marks), "bucket long, flags binary, codes binary, rest binary, times binary")
         kept = materialize(blobs.groupBy("bucket").applyInPandas(_sum_grams(n, least, coded), "k long, ctx long, suf long, c long"), "grams")
         shorter = level.select(F.col("k").alias("suf"), F.col("lp").alias("lower"))
@@ -359,16 +456,16 @@ def _model(train: DataFrame, words: DataFrame, order: int, least: int, denominat
         taken = found.groupBy("ctx").agg(F.sum(F.col("c") - discount).alias("mass"), F.sum(F.pow(F.lit(10.0), "lower")).alias("low"), F.greatest(F.max("of"), F.sum("c")).alias("total"))
         left = F.greatest(1 - F.col("mass") / F.col("total"), F.lit(1e-12)) / F.greatest(1 - F.col("low"), F.lit(1e-12))
         back = materialize(taken.select("ctx", "total", F.log10(left).alias("bow")), "backoff")
-        tables.append(materialize(values.join(back.select(F.col("ctx").alias("k"), "bow"), "k", "left").select("k", "c", (F.col("own") + F.coalesce("bow", F.lit(0.0))).alias("val")), "arcs"))
-        lp = F.log10((F.col("c") - discount) / F.col("total"))
-        level = materialize(found.join(back, "ctx").select("k", "c", lp.alias("lp"), (lp - F.col("lower") - F.col("bow")).alias("own")), "level")
-        values = level.select("k", "c", "own")
+        tables.append(materialize(known.join(back.select(F.col("ctx").alias("k"), "bow"), "k", "left").select("k", "c", "total", "bow"), "arcs"))
+        level = materialize(found.join(back, "ctx").select("k", "c", "total", F.log10((F.col("c") - discount) / F.col("total")).alias("lp")), "level")
+        known = level.select("k", "c", "total")
+        bits.append(spark.sparkContext.broadcast(_marks(level)))
         blobs = None
         discard(kept, found, back)
-    return [*tables, values.select("k", "c", F.col("own").alias("val"))]
+    return [*tables, known.withColumn("bow", F.lit(None).cast("double"))], bits
 
 
-def score_documents(docs: DataFrame, train: DataFrame, order: int = 3, least_count: int = 3) -> DataFrame:
+def score_documents(docs: DataFrame, train: DataFrame, order: int = 3, least_count: int = 3, discount: float = 0.5) -> DataFrame:
     """(doc_id, n_tokens, n_known, train_tokens, base_score, score) for every row of docs (doc_id, text).
 
     train (text) is what is learned from. Tokens are runs without ASCII white space, A-Z lower-cased, and one end token a
@@ -380,7 +477,7 @@ def score_documents(docs: DataFrame, train: DataFrame, order: int = 3, least_cou
     if not 1 <= order <= len(PLACE):
         raise ValueError(f"order must be from 1 to {len(PLACE)}")
     small_batches(docs.sparkSession)
-    begun, parts = written(), []
+    begun = written()
     buckets = max(n_buckets(docs), n_buckets(train))
     docs, train = docs.select("doc_id", hashes().alias("th"), "text"), train.select("text")
     blobs = train.mapInArrow(_count_words(buckets), "bucket long, keys binary, times binary")
@@ -388,21 +485,19 @@ def score_documents(docs: DataFrame, train: DataFrame, order: int = 3, least_cou
     total = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
     n_tokens, n_types = int(total[0]), int(total[1])
     denominator = float(n_tokens + n_types + 1)
-    sums = None
-    for n, table in enumerate(_model(train, words, order, least_count, denominator, buckets), 1):
-        marks = docs.sparkSession.sparkContext.broadcast(_marks(table)) if n > 1 else None
-        asked = docs.select("th", "text").mapInArrow(_ask(n, buckets, marks), "batch string, bucket long, keys binary, sizes binary, docs binary, th binary, n binary")
-        dealt = table.withColumn("bucket", F.pmod("k", F.lit(buckets).cast("long")))
-        answers = asked.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(_answer(n, denominator), "batch string, docs binary, known binary, base binary, score binary, th binary, n binary")
-        found = answers.groupBy("batch").applyInPandas(_gather, "th long, n long, known long, base double, score double").dropDuplicates(["th"])
-        part = materialize(found if n == 1 else found.select("th", F.col("score").alias(f"score{n}")), "scores")
-        asked = answers = found = None  # else their shuffled files stay
-        discard(table)
-        parts.append(part)
-        sums = part if sums is None else sums.join(part, "th")
-    discard_since(docs.sparkSession, begun, *parts)
-    score = sum((F.col(f"score{n}") for n in range(2, order + 1)), F.col("score"))
-    return docs.select("doc_id", "th").join(sums, "th").select("doc_id", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), score.alias("score"))
+    tables, bits = _model(train, words, order, least_count, denominator, buckets, discount)
+    whole = None
+    for n, table in enumerate(tables, 1):
+        table = table.withColumn("order", F.lit(n))
+        whole = table if whole is None else whole.unionByName(table)
+    whole = whole.withColumn("bucket", F.pmod("k", F.lit(buckets).cast("long")))
+    asked = docs.select("th", "text").mapInArrow(_ask(order, buckets, bits, CHUNK), ASKED)
+    answers = asked.groupBy("bucket").cogroup(whole.groupBy("bucket")).applyInPandas(_answer, ANSWERED)
+    found = answers.groupBy("chunk").applyInPandas(_score(order, buckets, denominator, discount, bits), "th long, n long, known long, base double, score double")
+    sums = materialize(found.dropDuplicates(["th"]), "scores")
+    asked = answers = found = None  # else their shuffled files stay
+    discard_since(docs.sparkSession, begun, sums)
+    return docs.select("doc_id", "th").join(sums, "th").select("doc_id", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 
 
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -70,13 +70,15 @@ _ABOUT_OTHERS = frozenset("has have with without no".split())
 
 @dataclass(frozen=True)
 class Rules:
-    """Thresholds of the first pass: link density above which a block is bad; lengths in characters; stop-word densities."""
+    """Thresholds of the first pass: link density above which a block is bad; lengths in characters; stop-word densities, and that
+    of a whole page from which on a list of stop words fits it."""
 
     most_links: float = 0.5
     short: int = 40
     long: int = 160
     stop_low: float = 0.12
     stop_high: float = 0.24
+    fit: float = 0.12
 
 
 @dataclass(slots=True)
@@ -371,7 +373,7 @@ def classify(page: str, rules: Rules = Rules()) -> list[_Block]:  # noqa: B008
     blocks, wrappers = _blocks(page)
     _unwrap(blocks, wrappers, rules)
     _lift(blocks, rules)
-    fits = _stop_density(" ".join(b.text for b in blocks if not b.bad)) >= rules.stop_low
+    fits = _stop_density(" ".join(b.text for b in blocks if not b.bad)) >= rules.fit
     marked = any(b.zone and not b.bad for b in blocks)
     for b in blocks:
         b.label = _first_pass(b, rules, fits, marked)
