@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 def number_rows(df: DataFrame, name: str) -> DataFrame:
     """df with its rows numbered from 0 in the order in which its source gives them, as column `name`.
 
-    Spark's ids rise within and across partitions; one count per partition turns them into numbers without gaps."""
+    Spark's ids rise within and across partitions; one count per partition turns them into numbers without gaps. df is read twice
+    and must come in the same order and partitions both times: give a scan of files, not what a shuffle dealt out."""
     tagged = df.withColumn("_id", F.monotonically_increasing_id())
     part = F.shiftright("_id", 33)
     counts = sorted(tagged.groupBy(part.alias("part")).count().collect())  # a row per partition

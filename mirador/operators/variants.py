@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from mirador.functions.text import bits, stem, suffix, uniform
 from mirador.operators.images import degrade_column, save_images
+from mirador.sources.scratch import Tables
 
 #: Fixed values.
 DEGRADATIONS = ["gaussian_blur", "speckle_noise", "resolution_drop", "contrast_brightness_shift", "random_crop", "local_occlusion", "center_mask", "border_truncate"]
@@ -67,7 +68,8 @@ def mismatch(variants: DataFrame, pool: DataFrame, seed: int = 42) -> DataFrame:
     Partners are uniform over the other samples: the sample's number plus 1 + hash mod (n - 1), mod n; for both parts the
     second offset skips the first. Fails fast where the pool has too few samples. The answer and the id stay.
     """
-    ranks = ranked_pool(pool)
+    with Tables(pool.sparkSession) as tables:
+        ranks = tables.write(ranked_pool(pool), "pool", keep=True)  # it is read four times
     n = ranks.count()
     rows = variants.where(F.col("degradation_type").isin(*MISMATCHES))
     if n < 3 and not rows.isEmpty() and (n < 2 or not rows.where(F.col("degradation_type") == MISMATCHES[2]).isEmpty()):

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,7 +9,7 @@ from mirador.functions import arrays, text
 from mirador.operators import batches, calibration, images, metrics, outputs, pairs, prepare, prompts, records, variants
 from mirador.plans import fixtures as fx
 from mirador.sources import calls
-from mirador.sources.model import Policy, call_for_output
+from mirador.sources.model import Policy
 from mirador.sources.requests import attach_images
 from mirador.sources.scratch import new_folder
 from mirador.streaming.metrics import PREDICTION_SCHEMA, latest_report, metrics_stream
@@ -294,21 +292,11 @@ def outputs_quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"""WITH {_O} SELECT doc_id, CASE WHEN (doc_id % 4) < 3 AND {_OK} THEN doc_id % 4 + 1 ELSE 3 END::INT AS rounds, (doc_id % 4) < 3 AND {_OK} AS valid,
   CASE WHEN (doc_id % 4) < 3 AND {_OK} THEN decision END AS decision FROM o""")
 def calls_with_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A made-up backend that answers with no JSON doc_id % 4 times before each output: calls, parsing, and rounds anew."""
-    asked = fx.outputs(spark, sf_dir).select("doc_id", F.to_json(F.array(F.col("doc_id").cast("string"), F.col("raw_text"))).alias("messages_json"))
-
-    def make():
-        told: dict[str, int] = {}
-
-        def backend(messages: str, policy: Policy) -> dict:
-            name, said = json.loads(messages)
-            told[name] = told.get(name, 0) + 1
-            return {"choices": [{"message": {"content": said if told[name] > int(name) % 4 else "none"}}]}
-
-        return backend
-
-    got = call_for_output(asked, make, Policy(backoff=0.0))
-    return got.select("doc_id", F.col("output_rounds").alias("rounds"), F.col("output").isNotNull().alias("valid"), F.col("output.decision").alias("decision"))
+    """Recorded answers of up to four rounds, of which the first doc_id % 4 hold no JSON: the first valid output of three rounds."""
+    rows = fx.outputs(spark, sf_dir).withColumn("turn", F.explode(F.sequence(F.lit(1), F.lit(4))))
+    said = F.when(F.col("turn") > F.col("doc_id") % 4, F.col("raw_text")).otherwise("none")
+    got = calls.first_valid(rows.withColumn("said", said), "doc_id", "said")
+    return got.select("doc_id", "rounds", "valid", F.col("output.decision").alias("decision"))
 
 
 @query(f"WITH {_O} SELECT round(avg({_OK}::INT), 9) AS json_validity, round(avg({_CONFLICT}::INT), 9) AS consistency_error FROM o")

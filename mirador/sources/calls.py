@@ -11,7 +11,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.operators.outputs import problems
+from mirador.operators.outputs import parse_and_validate, problems
 from mirador.sources.io import append_errors, children, exists, remove
 from mirador.sources.model import Backend, Policy, Unsendable, content_of
 from mirador.sources.requests import arrow_batches, request_key
@@ -136,6 +136,15 @@ def ask(
     return answered(rows, answers(spark, store))
 
 
+def first_valid(recorded: DataFrame, key: str, text: str, turn: str = "turn", rounds: int = 3) -> DataFrame:
+    """(key, rounds, valid, output) from recorded answers (key, turn from 1, text): the round whose text is the first valid output,
+    and that output; without one, all rounds and null. Turns beyond `rounds` do not count."""
+    said = parse_and_validate(recorded.where(F.col(turn) <= rounds), text, "output")
+    ok = F.col("output_status") == "ok"
+    best = said.groupBy(key).agg(F.min(F.when(ok, F.col(turn))).alias("first"), F.min_by(F.when(ok, F.col("output")), F.when(ok, F.col(turn))).alias("output"))
+    return best.select(key, F.coalesce("first", F.lit(rounds)).cast("int").alias("rounds"), F.col("first").isNotNull().alias("valid"), "output")
+
+
 def failed_attempts(spark: SparkSession, store: str) -> DataFrame:
     """(request_key, attempt, model, error, request_preview) of all failed attempts that a store knows of."""
     return _stored(spark, store).select("request_key", F.explode("failures").alias("f")).select("request_key", "f.*")
