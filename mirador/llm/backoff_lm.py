@@ -300,53 +300,56 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.n
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
-ASKED = "chunk string, bucket long, order int, keys binary, th binary, n binary, words binary, ids binary"
+def _ask(order: int, buckets: int, marks, chunk: int):
+    """For each chunk the distinct n-grams of an order that it asks for, by bucket. marks: a broadcast of the bits of those that are
+    kept, from order 2."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part = TaskContext.get().partitionId()
+        for number, (tokens, n, _) in enumerate(_chunks(batches, chunk)):
+            words, ids = np.unique(tokens, return_inverse=True)
+            keys = words if order == 1 else _wanted(words, ids, n, order, marks.value)[0]
+            if len(keys):
+                by, cut, b = _by_bucket(keys, buckets)
+                yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"] * len(b)), pa.array(b), _blobs(keys[by], cut)], ["chunk", "bucket", "keys"])
+
+    return releasing(run)
+
+
+OWN = "th binary, n binary, words binary, ids binary"
+ANSWERED = "chunk string, bucket long, order int, hits binary, c binary, total binary, states binary, bow binary"
 
-def _ask(order: int, buckets: int, marks: list, chunk: int):
-    """For each chunk the words and n-grams that it asks for, by order and bucket, and a record of the chunk itself: its texts'
-    hashes and token counts, its words and its tokens as places in them. marks: broadcasts of the bits of kept n-grams, from order 2."""
+
+def _records(chunk: int):
+    """A record of each chunk: its texts' hashes and token counts, its words and its tokens as places in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        names = [x.split()[0] for x in ASKED.split(", ")]
         for number, (tokens, n, th) in enumerate(_chunks(batches, chunk)):
             words, ids = np.unique(tokens, return_inverse=True)
-            name, nothing = f"{part}-{number}", lambda m: [pa.nulls(m, pa.binary())] * 4
-            for m in range(1, order + 1):
-                keys = words if m == 1 else _wanted(words, ids, n, m, marks[m - 2].value)[0]
-                if len(keys):
-                    by, cut, b = _by_bucket(keys, buckets)
-                    yield pa.RecordBatch.from_arrays([pa.array([name] * len(b)), pa.array(b), pa.array(np.full(len(b), m, np.int32)), _blobs(keys[by], cut), *nothing(len(b))], names)
             own = [pa.array([x], pa.binary()) for x in (th.tobytes(), _packed(n.astype(np.int64)), words.tobytes(), _packed(ids.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([(part * 7919 + number) % buckets]), pa.array([0], pa.int32()), pa.nulls(1, pa.binary()), *own], names)
+            yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"]), *own], ["chunk", "th", "n", "words", "ids"])
 
     return releasing(run)
 
 
-ANSWERED = "chunk string, bucket long, order int, hits binary, c binary, total binary, states binary, bow binary, th binary, n binary, words binary, ids binary"
-
-
-def _answer(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+def _answer(order: int):
     """Per bucket: for what each chunk asked, in its order, which is there, with its counts, and which of that is a state, with the
-    weight of its failure arc; records of chunks as they are."""
-    known = {}
-    for m, rows in table.groupby("order"):
-        rows = rows.sort_values("k")
-        known[m] = tuple(rows[x].to_numpy(t) for x, t in (("k", np.int64), ("c", np.int64), ("total", np.int64), ("bow", np.float64)))
-    out = []
-    for name, bucket, m, keys, th, n, words, ids in zip(*(asked[x.split()[0]] for x in ASKED.split(", ")), strict=True):
-        if m == 0:
-            out.append((name, bucket, 0, None, None, None, None, None, th, n, words, ids))
-            continue
-        keys = np.frombuffer(keys, np.int64)
-        k, c, total, bow = known.get(m, (np.zeros(0, np.int64),) * 3 + (np.zeros(0),))
-        at = _ids(keys, k)
-        hit = at >= 0
-        at = at[hit]
-        state = ~np.isnan(bow[at])
-        out.append((name, bucket, m, _packed(np.packbits(hit)), _packed(c[at]), _packed(total[at]), _packed(np.packbits(state)), _packed(bow[at][state]), None, None, None, None))
-    return pd.DataFrame(out, columns=[x.split()[0] for x in ANSWERED.split(", ")])
+    weight of its failure arc."""
+
+    def run(asked: pd.DataFrame, table: pd.DataFrame) -> pd.DataFrame:
+        table = table.sort_values("k")
+        k, c, total, bow = (table[x].to_numpy(t) for x, t in (("k", np.int64), ("c", np.int64), ("total", np.int64), ("bow", np.float64)))
+        out = []
+        for name, bucket, keys in zip(asked["chunk"], asked["bucket"], asked["keys"], strict=True):
+            at = _ids(np.frombuffer(keys, np.int64), k)
+            hit = at >= 0
+            at = at[hit]
+            state = ~np.isnan(bow[at])
+            out.append((name, bucket, order, _packed(np.packbits(hit)), _packed(c[at]), _packed(total[at]), _packed(np.packbits(state)), _packed(bow[at][state])))
+        return pd.DataFrame(out, columns=[x.split()[0] for x in ANSWERED.split(", ")])
+
+    return run
 
 
 def _told(answers: pd.DataFrame, keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -471,7 +474,8 @@ def score_documents(docs: DataFrame, train: DataFrame, order: int = 3, least_cou
     train (text) is what is learned from. Tokens are runs without ASCII white space, A-Z lower-cased, and one end token a
     text. base_score adds log10((c + 1) / (N + V + 1)) over the tokens; score is the automaton's log10 probability, with
     n-grams kept from least_count occurrences, whatever N. Null and empty texts have the end token alone.
-    Repeated rows are scored each; an empty training table leaves all counts at 0; an empty docs gives an empty result.
+    docs are read once an order and twice more, and must come in the same order and partitions each time, as a scan of files
+    does. Repeated rows are scored each; an empty training table leaves all counts at 0; an empty docs gives an empty result.
     Words, n-grams and texts are compared by 64-bit hashes.
     """
     if not 1 <= order <= len(PLACE):
@@ -486,16 +490,22 @@ def score_documents(docs: DataFrame, train: DataFrame, order: int = 3, least_cou
     n_tokens, n_types = int(total[0]), int(total[1])
     denominator = float(n_tokens + n_types + 1)
     tables, bits = _model(train, words, order, least_count, denominator, buckets, discount)
-    whole = None
+    texts, answers = docs.select("th", "text"), None
     for n, table in enumerate(tables, 1):
-        table = table.withColumn("order", F.lit(n))
-        whole = table if whole is None else whole.unionByName(table)
-    whole = whole.withColumn("bucket", F.pmod("k", F.lit(buckets).cast("long")))
-    asked = docs.select("th", "text").mapInArrow(_ask(order, buckets, bits, CHUNK), ASKED)
-    answers = asked.groupBy("bucket").cogroup(whole.groupBy("bucket")).applyInPandas(_answer, ANSWERED)
-    found = answers.groupBy("chunk").applyInPandas(_score(order, buckets, denominator, discount, bits), "th long, n long, known long, base double, score double")
+        asked = texts.mapInArrow(_ask(n, buckets, bits[n - 2] if n > 1 else None, CHUNK), "chunk string, bucket long, keys binary")
+        dealt = table.withColumn("bucket", F.pmod("k", F.lit(buckets).cast("long")))
+        part = asked.groupBy("bucket").cogroup(dealt.groupBy("bucket")).applyInPandas(_answer(n), ANSWERED)
+        part = materialize(part, "answers")
+        asked = dealt = None  # else their shuffled files stay
+        discard(table)
+        answers = part if answers is None else answers.unionByName(part)
+    blank = lambda names: [F.lit(None).cast(x.split()[1]).alias(x.split()[0]) for x in names.split(", ")]
+    rest = ", ".join(ANSWERED.split(", ")[3:])
+    own = texts.mapInArrow(_records(CHUNK), f"chunk string, {OWN}").select("chunk", F.lit(0).cast("long").alias("bucket"), F.lit(0).alias("order"), *blank(rest), *[x.split()[0] for x in OWN.split(", ")])
+    both = answers.select("*", *blank(OWN)).unionByName(own)
+    found = both.groupBy("chunk").applyInPandas(_score(order, buckets, denominator, discount, bits), "th long, n long, known long, base double, score double")
     sums = materialize(found.dropDuplicates(["th"]), "scores")
-    asked = answers = found = None  # else their shuffled files stay
+    own = both = found = None
     discard_since(docs.sparkSession, begun, sums)
     return docs.select("doc_id", "th").join(sums, "th").select("doc_id", F.col("n").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(n_tokens).cast("long").alias("train_tokens"), F.col("base").alias("base_score"), "score")
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import ctypes
+import functools
 import re
 import shutil
 import sys
@@ -75,6 +76,21 @@ def discard_since(spark: SparkSession, n: int, *keep: DataFrame) -> None:
     spark._jvm.System.gc()
 
 
+def tidy(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """query, whose written folders are deleted if it fails."""
+
+    @functools.wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        begun = written()
+        try:
+            return query(spark, sf_dir)
+        except BaseException:
+            discard_since(spark, begun)
+            raise
+
+    return run
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from mirador.llm.backoff_lm import op9_lm_scoring
+from mirador.llm.common import tidy
 from mirador.llm.decontaminate import OP2_SQL, op2_benchmark_decontamination
 from mirador.llm.hnsw import op7_nearest_neighbours
 from mirador.llm.html_text import op1_html_extraction
@@ -53,4 +54,5 @@ QUERIES = {
     "op12_pii": op12_pii,
     "op13_conversation_repair": op13_conversation_repair,
 }
+QUERIES = {name: tidy(query) for name, query in QUERIES.items()}
 ORACLE_SQL = {"op2_benchmark_decontamination": OP2_SQL, "op3_warc": OP3_SQL, "op4_ngram_jaccard_join": OP4_SQL, "op6_line_dedup": OP6_SQL}
