@@ -17,7 +17,6 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -300,18 +299,23 @@ def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.n
         yield tuple(np.concatenate(x) for x in zip(*held, strict=True))
 
 
+def _name(th: np.ndarray) -> str:
+    """A name for a chunk by its texts' hashes in turn. Chunks of the same texts may share it, as their scores are the same."""
+    at = np.arange(1, len(th) + 1, dtype=U64)
+    return "-".join(f"{int(mix(mix(th.view(U64) + at) * at + U64(k)).sum(dtype=U64)):016x}" for k in (0, 1))
+
+
 def _ask(order: int, buckets: int, marks, chunk: int):
     """For each chunk the distinct n-grams of an order that it asks for, by bucket. marks: a broadcast of the bits of those that are
     kept, from order 2."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for number, (tokens, n, _) in enumerate(_chunks(batches, chunk)):
+        for tokens, n, th in _chunks(batches, chunk):
             words, ids = np.unique(tokens, return_inverse=True)
             keys = words if order == 1 else _wanted(words, ids, n, order, marks.value)[0]
             if len(keys):
                 by, cut, b = _by_bucket(keys, buckets)
-                yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"] * len(b)), pa.array(b), _blobs(keys[by], cut)], ["chunk", "bucket", "keys"])
+                yield pa.RecordBatch.from_arrays([pa.array([_name(th)] * len(b)), pa.array(b), _blobs(keys[by], cut)], ["chunk", "bucket", "keys"])
 
     return releasing(run)
 
@@ -324,11 +328,10 @@ def _records(chunk: int):
     """A record of each chunk: its texts' hashes and token counts, its words and its tokens as places in them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part = TaskContext.get().partitionId()
-        for number, (tokens, n, th) in enumerate(_chunks(batches, chunk)):
+        for tokens, n, th in _chunks(batches, chunk):
             words, ids = np.unique(tokens, return_inverse=True)
             own = [pa.array([x], pa.binary()) for x in (th.tobytes(), _packed(n.astype(np.int64)), words.tobytes(), _packed(ids.astype(np.int32)))]
-            yield pa.RecordBatch.from_arrays([pa.array([f"{part}-{number}"]), *own], ["chunk", "th", "n", "words", "ids"])
+            yield pa.RecordBatch.from_arrays([pa.array([_name(th)]), *own], ["chunk", "th", "n", "words", "ids"])
 
     return releasing(run)
 
