@@ -1,4 +1,4 @@
-"""Command line: python -m mirador prepare | variants | pairs | calibrate | evaluate | infer | validate, each over files; see --help."""
+"""Command line: python -m mirador prepare | variants | teach | batches | pairs | calibrate | evaluate | infer | validate, each over files; see --help."""
 
 from __future__ import annotations
 
@@ -9,12 +9,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from mirador.functions.rows import number_rows
 from mirador.functions.text import file_uri
-from mirador.operators import metrics, outputs, pairs, prepare, prompts, records, variants
+from mirador.operators import batches, metrics, outputs, pairs, prepare, prompts, records, variants
 from mirador.sources import calls, io
 from mirador.sources.model import Policy, http_backend
 from mirador.sources.probe import resolve_by_probing
-from mirador.sources.requests import attach_images, image_files
+from mirador.sources.requests import attach_images, image_files, local_path
+from mirador.sources.scratch import Tables
 
 
 def _flat(df: DataFrame) -> DataFrame:
@@ -57,6 +59,43 @@ def _said(rows: DataFrame, messages, images: DataFrame, url: str, model: str, a:
     return outputs.parse_and_validate(got, f"{into}_text", into)
 
 
+def run_teach(spark: SparkSession, a: argparse.Namespace, config: dict) -> dict:
+    """Training records: all variants of index rows, with their degraded images or swapped parts, and the teacher's outputs."""
+    c = config.get("augmentation", {})
+    index = io.read_jsonl(spark, a.input_jsonl, "sample_id string, image_path string, question string, answer string, split string")
+    index = index if a.limit is None else index.limit(a.limit)
+    made = variants.fan_out(index, int(c.get("per_sample_variants", 4)), float(c.get("mismatch_probability", 0.25)), c.get("severity_weights"), a.seed)
+    known = io.read_images(spark, a.images_dir).select(local_path(F.col("origin")).alias("image_path"), "height", "width", "data")
+    root = f"{a.output}-images"
+    with Tables(spark) as tables:
+        rows = tables.write(variants.augmented(made, index, known, root, a.seed), "variants")
+        images = image_files(spark, a.images_dir)
+        images = images.unionByName(image_files(spark, root)) if io.exists(spark, root) else images
+        asked = prompts.teacher_messages(F.col("question"), file_uri(F.col("image_path")), F.col("is_counterfactual"), F.col("degradation_type"), F.col("severity"))
+        said = _said(rows.where("image_path is not null"), asked, images, a.teacher_url, a.teacher_model, a, _policy(a, config), "teacher_output")
+        good, rest = outputs.write_quarantined(said, f"{a.output}-parsed", "teacher_output")
+        told = variants.teacher_records(good, outputs.output_fields("teacher_output"), F.col("teacher_output.normalized").alias("teacher_text"))
+        io.write_jsonl(told, a.output)
+        report = {"records": good.count(), "rejected": rest.count() + rows.where("image_path is null").count()}
+    io.remove(spark, f"{a.output}-parsed")
+    return report
+
+
+def run_batches(spark: SparkSession, a: argparse.Namespace, config: dict) -> dict:
+    """Training batches of teacher records, as Parquet; the hold-out's in a folder of its own."""
+    c = config.get("training", {})
+    rows = number_rows(io.read_jsonl(spark, a.input_jsonl, "sample_id string, image_path string, question string, teacher_text string"), "pos")
+    held = prepare.hold_out(rows, float(config.get("data", {}).get("eval_ratio", a.eval_ratio)), a.seed)
+    said = held.withColumn("messages", prompts.training_messages(F.col("question"), file_uri(F.col("image_path")), F.col("teacher_text")))
+    key = F.concat_ws("_", "sample_id", F.col("pos").cast("string"))
+    with Tables(spark) as tables:
+        tokens = tables.write(batches.sft_tokens(said.select(key.alias("key"), "held_out", "messages"), a.tokenizer, int(c.get("max_seq_length", a.max_length))), "tokens")
+        for name, flag in (("train", False), ("eval", True)):
+            size = int(c.get(f"per_device_{name}_batch_size", a.batch_size))
+            batches.length_batches(tokens.where(F.col("held_out") == flag), "key", size, a.pad_id).write.mode("overwrite").parquet(f"{a.output}/{name}")
+    return {name: spark.read.parquet(f"{a.output}/{name}").count() for name in ("train", "eval")}
+
+
 def run_pairs(spark: SparkSession, a: argparse.Namespace, config: dict) -> dict:
     """Stress rows, or one stress variant of each index row; the teacher's output, and only where that may make a pair the student's."""
     rows = io.read_jsonl(spark, a.input_jsonl)
@@ -118,7 +157,7 @@ def run_validate(spark: SparkSession, a: argparse.Namespace, config: dict) -> di
 def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="mirador", description=__doc__)
     commands = top.add_subparsers(dest="command", required=True)
-    runs = {"prepare": run_prepare, "variants": run_variants, "pairs": run_pairs, "calibrate": run_calibrate, "evaluate": run_evaluate, "infer": run_infer, "validate": run_validate}
+    runs = {"prepare": run_prepare, "variants": run_variants, "teach": run_teach, "batches": run_batches, "pairs": run_pairs, "calibrate": run_calibrate, "evaluate": run_evaluate, "infer": run_infer, "validate": run_validate}
     for name, run in runs.items():
         p = commands.add_parser(name)
         p.set_defaults(run=run)
@@ -133,17 +172,25 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--val-ratio", type=float, default=0.1)
         else:
             p.add_argument("--input-jsonl", required=name != "infer")
-        if name in ("pairs", "infer"):
-            p.add_argument("--images-dir", required=name == "pairs", help="the folder below which the rows' images are")
+        if name in ("teach", "pairs", "infer"):
+            p.add_argument("--images-dir", required=name != "infer", help="the folder below which the rows' images are")
             p.add_argument("--store", required=True, help="the folder of answers; what it holds is not asked again")
             p.add_argument("--error-log", help="a folder to which failed attempts are appended")
             p.add_argument("--key-variable", help="the environment variable with the service's key")
+            p.add_argument("--backoff", type=float, default=2.0)
+        if name in ("pairs", "infer"):
             p.add_argument("--student-url", required=True)
             p.add_argument("--student-model", default="student")
-            p.add_argument("--backoff", type=float, default=2.0)
-        if name == "pairs":
+        if name in ("teach", "pairs"):
             p.add_argument("--teacher-url", required=True)
             p.add_argument("--teacher-model", default="teacher")
+        if name == "batches":
+            p.add_argument("--tokenizer", required=True, help="a tokenizer's JSON file, at that path on every executor")
+            p.add_argument("--pad-id", type=int, required=True)
+            p.add_argument("--max-length", type=int, default=1536)
+            p.add_argument("--batch-size", type=int, default=1)
+            p.add_argument("--eval-ratio", type=float, default=0.05)
+        if name == "pairs":
             p.add_argument("--required", action="store_true", help="no pair at all is an error")
         if name == "infer":
             p.add_argument("--image-path")

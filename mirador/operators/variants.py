@@ -111,5 +111,5 @@ def augmented(variants: DataFrame, pool: DataFrame, images: DataFrame, root: str
     return plain.unionByName(swapped).unionByName(save_images(named, root).select(*variants.columns))
 
 
-def teacher_records(variants: DataFrame, output: Column) -> DataFrame:
-    return variants.select("sample_id", "image_path", "question", F.col("answer").alias("reference_answer"), "split", F.coalesce("is_counterfactual", F.lit(False)).alias("is_counterfactual"), F.coalesce("degradation_type", F.lit("none")).alias("degradation_type"), F.coalesce("severity", F.lit("none")).alias("severity"), F.coalesce("source_sample_id", "sample_id").alias("source_sample_id"), output.alias("teacher_output"))
+def teacher_records(variants: DataFrame, output: Column, *more: Column) -> DataFrame:
+    return variants.select("sample_id", "image_path", "question", F.col("answer").alias("reference_answer"), "split", F.coalesce("is_counterfactual", F.lit(False)).alias("is_counterfactual"), F.coalesce("degradation_type", F.lit("none")).alias("degradation_type"), F.coalesce("severity", F.lit("none")).alias("severity"), F.coalesce("source_sample_id", "sample_id").alias("source_sample_id"), output.alias("teacher_output"), *more)

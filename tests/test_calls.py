@@ -358,3 +358,35 @@ def test_pairs_and_inference_from_the_command_line(spark, tmp_path, service, cap
     assert row.question == "q2" and row.sample_id is None and row.prediction.raw_confidence == 0.75 and row.prediction.calibrated_confidence == 0.375
     assert main([*ask, "--input-jsonl", str(tmp_path / "val.jsonl"), "--images-dir", str(tmp_path / "pics")], spark) == {"predictions": 6, "rejected": 1}
     assert '"rejected": 1' in capsys.readouterr().out
+
+
+def test_teaching_and_batches_from_the_command_line(spark, tmp_path, service):
+    import numpy as np
+    import public_tokenizers
+
+    from mirador.__main__ import main
+    from mirador.operators import images, variants
+
+    (tmp_path / "pics").mkdir()
+    rng = np.random.default_rng(0)
+    for i in range(5):
+        (tmp_path / f"pics/{i}.png").write_bytes(images.png(rng.integers(0, 256, 16 * 16 * 3).astype(np.uint8).tobytes(), 16, 16))
+    index = [{"sample_id": f"s{i}", "image_path": f"{tmp_path}/pics/{i}.png", "question": f"q{i}", "answer": "yes", "split": "train"} for i in range(6)]
+    (tmp_path / "train.jsonl").write_text("\n".join(map(json.dumps, index)))
+    said = '{"note": 1, "explanation": "Plain.", "raw_confidence": "0.5", "decision": "Answer", "abstain_type": "none", "risk_level": "low", "answer": "lesion"}'
+    teacher = service(lambda body, n: said)
+    run = ["teach", "--input-jsonl", str(tmp_path / "train.jsonl"), "--images-dir", str(tmp_path / "pics"), "--store", str(tmp_path / "store"), "--output", str(tmp_path / "out"), "--backoff", "0"]
+    report = main([*run, "--teacher-url", f"http://127.0.0.1:{teacher.server.server_port}/"], spark)
+    rows = spark.read.json(str(tmp_path / "out")).collect()
+    assert report["records"] == len(rows) and report["records"] + report["rejected"] == 30 and report["rejected"] >= 1  # s5 has no picture
+    assert {r.teacher_text for r in rows} == {said.replace('"0.5"', "0.5").replace("Answer", "answer")} and rows[0].teacher_output.extra == '{"note": 1}'
+    degraded = [r for r in rows if r.degradation_type in variants.DEGRADATIONS]
+    assert degraded and all(r.image_path.startswith(f"{tmp_path}/out-images/") and r.sample_id.startswith(f"{r.source_sample_id}__") for r in degraded)
+    posted = len(teacher.posted)
+    assert "file:" not in json.dumps(teacher.posted)
+    assert main([*run, "--teacher-url", f"http://127.0.0.1:{teacher.server.server_port}/"], spark) == report and len(teacher.posted) == posted
+    made = main(["batches", "--input-jsonl", str(tmp_path / "out"), "--output", str(tmp_path / "b"), "--tokenizer", public_tokenizers.path("byte_bpe_50k.json"), "--pad-id", "50256", "--batch-size", "4", "--eval-ratio", "0.1"], spark)
+    train, held = (spark.read.parquet(str(tmp_path / f"b/{x}")).collect() for x in ("train", "eval"))
+    assert made == {"train": len(train), "eval": len(held)}
+    assert sum(len(b["keys"]) for b in train) + sum(len(b["keys"]) for b in held) == len(rows) and sum(len(b["keys"]) for b in held) == (3 if len(rows) > 20 else 0)
+    assert all(len({len(x) for x in (*b.input_ids, *b.labels, *b.attention_mask)}) == 1 for b in train)
