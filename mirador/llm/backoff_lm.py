@@ -20,13 +20,13 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mirador.llm.common import PLACE, U64, discard, discard_since, doc_chunks, hash_words, hashes, materialize, mix, n_buckets, releasing, small_batches, text_buffer, written
+from mirador.llm.common import PLACE, U64, discard, discard_since, doc_chunks, hash_words, hashes, materialize, mix, n_buckets, release, releasing, small_batches, text_buffer, written
 
 END = U64(0x5DEECE66D1234567)
 #: Tokens walked in one lane; each lane starts with the order - 1 tokens before it, which fix its state.
 LANE = 192
 #: Texts are scored in chunks of so many tokens, and what the last batch has beyond.
-CHUNK = 1 << 21
+CHUNK = 1 << 20
 #: In shuffled n-grams the most frequent words, so many, are written as two bytes, all others as their hash.
 CODED = 1 << 16
 #: Kept n-grams are marked in a table of 2 ** MARK_BITS bits by hash, and what it does not mark is neither counted as part of
@@ -350,6 +350,7 @@ def _answer(order: int):
             at = at[hit]
             state = ~np.isnan(bow[at])
             out.append((name, bucket, order, _packed(np.packbits(hit)), _packed(c[at]), _packed(total[at]), _packed(np.packbits(state)), _packed(bow[at][state])))
+        release()
         return pd.DataFrame(out, columns=[x.split()[0] for x in ANSWERED.split(", ")])
 
     return run
@@ -435,10 +436,15 @@ def _score(order: int, buckets: int, denominator: float, discount: float, marks:
                 rows = np.stack([ids[first[kept] + k] for k in range(m)], axis=1)
                 lp = np.log10((count[kept] - discount) / total[kept])
             grams.append((rows, lp, state[kept], bow[kept]))
+        del keys, first, count, total, state, bow, kept, rows, lp
         doc = np.repeat(np.arange(len(n)), n)
         base = np.log10((times + 1) / denominator)[ids]
         known = times[ids] > 0
-        walked = assemble(words, grams).walk(np.where(known, ids, -1), n) + np.bincount(doc, weights=np.where(known, 0.0, base), minlength=len(n))
+        machine = assemble(words, grams)
+        del grams
+        walked = machine.walk(np.where(known, ids, -1), n) + np.bincount(doc, weights=np.where(known, 0.0, base), minlength=len(n))
+        del machine
+        release()
         return pd.DataFrame({"th": th, "n": n, "known": np.bincount(doc, weights=known, minlength=len(n)).astype(np.int64), "base": np.bincount(doc, weights=base, minlength=len(n)), "score": walked})
 
     return run
