@@ -297,6 +297,49 @@ def _verify(size: int, percent: int):
     return releasing(run)
 
 
+def _near_first(size: int, percent: int):
+    """Rows (comp, part, k, text, is_first) sorted by comp and part, of which each part begins with the comp's first class, which is told
+    by is_first: for each other row whether its class is linked with the first one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first, first_k = np.zeros(0, np.uint64), 0
+        for batch in batches:
+            out = []
+            for comp, k, is_first, s in zip(batch["comp"].to_pylist(), batch["k"].to_pylist(), batch["is_first"].to_pylist(), shingle_sets(batch["text"], size), strict=True):
+                if is_first:
+                    first, first_k = s, k
+                    continue
+                both = len(np.intersect1d(first, s, assume_unique=True))
+                out.append((comp, k, first_k, k == first_k or 100 * both >= percent * (len(first) + len(s) - both)))
+            columns = list(zip(*out, strict=True)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.int64(), pa.bool_()), strict=True)], ["comp", "k", "first_k", "near"])
+
+    return releasing(run)
+
+
+def _dealt(chosen: DataFrame, large: DataFrame, base: DataFrame, size: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """How the classes of large comps are compared: chosen with `mine`, the block of a class, and `others`, how many blocks it is compared
+    with (from 0 on); and links found on the way (src, dst).
+
+    Each class is compared with the comp's first class (least k). Those linked with it are in one component already and need no
+    comparison with each other, so blocks of the rest are numbered first and compared with all, blocks of linked ones with
+    those of the rest alone: near copies of one text cost their number, not its square. Texts without a link to the first
+    class are compared with every class, which stays exact."""
+    first = chosen.join(large, "comp").groupBy("comp", "blocks").agg(F.min("k").alias("first_k"))
+    text = lambda df: df.join(base, (hashes() == F.col("one_th")) & base.doc_id.eqNullSafe(F.col("one_id")))
+    members = text(chosen.join(large, "comp")).select("comp", F.pmod("k", "blocks").cast("int").alias("part"), "k", "text", F.lit(False).alias("is_first"))
+    heads = text(chosen.join(first, "comp").where("k = first_k")).dropDuplicates(["comp"])
+    heads = heads.select("comp", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("part"), "k", "text", F.lit(True).alias("is_first"))
+    met = members.unionByName(heads).repartition("comp", "part").sortWithinPartitions("comp", "part", F.desc("is_first"))
+    found = materialize(met.mapInArrow(_near_first(size, percent), "comp long, k long, first_k long, near boolean").dropDuplicates(["k"]), "near")
+    sized = found.join(chosen.select("k", "n"), "k")
+    blocks = lambda near: F.ceil(F.coalesce(F.sum(F.when(F.col("near") == near, F.col("n"))), F.lit(0)) / BLOCK_SHINGLES).cast("int")
+    counts = sized.groupBy("comp").agg(blocks(False).alias("rest"), blocks(True).alias("linked"))
+    placed = found.join(counts, "comp").select("k", F.when(F.col("near"), F.col("rest") + F.pmod("k", "linked")).otherwise(F.pmod("k", F.greatest("rest", F.lit(1)))).cast("int").alias("mine"), F.when(F.col("near"), F.col("rest")).otherwise(F.col("rest") + F.col("linked")).alias("others"))
+    asked = chosen.join(materialize(placed, "placed"), "k", "left").withColumns({"mine": F.coalesce("mine", F.lit(0)), "others": F.coalesce("others", F.lit(1))})
+    return asked, found.where("near and k <> first_k").select(F.col("k").alias("src"), F.col("first_k").alias("dst"))
+
+
 def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """What jaccard_components gives, and th, the hash of the text, and root, which is null for texts without a shingle
     and else the same for all rows of a component."""
@@ -327,16 +370,17 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     chosen = materialize(groups.join(classes, groups.node == classes.k).select("k", "n", F.col("root").alias("comp"), F.col("one.doc_id").alias("one_id"), F.col("one.th").alias("one_th")), "chosen")
     large = chosen.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks")).where("blocks > 1")
     split, many = not large.isEmpty(), chosen.count()
-    asked = chosen.join(large, "comp", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1))) if split else chosen.withColumn("blocks", F.lit(1))
+    asked, known = _dealt(chosen, large, base, size, percent) if split else (chosen.withColumns({"mine": F.lit(0), "others": F.lit(1)}), None)
     asked = F.broadcast(asked) if many <= BROADCAST_CLASSES else asked
-    mine, other = F.pmod("k", "blocks").cast("int"), F.col("other")
+    other = F.col("other")
     met = (
-        base.join(asked, (hashes() == F.col("one_th")) & base.doc_id.eqNullSafe(F.col("one_id")))
-        .select("k", "comp", "blocks", "text", mine.alias("mine"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        base.join(asked, (hashes() == F.col("one_th")) & base.doc_id.eqNullSafe(F.col("one_id"))).where("others > 0")
+        .select("k", "comp", "text", "mine", F.explode(F.sequence(F.lit(0), F.col("others") - 1)).alias("other"))
         .select("k", "comp", "text", F.least("mine", other).alias("bi"), F.greatest("mine", other).alias("bj"))
     )
     dealt = met.repartition("comp", "bi", "bj").sortWithinPartitions("comp", "bi", "bj")
     links = dealt.mapInArrow(_verify(size, percent), "src long, dst long")
+    links = links.unionByName(known) if split else links
     roots = connected_components(links) if split else materialize(links.toDF("node", "root"), "links")
     where = classes.join(roots, classes.k == roots.node, "left").select("k", "first", F.coalesce("root", "k").alias("root"))
     least = where.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -98,3 +98,31 @@ def test_quality_of_odd_rows(spark, docs):
     got = quality.score_quality(docs, model).collect()
     assert len(got) == len(ODD) and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in got)
     assert quality.score_quality(docs.limit(0), model).collect() == []
+
+
+def test_near_copies_cost_their_number(spark, monkeypatch):
+    """A cluster of near copies of one text, and some texts that drift away from it, in small blocks: blocks are made for the latter."""
+    import random
+
+    from mirador.llm import jaccard_join
+
+    rng = random.Random(3)
+    base = [f"w{rng.randint(0, 10**6)}" for _ in range(300)]
+    texts = []
+    for i in range(400):
+        t = list(base)
+        t[rng.randrange(300)] = f"x{i}"
+        texts.append(" ".join(t))
+    drift = list(base)
+    for i in range(12):  # each like the one before it, the last unlike the first
+        drift[i * 20 : i * 20 + 8] = [f"d{i}-{j}" for j in range(8)]
+        texts.append(" ".join(drift))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    joined = []
+    real = jaccard_join._dealt
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 3000)
+    monkeypatch.setattr(jaccard_join, "_dealt", lambda *a: joined.append(real(*a)) or joined[-1])
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(docs).collect()}
+    assert got == want and len(set(got.values())) < 12
+    assert joined
