@@ -6,8 +6,8 @@ characters; a number goes on over single signs and spaces between digits, to as
 
 Bootstrapping: what the base rules find are seeds. A lexical pattern is the one or two words before an identifier, A-Z lower-cased
 and cut after `:`, `=` and `#` (words over WORD characters make none). In the graph of patterns and instances, round by round:
-a pattern's confidence for a kind is the share of all its occurrences in the corpus that precede a known instance, times
-s / (s + 1) for s distinct known instances (LEAST_SUPPORT at least); an instance is believed by 1 - the product of (1 - confidence)
+a pattern's confidence for a kind is the share of all its occurrences in the corpus that precede a known instance, identifiers that
+are not known counted half, as they may be what is looked for, times s / (s + 1) for s distinct known instances (LEAST_SUPPORT at least); an instance is believed by 1 - the product of (1 - confidence)
 over the patterns that accept it; what is believed enough joins the known instances and teaches the next round. All mentions of
 instances learned this way become spans of the kind of their patterns; base spans always stay, and candidates that touch one are
 none. A text that is repeated counts as often as it stands, in a pattern's hits and in all its occurrences alike.
@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mirador.llm.common import PLACE, U64, discard_since, doc_chunks, hash_words, materialize, mix, releasing, small_batches, text_buffer, told, written
@@ -245,18 +245,21 @@ def learn(docs: DataFrame, found: DataFrame, text: str = "text", rounds: int = R
     edges = every.select("instance", "kind", F.explode("patterns").alias("pattern")).groupBy("pattern", "instance").agg(F.count("*").alias("n"), F.min("kind").alias("kind"))
     edges = materialize(edges, "edges")
     # a pattern that never has enough distinct instances is never learned; so nothing hangs on its edges
-    busy = materialize(edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.count("kind").alias("seeds")).where(F.col("instances") >= least_support), "busy")
+    busy = materialize(edges.groupBy("pattern").agg(F.count("*").alias("instances"), F.count("kind").alias("seeds"), F.sum("n").alias("mentions")).where(F.col("instances") >= least_support), "busy")
     if not busy.where(F.col("seeds") >= least_support).limit(1).count():
         return None
     keyed = materialize(busy.select("pattern").mapInArrow(_pattern_keys, "pattern string, key long"), "keys")
     totals = materialize(keyed.join(_occurrences(docs, keyed, text), "key").select("pattern", "total"), "totals")
+    totals = totals.join(busy, "pattern").select("pattern", "mentions", F.greatest(F.col("total") - F.col("mentions"), F.lit(0)).alias("others"))
     graph = materialize(edges.join(totals, "pattern"), "graph")
     seeds = every.where("kind is not null").groupBy("instance").agg(F.min("kind").alias("kind"))
     known = materialize(seeds.withColumns({"belief": F.lit(1.0), "round": F.lit(0)}), "known")
     patterns = None
     for turn in range(1, rounds + 1):
-        hits = graph.drop("kind").join(known.select("instance", "kind"), "instance").groupBy("pattern", "kind").agg(F.count("*").alias("support"), F.sum("n").alias("hits"), F.max("total").alias("total"))
-        sure = F.col("hits") / F.greatest("hits", "total") * F.col("support") / (F.col("support") + 1)
+        hits = graph.drop("kind").join(known.select("instance", "kind"), "instance").groupBy("pattern", "kind").agg(F.count("*").alias("support"), F.sum("n").alias("hits"), F.max("mentions").alias("mentions"), F.max("others").alias("others"))
+        known_all = F.sum("hits").over(Window.partitionBy("pattern"))  # of four kinds at most
+        hits = hits.withColumn("against", F.col("others") + known_all + (F.col("mentions") - known_all) / 2)
+        sure = F.col("hits") / F.col("against") * F.col("support") / (F.col("support") + 1)
         patterns = materialize(hits.where(F.col("support") >= least_support).withColumn("confidence", sure).where(F.col("confidence") >= least_confidence).select("pattern", "kind", "support", "confidence"), "patterns")
         held = graph.drop("kind").join(told(patterns), "pattern").join(known.select("instance"), "instance", "left_anti")
         belief = held.groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("confidence"))))).alias("belief")).where(F.col("belief") >= least_belief)

@@ -124,8 +124,8 @@ def bootstrapped(texts):
                 mine = [x for x in seen if known.get(x) == kind]
                 if len(mine) < p.LEAST_SUPPORT:
                     continue
-                hits = sum(seen[x] for x in mine)
-                sure = hits / max(hits, contexts[c]) * len(mine) / (len(mine) + 1)
+                hits, mentions, all_known = sum(seen[x] for x in mine), sum(seen.values()), sum(n for x, n in seen.items() if x in known)
+                sure = hits / (max(contexts[c] - mentions, 0) + all_known + (mentions - all_known) / 2) * len(mine) / (len(mine) + 1)
                 if sure >= p.LEAST_CONFIDENCE:
                     for x in seen:
                         if x not in known:
@@ -162,6 +162,13 @@ def test_a_pattern_counts_wherever_it_stands(spark):
     assert all(not [s for s in spans if s not in base] for base, spans in report(spark, rows).values())
 
 
+def test_as_many_unseen_as_known(spark):
+    rng = random.Random(12)
+    rows = [(i, f"{words(rng, 6)} contact line: +1 555 010 {1000 + i} {words(rng, 2)}") for i in range(6)] + [(20 + i, f"{words(rng, 6)} contact line: 5{i}.77.1{i}") for i in range(6)]
+    got = report(spark, rows)
+    assert all([t[a:b] for a, _, b in got[i][1] if (a, 3, b) not in got[i][0]] == ([t.split()[-1]] if i >= 20 else []) for i, t in rows)
+
+
 def test_edge_cases(spark):
     assert p.private_spans(spark.createDataFrame([], SCHEMA)).collect() == []
     rows = [(None, "a@b.cd"), (None, "a@b.cd"), (1, None), (1, ""), (2, "x" * 200_000 + " a@b.cd")]
