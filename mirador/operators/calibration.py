@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from mirador.sources.scratch import Tables
 
 RANGES = 128
+#: Distinct confidences that are worth a range of their own; with few there are fewer ranges, which changes no result.
+WORTH = 4096
 #: Ranges that are merged in one task at most.
 TOGETHER = 8
 STEP_TYPE = "lo double, hi double, total long, n long, weighted double"
@@ -19,10 +21,17 @@ STEP_TYPE = "lo double, hi double, total long, n long, weighted double"
 def range_bounds(values: DataFrame, column: str, ranges: int = RANGES) -> list[float]:
     """Up to ranges - 1 values that cut a table of distinct values into about equal ranges; NaN counts for none."""
     parts = [i / ranges for i in range(1, ranges)]
+    if not parts:
+        return []
     found = values.where(~F.isnan(column)).agg(F.percentile_approx(column, parts, 20 * ranges).alias("q")).first()["q"]
     return sorted(set(found or []))
 
 
+def ranges_for(values: DataFrame, ranges: int | None = None) -> int:
+    """How many ranges a table of distinct values is cut into: as given, else by their number."""
+    return ranges or min(RANGES, values.count() // WORTH + 1)
+
+
 def range_of(value: Column, bounds: list[float]) -> Column:
     """The number of the range that a value lies in; NaN is in the last."""
     return F.size(F.filter(F.array(*[F.lit(float(b)) for b in bounds]).cast("array<double>"), lambda b: b <= value))
@@ -66,7 +75,7 @@ def _runs(ends: list, together: int) -> dict[int, int]:
     return out
 
 
-def isotonic_steps(targets: DataFrame, ranges: int = RANGES, together: int = TOGETHER) -> Calibration:
+def isotonic_steps(targets: DataFrame, ranges: int | None = None, together: int = TOGETHER) -> Calibration:
     """The isotonic fit of targets (x, a float, and y, 0 or 1), as steps of equal value.
 
     Rows are pooled by confidence, the distinct confidences cut into ranges by quantiles, and each range is fitted by itself. Then
@@ -80,7 +89,7 @@ def isotonic_steps(targets: DataFrame, ranges: int = RANGES, together: int = TOG
         points = tables.write(rows.select("lo", F.col("lo").alias("hi"), "total", "n", (F.col("lo") * F.col("n")).alias("weighted")), "points")
         if points.isEmpty():
             raise ValueError("no confidence and target pairs to calibrate on")
-        bounds = range_bounds(points, "lo", ranges)
+        bounds = range_bounds(points, "lo", ranges_for(points, ranges))
         placed = lambda df: df.withColumn("part", range_of(F.col("lo"), bounds))
         steps = tables.write(placed(placed(points).groupBy("part").applyInPandas(pool, STEP_TYPE)), "steps")
         side = F.struct("lo", "total", "n")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mirador.functions.arrays import interpolate
 from mirador.functions.text import normalize_answer
-from mirador.operators.calibration import RANGES, isotonic_steps, range_bounds, range_of, thresholds
+from mirador.operators.calibration import isotonic_steps, range_bounds, range_of, ranges_for, thresholds
 from mirador.sources.scratch import Tables
 
 
@@ -145,16 +145,16 @@ def harmonic(m: Column) -> Column:
     return F.when(m <= 32, F.get(F.array(*[F.lit(v) for v in table]), m.cast("int"))).otherwise(series)
 
 
-def risk_coverage(df: DataFrame, ranges: int = RANGES) -> DataFrame:
+def risk_coverage(df: DataFrame, ranges: int | None = None) -> DataFrame:
     """AURC: the mean over k of the error of the k most confident rows.
 
     Ranks come from groups of equal confidence: within such a group errors are spread evenly. The distinct confidences are cut
-    into ranges by quantiles, and what lies above each range is one of `ranges` sums that are broadcast; running sums
+    into ranges by quantiles, and what lies above each range is one of up to `ranges` sums that are broadcast; running sums
     are made within ranges, so no task sees all confidences. The table of distinct confidences is written down first."""
     c = df.select(_confidence(df).alias("c"), (~flag("is_correct")).cast("long").alias("bad")).where("c is not null").groupBy("c").agg(F.count("*").alias("n"), F.sum("bad").alias("bad"))
     with Tables(df.sparkSession) as tables:
         c = tables.write(c, "confidences")
-        c = c.withColumn("part", range_of(F.col("c"), range_bounds(c, "c", ranges)))
+        c = c.withColumn("part", range_of(F.col("c"), range_bounds(c, "c", ranges_for(c, ranges))))
         above, sums = (0, 0), []
         for r in sorted(c.groupBy("part").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).collect(), reverse=True):  # a row for each range
             sums.append((r["part"], *above))
