@@ -1,13 +1,14 @@
 """N-gram Jaccard join by prefix trees.
 
 Every document is the set of its word shingles, in the order of their 63-bit hashes, which is the same for all documents.
-Documents with equal sets form one class. Candidate classes come from an exact prefix filter over ranges of that order:
-two sets above the threshold differ in at most D shingles, so of the first D + 1 ranges of a set that are not empty at
-least one holds the very same shingles in the other. A range holds about three shingles, so a passage that two unlike
-documents share seldom fills one, and the most frequent shingles are left out of the ranges wherever enough others remain.
-Sharing a range links a class only to its neighbour in size, so a group of m classes gives m - 1 links, never all pairs;
-chains of such links join all true partners. Each connected group of candidates is then met with its full sets in one
-place and joined exactly over a trie.
+Documents with equal sets form one class. Candidate classes come from an exact prefix filter over ranges of that order,
+which is cut into windows of some fifty shingles: two sets above the threshold differ in at most D shingles, so in one of W
+windows at least in no more than D / W. Of the first D / W + 1 ranges of that window that are not empty at least one then
+holds the very same shingles in both, and marks of the window, 64 bits of parities, differ in no more than D / W bits. A
+passage that unlike documents share fills a range at times, but leaves the marks of its window far apart, so groups of
+candidates are little more than groups of near copies, however many documents there are. The most frequent shingles are
+left out of the ranges wherever enough others remain. Each connected group of candidates is then met with its full sets in
+one place and joined exactly over a trie.
 """
 
 from __future__ import annotations
@@ -27,8 +28,14 @@ from mirador.llm.components import connected_components
 #: Cost only: up to so many of the shingles that come in HEAVY_FROM sets and more are left out of ranges where others suffice;
 #: they are marked in a table of 2 ** HEAVY_BITS bits by hash. Any choice of them gives the same result.
 HEAVY, HEAVY_FROM, HEAVY_BITS = 1 << 21, 16, 25
-#: Sets of fewer shingles than SMALL have a range for each; others about RANGE in one, by classes of size that grow by half.
-SMALL, RANGE = 32, 3
+#: Sets of fewer shingles than SMALL have a range for each; others up to about RANGE in one, by classes of size that grow by half.
+SMALL, RANGE = 32, 2
+#: Shingles in a window of the hash order, at most and on average: about as many as a mark of 64 bits can tell apart.
+WINDOW = 72
+#: Sets with one signature are met all with all up to so many, beyond by the middle one first.
+MET_ALL = 64
+#: What is sent of each signature, in the order of `marked`, and of its set.
+_POSTED = ("tokens", "marks", "windows", "keys", "sizes")
 #: Shingles in one block of the trie join (8 MB of them); candidate groups with more are joined block against block.
 BLOCK_SHINGLES = 1 << 20
 #: Texts that a task remembers, so as not to give their postings again.
@@ -179,39 +186,72 @@ def _size_classes() -> np.ndarray:
 _BEGIN = _size_classes()
 
 
-def _ranges(items: np.ndarray, mixed: np.ndarray, size_class: int, kind: int, most: int) -> np.ndarray:
-    """Hashes of what the first `most` ranges hold that are not empty. kind 2: each shingle is a range of its own."""
-    if not size_class or kind == 2:
-        sums, at = mixed[:most], np.zeros(1, U64)
-    else:
-        each = (items.astype(np.float64) * ((int(_BEGIN[size_class]) // RANGE + 1) / 2.0**63)).astype(U64)
-        first = np.flatnonzero(np.concatenate((np.ones(min(len(each), 1), bool), each[1:] != each[:-1])))
-        sums, at = np.add.reduceat(mixed, first)[:most] if len(first) else mixed, each[first][:most]
-    tag = U64((4 * size_class + kind) * int(PLACE[2]) % (1 << 64))
-    return mix(sums * PLACE[0] + at * PLACE[1] + tag)
+def _windows(size_class: int) -> int:
+    return max(1, int(_BEGIN[size_class]) // WINDOW) if size_class else 1
+
+
+def _windowed(items: np.ndarray, mixed: np.ndarray, light: np.ndarray, size_class: int, windows: int, most: int, tag: int) -> tuple[np.ndarray, np.ndarray, bool]:
+    """Hashes of what the first `most` ranges of each window hold that are not empty; the marks of their windows; and whether
+    a window has too few shingles for that. Kind 0 takes light shingles, kind 1, where these fill too few ranges, all, and
+    kind 2, where that is too few still, each as a range of its own."""
+    per = int(_BEGIN[size_class]) // (RANGE * windows) + 1
+    each = np.minimum((items.astype(np.float64) * (per * windows / 2.0**63)).astype(np.int64), per * windows - 1)
+    at_window = each // per
+    begins = np.flatnonzero(np.concatenate((np.ones(1, bool), at_window[1:] != at_window[:-1])))
+    marks = np.zeros(windows, U64)
+    marks[at_window[begins]] = np.bitwise_xor.reduceat(U64(1) << (mixed & U64(63)), begins)
+    open_, tokens, of = np.ones(windows, bool), [], []
+    for kind in range(3):
+        here = open_[at_window] & (light if not kind else True)
+        sums, at, window = mixed[here], each[here], at_window[here]
+        if size_class and kind < 2 and len(at):
+            first = np.flatnonzero(np.concatenate((np.ones(1, bool), at[1:] != at[:-1])))
+            sums, at, window = np.add.reduceat(sums, first), at[first], window[first]
+        else:
+            at = np.ones(len(at), np.int64)
+        keep = np.arange(len(window)) - np.searchsorted(window, window) < most
+        tokens.append(mix(sums[keep] * PLACE[0] + at[keep].astype(U64) * PLACE[1] + U64((4 * tag + kind) * int(PLACE[2]) % (1 << 64))))
+        of.append(marks[window[keep]])
+        open_ &= np.bincount(window, minlength=windows) < most
+        if not open_.any():
+            break
+    return np.concatenate(tokens), np.concatenate(of), bool(open_.any())
 
 
-def signatures(items: np.ndarray, percent: int, heavy: np.ndarray) -> np.ndarray:
-    """Two sets that reach percent share one of these at least. items: a set in order; heavy: bits by hash.
+def marked(items: np.ndarray, percent: int, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Signatures of a set (items, in order; heavy: bits by hash), the mark of each one's window, and into how many windows
+    the set was cut for it. Two sets that reach percent share one at least whose marks are near (see near_marks).
 
     A partner's size is percent / 100 to 100 / percent of this one's, so it lies in the class of this size or in one next to
-    it: a set takes part in its own class, and in the next if a partner can lie there. Of two partners that reach their
-    D + 1 ranges without heavy shingles, or of which one does, that is enough; a set that does not reach them gives all it
-    has, and then the same with heavy shingles, and should even that be too few, its shingles one by one."""
+    it: a set takes part in its own class, and in the next if a partner can lie there. Sets of a class are cut into the same
+    windows of the hash order. Partners that differ in D shingles differ in d = D / windows at most in one window at least.
+    Of the first d + 1 ranges there that are not empty in both, one is the same in both; if either set has so many, both give
+    it. Only if neither has d + 1 shingles there is none; such sets also give the signatures of one window that is all."""
     n = len(items)
     largest = 100 * n // percent
-    most = (n + largest) * (100 - percent) // (100 + percent) + 1
+    differ = (n + largest) * (100 - percent) // (100 + percent)
     mixed, out = mix(items), []
     at = (items & U64((1 << HEAVY_BITS) - 1)).view(np.int64)
     light = (heavy[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) == 0
     c = int(np.searchsorted(_BEGIN, n, "right"))
     for size_class in (c, c + 1) if largest >= _BEGIN[c] else (c,):
-        for kind in range(3):
-            found = _ranges(items[light], mixed[light], size_class, 0, most) if not kind else _ranges(items, mixed, size_class, kind, most)
-            out.append(found)
-            if len(found) >= most:
-                break
-    return np.concatenate(out)
+        windows = _windows(size_class)
+        tokens, marks, few = _windowed(items, mixed, light, size_class, windows, differ // windows + 1, size_class)
+        out.append((tokens, marks, np.full(len(tokens), windows, np.uint32)))
+        if few and windows > 1:
+            tokens, marks, _ = _windowed(items, mixed, light, size_class, 1, differ + 1, size_class + len(_BEGIN))
+            out.append((tokens, marks, np.ones(len(tokens), np.uint32)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+def signatures(items: np.ndarray, percent: int, heavy: np.ndarray) -> np.ndarray:
+    return marked(items, percent, heavy)[0]
+
+
+def near_marks(n, m, x, y, windows, percent: int):
+    """Whether sets of sizes n and m may reach percent by the marks x and y of one window: a mark has the parity of the
+    number of shingles at each of 64 places, so as many bits differ as shingles do, at most."""
+    return np.bitwise_count(x ^ y) <= (n + m - 2 * least_overlap(n, m, percent)) // windows
 
 
 def _postings(size: int, percent: int, buckets: int, heavy: np.ndarray):
@@ -220,47 +260,94 @@ def _postings(size: int, percent: int, buckets: int, heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            tokens, keys, sizes = [], [], []
+            found, keys, sizes = [], [], []
             for items in shingle_sets(batch["text"], size):
                 if not len(items) or (k := _key(items)) in seen:
                     continue
                 seen.add(k)
-                tokens.append(signatures(items, percent, heavy))
-                sizes.append(np.full(len(tokens[-1]), len(items), np.uint32))
-                keys.append(np.full(len(tokens[-1]), k, np.int64))
+                found.append(marked(items, percent, heavy))
+                sizes.append(np.full(len(found[-1][0]), len(items), np.uint32))
+                keys.append(np.full(len(found[-1][0]), k, np.int64))
             if len(seen) > SEEN:
                 seen.clear()
-            if not tokens:
+            if not found:
                 continue
-            t, k, s = np.concatenate(tokens), np.concatenate(keys), np.concatenate(sizes)
-            b = (t % U64(buckets)).astype(np.int64)
+            columns = [np.concatenate(x) for x in (*zip(*found, strict=True), keys, sizes)]
+            b = (columns[0] % U64(buckets)).astype(np.int64)
             order = np.argsort(b, kind="stable")
-            t, k, s, b = t[order], k[order], s[order], b[order]
+            b = b[order]
             cut = np.flatnonzero(np.diff(b)) + 1
-            blobs = [pa.array([x.tobytes() for x in np.split(a, cut)], pa.binary()) for a in (t, k, s)]
-            yield pa.RecordBatch.from_arrays([pa.array(b[np.concatenate(([0], cut))]), *blobs], ["bucket", "tokens", "keys", "sizes"])
+            blobs = [pa.array([x.tobytes() for x in np.split(a[order], cut)], pa.binary()) for a in columns]
+            yield pa.RecordBatch.from_arrays([pa.array(b[np.concatenate(([0], cut))]), *blobs], ["bucket", *_POSTED])
 
     return releasing(run)
 
 
+class _Links:
+    """Links between classes; held as the least of them that connect the same ones when they become many."""
+
+    def __init__(self):
+        self.src, self.dst, self.held = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], 0
+
+    def add(self, src: np.ndarray, dst: np.ndarray) -> None:
+        self.src.append(src)
+        self.dst.append(dst)
+        self.held += len(src)
+        if self.held > 1 << 21:
+            self.least()
+
+    def least(self) -> tuple[np.ndarray, np.ndarray]:
+        nodes, roots = local_labels(np.concatenate(self.src), np.concatenate(self.dst))
+        keep = nodes != roots
+        self.src, self.dst, self.held = [nodes[keep]], [roots[keep]], 0
+        return self.src[0], self.dst[0]
+
+
+def _peeled(k: np.ndarray, n: np.ndarray, marks: np.ndarray, windows: int, percent: int, links: _Links) -> None:
+    """Links of a large group of sets, by size, with one signature: the middle one is met with all, and so is each that is not
+    connected with it by then. Those that are need not be met with each other."""
+    connected, me = np.zeros(len(k), bool), len(k) // 2
+    for i in (me, *range(len(k))):
+        if connected[i]:
+            continue
+        lo, hi = np.searchsorted(n, -(-percent * n[i] // 100)), np.searchsorted(n, 100 * n[i] // percent, "right")
+        near = lo + np.flatnonzero(near_marks(n[lo:hi], n[i], marks[lo:hi], marks[i], windows, percent))
+        links.add(np.full(len(near), k[i]), k[near])
+        if i == me or connected[near].any():
+            connected[near] = True
+
+
 def _candidates(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, k, n = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in (("tokens", U64), ("keys", np.int64), ("sizes", np.uint32)))
+        t, x, w, k, n = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in zip(_POSTED, (U64, U64, np.uint32, np.int64, np.uint32), strict=True))
         order = np.argsort(t, kind="stable")
         ts = t[order]
         twice = np.zeros(len(ts), bool)
         twice[1:] = ts[1:] == ts[:-1]
         twice[:-1] |= twice[1:]
         order = order[twice]
-        t, k, n = t[order], k[order], n[order].astype(np.int64)
-        order = np.lexsort((k, n, t))
-        t, k, n = t[order], k[order], n[order]
-        near = (t[1:] == t[:-1]) & (k[1:] != k[:-1]) & (100 * n[:-1] >= percent * n[1:])
-        nodes, roots = local_labels(k[:-1][near], k[1:][near])
-        keep = nodes != roots
-        del t, k, n, ts, order, near
+        order = order[np.lexsort((k[order], n[order], t[order]))]
+        t, k = t[order], k[order]
+        once = np.ones(len(t), bool)  # tasks give the postings of equal sets once each
+        once[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
+        order = order[once]
+        t, k, n, x, w = t[once], k[once], n[order].astype(np.int64), x[order], w[order].astype(np.int64)
+        begins = np.flatnonzero(np.concatenate((np.ones(min(len(t), 1), bool), t[1:] != t[:-1])))
+        ends = np.append(begins[1:], len(t)).astype(np.int64)
+        links, large = _Links(), ends - begins > MET_ALL
+        for i, j in zip(begins[large].tolist(), ends[large].tolist(), strict=True):
+            _peeled(k[i:j], n[i:j], x[i:j], int(w[i]), percent, links)
+        end = np.repeat(ends, ends - begins)
+        at, lag = np.flatnonzero(~np.repeat(large, ends - begins)), 1
+        while len(at := at[at + lag < end[at]]):
+            at = at[100 * n[at] >= percent * n[at + lag]]  # sizes rise, so later ones are no partners either
+            near = at[near_marks(n[at], n[at + lag], x[at], x[at + lag], w[at], percent)]
+            links.add(k[near], k[near + lag])
+            lag += 1
+        src, dst = links.least()
+        del t, k, n, x, w, ts, order
         release()
-        return pd.DataFrame({"src": nodes[keep], "dst": roots[keep]})
+        return pd.DataFrame({"src": src, "dst": dst})
 
     return run
 
@@ -362,7 +449,7 @@ def _components(docs: DataFrame, size: int, percent: int) -> DataFrame:
     tokens = frequent.where(F.col("times") >= least).select("token").toPandas()["token"].to_numpy(np.int64)  # at most HEAVY rows
     heavy = np.zeros(1 << HEAVY_BITS, bool)
     heavy[tokens & ((1 << HEAVY_BITS) - 1)] = True
-    packed = base.select("text").mapInArrow(_postings(size, percent, buckets, np.packbits(heavy, bitorder="little")), "bucket long, tokens binary, keys binary, sizes binary")
+    packed = base.select("text").mapInArrow(_postings(size, percent, buckets, np.packbits(heavy, bitorder="little")), "bucket long, " + ", ".join(f"{c} binary" for c in _POSTED))
     near = packed.groupBy("bucket").applyInPandas(_candidates(percent), "src long, dst long")
     groups = connected_components(near)
 
