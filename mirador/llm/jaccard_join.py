@@ -34,8 +34,9 @@ SMALL, RANGE = 32, 2
 WINDOW = 72
 #: Sets with one signature are met all with all up to so many, beyond by the middle one first.
 MET_ALL = 64
-#: What is sent of each signature, in the order of `marked`, and of its set.
-_POSTED = ("tokens", "marks", "windows", "keys", "sizes")
+#: What is sent of each signature: a part of its hash (in a bucket that is enough, as a wrong match only has marks compared), the
+#: mark, the set's key, and its size times four with the number of its cut (see cuts_of).
+_POSTED = {"tokens": np.uint32, "marks": U64, "keys": np.int64, "sizes": np.uint32}
 #: Shingles in one block of the trie join (8 MB of them); candidate groups with more are joined block against block.
 BLOCK_SHINGLES = 1 << 20
 #: Texts that a task remembers, so as not to give their postings again.
@@ -219,8 +220,8 @@ def _windowed(items: np.ndarray, mixed: np.ndarray, light: np.ndarray, size_clas
 
 
 def marked(items: np.ndarray, percent: int, heavy: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Signatures of a set (items, in order; heavy: bits by hash), the mark of each one's window, and into how many windows
-    the set was cut for it. Two sets that reach percent share one at least whose marks are near (see near_marks).
+    """Signatures of a set (items, in order; heavy: bits by hash), the mark of each one's window, and the set's size times four
+    with a number that tells into how many windows it was cut (see cuts_of). Two sets that reach percent share one at least whose marks are near (see near_marks).
 
     A partner's size is percent / 100 to 100 / percent of this one's, so it lies in the class of this size or in one next to
     it: a set takes part in its own class, and in the next if a partner can lie there. Sets of a class are cut into the same
@@ -234,16 +235,23 @@ def marked(items: np.ndarray, percent: int, heavy: np.ndarray) -> tuple[np.ndarr
     at = (items & U64((1 << HEAVY_BITS) - 1)).view(np.int64)
     light = (heavy[at >> 3] >> (at & 7).astype(np.uint8)) & np.uint8(1) == 0
     c = int(np.searchsorted(_BEGIN, n, "right"))
-    for size_class in (c, c + 1) if largest >= _BEGIN[c] else (c,):
-        windows = _windows(size_class)
-        tokens, marks, few = _windowed(items, mixed, light, size_class, windows, differ // windows + 1, size_class)
-        out.append((tokens, marks, np.full(len(tokens), windows, np.uint32)))
+    for cut in range(2 if largest >= _BEGIN[c] else 1):
+        windows = _windows(c + cut)
+        tokens, marks, few = _windowed(items, mixed, light, c + cut, windows, differ // windows + 1, c + cut)
+        out.append((tokens, marks, np.full(len(tokens), 4 * n + cut, np.uint32)))
         if few and windows > 1:
-            tokens, marks, _ = _windowed(items, mixed, light, size_class, 1, differ + 1, size_class + len(_BEGIN))
-            out.append((tokens, marks, np.ones(len(tokens), np.uint32)))
+            tokens, marks, _ = _windowed(items, mixed, light, c + cut, 1, differ + 1, c + cut + len(_BEGIN))
+            out.append((tokens, marks, np.full(len(tokens), 4 * n + 2, np.uint32)))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+def cuts_of(sizes: np.ndarray) -> np.ndarray:
+    """The windows that a set's size times four and a number tell: 0 those of its class, 1 of the next, 2 one."""
+    size_class, cut = np.searchsorted(_BEGIN, sizes.astype(np.int64) >> 2, "right"), sizes & 3
+    of = np.array([_windows(c) for c in range(len(_BEGIN))], np.int64)
+    return np.where(cut == 2, 1, of[np.minimum(size_class + (cut == 1), len(of) - 1)])
+
+
 def signatures(items: np.ndarray, percent: int, heavy: np.ndarray) -> np.ndarray:
     return marked(items, percent, heavy)[0]
 
@@ -260,20 +268,20 @@ def _postings(size: int, percent: int, buckets: int, heavy: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for batch in batches:
-            found, keys, sizes = [], [], []
+            found, keys = [], []
             for items in shingle_sets(batch["text"], size):
                 if not len(items) or (k := _key(items)) in seen:
                     continue
                 seen.add(k)
                 found.append(marked(items, percent, heavy))
-                sizes.append(np.full(len(found[-1][0]), len(items), np.uint32))
                 keys.append(np.full(len(found[-1][0]), k, np.int64))
             if len(seen) > SEEN:
                 seen.clear()
             if not found:
                 continue
-            columns = [np.concatenate(x) for x in (*zip(*found, strict=True), keys, sizes)]
-            b = (columns[0] % U64(buckets)).astype(np.int64)
+            tokens, marks, sizes, k = (np.concatenate(x) for x in (*zip(*found, strict=True), keys))
+            b = (tokens % U64(buckets)).astype(np.int64)
+            columns = [(mix(tokens) >> U64(32)).astype(np.uint32), marks, k, sizes]
             order = np.argsort(b, kind="stable")
             b = b[order]
             cut = np.flatnonzero(np.diff(b)) + 1
@@ -303,7 +311,7 @@ class _Links:
         return self.src[0], self.dst[0]
 
 
-def _peeled(k: np.ndarray, n: np.ndarray, marks: np.ndarray, windows: int, percent: int, links: _Links) -> None:
+def _peeled(k: np.ndarray, n: np.ndarray, marks: np.ndarray, windows: np.ndarray, percent: int, links: _Links) -> None:
     """Links of a large group of sets, by size, with one signature: the middle one is met with all, and so is each that is not
     connected with it by then. Those that are need not be met with each other."""
     connected, me = np.zeros(len(k), bool), len(k) // 2
@@ -311,7 +319,7 @@ def _peeled(k: np.ndarray, n: np.ndarray, marks: np.ndarray, windows: int, perce
         if connected[i]:
             continue
         lo, hi = np.searchsorted(n, -(-percent * n[i] // 100)), np.searchsorted(n, 100 * n[i] // percent, "right")
-        near = lo + np.flatnonzero(near_marks(n[lo:hi], n[i], marks[lo:hi], marks[i], windows, percent))
+        near = lo + np.flatnonzero(near_marks(n[lo:hi], n[i], marks[lo:hi], marks[i], windows[i], percent))
         links.add(np.full(len(near), k[i]), k[near])
         if i == me or connected[near].any():
             connected[near] = True
@@ -319,7 +327,7 @@ def _peeled(k: np.ndarray, n: np.ndarray, marks: np.ndarray, windows: int, perce
 
 def _candidates(percent: int):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        t, x, w, k, n = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in zip(_POSTED, (U64, U64, np.uint32, np.int64, np.uint32), strict=True))
+        t, x, k, n = (np.frombuffer(b"".join(pdf[c]), kind) for c, kind in _POSTED.items())
         order = np.argsort(t, kind="stable")
         ts = t[order]
         twice = np.zeros(len(ts), bool)
@@ -327,16 +335,16 @@ def _candidates(percent: int):
         twice[:-1] |= twice[1:]
         order = order[twice]
         order = order[np.lexsort((k[order], n[order], t[order]))]
-        t, k = t[order], k[order]
+        t, k, n, x = t[order], k[order], n[order], x[order]
         once = np.ones(len(t), bool)  # tasks give the postings of equal sets once each
-        once[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1])
-        order = order[once]
-        t, k, n, x, w = t[once], k[once], n[order].astype(np.int64), x[order], w[order].astype(np.int64)
+        once[1:] = (t[1:] != t[:-1]) | (k[1:] != k[:-1]) | (x[1:] != x[:-1]) | (n[1:] != n[:-1])
+        t, k, n, x = t[once], k[once], n[once], x[once]
+        w, n = cuts_of(n), n.astype(np.int64) >> 2
         begins = np.flatnonzero(np.concatenate((np.ones(min(len(t), 1), bool), t[1:] != t[:-1])))
         ends = np.append(begins[1:], len(t)).astype(np.int64)
         links, large = _Links(), ends - begins > MET_ALL
         for i, j in zip(begins[large].tolist(), ends[large].tolist(), strict=True):
-            _peeled(k[i:j], n[i:j], x[i:j], int(w[i]), percent, links)
+            _peeled(k[i:j], n[i:j], x[i:j], w[i:j], percent, links)
         end = np.repeat(ends, ends - begins)
         at, lag = np.flatnonzero(~np.repeat(large, ends - begins)), 1
         while len(at := at[at + lag < end[at]]):
@@ -345,7 +353,7 @@ def _candidates(percent: int):
             links.add(k[near], k[near + lag])
             lag += 1
         src, dst = links.least()
-        del t, k, n, x, w, ts, order
+        del t, k, n, x, w, ts, order, once
         release()
         return pd.DataFrame({"src": src, "dst": dst})
 
