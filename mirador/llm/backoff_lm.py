@@ -25,6 +25,8 @@ from mirador.llm.common import PLACE, U64, discard, discard_since, doc_chunks, h
 END = U64(0x5DEECE66D1234567)
 #: Tokens walked in one lane; each lane starts with the order - 1 tokens before it, which fix its state.
 LANE = 192
+#: Words are hashed in stretches of so many bytes, which with all their arrays stay in a core's cache.
+NEAR = 1 << 16
 #: Texts are scored in chunks of so many tokens, and what the last batch has beyond.
 CHUNK = 1 << 20
 #: In shuffled n-grams the most frequent words, so many, are written as two bytes, all others as their hash.
@@ -38,17 +40,19 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of all texts in turn, an end token closing each, and the number of tokens of each text."""
     data, offsets = text_buffer(texts)
     parts, counts = [], []
-    for i, j in doc_chunks(offsets):
+    for i, j in doc_chunks(offsets, NEAR):
         h, doc = hash_words(data, offsets, i, j, "space")
         n = np.bincount(doc, minlength=j - i)
-        parts.append(np.insert(h, np.cumsum(n), END))
+        tokens = np.full(len(h) + len(n), END)
+        tokens[np.arange(len(h)) + doc] = h
+        parts.append(tokens)
         counts.append(n + 1)
     return (np.concatenate(parts) if parts else np.zeros(0, U64)), (np.concatenate(counts) if counts else np.zeros(0, np.int64))
 
 
 def _by_bucket(keys: np.ndarray, buckets: int):
     b = keys.view(np.int64) % buckets
-    order = np.argsort(b, kind="stable")
+    order = np.argsort(b.astype(np.uint16) if buckets <= 1 << 16 else b, kind="stable")  # two bytes are sorted by radix
     cut = np.flatnonzero(np.diff(b[order])) + 1
     return order, cut, b[order][np.concatenate(([0], cut))] if len(b) else b
 
@@ -68,10 +72,18 @@ def _count_words(buckets: int):
     return releasing(run)
 
 
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct keys in order, the order of all keys, and where in it each distinct one begins. Equal keys come in any
+    order, as a stable sort takes several times as long."""
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.concatenate((np.ones(min(len(keys), 1), bool), keys[1:] != keys[:-1])))
+    return keys[first], order, first
+
+
 def _summed(keys: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct keys, their total times, and where in keys each stands."""
-    order = np.argsort(keys, kind="stable")
-    keys, first = np.unique(keys[order], return_index=True)
+    keys, order, first = _distinct(keys)
     return keys, np.add.reduceat(times[order].astype(np.int64), first), order[first]
 
 
@@ -113,16 +125,19 @@ def _count_grams(order: int, buckets: int, coded: np.ndarray, marks):
     of the kept n-grams shorter by one; an n-gram is kept only if both of these in it are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes_of = Places(coded)
         for batch in batches:
             tokens, counts = _tokens(batch["text"])
             at = _places(counts, order)
-            shorter = _marked(_key([tokens[k : len(tokens) - order + 2 + k] for k in range(order - 1)]), marks.value)
+            n = max(len(tokens) - order + 2, 0)
+            shorter = _marked(_key([tokens[k : k + n] for k in range(order - 1)]), marks.value)
             at = at[shorter[at] & shorter[at + 1]]
             if not len(at):
                 continue
-            keys, first, times = np.unique(_key([tokens[at + k] for k in range(order)]), return_index=True, return_counts=True)
+            keys, by, first = _distinct(_key([tokens[at + k] for k in range(order)]))
+            at, times = at[by[first]], np.diff(first, append=len(by))
             by, cut, b = _by_bucket(keys, buckets)
-            at, times, ids = at[first[by]], times[by].astype(np.int32), _ids(tokens, coded)
+            at, times, ids = at[by], times[by].astype(np.int32), codes_of.find(tokens)
             out = []
             for x, t in zip(np.split(at, cut), np.split(times, cut), strict=True):
                 known = [ids[x + k] >= 0 for k in range(order)]
@@ -166,9 +181,30 @@ def _ids(words: np.ndarray, known: np.ndarray) -> np.ndarray:
     return np.where(known[at] == words, at, -1)
 
 
+class Places:
+    """Finds hashes among some sorted distinct ones, by a table of where each beginning of so many bits starts."""
+
+    def __init__(self, known: np.ndarray):
+        bits = max(len(known).bit_length(), 1)
+        self.shift, self.n = U64(64 - bits), len(known)
+        self.known = np.append(known, U64(0xFFFFFFFFFFFFFFFF))
+        upto = np.cumsum(np.bincount((known >> self.shift).view(np.int64), minlength=1 << bits))
+        self.first = np.zeros(1 << bits, np.int32)
+        self.first[1:] = upto[:-1]
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """Place of each key, or -1."""
+        at = self.first[(keys >> self.shift).view(np.int64)].astype(np.int64)
+        late = np.flatnonzero(self.known[at] < keys)
+        while len(late):  # the last of known stops each
+            at[late] += 1
+            late = late[self.known[at[late]] < keys[late]]
+        return np.where((self.known[at] == keys) & (at < self.n), at, -1)
+
+
 @dataclass
 class Automaton:
-    """words: sorted hashes of the known words. State 0 is the empty context. arcs: sorted state * |words| + word."""
+    """words: sorted hashes of the known words. State 0 is the empty context. arcs: state * |words| + word, each once."""
 
     words: np.ndarray
     arcs: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -190,17 +226,23 @@ class Automaton:
         start, stop = begins[doc] + step * LANE, np.minimum(begins[doc] + (step + 1) * LANE, ends[doc])
         total, state = np.zeros(len(doc)), np.zeros(len(doc), np.int64)
         v, warm = len(self.words), self.order - 1
+        hashed = mix(self.arcs.view(U64))  # one to one
+        by = np.argsort(hashed)
+        arcs, weight, target = Places(hashed[by]), self.weight[by], self.target[by]
+        del hashed, by
+        first = begins[doc]
         for t in range(-warm, LANE):
             at = start + t
-            live = np.flatnonzero((at >= begins[doc]) & (at < stop))
+            live = np.flatnonzero((at >= first) & (at < stop))
             w, s, gained = ids[at[live]], state[live], np.zeros(len(live))
             todo = np.arange(len(live))
             while len(todo):
-                key = s[todo] * v + w[todo]
-                hit = np.minimum(np.searchsorted(self.arcs, key), max(len(self.arcs) - 1, 0))
-                found = (self.arcs[hit] == key) & (w[todo] >= 0) if len(self.arcs) else np.zeros(len(todo), bool)
-                gained[todo[found]] += self.weight[hit[found]]
-                s[todo[found]] = self.target[hit[found]]
+                here, word = s[todo], w[todo]
+                hit = np.where(word >= 0, arcs.find(mix((here * v + word).view(U64))), -1)
+                found = hit >= 0
+                done, hit = todo[found], hit[found]
+                gained[done] += weight[hit]
+                s[done] = target[hit]
                 todo = todo[~found]
                 root = s[todo] == 0
                 todo = todo[~root]  # at the root an unknown word stays there
@@ -274,14 +316,13 @@ def _unpacked(blob: bytes, kind: type) -> np.ndarray:
     return np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), kind)
 
 
-def _wanted(words: np.ndarray, ids: np.ndarray, counts: np.ndarray, order: int, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct n-grams of a chunk that may be kept: their sorted hashes, and where each stands first."""
+def _wanted(tokens: np.ndarray, counts: np.ndarray, order: int, marks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams of a chunk that may be kept: their hashes, and where each stands."""
     at = _places(counts, order)
-    tokens = words[ids]
-    keys = _key([tokens[at + k] for k in range(order)])
+    n = max(len(tokens) - order + 1, 0)
+    keys = _key([tokens[k : k + n] for k in range(order)])[at]
     worth = _marked(keys, marks)
-    keys, first = np.unique(keys[worth], return_index=True)
-    return keys, at[worth][first]
+    return keys[worth], at[worth]
 
 
 def _chunks(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -311,8 +352,7 @@ def _ask(order: int, buckets: int, marks, chunk: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, n, th in _chunks(batches, chunk):
-            words, ids = np.unique(tokens, return_inverse=True)
-            keys = words if order == 1 else _wanted(words, ids, n, order, marks.value)[0]
+            keys = np.unique(tokens if order == 1 else _wanted(tokens, n, order, marks.value)[0])
             if len(keys):
                 by, cut, b = _by_bucket(keys, buckets)
                 yield pa.RecordBatch.from_arrays([pa.array([_name(th)] * len(b)), pa.array(b), _blobs(keys[by], cut)], ["chunk", "bucket", "keys"])
@@ -329,7 +369,8 @@ def _records(chunk: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for tokens, n, th in _chunks(batches, chunk):
-            words, ids = np.unique(tokens, return_inverse=True)
+            words = np.unique(tokens)
+            ids = Places(words).find(tokens)
             own = [pa.array([x], pa.binary()) for x in (th.tobytes(), _packed(n.astype(np.int64)), words.tobytes(), _packed(ids.astype(np.int32)))]
             yield pa.RecordBatch.from_arrays([pa.array([_name(th)]), *own], ["chunk", "th", "n", "words", "ids"])
 
@@ -377,12 +418,12 @@ def assemble(words: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray, np.nda
     log-probabilities, which of them are states, and the failure weights of these (0 for others)."""
     order, v = len(grams), max(len(words), 1)
     hashed = lambda rows: _key([words[rows[:, k]] for k in range(rows.shape[1])])
-    states: list[tuple[np.ndarray, np.ndarray]] = []  # by length from 1: sorted hashes of contexts, and the states' numbers
+    states: list[tuple[Places, np.ndarray]] = []  # by length from 1: places of the contexts' hashes, and the states' numbers
     rows_of, size = [], 1
     for rows, _, state, bow in grams[:-1]:
         keys = hashed(rows[state]) if state.any() else np.zeros(0, U64)
         by = np.argsort(keys)
-        states.append((keys[by], size + np.arange(len(keys))))
+        states.append((Places(keys[by]), size + np.arange(len(keys))))
         rows_of.append((rows[state][by], bow[state][by]))
         size += len(keys)
 
@@ -391,9 +432,9 @@ def assemble(words: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray, np.nda
         out = np.zeros(len(rows), np.int64)
         todo = np.arange(len(rows))
         for n in range(rows.shape[1], 0, -1):
-            if n > len(states) or not len(states[n - 1][0]) or not len(todo):
+            if n > len(states) or not len(states[n - 1][1]) or not len(todo):
                 continue
-            at = _ids(hashed(rows[todo][:, rows.shape[1] - n :]), states[n - 1][0])
+            at = states[n - 1][0].find(hashed(rows[todo][:, rows.shape[1] - n :]))
             out[todo[at >= 0]] = states[n - 1][1][at[at >= 0]]
             todo = todo[at < 0]
         return out
@@ -408,14 +449,12 @@ def assemble(words: np.ndarray, grams: list[tuple[np.ndarray, np.ndarray, np.nda
             continue
         begin = np.zeros(len(rows), np.int64)
         if n > 1:
-            at = _ids(hashed(rows[:, :-1]), states[n - 2][0])
+            at = states[n - 2][0].find(hashed(rows[:, :-1]))
             rows, lp, begin = rows[at >= 0], lp[at >= 0], states[n - 2][1][at[at >= 0]]
         arcs.append(begin * v + rows[:, -1])
         values.append(lp)
         targets.append(longest(rows if n < order else rows[:, 1:]))
-    arc = np.concatenate(arcs) if arcs else np.zeros(0, np.int64)
-    by = np.argsort(arc)
-    return Automaton(words, arc[by], *(np.concatenate(x)[by] if x else np.zeros(0, t) for x, t in ((values, np.float64), (targets, np.int64))), fail, weight, order)
+    return Automaton(words, *(np.concatenate(x) if x else np.zeros(0, t) for x, t in ((arcs, np.int64), (values, np.float64), (targets, np.int64))), fail, weight, order)
 
 
 def _score(order: int, buckets: int, denominator: float, discount: float, marks: list):
@@ -425,9 +464,14 @@ def _score(order: int, buckets: int, denominator: float, discount: float, marks:
         own = pdf[pdf["order"] == 0].iloc[0]
         th, n = np.frombuffer(own["th"], np.int64), _unpacked(own["n"], np.int64)
         words, ids = np.frombuffer(own["words"], U64), _unpacked(own["ids"], np.int32).astype(np.int64)
-        grams, times = [], None
+        grams, times, tokens = [], None, words[ids]
         for m in range(1, order + 1):
-            keys, first = (words, None) if m == 1 else _wanted(words, ids, n, m, marks[m - 2].value)
+            keys, first = words, None
+            if m > 1:
+                keys, places = _wanted(tokens, n, m, marks[m - 2].value)
+                keys, by, first = _distinct(keys)
+                first = places[by[first]]
+                del places, by
             count, total, state, bow = _told(pdf[pdf["order"] == m], keys, buckets)
             kept = count > 0
             if m == 1:
@@ -436,7 +480,7 @@ def _score(order: int, buckets: int, denominator: float, discount: float, marks:
                 rows = np.stack([ids[first[kept] + k] for k in range(m)], axis=1)
                 lp = np.log10((count[kept] - discount) / total[kept])
             grams.append((rows, lp, state[kept], bow[kept]))
-        del keys, first, count, total, state, bow, kept, rows, lp
+        del keys, first, count, total, state, bow, kept, rows, lp, tokens
         doc = np.repeat(np.arange(len(n)), n)
         base = np.log10((times + 1) / denominator)[ids]
         known = times[ids] > 0

@@ -5,6 +5,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from mirador.llm import backoff_lm as b
@@ -99,3 +100,30 @@ def test_bits_that_mark_everything_change_nothing(spark, monkeypatch):
     monkeypatch.setattr(b, "MARK_BITS", 15)
     got = {r.doc_id: r.score for r in b.score_documents(df, df, 3, 2).collect()}
     assert got == pytest.approx(want)
+
+
+def test_a_batch_of_fewer_tokens_than_the_order(spark):
+    df = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
+    for order in (3, 4, 5, 6):
+        got = b.score_documents(df, df, order, 1).collect()
+        assert [r.score for r in got] == pytest.approx([Plain(["a b"], order, 1).score("a b")])
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 4, 1000])
+def test_places_of_hashes(n):
+    rng = np.random.default_rng(n)
+    known = np.unique(np.concatenate((rng.integers(0, 1 << 63, n, np.uint64) * b.U64(2), np.array([0, 5, (1 << 64) - 1][:n], np.uint64))))
+    keys = np.concatenate((known, known + b.U64(1), rng.integers(0, 1 << 63, 100, np.uint64), np.array([0, 1, (1 << 64) - 2, (1 << 64) - 1], np.uint64)))
+    at = {int(k): i for i, k in enumerate(known)}
+    assert b.Places(known).find(keys).tolist() == [at.get(int(k), -1) for k in keys]
+
+
+def test_distinct_hashes_and_buckets():
+    keys = np.random.default_rng(1).integers(0, 50, 400).astype(np.uint64)
+    found, order, first = b._distinct(keys)
+    want, times = np.unique(keys, return_counts=True)
+    assert (found == want).all() and (keys[order[first]] == want).all() and (np.diff(first, append=len(keys)) == times).all()
+    assert [len(x) for x in b._distinct(keys[:0])] == [0, 0, 0]
+    for buckets in (7, (1 << 16) + 1):
+        by, cut, names = b._by_bucket(want, buckets)
+        assert [(k, x.tolist()) for k, x in zip(names.tolist(), np.split(want[by], cut), strict=True)] == [(k, [w for w in want.tolist() if w % buckets == k]) for k in sorted({w % buckets for w in want.tolist()})]
