@@ -11,7 +11,7 @@ are compared. Of each pair of similar lines, the later in the order of doc_id an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from mirador.llm.common import discard, hashes, materialize, told
@@ -28,16 +28,24 @@ def _told(df: DataFrame) -> DataFrame:
     return told(df, BROADCAST_ROWS)
 
 
+def _plain() -> Column:
+    """Column text with A-Z lower-cased and all white space but newlines as spaces, its UTF-8 bytes read as Latin-1: so lower
+    does not slow down and changes A-Z and first bytes of characters alone. The latter stay distinct, as a character's
+    number of bytes still tells apart those that become alike. translate takes several times as long."""
+    odd = F.contains("text", F.lit("\t")) | F.contains("text", F.lit("\x0b")) | F.contains("text", F.lit("\f")) | F.contains("text", F.lit("\r"))
+    spaced = F.when(odd, F.translate("text", "\t\x0b\f\r", "    ")).otherwise(F.col("text"))
+    return F.lower(F.decode(spaced.cast("binary"), "ISO-8859-1"))
+
+
 def _split(docs: DataFrame) -> DataFrame:
-    """(doc_id, th, line_no, line) of all lines. posexplode_outer, as explode would have its array computed once more in a
-    filter before it."""
-    return docs.select("doc_id", hashes().alias("th"), F.posexplode_outer(F.split("text", "\n")).alias("line_no", "line"))
+    """(doc_id, th, line_no, line) of all lines, as _plain has them. posexplode_outer, as explode would have its array computed
+    once more in a filter before it."""
+    return docs.select("doc_id", hashes().alias("th"), F.posexplode_outer(F.split(_plain(), "\n")).alias("line_no", "line"))
 
 
 def _hashed(parts: DataFrame, *others: str) -> DataFrame:
     """The columns others, and h: the hashes of the words of column line."""
-    plain = F.translate("line", "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\x0b\f\r", "abcdefghijklmnopqrstuvwxyz    ")
-    return parts.select(*others, F.transform(F.array_remove(F.split(plain, " "), ""), lambda x: F.xxhash64(x)).alias("h"))
+    return parts.select(*others, F.transform(F.array_remove(F.split("line", " "), ""), lambda x: F.xxhash64(x)).alias("h"))
 
 
 def _tokens(size: int) -> Column:
@@ -68,18 +76,23 @@ def _lines(docs: DataFrame, size: int, percent: int, least_words: int) -> DataFr
     return whole.select("doc_id", "th", "line_no", "lid", F.size("tokens").alias("n"), F.expr(f"slice(tokens, 1, {spare} + {spare} div 2 + 1)").alias("head"))
 
 
+def _place() -> Column:
+    """A hash of the place of a line."""
+    return F.xxhash64("doc_id", "th", "line_no")
+
+
 def _candidates(lines: DataFrame, copies: DataFrame, percent: int) -> DataFrame:
     """lid of the lines of whose head so many tokens are in heads of other lines that a similar line is possible. copies: (lid,
-    copies) of the lines that come more than once.
+    one) of the lines that come more than once, of which the one whose place has the hash `one` stands for all.
 
     Of two similar lines take the one whose head ends first. The other has all of its head but the tokens that it may lack, and
     has them in its own head, so both heads share half of what the first may lack, and one. The first may be the smaller."""
     smaller = f"((n * {percent} + 99) div 100)"
-    posts = lines.where("head is not null").select("lid", "n", F.explode_outer("head").alias("token"))
+    each = lines.where("head is not null").join(_told(copies), "lid", "left").where(F.col("one").isNull() | (F.col("one") == _place()))
+    posts = each.select("lid", "n", F.explode_outer("head").alias("token"))
     shared = materialize(posts.groupBy("token").agg(F.min("lid").alias("a"), F.max("lid").alias("b")).where("a <> b").select("token"), "line-shared")
     found = posts.join(_told(shared), "token").groupBy("lid", "n").agg(F.count("*").alias("hits"))
-    found = found.join(_told(copies), "lid", "left").where(f"hits >= ({_spare(smaller, percent)} div 2 + 1) * coalesce(copies, 1)")
-    out = materialize(found.select("lid"), "line-ids")
+    out = materialize(found.where(f"hits >= {_spare(smaller, percent)} div 2 + 1").select("lid"), "line-ids")
     discard(shared)
     return out
 
@@ -89,10 +102,9 @@ def _by_rarity(sets: DataFrame, percent: int) -> DataFrame:
     Tokens that one set has come first, and only their number matters."""
     each = sets.select("r", F.size("tokens").alias("n"), F.explode_outer("tokens").alias("token"))
     counts = materialize(each.groupBy("token").agg(F.count("*").alias("c")).where("c > 1"), "line-counts")
-    ranked = each.join(counts, "token").groupBy("r", "n").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("t"))
-    prefix = F.expr(f"slice(t, 1, greatest({_spare('n', percent)} + 1 - n + size(t), 0))")
-    placed = ranked.select("r", "n", F.size("t").alias("s"), F.posexplode_outer(prefix).alias("i", "x")).where("x is not null")
-    out = materialize(placed.select("x.token", "r", "n", F.expr("n - s + i").alias("pos")), "line-placed")
+    back = F.row_number().over(Window.partitionBy("r").orderBy(F.desc("c"), F.desc("token")))  # from the most frequent one, which is the last
+    placed = each.join(counts, "token").select("token", "r", "n", (F.col("n") - back).alias("pos")).where(f"pos <= {_spare('n', percent)}")
+    out = materialize(placed, "line-placed")
     discard(counts)
     return out
 
@@ -143,6 +155,9 @@ def lines_with_earlier_match(docs: DataFrame, ids: DataFrame, first: DataFrame,
     # a sort by ranges is distributed, and these numbers rise from range to range
     ranked = first.join(_told(ids), "lid", "left_semi").orderBy("first").select("lid", F.monotonically_increasing_id().alias("r"), F.col("first.d").alias("d"), F.col("first.t").alias("t"), F.col("first.l").alias("l"))
     ranked = materialize(ranked, "line-ranks")
+    homes = materialize(ranked.select(F.col("t").alias("home")).distinct(), "line-homes")
+    if homes.count() <= BROADCAST_ROWS:  # beyond, whole texts would be shuffled
+        docs = docs.join(F.broadcast(homes), hashes() == F.col("home"), "left_semi")
     parts = _split(docs)
     here = parts.doc_id.eqNullSafe(F.col("d")) & (parts.th == F.col("t")) & (parts.line_no == F.col("l"))
     hashed = _hashed(parts.join(_told(ranked), here), "r")
@@ -157,7 +172,7 @@ def lines_with_earlier_match(docs: DataFrame, ids: DataFrame, first: DataFrame,
     open_ = placed.join(_told(matched), "r", "left_anti")
     late = _verified(_met(open_, placed, percent), sets, percent, False)
     near = materialize(ranked.join(_told(matched).union(late), "r", "left_semi").select("lid"), "line-near")
-    discard(ranked, sets, placed, matched, late)
+    discard(ranked, homes, sets, placed, matched, late)
     return near
 
 
@@ -166,7 +181,8 @@ def removed_lines(docs: DataFrame, size: int = 5, percent: int = 80, least_words
     docs = docs.select("doc_id", "text")
     lines = materialize(_lines(docs, size, percent, least_words), "lines")
     light = lines.where("lid is not null").select("lid", "doc_id", "th", "line_no")
-    copies = materialize(light.groupBy("lid").agg(F.count("*").alias("copies")).where("copies > 1"), "line-copies")
+    copies = light.groupBy("lid").agg(F.count("*").alias("copies"), F.min(_place()).alias("one")).where("copies > 1")
+    copies = materialize(copies.select("lid", "one"), "line-copies")
     ids = _candidates(lines, copies, percent)
     asked = materialize(copies.select("lid").union(ids).distinct(), "line-asked")
     at = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("th").alias("t"), F.col("line_no").alias("l"))

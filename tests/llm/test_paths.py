@@ -8,6 +8,7 @@ from types import SimpleNamespace
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from mirador.llm import backoff_lm, common, decontaminate, hnsw, html_text, jaccard_join, language_id, line_dedup, quality, registry, warc
 
@@ -104,6 +105,17 @@ def test_line_dedup_paths(spark, monkeypatch, forced):
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
 
 
+def test_plain_lines_stay_distinct(spark):
+    """Lines that differ in more than A-Z and white space differ in what they are compared by; all characters, and pairs."""
+    chars = spark.range(0x110000).where("id not between 55296 and 57343").selectExpr("id", "decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS text")
+    some = chars.where("id < 400 or id % 9973 = 0")
+    pairs = some.select("text").crossJoin(some.selectExpr("text AS next")).selectExpr("concat(text, next) AS text")
+    old = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\x0b\f\r", "abcdefghijklmnopqrstuvwxyz    ")
+    for texts in (chars.select("text"), pairs):
+        got = texts.select(old.alias("old"), line_dedup._plain().alias("new")).agg(F.count_distinct("old"), F.count_distinct("new"), F.count_distinct("old", "new")).first()
+        assert got[0] == got[1] == got[2] > 100_000
+
+
 def test_decontamination_by_shuffle(spark, monkeypatch):
     docs, bench = spark.read.parquet(f"{SF}/documents.parquet"), spark.read.parquet(f"{SF}/benchmark.parquet")
     few = {tuple(r) for r in decontaminate.contamination(docs, bench).select("doc_id", "n_words", "n_hit", "items_sha256").collect()}
