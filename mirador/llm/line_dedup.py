@@ -161,8 +161,10 @@ def lines_with_earlier_match(docs: DataFrame, ids: DataFrame, first: DataFrame,
     parts = _split(docs)
     here = parts.doc_id.eqNullSafe(F.col("d")) & (parts.th == F.col("t")) & (parts.line_no == F.col("l"))
     hashed = _hashed(parts.join(_told(ranked), here), "r")
-    sets = hashed.select("r", F.when(F.size("h") >= size, _tokens(size)).alias("tokens")).groupBy("r").agg(F.first("tokens").alias("tokens"))
-    sets = materialize(sets, "line-sets")
+    sets = materialize(hashed.select("r", F.when(F.size("h") >= size, _tokens(size)).alias("tokens")), "line-sets")
+    if sets.count() > ranked.count():  # rows that repeat doc_id and text
+        repeated, sets = sets, materialize(sets.groupBy("r").agg(F.first("tokens").alias("tokens")), "line-sets")
+        discard(repeated)
     placed = _by_rarity(sets, percent)
     me = [F.min("r").alias("other"), F.expr("min_by(shiftleft(cast(n as bigint), 32) + pos, r)").alias("x")]  # longs, to be aggregated by hash
     earliest, alike = (placed.join(placed.groupBy(*by).agg(*me), by).where("other < r") for by in (["token"], ["token", "n"]))

@@ -105,6 +105,15 @@ def test_line_dedup_paths(spark, monkeypatch, forced):
     assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
 
 
+def test_repeated_rows_are_one_document(spark):
+    rng = random.Random(3)
+    lines = near_texts(rng, 40, [f"w{k}" for k in range(60)], 40)
+    docs = spark.createDataFrame([(i, "\n".join(lines[i * 4 : i * 4 + 4])) for i in range(10)], "doc_id long, text string")
+    once = {tuple(r) for r in line_dedup.dedup_lines(docs).select("doc_id", "n_gone", "text").collect()}
+    twice = [tuple(r) for r in line_dedup.dedup_lines(docs.union(docs)).select("doc_id", "n_gone", "text").collect()]
+    assert set(twice) == once and len(twice) == 20 and sum(n for _, n, _ in once) > 0
+
+
 def test_plain_lines_stay_distinct(spark):
     """Lines that differ in more than A-Z and white space differ in what they are compared by; all characters, and pairs."""
     chars = spark.range(0x110000).where("id not between 55296 and 57343").selectExpr("id", "decode(unhex(lpad(hex(id), 8, '0')), 'UTF-32') AS text")
